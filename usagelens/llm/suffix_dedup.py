@@ -63,7 +63,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
     at = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     row = np.repeat(rows, counts)[first]
-    return row, starts[first] - offsets[row], np.diff(np.append(first, len(at))), h[at[first]]
+    # The picked hashes are small ones; mixed anew they spread over the shards.
+    return row, starts[first] - offsets[row], np.diff(np.append(first, len(at))), mix(h[at[first]] + U(1))
 
 
 def packed(shard: np.ndarray, shards: int, columns: list[np.ndarray], names: list[str], extra: dict[str, list[bytes]] | None = None) -> pa.RecordBatch | None:
