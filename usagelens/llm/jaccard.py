@@ -8,8 +8,8 @@ parts gives a signature. Linked sets so share a signature, whatever their elemen
 
 Equal sets are one class before any signature leaves a task. Signatures travel as packed arrays, one row for
 each batch and shard. Classes that share a signature are candidates; each is verified on the whole sets
-against the hub of its bucket, then members of a bucket that are still in different components are verified
-against each other, so every link that could change a component is tested, and no others. Two sets agree in
+against a hub, then members of a bucket that are still in different components are verified against each
+other, so every link that could change a component is tested, and few others. Two sets agree in
 a part by having no element there; such signatures are sent only by sets with so many empty parts that the
 agreement could hinge on them (see ``Instance.slack``), or everything would share them.
 
@@ -38,6 +38,8 @@ from usagelens.llm.components import connected_components
 U = np.uint64
 #: Classes whose signatures a task remembers having sent.
 SEEN = 500_000
+#: So many ids of candidates may be broadcast to pick their documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -243,20 +245,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     nodes = shared.select("node").distinct()
     # The sets of the candidates only, each from the smallest document of its class.
     first = member.where("h1 is not null").groupBy("h1").agg(F.min("doc_id").alias("doc_id")).join(nodes, F.col("h1") == F.col("node"), "left_semi").select("doc_id")
-    sets = checkpoint(sets_of(docs.join(first, docs[id] == first["doc_id"], "left_semi"), n, text).dropDuplicates(["node"]))
-    tested = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpoint(verified(tested, sets, num, den))
+    first = checkpoint(first.distinct())
+    few = first.count() <= BROADCAST_IDS
+    sets = checkpoint(sets_of(docs.join(F.broadcast(first) if few else first, docs[id] == first["doc_id"], "left_semi"), n, text))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return checkpoint(verified(pairs, sets, num, den))
+
+    # First each class against the least hub of its buckets, then what is still apart from a hub of a bucket, then
+    # all that share a bucket and are still apart: each link that could change a component is tested in the end.
+    tested = shared.groupBy("node").agg(F.min("hub").alias("hub")).where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = verify(tested)
     parts = connected_components(links)
-    # What is apart yet and shares a bucket is tested in full.
-    placed = shared.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    placed = checkpoint(placed.join(apart, "bucket", "left_semi"))
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-    rest = placed.join(other, "bucket").where("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    more = checkpoint(verified(rest, sets, num, den))
-    if not more.isEmpty():
-        parts = connected_components(links.unionAll(more))
+    for all_pairs in (False, True):
+        placed = shared.join(parts, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        placed = placed.join(apart, "bucket", "left_semi")
+        if all_pairs:
+            placed = checkpoint(placed)
+            other = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
+            rest = placed.join(other, "bucket").where("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        else:
+            heads = placed.where("hub = node").select("bucket", F.col("component").alias("other"))
+            rest = placed.join(heads, "bucket").where("component <> other").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        rest = checkpoint(rest.distinct().join(tested, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        more = verify(rest)
+        tested = tested.unionAll(rest)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            parts = connected_components(links)
     label = member.join(parts, member["h1"] == parts["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "h1").alias("label"))
     lowest = label.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = label.join(lowest, "label", "left").select(F.col("doc_id").alias(id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
