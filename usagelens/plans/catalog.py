@@ -1,6 +1,39 @@
-def queries():
-    return {}
+"""All queries of the telemetry side by name, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from usagelens.plans import telemetry, text
+from usagelens.sources.proxy import ctes, views
+
+_NAME = re.compile(r"\{(\w+)\}")
+_SECONDS = re.compile(r"@seconds\(((?:[^()]|\([^()]*\))*?), ((?:[^()]|\([^()]*\))*?)\)")
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """A plan over the canonical views it names."""
+    have = views(spark, sf_dir)
+    statement = _SECONDS.sub(r"(timestampdiff(MICROSECOND, \1, \2) / cast(1000000 as double))", statement)
+    return spark.sql(statement, **{n: have[n] for n in set(_NAME.findall(statement))})
+
+
+def duckdb_sql(statement: str) -> str:
+    statement = _SECONDS.sub(r"(date_diff('microsecond', \1, \2) / cast(1000000 as double))", statement)
+    return ctes() + _NAME.sub(r"\1", statement).replace("timestamp_ntz '", "timestamp '")
+
+
+def session_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, telemetry.SCORES)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {k: (lambda s, d, q=q: spark_sql(s, d, q)) for k, q in telemetry.QUERIES.items()}
+    return out | {k: (lambda s, d, f=f: f(views(s, d))) for k, f in text.PLANS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: duckdb_sql(q) for k, q in telemetry.QUERIES.items()} | text.SQL
