@@ -8,8 +8,10 @@ parts gives a signature. Linked sets so share a signature, whatever their elemen
 
 Equal sets are one class before any signature leaves a task. Signatures travel as packed arrays, one row for
 each batch and shard. Classes that share a signature are candidates; each is verified on the whole sets
-against a hub, then members of a bucket that are still in different components are verified against each
-other, so every link that could change a component is tested, and few others. Two sets agree in
+against a hub. Members of a bucket that are then still in different components need not all meet: linked sets
+share an element among the rarest few of each, and from the first one that they share on (rarest first) each has
+as many elements as the link needs in common (``can_link``). So every link that could change a component is
+tested, and few others, also in a large group of near copies with edits of their own. Two sets agree in
 a part by having no element there; such signatures are sent only by sets with so many empty parts that the
 agreement could hinge on them (see ``Instance.slack``), or everything would share them.
 
@@ -29,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import SPACE_WORDS, by_shard, checkpoint, mix, partitions, signed, slices, table, word_hashes
@@ -40,6 +42,8 @@ U = np.uint64
 SEEN = 500_000
 #: So many ids of candidates may be broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rounds of one more hub a class before what is still apart meets by its rare elements.
+HUB_ROUNDS = 1
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -232,12 +236,32 @@ def sets_of(docs: DataFrame, n: int, text: str) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b), those that link."""
+    # By size first: the sets then travel for fewer pairs.
+    n = sets.select("node", F.size("elements").alias("n")).distinct()
+    pairs = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("p")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("q")), "b")
+    pairs = pairs.where(F.least("p", "q").cast("long") * den >= F.greatest("p", "q").cast("long") * num).select("a", "b")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    both = both.where(small * den >= large * num).withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
     return both.where(F.col("shared") * den >= (F.size("x") + F.size("y") - F.col("shared")) * num).select("a", "b")
 
 
+def can_link(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: nodes of different components that may link, by (node, component). None that link are left out.
+
+    Elements are ranked by how many of the nodes have them; ``left`` counts a set's elements from one of them on to
+    the most common. Elements of one node alone are never shared and leave no row. Linked sets have
+    num / (num + den) of their sizes' sum in common, all from their first shared element on.
+    """
+    sizes = sets.select("node", F.size("elements").cast("long").alias("n")).distinct().join(nodes, "node")
+    own = sets.select("node", F.explode("elements").alias("element"))
+    common = own.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("element"))).where("f > 1")
+    ranked = common.withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("f"), F.desc("element")))).join(sizes, "node")
+    x = checkpoint(ranked.where(F.col("left") * den >= F.col("n") * num).select("element", "node", "component", "n", "left"))
+    y = x.select("element", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_b"))
+    met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & (F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("m")) * num)
+    return x.join(y, (x["element"] == y["element"]) & met).select(F.col("node").alias("a"), "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row: components over links of Jaccard >= num/den between sets of n-word shingles."""
     member = checkpoint(classes(docs, n, id, text))
@@ -248,27 +272,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     first = checkpoint(first.distinct())
     few = first.count() <= BROADCAST_IDS
     sets = checkpoint(sets_of(docs.join(F.broadcast(first) if few else first, docs[id] == first["doc_id"], "left_semi"), n, text))
+    if member.groupBy("doc_id").count().where("count > 1").limit(1).count():  # only then can a class come twice
+        sets = checkpoint(sets.dropDuplicates(["node"]))
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """The sets of the nodes of (node); picked where they lie, without an exchange of all sets, if few."""
+        return sets.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= BROADCAST_IDS else sets
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpoint(verified(pairs, sets, num, den))
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        return checkpoint(verified(pairs, sets_for(wanted), num, den))
 
-    # First each class against the least hub of its buckets, then what is still apart from a hub of a bucket, then
-    # all that share a bucket and are still apart: each link that could change a component is tested in the end.
+    # Each class against the least hub of its buckets, then, still apart from a hub, against one more hub a round.
+    # What is left apart meets where the sets can still link: each link that could change a component is tested.
     tested = shared.groupBy("node").agg(F.min("hub").alias("hub")).where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = verify(tested)
     parts = connected_components(links)
-    for all_pairs in (False, True):
+    for last in [*[False] * HUB_ROUNDS, True]:
         placed = shared.join(parts, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         placed = placed.join(apart, "bucket", "left_semi")
-        if all_pairs:
-            placed = checkpoint(placed)
-            other = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-            rest = placed.join(other, "bucket").where("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        if last:
+            open_nodes = checkpoint(placed.select("node", "component").distinct())
+            rest = can_link(open_nodes, sets_for(open_nodes.select("node").distinct()), num, den)
         else:
             heads = placed.where("hub = node").select("bucket", F.col("component").alias("other"))
             rest = placed.join(heads, "bucket").where("component <> other").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        rest = checkpoint(rest.distinct().join(tested, ["a", "b"], "left_anti"))
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+        rest = checkpoint(rest if last else rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         if rest.isEmpty():
             continue
         more = verify(rest)
