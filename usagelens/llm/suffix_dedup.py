@@ -84,9 +84,9 @@ def packed(shard: np.ndarray, shards: int, columns: list[np.ndarray], names: lis
 def by_id(ids: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """A row for each id: its entries of each column as bytes."""
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    ids, columns = ids[order], [c[order] for c in columns]
     cut = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else np.zeros(1, np.int64)
-    parts = [[c[order][a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
+    parts = [[c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), *[pa.array(p, pa.binary()) for p in parts]], ["id", *names])
 
 
