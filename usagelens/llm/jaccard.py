@@ -7,7 +7,7 @@ holds at most ``k2 = k // n1`` differences, so its ``n2 - k2`` other parts agree
 parts gives a signature. Linked sets so share a signature, whatever their elements (no false negatives).
 
 Equal sets are one class before any signature leaves a task. Signatures travel as packed arrays, one row for
-each batch and shard. Classes that share a signature are candidates; each is verified on the whole sets
+each batch and shard, with the classes of the batch's documents. Classes that share a signature are candidates; each is verified on the whole sets
 against a hub. Members of a bucket that are then still in different components need not all meet: linked sets
 share an element among the rarest few of each, and from the first one that they share on (rarest first) each has
 as many elements as the link needs in common (``can_link``). So every link that could change a component is
@@ -31,6 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,51 +159,66 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 # ---------------------------------------------------------------- the join
 
 
-def classes(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): the class of equal sets of each document; null for empty sets."""
+def signed_keys(keys: list[tuple[int, int] | None], i: int) -> pa.Array:
+    return pa.array([None if k is None else k[i] - (k[i] >> 63 << 64) for k in keys], pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, sets in shingle_sets(batch.column(1), n):
-                keys = [set_hash(s) if len(s) else None for s in sets]
-                h = [pa.array([None if k is None else k[i] - (k[i] >> 63 << 64) for k in keys], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + len(sets)], pa.array([len(s) for s in sets], pa.int64()), *h], ["doc_id", "n_shingles", "h1", "h2"])
-
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id].dataType.simpleString()}, n_shingles long, h1 long, h2 long")
 
+def gathered(docs: DataFrame, n: int, num: int, den: int, id: str, text: str) -> DataFrame:
+    """Two kinds of rows from one pass over the texts, told apart by ``bucket``.
 
-def buckets(docs: DataFrame, n: int, num: int, den: int, text: str) -> DataFrame:
-    """(bucket, hub, node): the classes (h1) that share a signature; buckets with the same members once a task."""
+    (doc_id, n_shingles, h1, h2): the class of equal sets of each document; null for empty sets.
+    (bucket, hub, node): the classes (h1) that share a signature; buckets with the same members once a task.
+    A signature travels as the lower six of its bytes; should two be equal so, that makes candidates to verify, no links.
+    """
     spark = docs.sparkSession
     shards = partitions(spark)
+    kind = docs.schema[id].dataType.simpleString()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        turn = TaskContext.get().partitionId()
+        names = ["shard", "signs", "nodes", "ids", "sizes", "h1", "h2"]
         for batch in batches:
-            signs, nodes = [], []
-            for _, sets in shingle_sets(batch.column(0), n):
+            signs, nodes, keys, sizes = [], [], [], []
+            for _, sets in shingle_sets(batch.column(1), n):
                 for s in sets:
-                    if len(s) and (key := set_hash(s)[0]) not in seen:
+                    keys.append(set_hash(s) if len(s) else None)
+                    sizes.append(len(s))
+                    if len(s) and (key := keys[-1][0]) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
                         signs.append(signatures(s, num, den))
                         nodes.append(np.full(len(signs[-1]), key, U))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), x) for x in (batch.column(0), pa.array(sizes, pa.int64()), signed_keys(keys, 0), signed_keys(keys, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([turn % shards], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], names)
+            turn += 1
             if signs:
                 sign, node = np.concatenate(signs), np.concatenate(nodes)
                 shard = ((sign >> U(32)) * U(shards)) >> U(32)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=U))
-                sign, node = sign[order], node[order]
+                low, node = sign[order].view(np.uint8).reshape(-1, 8)[:, :6], node[order]
                 full = [i for i in range(shards) if cut[i] < cut[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (sign, node))], ["shard", "signs", "nodes"])
+                packed = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (low, node)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packed, *(pa.nulls(len(full), x.type) for x in lists)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(s, n) for batch in batches for s, n in zip(*(batch.column(c).to_pylist() for c in ("signs", "nodes")), strict=True)]
+        names = ["doc_id", "n_shingles", "h1", "h2", "bucket", "hub", "node"]
+        got, ids = [], pa.null()
+        for batch in batches:
+            lists = [batch.column(c).flatten() for c in ("ids", "sizes", "h1", "h2")]
+            ids = lists[0].type
+            if len(lists[0]):
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.nulls(len(lists[0]), pa.int64()) for _ in range(3))], names)
+            got += [(s, x) for s, x in zip(batch.column("signs").to_pylist(), batch.column("nodes").to_pylist(), strict=True) if s]
         if not got:
             return
-        sign, node = (np.frombuffer(b"".join(x), U) for x in zip(*got, strict=True))
+        low, node = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*got, strict=True), (np.uint8, U), strict=True))
         del got
+        sign = np.zeros((len(node), 8), np.uint8)
+        sign[:, :6] = low.reshape(-1, 6)
+        sign = sign.view(U).ravel()
         order = np.argsort(sign, kind="stable")
         sign, node = sign[order], node[order]
         ends = np.append(np.flatnonzero(sign[1:] != sign[:-1]) + 1, len(sign))
@@ -217,10 +233,11 @@ def buckets(docs: DataFrame, n: int, num: int, den: int, text: str) -> DataFrame
         for i in range(0, len(made), 20_000):
             some = made[i : i + 20_000]
             sizes = [len(m) for _, m in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k for k, _ in some], np.int64), sizes)), pa.array(np.repeat(np.array([m[0] for _, m in some]), sizes)), pa.array(np.concatenate([m for _, m in some]))], ["bucket", "hub", "node"])
+            columns = [pa.array(np.repeat(np.array([k for k, _ in some], np.int64), sizes)), pa.array(np.repeat(np.array([m[0] for _, m in some]), sizes)), pa.array(np.concatenate([m for _, m in some]))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(sum(sizes), ids), *(pa.nulls(sum(sizes), pa.int64()) for _ in range(3)), *columns], names)
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(send, "shard int, signs binary, nodes binary")
-    return by_shard(packed, shards).mapInArrow(meet, "bucket long, hub long, node long").distinct()
+    packed = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(send, f"shard int, signs binary, nodes binary, ids array<{kind}>, sizes array<long>, h1 array<long>, h2 array<long>")
+    return by_shard(packed, shards).mapInArrow(meet, f"doc_id {kind}, n_shingles long, h1 long, h2 long, bucket long, hub long, node long")
 
 
 def sets_of(docs: DataFrame, n: int, text: str) -> DataFrame:
@@ -264,8 +281,9 @@ def can_link(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row: components over links of Jaccard >= num/den between sets of n-word shingles."""
-    member = checkpoint(classes(docs, n, id, text))
-    shared = checkpoint(buckets(docs, n, num, den, text))
+    rows = checkpoint(gathered(docs, n, num, den, id, text))
+    member = rows.where("bucket is null").select("doc_id", "n_shingles", "h1", "h2")
+    shared = checkpoint(rows.where("bucket is not null").select("bucket", "hub", "node").distinct())
     nodes = shared.select("node").distinct()
     # The sets of the candidates only, each from the smallest document of its class.
     first = member.where("h1 is not null").groupBy("h1").agg(F.min("doc_id").alias("doc_id")).join(nodes, F.col("h1") == F.col("node"), "left_semi").select("doc_id")
