@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.config import Config
-from usagelens.functions.text import glob_pattern, normalised, seq_ratio
+from usagelens.functions import similar
+from usagelens.functions.text import glob_pattern, normalised
 
 C = Config()
+#: Texts of a block; two blocks' pairs are a task.
+BLOCK_TEXTS = 4000
 Views = dict[str, DataFrame]
 
 
@@ -90,14 +95,35 @@ def token_jaccard_pairs(v: Views) -> DataFrame:
     return pairs.select("a", "b", "similarity").distinct()
 
 
+def ratio_pairs(d: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(group, x, y, similarity): ordered pairs of texts of (group, key, prompt), by key, with a ratio at the threshold or more; a text with itself too.
+
+    Texts of a group are dealt to blocks, and each two blocks meet in a task: no pair is left out and no task holds a group.
+    """
+    blocks = d.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
+    own = d.join(F.broadcast(blocks), group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select(group, "key", "prompt", "block", other).select(group, "key", "prompt", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    kind = d.schema[group].dataType.simpleString()
+
+    def met(part: pa.Table) -> pa.Table:
+        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        sides = [part.filter(pc.equal(part.column("block"), k)) for k in ((lo,) if lo == hi else (lo, hi))]
+        keys, texts = ([t.column(c).to_pylist() for t in sides] for c in ("key", "prompt"))
+        got = [(keys[0][i], keys[-1][j], r) if not turned else (keys[-1][j], keys[0][i], r) for i, j, turned, r in similar.tile(texts[0], texts[1] if lo != hi else None, threshold)]
+        return pa.table({group: pa.array([part.column(group)[0].as_py()] * len(got), part.schema.field(group).type), "x": pa.array([g[0] for g in got], pa.string()), "y": pa.array([g[1] for g in got], pa.string()), "similarity": pa.array([g[2] for g in got], pa.float64())})
+
+    return dealt.groupBy(group, "lo", "hi").applyInArrow(met, f"{group} {kind}, x string, y string, similarity double")
+
+
 def similar_pairs_join(v: Views) -> DataFrame:
-    """Sequence-ratio pairs within a language whose lengths allow the threshold, blocked on the first eight characters."""
-    d = v["documents"].select("doc_id", "lang", F.substring(normalised("text"), 1, 200).alias("prompt")).where("length(prompt) > 0")
-    a, b = d.toDF("a", "lang", "x"), d.toDF("b", "lang", "y")
-    pairs = a.withColumn("head", F.substring("x", 1, 8)).join(b.withColumn("head", F.substring("y", 1, 8)), ["lang", "head"]).where("a < b")
-    short, long = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    pairs = pairs.where(2 * short / (short + long) >= C.similarity)
-    return pairs.select("a", "b", F.round(seq_ratio("x", "y"), 6).alias("similarity")).where(F.col("similarity") >= C.similarity)
+    """Sequence-ratio pairs within a language, the document of the smaller id first, over all pairs: equal texts are compared once."""
+    d = v["documents"].select("doc_id", "lang", F.substring(normalised("text"), 1, 200).alias("prompt")).where("length(prompt) > 0 and lang is not null")
+    d = d.withColumn("key", F.md5("prompt"))
+    pairs = ratio_pairs(d.select("lang", "key", "prompt").distinct(), "lang", C.similarity)
+    a, b = d.select("lang", F.col("doc_id").alias("a"), F.col("key").alias("x")), d.select("lang", F.col("doc_id").alias("b"), F.col("key").alias("y"))
+    found = pairs.join(a, ["lang", "x"]).join(b, ["lang", "y"]).where("a < b")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= C.similarity)
 
 
 def near_dup_prompt_join(v: Views) -> DataFrame:
