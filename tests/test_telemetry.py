@@ -39,6 +39,11 @@ def test_same_as_sql(spark, name):
     assert sorted(str([r[c] for c in columns]) for r in got.collect()) == rows
 
 
+def test_each_payload_has_its_readable_flag(spark):
+    got = {r.event_id: r.readable for r in catalog.queries()["bad_json_skip"](spark, SF).collect()}
+    assert got == {r.event_id: r.event_id % 97 != 0 for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
+
+
 def test_active_gap_is_strict(spark):
     rows = [("a", datetime(2024, 1, 1, 0, 0)), ("a", datetime(2024, 1, 1, 0, 5)), ("a", datetime(2024, 1, 1, 0, 9)), ("b", datetime(2024, 1, 1))]
     df = spark.createDataFrame(rows, "s string, ts timestamp_ntz")

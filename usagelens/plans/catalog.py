@@ -32,6 +32,7 @@ def session_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: (lambda s, d, q=q: spark_sql(s, d, q)) for k, q in telemetry.QUERIES.items()}
+    out["bad_json_skip"] = lambda s, d: spark_sql(s, d, telemetry.ALL_READABLE)
     return out | {k: (lambda s, d, f=f: f(views(s, d))) for k, f in text.PLANS.items()}
 
 

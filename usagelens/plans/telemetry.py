@@ -39,6 +39,9 @@ union all select session_id, 3, 'repeat' from (select session_id, tool, k, count
 union all select session_id, 4, 'outlier' from ({SCORES}) s where z >= {C.outlier_z} and cost >= {C.outlier_floor}
 union all select session_id, 5, 'top' from (select session_id, row_number() over (order by cost desc, session_id) rn from ({USAGE}) u) q where rn <= {C.top_sessions}"""
 
+#: Every payload and whether it is readable; the SQL of bad_json_skip has only each fiftieth of the readable ones.
+ALL_READABLE = "select event_id, raw, k is not null readable from {parts}"
+
 
 def alert(rule: str, severity: str, observed: str, fired: str, source: str) -> str:
     return f"select '{rule}' rule, '{severity}' severity, round(cast({observed} as double), 6) observed, coalesce({fired}, false) fired from {source}"
