@@ -147,6 +147,32 @@ def test_fingerprints(spark, docs):
     assert {r.near_next for r in got if r.doc_id == 2} == {1.0}
 
 
+def test_near_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+
+    def changed(x: bytes, each: int) -> bytes:
+        """``each`` bytes of every band but the first are other ones."""
+        y = np.frombuffer(x, np.uint8).reshape(16, 8).copy()
+        for band in y[1:]:
+            band[rng.permutation(8)[:each]] += np.uint8(rng.integers(1, 256))
+        return y.tobytes()
+
+    hub = rng.integers(0, 256, 128).astype(np.uint8).tobytes()
+    far = [changed(hub, 5) for _ in range(3)]  # of the hub's first bucket, not near it nor each other
+    prints = [hub, *far, *(changed(x, 1) for x in far for _ in range(3)), far[1], *(rng.integers(0, 256, 128).astype(np.uint8).tobytes() for _ in range(3))]
+    ids = [None if i == 9 else i for i in range(len(prints))]
+    group = list(range(len(prints)))
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints):
+            if any(x[k : k + 8] == y[k : k + 8] for k in range(0, 128, 8)) and np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= 0.8:
+                group = [group[i] if g == group[j] else g for g in group]
+    want = sorted((str(i), min(ids[k] for k in range(len(ids)) if group[k] == g and ids[k] is not None)) for i, g in zip(ids, group, strict=True))
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in zip(ids, prints, strict=True)], "doc_id int, fingerprint binary")
+    got = fingerprints.near_groups(df).collect()
+    assert sorted((str(r.doc_id), r.group) for r in got) == want
+    assert len(set(group)) == 7
+
+
 def test_models_score_all_rows(spark, docs, empty):
     d, l = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     model = quality.train(d, l)

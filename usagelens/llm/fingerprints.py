@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import by_shard, mix, partitions, table
+from usagelens.llm.common import by_shard, checkpoint, mix, partitions, table
 from usagelens.llm.components import connected_components
 
 U = np.uint64
@@ -134,20 +134,44 @@ def cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def near_groups(prints: DataFrame, bands: int = 16, threshold: float = 0.8, id: str = "doc_id") -> DataFrame:
-    """(id, group): documents whose fingerprints agree with those of the same bucket's smallest member in ``threshold`` or more of the bytes, linked over all buckets.
+    """(id, group): documents whose fingerprints share a band and agree in ``threshold`` or more of the bytes, linked over all such pairs.
 
-    Equal fingerprints are one class from the start. A bucket's members are verified against its hub, never in all pairs.
+    Equal fingerprints are one class from the start, by fingerprint and not by text. A bucket's members are verified against a hub;
+    those not linked to it go on to a further hub, round by round, until no bucket has members of different components left to compare.
     """
     width = SLOTS // bands
-    classes = prints.groupBy("fingerprint").agg(F.min(id).alias("node"))
+    classes = checkpoint(prints.groupBy("fingerprint").agg(F.min(id).alias("group")).withColumn("node", F.sha2("fingerprint", 256)))
     band = classes.select("node", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    band = band.select("node", "fingerprint", "band", F.xxhash64("band", F.substring("fingerprint", F.col("band") * width + 1, F.lit(width))).alias("key"))
-    hubs = band.groupBy("band", "key").agg(F.min_by(F.struct("node", "fingerprint"), "node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pairs = band.join(hubs, ["band", "key"]).where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("hub.fingerprint").alias("x"), F.col("node").alias("b"), F.col("fingerprint").alias("y")).dropDuplicates(["a", "b"])
-    links = pairs.where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).select("a", "b")
-    groups = connected_components(links)
-    named = classes.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
-    return prints.join(named, "fingerprint").select(id, "group")
+    band = band.select("node", F.col("band"), F.substring("fingerprint", F.col("band") * width + 1, F.lit(width)).alias("key"))
+    # Members of a bucket that are still to be a hub or to be held against one.
+    open_ = checkpoint(band.join(band.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"]))
+    links = parts = None
+    while not open_.isEmpty():
+        hubs = open_.groupBy("band", "key").agg(F.min("node").alias("hub"))
+        rest = open_.join(hubs, ["band", "key"]).where("node <> hub")
+        if parts is not None:  # one component already: a link would change nothing
+            own, other = parts.select("node", "component"), parts.select(F.col("node").alias("hub"), F.col("component").alias("other"))
+            rest = rest.join(own, "node", "left").join(other, "hub", "left")
+            pairs = rest.where("coalesce(component, node) <> coalesce(other, hub)")
+        else:
+            pairs = rest
+        pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        x, y = classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("x")), classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("y"))
+        new = checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).select("a", "b"))
+        if not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
+            parts = checkpoint(connected_components(links))
+        open_ = rest.select("band", "key", "node")
+        if parts is not None:  # a bucket that is one component is settled
+            placed = open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            apart = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+            open_ = open_.join(apart, ["band", "key"])
+        open_ = checkpoint(open_)
+    if parts is None:
+        return prints.join(classes.select("fingerprint", "group"), "fingerprint").select(id, "group")
+    named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("group").alias("least"))
+    return prints.join(named.join(least, "component").select("fingerprint", F.col("least").alias("group")), "fingerprint").select(id, "group")
 
 
 def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
