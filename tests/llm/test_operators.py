@@ -202,6 +202,19 @@ def test_chat_roles_and_blocks(spark, monkeypatch):
     assert sum(roles[r.conv_id, r.turn] == r.role for r in one) / len(one) > 0.9
 
 
+def test_chat_keeps_lines(spark):
+    answer = "An answer.\n\n  Q: quoted, not asked\nA: and so on\n\n\nThe end.\n"
+    turns = [("user", "User: What is it?", "What is it?"), ("assistant", "Assistant: " + answer, answer), ("user", "\nUser: And\n\n this? ", "\nAnd\n\n this? "), ("assistant", " \n", " \n"), ("user", None, ""), ("assistant", "AI: " + answer, answer)]
+    rows = [(c, i, role, raw) for c in range(20) for i, (role, raw, _) in enumerate(turns)]
+    raw = chat.raw_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.parsed(raw, chat.train(raw)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        role, _, text = turns[r.turn]
+        assert (r.part, r.text) == (0, text) and r.rendered == f"<|{r.role}|>\n{text}\n<|end|>"
+        assert r.role == role or r.turn in (3, 4)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.org/en/12?x"), (2, "https://x.com/fr/1"), (3, "https://x.com/de/1"), (4, "nothing"), (5, None), (6, "http://example.org/es/2"), (7, "http://org.net")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}

@@ -10,7 +10,11 @@ A transcript of any length is decoded in blocks of ``BLOCK`` turn numbers: each
 states is found apart, the small matrices are chained per transcript, and each block is decoded between its known ends. So
 no task holds a transcript as a whole, and the result is that of one pass.
 
-Defined cases: null or empty lines count as blank, and their turn is kept as an empty turn; null ids are one
+A line decoded as a further one stays as it is; of a turn's first line only the marker goes. Blank lines stay in the turn before them.
+
+Rows come a turn each: a blank line is taken to stand before each, and no turn goes on into the next row.
+
+Defined cases: null or empty lines count as blank, and a row of them is kept as a turn of its own; null ids are one
 transcript; repeated turn numbers follow in the order of their text. Extra columns are not read. An empty table gives an empty table.
 """
 
@@ -45,8 +49,8 @@ def marker(line: str) -> tuple[int, str]:
     return (c, line[m.end() :]) if c != NONE else (NONE, line)
 
 
-def observed(lines: list[str]) -> tuple[list[str], np.ndarray]:
-    """The lines that aren't blank, without markers, and for each: marker, blank before, question, length class."""
+def observed(lines: list[str]) -> tuple[list[tuple[str, str]], np.ndarray]:
+    """The lines that aren't blank, as they are and without markers, and for each: marker, blank before, question, length class."""
     out, seen, blank = [], [], False
     for line in lines:
         if not line.strip():
@@ -54,7 +58,7 @@ def observed(lines: list[str]) -> tuple[list[str], np.ndarray]:
             continue
         c, rest = marker(line)
         seen.append((c, int(blank), int(rest.rstrip().endswith("?")), sum(len(rest) > x for x in LENGTHS)))
-        out.append(rest)
+        out.append((line, rest))
         blank = False
     return out, np.array(seen, np.int64).reshape(-1, 4)
 
@@ -123,7 +127,7 @@ def train(labelled: DataFrame, id: str = "conv_id", turn: str = "turn", role: st
         follow, emitted = np.zeros(STATES), [np.zeros((STATES, w)) for w in WIDTHS]
         for batch in batches:
             for r, lines in zip(batch.column("role").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                _, seen = observed(["", *[x or "" for x in lines]])
+                _, seen = observed(["", *(x or "" for x in lines)])
                 s = 2 * ROLES.index(r)
                 for i, line in enumerate(seen):
                     for e, x in zip(emitted, line, strict=True):
@@ -161,11 +165,11 @@ def parsed(raw: DataFrame, model: Model, id: str = "conv_id", turn: str = "turn"
     rows = raw.select(F.col(id).alias("id"), F.col(turn).alias("turn"), "lines", F.coalesce(F.floor(F.col(turn) / BLOCK), F.lit(0)).cast("long").alias("block"))
     sent = raw.sparkSession.sparkContext.broadcast(model)
 
-    def lines_of(group: pa.Table) -> tuple[list, list[str], np.ndarray, list[int]]:
+    def lines_of(group: pa.Table) -> tuple[list, list[tuple[str, str]], np.ndarray, list[tuple[int, int]]]:
         got = sorted(zip(group.column("turn").to_pylist(), group.column("lines").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or []))
-        lines = [(n, x or "") for n, (_, ls) in enumerate(got) for x in ["", *(ls or [])]]
-        kept = [n for n, x in lines if x.strip()]
-        out, seen = observed([x for _, x in lines])
+        lines = [(n, k, x or "") for n, (_, ls) in enumerate(got) for k, x in enumerate(["", *(ls or [])], -1)]
+        kept = [(n, k) for n, k, x in lines if x.strip()]  # row and line of it
+        out, seen = observed([x for _, _, x in lines])
         if len(seen):
             seen[0, 1] = 1
         return got, out, seen, kept
@@ -197,15 +201,25 @@ def parsed(raw: DataFrame, model: Model, id: str = "conv_id", turn: str = "turn"
         before, end = group.column("before")[0].as_py(), group.column("end")[0].as_py()
         states = sent.value.path(seen, before, end) if len(seen) else []
         turns: list[list] = []  # row, part, role, lines
-        last = ROLES[before // 2] if before is not None else None
-        for line, s, n in zip(out, states, kept, strict=True):
+        last, at = ROLES[before // 2] if before is not None else None, -1
+        for (whole, rest), s, (n, k) in zip(out, states, kept, strict=True):
             new_row = not turns or turns[-1][0] != n
-            if new_row or s % 2 == 0:
-                turns.append([n, 0 if new_row else turns[-1][1] + 1, ROLES[s // 2], []])
-            turns[-1][3].append(line)
-            last = ROLES[s // 2]
-        empty = set(range(len(got))) - set(kept)
-        turns = sorted([*turns, *([n, 0, last or "user", []] for n in empty)], key=lambda t: t[:2])
+            # Blank lines go with the turn that they end or stand in, a row's first ones with its first turn.
+            blank = [x or "" for x in got[n][1][(0 if new_row else at + 1) : k]]
+            if new_row:
+                if turns:
+                    turns[-1][3] += [x or "" for x in got[turns[-1][0]][1][at + 1 :]]
+                turns.append([n, 0, ROLES[s // 2], blank])
+            else:
+                turns[-1][3] += blank
+                if s % 2 == 0:
+                    turns.append([n, turns[-1][1] + 1, ROLES[s // 2], []])
+            turns[-1][3].append(rest if new_row or s % 2 == 0 else whole)
+            last, at = ROLES[s // 2], k
+        if turns:
+            turns[-1][3] += [x or "" for x in got[turns[-1][0]][1][at + 1 :]]
+        empty = set(range(len(got))) - {n for n, _ in kept}
+        turns = sorted([*turns, *([n, 0, last or "user", [x or "" for x in got[n][1] or []]] for n in empty)], key=lambda t: t[:2])
         texts = ["\n".join(t[3]) for t in turns]
         return pa.table({
             "id": pa.array([group.column("id")[0].as_py()] * len(turns), group.schema.field("id").type),
