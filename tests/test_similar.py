@@ -41,3 +41,27 @@ def test_pairs_that_differ_at_the_start(spark, monkeypatch):
     got = text.similar_pairs_join({"documents": docs}).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
     assert {(1, 255), (2, 56), (56, 332)} <= set(want)
+
+
+def test_repeats_join_the_earliest_near_prompt(spark):
+    import hashlib
+
+    rng, rows = random.Random(6), []
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(130)) for _ in range(5)]
+    for i in range(120):
+        t = rng.choice(base)
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(t))
+            t = t[:k] + "q" + t[k + 1 :]
+        rows.append((i if i != 50 else None, rng.choice(["s", "t", None]), t + "!"))
+    want, reps = {}, {}
+    for i, source, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        t = t[:-1]
+        own = reps.setdefault(source, [])
+        rep = next((r for r in own if SequenceMatcher(None, r[:100], t[:100]).ratio() >= 0.9), None)
+        if rep is None:
+            own.append(rep := t)
+        want[source, hashlib.md5(rep.encode()).hexdigest()] = want.get((source, hashlib.md5(rep.encode()).hexdigest()), 0) + 1
+    got = text.user_prompt_repeats({"documents": spark.createDataFrame(rows, "doc_id long, source string, text string")}).collect()
+    assert {(r.source, r.prompt_key): r.n for r in got} == {k: n for k, n in want.items() if n >= 2} and len(got) > 10
+    assert max(map(len, reps.values())) > 5

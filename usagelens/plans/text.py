@@ -31,8 +31,33 @@ def top5_commands(v: Views) -> DataFrame:
 
 
 def user_prompt_repeats(v: Views) -> DataFrame:
-    d = v["documents"].select("source", normalised("text").alias("prompt")).where(F.length("prompt") >= C.repeat_min_length)
-    return d.groupBy("source", F.md5("prompt").alias("prompt_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= C.repeat_min_count)
+    """Repeated prompts of a source: equal ones, then those whose first 100 characters are near an earlier one's.
+
+    In the order of ids each prompt joins the earliest representative that is near, or else becomes one; the key is the representative's.
+    Prompts of equal first characters always fare alike, so they are one node.
+    """
+    d = v["documents"].select("doc_id", "source", normalised("text").alias("prompt")).where(F.length("prompt") >= C.repeat_min_length)
+    start = F.substring("prompt", 1, 100)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.md5("prompt").alias("own"))).alias("first")
+    d = d.withColumns({"session": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "prompt_start": start, "key": F.md5(start)})
+    nodes = d.groupBy("session", "key").agg(F.first("source").alias("source"), F.first("prompt_start").alias("prompt"), first, F.count(F.lit(1)).alias("n")).localCheckpoint()
+    place = nodes.select("session", "key", "first")
+    near = ratio_pairs(nodes.select("session", "key", "prompt"), "session", C.near_duplicate).where("x <> y")
+    near = near.join(place.withColumnsRenamed({"key": "x", "first": "x_first"}), ["session", "x"]).join(place.withColumnsRenamed({"key": "y", "first": "y_first"}), ["session", "y"])
+    near = near.where("x_first < y_first").select("session", "x", "x_first", F.col("y").alias("key")).localCheckpoint()
+    # A node with no earlier near one is a representative; its near ones aren't; then the same among the rest.
+    left, chosen = nodes.select("session", "key").localCheckpoint(), None
+    while not left.isEmpty():
+        waiting = near.join(left.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").select("session", "key")
+        new = left.join(waiting, ["session", "key"], "left_anti").localCheckpoint()
+        chosen = new if chosen is None else chosen.unionAll(new).localCheckpoint()
+        joined = near.join(new.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").select("session", "key")
+        left = left.join(new.unionAll(joined), ["session", "key"], "left_anti").localCheckpoint()
+    if chosen is None:
+        chosen = left
+    to = near.join(chosen.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").groupBy("session", "key").agg(F.min("x_first").alias("to"))
+    grouped = nodes.join(to, ["session", "key"], "left").withColumn("to", F.coalesce("to", "first"))
+    return grouped.groupBy("source", F.col("to.own").alias("prompt_key")).agg(F.sum("n").alias("n")).where(F.col("n") >= C.repeat_min_count)
 
 
 def repeats_cap(v: Views) -> DataFrame:
