@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; one longer text is a step of its own.
@@ -23,13 +25,48 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; where unset (tests), in an own folder."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; where unset, in an own folder if all runs on one machine (tests)."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or with underscores before it one that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, id: str, text: str) -> tuple[DataFrame, str, bool]:
+    """The rows with a distinct long column that sorts like (id, nulls first; text), its name, and whether it is the id itself.
+
+    Where ids are null, repeat or aren't longs, the rows are sorted by range and written once; the driver holds a count for each partition.
+    """
+    key = fresh(df, "_order")
+    if df.schema[id].dataType.simpleString() == "bigint" and df.groupBy(id).count().where((F.col("count") > 1) | F.col(id).isNull()).isEmpty():
+        return df.withColumn(key, F.col(id)), key, True
+    by = [F.col(id).asc_nulls_first(), F.col(text).asc_nulls_first()]
+    rows = checkpoint(df.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by))
+    counts = {r[0]: r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()}
+    starts, at = {}, 0
+    for p in sorted(counts):
+        starts[p], at = at, at + counts[p]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = starts.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield batch.append_column(key, pa.array(np.arange(n, n + len(batch))))
+            n += len(batch)
+
+    out = rows.mapInArrow(count, T.StructType([*df.schema.fields, T.StructField(key, T.LongType())]))
+    return checkpoint(out), key, False
+
+
 def by_shard(df: DataFrame, n: int, column: str = "shard") -> DataFrame:
     """Rows with shard ``s`` (0 to n-1) meet in partition ``s``; AQE leaves the number alone."""
     return df.repartitionById(n, F.col(column))

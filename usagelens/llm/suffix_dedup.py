@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import by_shard, checkpoint, mix, partitions, powers, slices, table
+from usagelens.llm.common import by_shard, fresh, mix, numbered, partitions, powers, slices, table
 from usagelens.llm.induced import suffix_array
 
 U = np.uint64
@@ -235,14 +235,6 @@ def ranges(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return removed.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
 
 
-def ordered(df: DataFrame, id: str, text: str) -> tuple[DataFrame, bool]:
-    """The rows with a distinct long ``_order`` that sorts like the ids, and whether it is the id itself."""
-    if df.schema[id].dataType.simpleString() == "bigint" and df.groupBy(id).count().where((F.col("count") > 1) | F.col(id).isNull()).isEmpty():
-        return df.withColumn("_order", F.col(id)), True
-    numbered = df.sort(F.col(id).asc_nulls_first(), F.col(text).asc_nulls_first()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return checkpoint(df.sparkSession.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField("_order", T.LongType())]))), False
-
-
 def spans_of(starts: list[bytes] | None, counts: list[bytes] | None, length: int) -> np.ndarray:
     """The merged byte ranges of runs of removed windows."""
     if not starts:
@@ -271,7 +263,7 @@ def kept_of(raw: bytes, spans: np.ndarray) -> bytes:
 
 def repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept): the removed byte ranges of each row and the bytes that stay."""
-    rows, plain = ordered(df.select(F.col(id).alias("name"), F.col(text).alias("text")), "name", "text")
+    rows, key, plain = numbered(df.select(F.col(id).alias("name"), F.col(text).alias("text")), "name", "text")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,21 +276,22 @@ def repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id: str =
                     ["id", "n_bytes", "spans", "kept"],
                 )
 
-    out = joined(rows.select(F.col("_order").alias("id"), "text"), length, anchor).mapInArrow(finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = joined(rows.select(F.col(key).alias("id"), "text"), length, anchor).mapInArrow(finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     if plain:
         return out.withColumnRenamed("id", id)
-    return out.join(rows.select("_order", "name"), F.col("id") == F.col("_order")).select(F.col("name").alias(id), "n_bytes", "spans", "kept")
+    return out.join(rows.select(key, "name"), F.col("id") == F.col(key)).select(F.col("name").alias(id), "n_bytes", "spans", "kept")
 
 
 def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """The rows with what repeats cut out of the text, to whole characters; ``size``, if there, is the text's new number of characters."""
-    rows, _ = ordered(df, id, text)
+    rows, key, _ = numbered(df, id, text)
     names = df.columns
+    at, begin, many = (fresh(rows, x) for x in ("_at", "_starts", "_counts"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            starts, counts = batch.column("_starts").to_pylist(), batch.column("_counts").to_pylist()
+            starts, counts = batch.column(begin).to_pylist(), batch.column(many).to_pylist()
             for i, (s, c) in enumerate(zip(starts, counts, strict=True)):
                 if s:
                     texts[i] = kept_of(texts[i].encode(), spans_of(s, c, length)).decode("utf-8", "ignore")
@@ -308,9 +301,9 @@ def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, i
                 columns[size] = pa.array(changed, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    found = ranges(rows.select(F.col("_order").alias("id"), F.col(text).alias("text")), length, anchor)
-    found = found.select(F.col("id").alias("_at"), F.col("starts").alias("_starts"), F.col("counts").alias("_counts"))
-    return rows.join(found, F.col("_order") == F.col("_at"), "left").select(*names, "_starts", "_counts").mapInArrow(finish, df.schema)
+    found = ranges(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), length, anchor)
+    found = found.select(F.col("id").alias(at), F.col("starts").alias(begin), F.col("counts").alias(many))
+    return rows.join(found, F.col(key) == F.col(at), "left").select(*names, begin, many).mapInArrow(finish, df.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
