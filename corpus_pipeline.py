@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.llm import bpe, decontaminate, jaccard, quality, suffix_dedup
-from usagelens.llm.common import checkpoint, table
+from usagelens.llm.common import checkpoint, fresh, numbered, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +15,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 on five-word shingles the one of the least id stays."""
-    groups = jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each group of documents linked at 0.8 on five-word shingles the first by id stays (null ids first; of equal ids the one of the least text).
+
+    Rows are told apart by a number of their own, so repeated or null ids lose no row of another group. Texts without words stay.
+    """
+    rows, key, _ = numbered(docs, "doc_id", "text")
+    groups = jaccard.jaccard_components(rows.select(key, "text"), n=5, num=80, den=100, id=key)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(fresh(rows, "_gone")))
+    return rows.join(gone, rows[key] == gone[gone.columns[0]], "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
