@@ -2,20 +2,19 @@
 
 A transcript is lines; its hidden states are a role's first or further line. A line shows a speaker marker (a
 class of names before a colon, or none), whether a blank line goes before it, whether it ends as a question,
-and its length. Start, transition and emission rates are add-one counts over labelled conversations, gathered
+and its length. Start, transition and emission rates are smoothed counts over labelled conversations, gathered
 by group-bys of bounded size. Viterbi finds the best state sequence; runs that begin with a first-line state
 are turns, rendered as ``<|role|>``, text, ``<|end|>``.
 
-A transcript of any length is decoded in blocks of ``BLOCK`` turn numbers: each block's best-path matrix between entry and exit
-states is found apart, the small matrices are chained per transcript, and each block is decoded between its known ends. So
-no task holds a transcript as a whole, and the result is that of one pass.
+A transcript comes as numbered lines, and nothing but its lines tells where a turn begins. One of any length is decoded in blocks of ``BLOCK``
+numbers: each block's best-path matrix between entry and exit states is found apart, the small matrices are chained per transcript, and each block
+is decoded between its known ends. So no task holds a transcript as a whole, and the result is that of one pass.
 
-A line decoded as a further one stays as it is; of a turn's first line only the marker goes. Blank lines stay in the turn before them.
+A line decoded as a further one stays as it is; of a turn's first line only the marker goes. Blank lines inside a turn stay, those at its end
+part it from the next one and go. A turn that goes on over a block's end comes in a row for each block, the later ones marked ``continues``.
 
-Rows come a turn each: a blank line is taken to stand before each, and no turn goes on into the next row.
-
-Defined cases: null or empty lines count as blank, and a row of them is kept as a turn of its own; null ids are one
-transcript; repeated turn numbers follow in the order of their text. Extra columns are not read. An empty table gives an empty table.
+Defined cases: null or empty lines are blank, and a transcript of blank lines has no turns; null ids are one
+transcript; lines of equal number follow in the order of their text. Extra columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,18 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import re
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import table
+from usagelens.llm.common import lean, table
 
 ROLES = ["system", "user", "assistant"]
 #: Names before a colon, by role.
 MARKERS = {"system": ["system", "instructions"], "user": ["user", "human", "q"], "assistant": ["assistant", "ai", "a"]}
-BLOCK = 512
+BLOCK = 512 << 32  # numbers: those of 512 turns of ``raw_lines``
 STATES = 2 * len(ROLES)  # role r: first line 2r, further line 2r + 1
 _MARK = re.compile(r"^\s*(?:#+\s*|\*\*|<\|?)?([A-Za-z]{1,12})(?:\|?>|\*\*)?\s*:\s?")
 _CLASS = {name: i for i, r in enumerate(ROLES) for name in MARKERS[r]}
@@ -114,20 +112,21 @@ class Model:
         return out[::-1]
 
 
-def raw_lines(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with the lines of their text."""
-    return rows.withColumn("lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+def turn_lines(text: Column, parted: Column) -> Column:
+    """A turn's lines as they stand in a transcript, a blank one before them if ``parted``."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.when(parted, F.concat(F.array(F.lit("")), lines)).otherwise(lines)
 
 
 def train(labelled: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role") -> Model:
-    """From raw turns (id, turn, lines) whose role is known."""
+    """From turns (id, turn, role, lines) whose role is known, lines as in ``turn_lines``. The driver holds the counts alone."""
     rows = labelled.select(F.col(id).alias("id"), F.col(turn).alias("turn"), F.col(role).alias("role"), "lines").where(F.col("role").isin(ROLES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         follow, emitted = np.zeros(STATES), [np.zeros((STATES, w)) for w in WIDTHS]
         for batch in batches:
             for r, lines in zip(batch.column("role").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                _, seen = observed(["", *(x or "" for x in lines)])
+                _, seen = observed([x or "" for x in lines])
                 s = 2 * ROLES.index(r)
                 for i, line in enumerate(seen):
                     for e, x in zip(emitted, line, strict=True):
@@ -139,16 +138,16 @@ def train(labelled: DataFrame, id: str = "conv_id", turn: str = "turn", role: st
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(flat)), pa.int32()), "c": pa.array(flat)})
 
     flat = np.zeros(STATES + STATES * sum(WIDTHS))
-    for k, c in rows.select("role", "lines").mapInArrow(count, "k int, c double").groupBy("k").agg(F.sum("c")).collect():
+    for k, c in rows.select("role", "lines").mapInArrow(lean(count), "k int, c double").groupBy("k").agg(F.sum("c")).collect():
         flat[k] = c
-    turns = rows.select("id", "turn", "role")
+    turns = rows.select("id", "turn", "role", (F.size("lines") > 1).alias("long"))
     after = turns.select(F.col("id"), (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
     start, follow = np.zeros(len(ROLES)), np.zeros((STATES, STATES))
-    for r, c in turns.where("turn = 0").groupBy("role").count().collect():
+    first = turns.groupBy("id").agg(F.min_by("role", "turn").alias("role"))
+    for r, c in first.groupBy("role").count().collect():
         start[ROLES.index(r)] = c
-    for a, b, c in turns.join(after, ["id", "turn"]).groupBy("role", "next").count().collect():
-        for s in (0, 1):
-            follow[2 * ROLES.index(a) + s, 2 * ROLES.index(b)] += c / 2
+    for a, long, b, c in turns.join(after, ["id", "turn"]).groupBy("role", "long", "next").count().collect():
+        follow[2 * ROLES.index(a) + int(long), 2 * ROLES.index(b)] += c
     for r in range(len(ROLES)):
         follow[2 * r, 2 * r + 1] += flat[2 * r]
         follow[2 * r + 1, 2 * r + 1] += flat[2 * r + 1]
@@ -159,20 +158,22 @@ def train(labelled: DataFrame, id: str = "conv_id", turn: str = "turn", role: st
     return Model(start, follow, emitted)
 
 
-def parsed(raw: DataFrame, model: Model, id: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(id, turn, part, role, text, rendered): the turns found in raw rows (id, turn, lines); a row with several turns gives parts 0, 1, ..."""
-    kind, turn_kind = raw.schema[id].dataType.simpleString(), raw.schema[turn].dataType.simpleString()
-    rows = raw.select(F.col(id).alias("id"), F.col(turn).alias("turn"), "lines", F.coalesce(F.floor(F.col(turn) / BLOCK), F.lit(0)).cast("long").alias("block"))
+def parsed(raw: DataFrame, model: Model, id: str = "conv_id", number: str = "number", line: str = "line") -> DataFrame:
+    """(id, number, role, continues, text, rendered): the turns found in raw lines (id, number, line), by the number of their first line."""
+    kind, number_kind = raw.schema[id].dataType.simpleString(), raw.schema[number].dataType.simpleString()
+    rows = raw.select(F.col(id).alias("id"), F.col(number).alias("number"), F.coalesce(line, F.lit("")).alias("line"), F.coalesce(F.floor(F.col(number) / BLOCK), F.lit(0)).cast("long").alias("block"))
+    # Whether the line before a block is blank: a row for each block, not for each line, is put in order.
+    last = rows.groupBy("id", "block").agg((F.trim(F.max_by("line", "number")) == "").alias("blank"))
+    last = last.select(F.col("id").alias("_id"), F.col("block").alias("_block"), F.coalesce(F.lag("blank").over(Window.partitionBy("id").orderBy("block")), F.lit(True)).alias("parted"))
+    rows = rows.join(last, F.col("id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block"))).drop("_id", "_block")
     sent = raw.sparkSession.sparkContext.broadcast(model)
 
-    def lines_of(group: pa.Table) -> tuple[list, list[tuple[str, str]], np.ndarray, list[tuple[int, int]]]:
-        got = sorted(zip(group.column("turn").to_pylist(), group.column("lines").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or []))
-        lines = [(n, k, x or "") for n, (_, ls) in enumerate(got) for k, x in enumerate(["", *(ls or [])], -1)]
-        kept = [(n, k) for n, k, x in lines if x.strip()]  # row and line of it
-        out, seen = observed([x for _, _, x in lines])
-        if len(seen):
+    def lines_of(group: pa.Table) -> tuple[list, list[tuple[str, str]], np.ndarray, list[int]]:
+        got = sorted(zip(group.column("number").to_pylist(), group.column("line").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        out, seen = observed([x for _, x in got])
+        if len(seen) and group.column("parted")[0].as_py():
             seen[0, 1] = 1
-        return got, out, seen, kept
+        return got, out, seen, [i for i, (_, x) in enumerate(got) if x.strip()]
 
     def matrices(group: pa.Table) -> pa.Table:
         _, _, seen, _ = lines_of(group)
@@ -200,54 +201,57 @@ def parsed(raw: DataFrame, model: Model, id: str = "conv_id", turn: str = "turn"
         got, out, seen, kept = lines_of(group)
         before, end = group.column("before")[0].as_py(), group.column("end")[0].as_py()
         states = sent.value.path(seen, before, end) if len(seen) else []
-        turns: list[list] = []  # row, part, role, lines
-        last, at = ROLES[before // 2] if before is not None else None, -1
-        for (whole, rest), s, (n, k) in zip(out, states, kept, strict=True):
-            new_row = not turns or turns[-1][0] != n
-            # Blank lines go with the turn that they end or stand in, a row's first ones with its first turn.
-            blank = [x or "" for x in got[n][1][(0 if new_row else at + 1) : k]]
-            if new_row:
-                if turns:
-                    turns[-1][3] += [x or "" for x in got[turns[-1][0]][1][at + 1 :]]
-                turns.append([n, 0, ROLES[s // 2], blank])
+        turns: list[list] = []  # number, role, continues, lines
+        for j, ((whole, rest), s, i) in enumerate(zip(out, states, kept, strict=True)):
+            if s % 2 == 0 or not turns:
+                turns.append([got[i][0], ROLES[s // 2], s % 2 == 1, [rest if s % 2 == 0 else whole]])
             else:
-                turns[-1][3] += blank
-                if s % 2 == 0:
-                    turns.append([n, turns[-1][1] + 1, ROLES[s // 2], []])
-            turns[-1][3].append(rest if new_row or s % 2 == 0 else whole)
-            last, at = ROLES[s // 2], k
-        if turns:
-            turns[-1][3] += [x or "" for x in got[turns[-1][0]][1][at + 1 :]]
-        empty = set(range(len(got))) - {n for n, _ in kept}
-        turns = sorted([*turns, *([n, 0, last or "user", [x or "" for x in got[n][1] or []]] for n in empty)], key=lambda t: t[:2])
+                turns[-1][3] += [x for _, x in got[kept[j - 1] + 1 : i]] + [whole]
         texts = ["\n".join(t[3]) for t in turns]
         return pa.table({
             "id": pa.array([group.column("id")[0].as_py()] * len(turns), group.schema.field("id").type),
-            "turn": pa.array([got[t[0]][0] for t in turns], group.schema.field("turn").type),
-            "part": pa.array([t[1] for t in turns], pa.int32()),
-            "role": pa.array([t[2] for t in turns], pa.string()),
+            "number": pa.array([t[0] for t in turns], group.schema.field("number").type),
+            "role": pa.array([t[1] for t in turns], pa.string()),
+            "continues": pa.array([t[2] for t in turns], pa.bool_()),
             "text": pa.array(texts, pa.string()),
-            "rendered": pa.array([f"<|{t[2]}|>\n{x}\n<|end|>" for t, x in zip(turns, texts, strict=True)], pa.string()),
+            "rendered": pa.array([f"<|{t[1]}|>\n{x}\n<|end|>" for t, x in zip(turns, texts, strict=True)], pa.string()),
         })
 
     steps = rows.groupBy("id", "block").applyInArrow(matrices, f"id {kind}, block long, lines int, first array<double>, matrix array<double>")
     ends = steps.groupBy("id").applyInArrow(chained, f"id {kind}, block long, before int, end int").withColumnsRenamed({"id": "_id", "block": "_block"})
     placed = rows.join(ends, F.col("id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block"))).drop("_id", "_block")
-    found = placed.groupBy("id", "block").applyInArrow(decode, f"id {kind}, turn {turn_kind}, part int, role string, text string, rendered string")
-    return found.withColumnsRenamed({"id": id, "turn": turn})
+    found = placed.groupBy("id", "block").applyInArrow(decode, f"id {kind}, number {number_kind}, role string, continues boolean, text string, rendered string")
+    return found.withColumnsRenamed({"id": id, "number": number})
+
+
+#: Lines that a turn may have in the numbering of ``transcripts``.
+TURN_LINES = 1 << 32
 
 
-def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations as raw transcripts: a style of markers for each, and a quarter of the turns without any."""
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, lines): conversations as they stand in raw transcripts: a style of markers for each, a quarter of the turns without any, and half parted by a blank line."""
     style = F.pmod(F.xxhash64(F.lit(1), "conv_id"), F.lit(2)).cast("int")
     bare = F.pmod(F.xxhash64(F.lit(2), "conv_id", "turn"), F.lit(4)) == 0
+    parted = F.pmod(F.xxhash64(F.lit(3), "conv_id", "turn"), F.lit(2)) == 0
     mark = F.lit("")
     for r in ROLES:
         mark = F.when(F.col("role") == r, F.element_at(F.array(*[F.lit(f"{m.capitalize()}: ") for m in MARKERS[r][:2]]), style + 1)).otherwise(mark)
-    return raw_lines(conversations.withColumn("text", F.concat(F.when(bare, "").otherwise(mark), F.coalesce("text", F.lit("")))))
+    text = F.concat(F.when(bare, "").otherwise(mark), F.coalesce("text", F.lit("")))
+    return conversations.select("conv_id", "turn", "role", turn_lines(text, parted).alias("lines"))
+
+
+def raw_lines(turns: DataFrame) -> DataFrame:
+    """(conv_id, number, line): the transcripts' lines alone, in order."""
+    return turns.select("conv_id", "turn", F.posexplode("lines").alias("at", "line")).select("conv_id", (F.col("turn") * TURN_LINES + F.col("at")).alias("number"), "line")
+
+
+def held_out(id: Column) -> Column:
+    """A fifth of the conversations, by the checksum of their id: none of them trains."""
+    return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_transcripts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    found = parsed(raw, train(raw))
-    return found.select("conv_id", "turn", "part", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "rendered")
+    """Every conversation's raw transcript as rendered turns; the model is trained on those not held out."""
+    turns = transcripts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = parsed(raw_lines(turns), train(turns.where(~held_out(F.col("conv_id")))))
+    return found.select("conv_id", "number", "role", "continues", held_out(F.col("conv_id")).alias("held_out"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "rendered")
