@@ -11,7 +11,7 @@ moves between old ones; buckets then lie inside shards.
 
 Defined cases: a null text has size 1 and checksum 0; null ids are hashed like any value; equal rows are
 interchangeable. All columns are kept; input columns named like an output column (shard, slot, grown_shard)
-are replaced. An empty table gives an empty table.
+are replaced; any other name is kept. One very long text makes its bucket larger by itself. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import by_shard, partitions, table
+from usagelens.llm.common import by_shard, fresh, lean, table
 
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 64 << 20
 SHARDS = 8
 OUTPUTS = ("shard", "slot", "grown_shard")
 
@@ -40,18 +40,18 @@ def sharded(df: DataFrame, shards: int = SHARDS, law: str = "rows", seed: int =
     if law not in ("rows", "key"):
         raise ValueError(f"no such law: {law}")
     df = df.drop(*OUTPUTS)
-    spark, size = df.sparkSession, F.coalesce(F.octet_length(text), F.lit(0)) + 1
+    size, hash_, bucket_ = F.coalesce(F.octet_length(text), F.lit(0)) + 1, fresh(df, "_h"), fresh(df, "_bucket")
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     inside = shards if law == "key" else 1
-    each = max(1, -(-max(partitions(spark), -(-total // bucket_bytes)) // inside))
+    each = max(1, -(-total // (bucket_bytes * inside)))  # by the data alone, so the order is the same on any cluster
     hashed = F.xxhash64(F.lit(seed), id, F.crc32(F.col(text).cast("binary")))
     bucket = F.pmod(hashed, F.lit(each)).cast("int")
     if law == "key":
         bucket = rendezvous(F.col(id), shards, seed) * each + bucket
-    keyed = df.withColumns({"_h": hashed, "_bucket": bucket})
+    keyed = df.withColumns({hash_: hashed, bucket_: bucket})
     n = each * inside
     counts = np.zeros(n, np.int64)
-    for b, c in keyed.groupBy("_bucket").count().collect():  # n numbers
+    for b, c in keyed.groupBy(bucket_).count().collect():  # n numbers
         counts[b] = c
     starts = np.cumsum(counts) - counts
     if law == "key":
@@ -63,8 +63,8 @@ def sharded(df: DataFrame, shards: int = SHARDS, law: str = "rows", seed: int =
             return
         rows = pa.Table.from_batches(got)
         del got
-        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("_bucket", "ascending"), ("_h", "ascending"), (id, "ascending")]))
-        buckets = rows.column("_bucket").to_numpy()
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(bucket_, "ascending"), (hash_, "ascending"), (id, "ascending")]))
+        buckets = rows.column(bucket_).to_numpy()
         cuts = np.append(np.flatnonzero(np.diff(buckets, prepend=-1)), len(buckets))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             order, rng = np.arange(b - a), np.random.default_rng([seed, int(buckets[a])])
@@ -74,11 +74,11 @@ def sharded(df: DataFrame, shards: int = SHARDS, law: str = "rows", seed: int =
                 order[i], order[j] = order[j], order[i]
             at = starts[buckets[a]] + np.arange(b - a)
             shard, slot = (at % shards, at // shards) if law == "rows" else (np.full(b - a, buckets[a] // each), at)
-            out = rows.slice(a, b - a).take(pa.array(order)).drop_columns(["_h", "_bucket"])
+            out = rows.slice(a, b - a).take(pa.array(order)).drop_columns([hash_, bucket_])
             yield from out.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(slot.astype(np.int64))).combine_chunks().to_batches(max_chunksize=2000)
 
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    out = by_shard(keyed, n, "_bucket").mapInArrow(shuffle, schema)
+    out = by_shard(keyed, n, bucket_).mapInArrow(lean(shuffle), schema)
     return out.withColumn("grown_shard", rendezvous(F.col(id), shards + 1, seed) if law == "key" else F.lit(None).cast("int"))
 
 
