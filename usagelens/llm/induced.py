@@ -7,7 +7,8 @@ symbol, rank of the suffix that follows, position), which keeps at most ``memory
 on disk; it is drained a symbol's round at a time, so that each step works on arrays. Common-prefix values go
 the same way: two induced neighbours share one symbol more than the least value between the suffixes that
 induced them, where an L and an S suffix meet the shorter run of their symbol decides, and those of S* suffixes
-come from the values of the names. Arrays over ``memory`` entries lie in files.
+come from the values of the names. The string, its types, and all arrays over ``memory`` entries lie in files; runs of the queue are
+read a symbol at a time and never written again. The names of a level are in memory while they are sorted.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from collections import defaultdict
 import numpy as np
 
 #: Entries an array or queue may hold in memory.
-MEMORY = 8 << 20
+MEMORY = 1 << 19
 #: Names that are sorted by doubling rather than by a further level.
 BASE = 4 << 20
 
 
 class Space:
-    """Arrays in memory or, where large, in a scratch folder of the task that goes with it."""
+    """Arrays in memory or, where large, in a scratch folder of the task that goes with it. Counts what was spilled and how deep the recursion went."""
 
     def __init__(self, memory: int):
-        self.memory, self.folder, self.files = memory, None, 0
+        self.memory, self.folder, self.files, self.spills, self.levels = memory, None, 0, 0, 0
 
     def path(self) -> str:
         if self.folder is None:
@@ -45,12 +46,37 @@ class Space:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
+class Run:
+    """Tuples on disk by symbol, each symbol's in the order of rank; read a symbol at a time, never written again."""
+
+    def __init__(self, space: Space, held: dict[int, list[np.ndarray]], count: int):
+        self.symbols = np.array(sorted(held))
+        sizes = np.array([sum(map(len, held[c])) for c in self.symbols.tolist()])
+        self.ends = np.cumsum(sizes)
+        self.rows = np.memmap(space.path(), np.int64, "w+", shape=(count, 2))
+        at = 0
+        for c in self.symbols.tolist():
+            for part in held[c]:
+                self.rows[at : at + len(part)] = part
+                at += len(part)
+        self.taken: int | None = None
+
+    def take(self, symbol: int) -> np.ndarray | None:
+        if self.taken == symbol:
+            return None
+        i = int(np.searchsorted(self.symbols, symbol))
+        if i == len(self.symbols) or self.symbols[i] != symbol:
+            return None
+        self.taken = symbol
+        return np.array(self.rows[self.ends[i - 1] if i else 0 : self.ends[i]])
+
+
 class Queue:
-    """A priority queue of (symbol, rank, position). Pushes come in the order of rank, so each symbol's tuples are in order."""
+    """A priority queue of (symbol, rank, position). Pushes come in the order of rank and symbols are drained in order, so each symbol's tuples are the runs' and then those held."""
 
     def __init__(self, space: Space):
         self.space, self.held, self.count = space, defaultdict(list), 0
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs: list[Run] = []
 
     def push(self, symbol: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
         if not len(symbol):
@@ -62,38 +88,19 @@ class Queue:
             self.held[s].append(part)
         self.count += len(rows)
         if self.count > self.space.memory:
-            self.spill()
-
-    def spill(self) -> None:
-        keys = sorted(self.held)
-        parts = [np.concatenate(self.held[k]) for k in keys]
-        rows = np.memmap(self.space.path(), np.int64, "w+", shape=(self.count, 2))
-        np.concatenate(parts, out=rows)
-        self.runs.append((np.repeat(np.array(keys), [len(p) for p in parts]), rows))
-        self.held, self.count = defaultdict(list), 0
+            self.runs.append(Run(self.space, self.held, self.count))
+            self.space.spills += 1
+            self.held, self.count = defaultdict(list), 0
 
     def pop(self, symbol: int) -> np.ndarray | None:
         """All tuples of the symbol so far, in the order of rank: (rank, position)."""
-        parts = []
-        for i, (keys, rows) in enumerate(self.runs):
-            a, b = np.searchsorted(keys, symbol), np.searchsorted(keys, symbol, "right")
-            if a < b:
-                parts.append(np.array(rows[a:b]))
-                keys = keys.copy()
-                keys[a:b] = -1 if a == 0 else keys[a - 1]  # taken
-                self.runs[i] = (np.delete(keys, slice(a, b)), np.delete(rows, slice(a, b), axis=0) if len(rows) <= self.space.memory else _without(self.space, rows, a, b))
+        parts = [x for x in (r.take(symbol) for r in self.runs) if x is not None]
         held = self.held.pop(symbol, [])
         self.count -= sum(map(len, held))
         parts += held
         return np.concatenate(parts) if parts else None
 
 
-def _without(space: Space, rows: np.ndarray, a: int, b: int) -> np.ndarray:
-    out = np.memmap(space.path(), np.int64, "w+", shape=(max(1, len(rows) - (b - a)), 2))
-    out[:a], out[a : len(rows) - (b - a)] = rows[:a], rows[b:]
-    return out[: len(rows) - (b - a)]
-
-
 def doubled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common-prefix values of a string that fits in memory."""
     n = len(s)
@@ -173,18 +180,53 @@ def between(values: np.ndarray, ranks: np.ndarray, before: int) -> np.ndarray:
     return np.minimum.reduceat(values[before + 1 : ranks[-1] + 1], edges)
 
 
+#: Positions that one step of a pass over a string works on.
+CHUNK = 1 << 20
+
+
+def types(t: np.ndarray, space: Space) -> np.ndarray:
+    """Whether each suffix is of type S, from the end to the front in chunks."""
+    n = len(t)
+    out = space.array(n, np.bool_)
+    out[n - 1] = True
+    after = True  # the type of what follows the chunk
+    for a in range((n - 2) // CHUNK * CHUNK, -1, -CHUNK):
+        b = min(n - 1, a + CHUNK)
+        x, y = np.asarray(t[a:b]), np.asarray(t[a + 1 : b + 1])
+        # Each position goes by the first unequal neighbours at or after it.
+        first = np.where(x != y, np.arange(b - a), b - a)[::-1]
+        first = np.minimum.accumulate(first)[::-1]
+        out[a:b] = np.append(x < y, after)[first]
+        after = bool(out[a])
+    return out
+
+
 def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common-prefix values (with the suffix before) of t, whose last symbol is the only 0."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    # The first position after each whose symbol differs, and by it the type.
-    differs = np.append(t[1:] != t[:-1], True)
-    turn = np.minimum.accumulate(np.where(differs, np.arange(1, n + 1), n)[::-1])[::-1]
-    is_s = np.empty(n, bool)
-    is_s[-1] = True
-    is_s[:-1] = t[:-1] < t[np.minimum(turn[:-1], n - 1)]
-    star = np.flatnonzero(is_s & np.append(False, ~is_s[:-1]))
+    space.levels += 1
+    is_s = types(t, space)
+    found = []
+    for a in range(0, n, CHUNK):
+        here = np.asarray(is_s[a : a + CHUNK])
+        before = np.append(is_s[a - 1] if a else True, here[:-1])
+        found.append(a + np.flatnonzero(here & ~before))
+    star = np.concatenate(found)
+
+    def run_of(p: int) -> int:
+        """Equal symbols from p on."""
+        size, width = 0, 64
+        while True:
+            part = np.asarray(t[p + size : p + size + width])
+            other = np.flatnonzero(part != t[p])
+            if len(other):
+                return size + int(other[0])
+            size += len(part)
+            if p + size >= n:
+                return size
+            width *= 2
 
     names = names_of(t, star)
     if names.max() == len(star) - 1:
@@ -234,7 +276,7 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
         if fs < ls:
             k = ls - fs
             place[q : q + k], lcp[q : q + k] = seeds[fs:ls], seed_lcp[fs:ls]
-            lcp[q] = min(turn[place[q - 1]] - place[q - 1], turn[place[q]] - place[q]) if q > start else 0
+            lcp[q] = min(run_of(int(place[q - 1])), run_of(int(place[q]))) if q > start else 0
             q += k
             induce_l(q - k, q)
 
@@ -272,7 +314,7 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
             k = b - a
             down[z : z + k] = place[a:b][::-1]
             dlcp[z + 1 : z + k] = lcp[a + 1 : b][::-1]
-            dlcp[z] = min(turn[down[z - 1]] - down[z - 1], turn[down[z]] - down[z]) if z > start else 0
+            dlcp[z] = min(run_of(int(down[z - 1])), run_of(int(down[z]))) if z > start else 0
             z += k
             induce_s(z - k, z)
     assert z == n
@@ -281,11 +323,21 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
     return down[::-1], out
 
 
+#: Of this process: queue runs written to disk and the deepest recursion, since it began.
+counters = {"spills": 0, "levels": 0}
+
+
 def suffix_array(t: np.ndarray, memory: int = MEMORY, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common-prefix values) of a string of non-negative symbols."""
     space = Space(memory)
     try:
-        order, lcp = level(np.append(t.astype(np.int64) + 1, 0), space, base)
+        string = space.array(len(t) + 1, np.uint16 if not len(t) or int(t.max()) < 65535 else np.int64)
+        for a in range(0, len(t), CHUNK):
+            part = t[a : a + CHUNK]
+            string[a : a + len(part)] = part + 1
+        order, lcp = level(string, space, base)
+        counters["spills"] += space.spills
+        counters["levels"] = max(counters["levels"], space.levels)
         order, lcp = np.array(order[1:]), np.array(lcp[1:])
         if len(lcp):
             lcp[0] = 0

@@ -6,8 +6,8 @@
    is one entry. Anchors that occur once have no equal windows.
 2. The runs with repeated anchors are cut out of the texts and sent, with ``length - 1`` bytes after their last
    start, to the shard of their anchor. A text that a task cut out before goes as a reference.
-3. A shard sorts the suffixes of its distinct cut-outs by external induced sorting (``induced.py``), in parts of
-   about ``PART_BYTES``; one anchor is one part at least, however large. Neighbours that share ``length`` bytes or more are one class. All
+3. A shard spools its distinct cut-outs to a scratch file and sorts their suffixes by external induced sorting (``induced.py``), in parts of
+   about ``PART_BYTES``, several times what the queue holds in memory; one anchor is one part at least, however large. Neighbours that share ``length`` bytes or more are one class. All
    occurrences of a class but the earliest are removed.
 4. Removed ranges go back to their documents and are merged there.
 
@@ -21,6 +21,8 @@ other. Extra columns are kept by ``without_repeats`` and not read by ``repeats``
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import by_shard, fresh, mix, numbered, partitions, powers, slices, table
+from usagelens.llm.common import by_shard, fresh, lean, mix, numbered, partitions, powers, slices, table
 from usagelens.llm.induced import suffix_array
 
 U = np.uint64
 LENGTH = 100
 ANCHOR = 32
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def all_of(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np
 
 def earlier(texts: list[bytes], starts: list[int], doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct cut-outs with ``starts[i]`` windows, whose first occurrence is at (doc, at): (cut-out, window) pairs that occur earlier elsewhere."""
-    string = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int64) + 1
+    string = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(1)
     sizes = np.array([len(x) for x in texts])
     begin = np.cumsum(sizes + 1) - sizes - 1
     string[begin + sizes] = 0
@@ -183,7 +185,8 @@ def ranges(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             yield packed(shard, shards, [(h & U(0xFFFFFFFF)).astype(np.uint32), doc.astype(np.int64), at.astype(np.int64), count.astype(np.uint32), key], ["h", "doc", "at", "count", "key"], extra)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
+        held: dict[int, tuple[int, int]] = {}  # place and size of each distinct cut-out in the spool
+        spool, spooled = tempfile.TemporaryFile(prefix="cut-outs-"), 0
         columns = {"h": np.uint32, "doc": np.int64, "at": np.int64, "count": np.uint32, "key": U}
         got = {c: [] for c in columns}
         for batch in batches:
@@ -194,8 +197,11 @@ def ranges(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 begin = 0
                 for k, e in zip(np.frombuffer(keys, U).tolist(), end, strict=True):
                     if k not in held:
-                        held[k] = text[begin:e]
+                        held[k] = (spooled, e - begin)
+                        spool.write(memoryview(text)[begin:e])
+                        spooled += e - begin
                     begin = e
+        spool.flush()
         h, doc, at, count, key = (np.frombuffer(b"".join(got[c]), k) for c, k in columns.items())
         del got
         if not len(h):
@@ -216,7 +222,7 @@ def ranges(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             fit = later[later <= b]
             b = int(fit[-1] if len(fit) else later[0])
             some = heads[a:b]
-            which, window = earlier([held[k] for k in key[some].tolist()], count[some].tolist(), doc[some], at[some], length)
+            which, window = earlier([os.pread(spool.fileno(), size, place) for place, size in (held[k] for k in key[some].tolist())], count[some].tolist(), doc[some], at[some], length)
             if len(which):
                 by = np.lexsort((window, which))
                 which, window = which[by], window[by]
@@ -224,14 +230,15 @@ def ranges(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 begin = np.flatnonzero(new)
                 yield from_starts(doc[some][which[begin]], at[some][which[begin]] + window[begin], np.diff(np.append(begin, len(which))))
             a = b
+        spool.close()
 
     def from_starts(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         return by_id(doc, [at.astype(np.int64), count.astype(np.int64)], ["starts", "counts"])
 
-    found = by_shard(docs.mapInArrow(anchors, "shard int, h binary, doc binary, number binary"), shards).mapInArrow(repeated, "id long, numbers binary")
+    found = by_shard(docs.mapInArrow(lean(anchors), "shard int, h binary, doc binary, number binary"), shards).mapInArrow(lean(repeated), "id long, numbers binary")
     marked = docs.join(found.groupBy("id").agg(F.collect_list("numbers").alias("numbers")), "id").select("id", "text", "numbers")
-    pieces = marked.mapInArrow(cut, "shard int, h binary, doc binary, at binary, count binary, key binary, text_keys binary, text_sizes binary, texts binary")
-    removed = by_shard(pieces, shards).mapInArrow(sort, "id long, starts binary, counts binary")
+    pieces = marked.mapInArrow(lean(cut), "shard int, h binary, doc binary, at binary, count binary, key binary, text_keys binary, text_sizes binary, texts binary")
+    removed = by_shard(pieces, shards).mapInArrow(lean(sort), "id long, starts binary, counts binary")
     return removed.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
 
 
@@ -276,7 +283,7 @@ def repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id: str =
                     ["id", "n_bytes", "spans", "kept"],
                 )
 
-    out = joined(rows.select(F.col(key).alias("id"), "text"), length, anchor).mapInArrow(finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = joined(rows.select(F.col(key).alias("id"), "text"), length, anchor).mapInArrow(lean(finish), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     if plain:
         return out.withColumnRenamed("id", id)
     return out.join(rows.select(key, "name"), F.col("id") == F.col(key)).select(F.col("name").alias(id), "n_bytes", "spans", "kept")
@@ -303,7 +310,7 @@ def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, i
 
     found = ranges(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), length, anchor)
     found = found.select(F.col("id").alias(at), F.col("starts").alias(begin), F.col("counts").alias(many))
-    return rows.join(found, F.col(key) == F.col(at), "left").select(*names, begin, many).mapInArrow(finish, df.schema)
+    return rows.join(found, F.col(key) == F.col(at), "left").select(*names, begin, many).mapInArrow(lean(finish), df.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
