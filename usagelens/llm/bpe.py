@@ -1,9 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut at ASCII white space, which the tokenizer drops. What has no white space may be any length:
-its pre-tokens are encoded as a tree. The halves of a long pre-token are encoded apart (in other tasks where
-a text is over ``split_bytes``), then the tokens around each join are encoded anew in a growing window until
-its first token is the left half's and its last token the right half's. A BPE token sequence is the encoding
+A text beyond a leaf is cut in halves wherever its middle falls; the halves are encoded apart (in other tasks where
+a text is over ``split_bytes``), then the chunks on both sides of the join are encoded anew in a growing window until
+its first chunk is the left half's and its last the right half's. A chunk is what lies between ASCII white space, which the tokenizer must
+drop (checked when its file is read). What has no white space may be any length: such a pre-token is a tree of its own, of which the tokens
+around each join are encoded anew in the same way. A BPE token sequence is the encoding
 of its text exactly if each two neighbours are the encoding of theirs, so the result is the whole text's.
 
 Defined cases: null and empty texts have no tokens and decode to ''. Repeated rows give repeated rows. Extra
@@ -22,19 +23,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import slices, table
+from usagelens.llm.common import lean, slices, table
 
 #: Longest run that is encoded in one call, in byte-level characters.
 LEAF = 512
 #: Entries of a worker's cache of white-space-free chunks; it is emptied when full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: A longer text (UTF-8 bytes) is encoded in segments by several tasks.
-SPLIT_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+SPLIT_BYTES = 64 << 10
+SEGMENT_BYTES = 32 << 10
+
+#: Leaves of a text are so many times a pre-token's, as their chunks are encoded one by one.
+LEAF_CHUNKS = 8
 
 TEXT, PIECE, PART, LAST_PART = range(4)
 
 
+def back(raw: bytes, at: int, k: int) -> int:
+    """Where the k-th chunk before ``at`` starts (0 if there are fewer)."""
+    for size in (64 * k, 1024 * k, at):
+        lo = max(0, at - size)
+        parts = raw[lo:at].rsplit(None, k)
+        if len(parts) > k:  # what is left in front ends where white space before the k-th chunk begins
+            end = lo + len(raw[lo:at].rsplit(None, k)[0])
+            return end + len(raw[end:at]) - len(raw[end:at].lstrip())
+        if lo == 0:
+            return 0
+    return 0
+
+
+def ahead(raw: bytes, at: int, k: int) -> int:
+    """Where the k-th chunk after ``at`` ends (the end if there are fewer)."""
+    for size in (64 * k, 1024 * k, len(raw)):
+        part = raw[at : at + size]
+        parts = part.split(None, k)
+        if len(parts) > k:
+            return at + len(part.rstrip()[: len(part.rstrip()) - len(parts[k].rstrip())].rstrip())
+        if at + size >= len(raw):
+            return len(raw)
+    return len(raw)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -61,6 +90,9 @@ class TreeBPE:
         self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
         self.token = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        ids = lambda t: self.whole.encode(t, add_special_tokens=False).ids
+        if spec.get("decoder") or any(ids(f"ab{x}cd") != ids("ab") + ids("cd") for x in (" ", "\n", " \t\r\x0b\x0c ")):
+            raise ValueError("a tokenizer that drops white space and has no decoder is needed")
 
     # ------------------------------------------------ trees
 
@@ -119,8 +151,8 @@ class TreeBPE:
     def decode(self, ids: list[int]) -> bytes:
         return self.whole.decode(ids, skip_special_tokens=False).encode()
 
-    def text(self, raw: bytes) -> tuple[bytes, bytes]:
-        """ids (little-endian, 32 bits) and decoded UTF-8 of a whole text."""
+    def flat(self, raw: bytes) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded) of each chunk between white space, one after the other."""
         cache, found = self.cache, []
         for c in raw.split():
             got = cache.get(c)
@@ -131,6 +163,28 @@ class TreeBPE:
                         cache.clear()
                     cache[c] = got
             found.append(got)
+        return found
+
+    def halves(self, raw: bytes) -> list[tuple[bytes, bytes]]:
+        """The same of a text of any length, cut in halves wherever its middle falls, a leaf's worth at most in one piece."""
+        if len(raw) <= self.leaf * LEAF_CHUNKS:
+            return self.flat(raw)
+        mid = len(raw) // 2
+        while raw[mid] & 0xC0 == 0x80:  # a character stays whole
+            mid -= 1
+        left, right, k = self.halves(raw[:mid]), self.halves(raw[mid:]), 1
+        while left and right:
+            # The k chunks on each side of the join, encoded anew: done when the first is the left half's and the last the right half's.
+            lo, hi = back(raw, mid, k), ahead(raw, mid, k)
+            window = self.flat(raw[lo:hi])
+            if (k >= len(left) or window[0] == left[-k]) and (k >= len(right) or window[-1] == right[k - 1]):
+                return left[:-k] + window + right[k:]
+            k *= 2
+        return left or right
+
+    def text(self, raw: bytes) -> tuple[bytes, bytes]:
+        """ids (little-endian, 32 bits) and decoded UTF-8 of a whole text."""
+        found = self.halves(raw)
         return b"".join([x[0] for x in found]), self.joined([x[1] for x in found])
 
     def joined(self, decoded: list[bytes]) -> bytes:
@@ -224,10 +278,10 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", id:
         return pa.table({"id": group.column("id")[:1], "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([np.asarray(ids, "<u4").tobytes()], pa.binary()), "decoded": pa.array([bpe.decode(ids).decode()], pa.string())})
 
     size = F.octet_length("text")
-    short = df.filter(size.isNull() | (size <= split_bytes)).mapInArrow(whole, f"id {kind}, {SCHEMA}")
+    short = df.filter(size.isNull() | (size <= split_bytes)).mapInArrow(lean(whole), f"id {kind}, {SCHEMA}")
     long = df.filter(size > split_bytes).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    long = long.mapInArrow(cut, f"row long, id {kind}, n int, kind int, payload binary").repartition("row", "n")
-    long = long.mapInArrow(each, f"row long, id {kind}, n int, kind int, payload binary").groupBy("row").applyInArrow(tree, f"id {kind}, {SCHEMA}")
+    long = long.mapInArrow(lean(cut), f"row long, id {kind}, n int, kind int, payload binary").repartition("row", "n")
+    long = long.mapInArrow(lean(each), f"row long, id {kind}, n int, kind int, payload binary").groupBy("row").applyInArrow(tree, f"id {kind}, {SCHEMA}")
     return short.unionByName(long).withColumnRenamed("id", id)
 
 
