@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from usagelens.llm import bpe, chat, common, decontaminate, fingerprints, induced, jaccard, quality, shards, suffix_dedup, toxicity, urls
 
@@ -168,11 +169,104 @@ def test_near_groups_equal_brute_force(spark):
                 group = [group[i] if g == group[j] else g for g in group]
     want = sorted((str(i), min(ids[k] for k in range(len(ids)) if group[k] == g and ids[k] is not None)) for i, g in zip(ids, group, strict=True))
     df = spark.createDataFrame([(i, bytearray(p)) for i, p in zip(ids, prints, strict=True)], "doc_id int, fingerprint binary")
-    got = fingerprints.near_groups(df).collect()
+    got = fingerprints.near_groups(df, width=8, threshold=0.8).collect()
     assert sorted((str(r.doc_id), r.group) for r in got) == want
     assert len(set(group)) == 7
 
 
+def test_near_groups_find_edited_texts(spark):
+    """Recall over texts with 1 % of their characters edited, and no clean text in another's group."""
+    rng = random.Random(5)
+
+    def changed(x):
+        x = list(x)
+        for _ in range(max(1, len(x) // 100)):
+            i, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[i : i + (kind != 1)] = [rng.choice("abcdefgh ")] * (kind != 2)
+        return "".join(x)
+
+    texts = [r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").where("length(text) between 200 and 5000").dropDuplicates(["text"]).orderBy("doc_id").limit(200).collect()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, changed(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    group = {r.doc_id: r.group for r in fingerprints.near_groups(fingerprints.fingerprinted(df)).collect()}
+    assert len(group) == 400
+    assert sum(group[i] == group[1000 + i] for i in range(200)) >= 180
+
+
+def test_fingerprints_of_odd_rows(spark, empty):
+    rows = [("b", "x"), ("a", "y" * 3000), (None, None), ("b", "x"), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as node", "2 as bucket")
+    got = fingerprints.grouped(fingerprints.beside_next(df)).collect()
+    assert len(got) == 5 and {r.doc_id: r.n_chars for r in got} == {"b": 1, "a": 3000, None: 0, "c": 0}
+    assert len({bytes(r.fingerprint) for r in got if r.doc_id == "b"}) == 1
+    assert fingerprints.grouped(fingerprints.beside_next(empty)).count() == 0
+
+
+def test_op8_against_plain_python(spark):
+    from usagelens.llm import entries
+
+    docs_ = sorted(((r.doc_id, r.text or "") for r in common.table(spark, SF, "documents").collect()), reverse=True)
+    after = {docs_[i][0]: docs_[(i + 1) % len(docs_)][1] for i in range(len(docs_))}
+    texts, got = dict(docs_), entries.queries()["op8_fingerprints"](spark, SF).collect()
+    assert len(got) == len(docs_)
+    by_text = {}
+    for r in got:
+        t, k = texts[r.doc_id], len(texts[r.doc_id]) // 2
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - k] + after[r.doc_id][:k]).encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert by_text.setdefault(t, (r.fingerprint, r.group_id)) == (r.fingerprint, r.group_id)
+
+
+def test_shards_of_clashing_columns_and_another_cluster(spark, docs):
+    df = docs.selectExpr("*", "1 as _h", "2 as _bucket", "3 as slot")
+    one = {(str(r.doc_id), r.text, r.shard, r.slot) for r in shards.sharded(df, 3).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert {(str(r.doc_id), r.text, r.shard, r.slot) for r in shards.sharded(df, 3).collect()} == one
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {"_h", "_bucket"} <= set(shards.sharded(df, 3).columns)
+
+
+def test_induced_sorting_spills_and_recurses():
+    rng = np.random.default_rng(1)
+    induced.counters.update(spills=0, levels=0)
+    for n in (1, 2, 10, 300, 3000):
+        for k in (1, 2, 4, 200):
+            t = rng.integers(0, k, n)
+            order, lcp = induced.suffix_array(t, 50, 20)
+            raw = bytes(t.tolist())
+            want = sorted(range(n), key=lambda i: raw[i:])
+            assert order.tolist() == want
+            same = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905, E731
+            assert lcp.tolist()[1:] == [same(raw[a:], raw[b:]) for a, b in zip(want[:-1], want[1:], strict=True)]
+    assert induced.counters["spills"] > 0 and induced.counters["levels"] >= 2
+
+
+def test_suffix_dedup_spills_in_its_own_path(monkeypatch):
+    """With memory small against a part, the sorting inside the operator spills and recurses, and the result is brute force's."""
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcd") for _ in range(3000)).encode()
+    texts = [base[i : i + 900] + bytes([97 + i % 5]) + base[i + 100 : i + 500] for i in range(0, 1500, 130)]
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: induced.suffix_array(t, 200, 50))
+    induced.counters.update(spills=0, levels=0)
+    starts = [len(t) - 99 for t in texts]
+    which, window = suffix_dedup.earlier(texts, starts, np.arange(len(texts)), np.zeros(len(texts), np.int64), 100)
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 99):
+            (want.add((i, j)) if t[j : j + 100] in seen else seen.add(t[j : j + 100]))
+    assert set(zip(which.tolist(), window.tolist(), strict=True)) == want and want
+    assert induced.counters["spills"] > 0 and induced.counters["levels"] >= 2
+
+
+def test_suffix_dedup_of_repeated_and_odd_ids(spark):
+    rows = [("b", "p" + "x" * 150), ("a", "q" + "x" * 150), (None, "r" + "x" * 150), ("b", "p" + "x" * 150), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as _order", "2 as _starts")
+    got = suffix_dedup.repeats(df).collect()
+    # Of all runs of x one byte stays, in the row without an id, which comes first; the second of two equal rows goes whole.
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == [("None", b"rx"), ("a", b"q"), ("b", b""), ("b", b"p"), ("c", b"")]
+    assert suffix_dedup.without_repeats(df).columns == df.columns
+
+
 def test_models_score_all_rows(spark, docs, empty):
     d, l = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
     model = quality.train(d, l)
@@ -190,29 +284,62 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.9
 
 
-def test_chat_roles_and_blocks(spark, monkeypatch):
-    conv = common.table(spark, SF, "conversations")
-    raw = chat.raw_transcripts(conv)
-    model = chat.train(raw)
-    key = ("conv_id", "turn", "part")
-    one = chat.parsed(raw, model).orderBy(*key).collect()
-    monkeypatch.setattr(chat, "BLOCK", 2)
-    assert chat.parsed(raw, model).orderBy(*key).collect() == one
-    roles = {(r.conv_id, r.turn): r.role for r in conv.collect()}
-    assert sum(roles[r.conv_id, r.turn] == r.role for r in one) / len(one) > 0.9
+def first_lines(turns):
+    """(id, number, role) of each true turn's first line with a word."""
+    out = set()
+    for r in turns.collect():
+        at = next((i for i, x in enumerate(r.lines) if x.strip()), None)
+        if at is not None:
+            out.add((r.conv_id, r.turn * chat.TURN_LINES + at, r.role))
+    return out
+
+
+def test_chat_on_held_out_conversations(spark, monkeypatch):
+    turns = chat.transcripts(common.table(spark, "/root/testdata/sf0.01", "conversations"))
+    out = chat.held_out(turns["conv_id"])
+    raw, model = chat.raw_lines(turns.where(out)), chat.train(turns.where(~out))
+    assert raw.columns == ["conv_id", "number", "line"]  # nothing tells the turns apart
+    found = lambda: {(r.conv_id, r.number, r.role) for r in chat.parsed(raw, model).collect() if not r.continues}
+    one, want = found(), first_lines(turns.where(out))
+    assert len(one & want) >= 0.9 * max(len(one), len(want)) and len(want) > 50
+    monkeypatch.setattr(chat, "BLOCK", 2 << 32)
+    assert found() == one
 
 
 def test_chat_keeps_lines(spark):
-    answer = "An answer.\n\n  Q: quoted, not asked\nA: and so on\n\n\nThe end.\n"
-    turns = [("user", "User: What is it?", "What is it?"), ("assistant", "Assistant: " + answer, answer), ("user", "\nUser: And\n\n this? ", "\nAnd\n\n this? "), ("assistant", " \n", " \n"), ("user", None, ""), ("assistant", "AI: " + answer, answer)]
-    rows = [(c, i, role, raw) for c in range(20) for i, (role, raw, _) in enumerate(turns)]
-    raw = chat.raw_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = chat.parsed(raw, chat.train(raw)).collect()
+    answer = "An answer.\n\n  Q: quoted, not asked\nA: and so on\n\n\nThe end."
+    said = [("user", "User: What is it?", "What is it?"), ("assistant", "Assistant: " + answer, answer), ("user", "User: And\n\n this? ", "And\n\n this? "), ("assistant", "AI: " + answer + "\n", answer), ("user", None, None)]
+    rows = [(c, i, role, raw) for c in range(20) for i, (role, raw, _) in enumerate(said)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", chat.turn_lines(F.col("text"), F.col("turn") > 0).alias("lines"))
+    got = chat.parsed(chat.raw_lines(turns), chat.train(turns)).collect()
+    want = {(c, role, text) for c in range(20) for role, _, text in said if text}
+    assert {(r.conv_id, r.role, r.text) for r in got} == want and len(got) == 80
+    assert all(r.rendered == f"<|{r.role}|>\n{r.text}\n<|end|>" and not r.continues for r in got)
+    odd = spark.createDataFrame([(None, 1, "User: a"), (None, 1, "User: a"), (None, 2, None), (5, None, " "), (5, 3, "Assistant: b")], "conv_id long, number long, line string").selectExpr("*", "1 as block", "2 as parted")
+    assert sorted((str(r.conv_id), r.role, r.text) for r in chat.parsed(odd, chat.train(turns)).collect()) == [("5", "assistant", "b"), ("None", "user", "a"), ("None", "user", "a")]
+    assert chat.parsed(odd.limit(0), chat.train(turns.limit(0))).count() == 0
+
+
+def test_urls_reach_unruled_branches_and_deep_paths(spark):
+    rows = [f"http://a{i % 4}.example.org/{x}/{i}" for i in range(40) for x in ("es", "fr")] + [f"https://shop.net/{x}/{i}" for i in range(5) for x in ("es", "fr")] + ["https://shop.net/" + "/".join("abcdefghij") + f"/{i}" for i in range(4)] * 2 + ["http://x.com" + "/y" * 500, None, "x"]
+    df = spark.createDataFrame([(None if i == 3 else i, u) for i, u in enumerate(rows)], "page_id long, url string").selectExpr("*", "'z' as host", "1 as rate", "2 as path")
+    got = urls.judged(df).collect()
     assert len(got) == len(rows)
-    for r in got:
-        role, _, text = turns[r.turn]
-        assert (r.part, r.text) == (0, text) and r.rendered == f"<|{r.role}|>\n{text}\n<|end|>"
-        assert r.role == role or r.turn in (3, 4)
+    of = lambda start: {(r.rule, r.verdict) for r in got if (r.host + r.path).startswith(start)}
+    assert of("shop.net/es/") == {(None, "block")} and of("shop.net/fr/") == {(None, "allow")}
+    assert of("a1.example.org/es/") == {("example.org/es/", "block")}
+    assert len({r.rate for r in got if r.host == "shop.net"}) > 1
+    few = {r.page_id: (r.rule, r.verdict) for r in got}
+    many = urls.RULES + [("block", f"n{i}.example/x/") for i in range(urls.FEW_RULES)]
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judged(df, many).collect() if r.rule} == {k: v for k, v in few.items() if v[0]}
+    assert urls.judged(df.limit(0)).count() == 0
+
+
+def test_merging_keeps_branches_apart_that_the_test_tells_apart(spark):
+    kids = [("h", "", f"good{i}", 30, 0) for i in range(5)] + [("h", "", f"bad{i}", 0, 30) for i in range(5)] + [("h", "", "mixed", 15, 15), ("h", "", "few", 0, 1)]
+    got = {r.segment: r.token for r in urls.branches(spark.createDataFrame(kids, "host string, prefix string, segment string, good long, bad long")).collect()}
+    assert len(got) == 12 and len({got[f"good{i}"] for i in range(5)}) == 1 and len({got[f"bad{i}"] for i in range(5)}) == 1
+    assert got["few"] == got["bad0"] and len(set(got.values())) == 3
 
 
 def test_urls(spark):

@@ -77,3 +77,14 @@ def test_stages_one_after_the_other(spark):
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert last[i].n_tokens == len(ids)
         assert last[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+
+
+def test_jaccard_stage_decides_by_row(spark):
+    """Repeated and null ids: a copy goes, a row of its own under the same id stays."""
+    t, u = "the first text of several words that is long enough to have shingles", "quite another one with nothing in common but also with enough words in it"
+    rows = [(3, t, 1), (5, t, 2), (5, u, 3), (None, u + " end of it all that goes on for many more words than before", 4), (7, t, 5), (3, t, 6), (8, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").selectExpr("*", "1 as _order", "2 as _gone")
+    out = corpus_pipeline.jaccard_join(spark, df, SF)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(3, t), (5, u), rows[3][:2], (8, None), (8, "")]))

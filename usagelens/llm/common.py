@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; one longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches, giving what memory its worker no longer uses back once it ends: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or with underscores before it one that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -63,7 +79,7 @@ def numbered(df: DataFrame, id: str, text: str) -> tuple[DataFrame, str, bool]:
             yield batch.append_column(key, pa.array(np.arange(n, n + len(batch))))
             n += len(batch)
 
-    out = rows.mapInArrow(count, T.StructType([*df.schema.fields, T.StructField(key, T.LongType())]))
+    out = rows.mapInArrow(lean(count), T.StructType([*df.schema.fields, T.StructField(key, T.LongType())]))
     return checkpoint(out), key, False
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ALNUM_WORDS, mix, slices, table, word_hashes
+from usagelens.llm.common import ALNUM_WORDS, lean, mix, slices, table, word_hashes
 
 WINDOW = 10
 #: Largest benchmark (bytes of text) that is collected and broadcast.
@@ -133,7 +133,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_by
                 spans = [[] if on is None else [{"start": s, "end": e} for s, e in spans_of(batch.column(1)[a + i].as_py().encode(), on)] for i, (_, _, _, on) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_hit", "items", "spans"])
 
-    return docs.mapInArrow(run, f"id {kind}, {REPORT}").withColumnRenamed("id", id)
+    return docs.mapInArrow(lean(run), f"id {kind}, {REPORT}").withColumnRenamed("id", id)
 
 
 def shuffled_report(docs: DataFrame, benchmark: DataFrame, window: int, kind: str) -> DataFrame:
@@ -179,7 +179,7 @@ def shuffled_report(docs: DataFrame, benchmark: DataFrame, window: int, kind: st
             spans = [[{"start": s, "end": e} for s, e in spans_of(t.encode(), on)] if on.any() else [] for t, on in zip(texts, masks, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array([int(x.sum()) for x in masks], pa.int64()), pa.array([x or [] for x in items_], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_hit", "items", "spans"])
 
-    return keyed.join(hit, keyed["key"] == hit["doc"], "left").select("id", "text", "hits", "items").mapInArrow(run, f"id {kind}, {REPORT}")
+    return keyed.join(hit, keyed["key"] == hit["doc"], "left").select("id", "text", "hits", "items").mapInArrow(lean(run), f"id {kind}, {REPORT}")
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             clean = [n == 0 for _, _, found in sent.value.scan(batch.column(at)) for _, n, _, _ in found]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, text: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
                         texts[a + i] = b"".join([*kept, raw[last:]]).decode()
             yield batch.set_column(at, text, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

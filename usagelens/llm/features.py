@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ALNUM_WORDS, mix, slices, word_hashes
+from usagelens.llm.common import ALNUM_WORDS, lean, mix, slices, word_hashes
 
 U = np.uint64
 BITS = 18
@@ -212,7 +212,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], rows:
                 parts = [[v[x.start[i] : x.start[i + 1]].tobytes() for i in range(b - a)] for v in (x.index, x.value)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *[batch.column(2 + i)[a:b] for i in range(len(columns))], *[pa.array(p, pa.binary()) for p in parts]], ["_id", *[f"_y{i}" for i in range(len(columns))], "index", "value"])
 
-    got = picked.mapInArrow(run, f"_id {kind}, {', '.join(f'_y{i} double' for i in range(len(columns)))}, index binary, value binary").toArrow()
+    got = picked.mapInArrow(lean(run), f"_id {kind}, {', '.join(f'_y{i} double' for i in range(len(columns)))}, index binary, value binary").toArrow()
     got = got.sort_by("_id")
     index, value = (np.frombuffer(b"".join(got.column(c).to_pylist()), t) for c, t in (("index", np.int32), ("value", np.float32)))
     start = np.append(0, np.cumsum([len(v) // 4 for v in got.column("index").to_pylist()], dtype=np.int64)).astype(np.int64)

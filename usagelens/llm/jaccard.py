@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import SPACE_WORDS, by_shard, checkpoint, mix, partitions, signed, slices, table, word_hashes
+from usagelens.llm.common import SPACE_WORDS, by_shard, checkpoint, lean, mix, partitions, signed, slices, table, word_hashes
 from usagelens.llm.components import connected_components
 
 U = np.uint64
@@ -270,8 +270,8 @@ def gathered(docs: DataFrame, n: int, num: int, den: int, id: str, text: str) ->
                 columns = [pa.array(np.repeat(np.array([k for k, _ in some], np.int64), sizes)), pa.array(np.repeat(np.array([m[0] for _, m in some]), sizes)), pa.array(np.concatenate([m for _, m in some]))]
                 yield pa.RecordBatch.from_arrays([pa.nulls(sum(sizes), ids), *(pa.nulls(sum(sizes), pa.int64()) for _ in range(2)), *columns], names)
 
-    packed_rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(send, f"shard int, nodes binary, counts binary, signs binary, ids array<{kind}>, sizes array<long>, classes array<long>")
-    return by_shard(packed_rows, shards).mapInArrow(meet, f"doc_id {kind}, n_shingles long, class long, bucket long, hub long, node long")
+    packed_rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(send), f"shard int, nodes binary, counts binary, signs binary, ids array<{kind}>, sizes array<long>, classes array<long>")
+    return by_shard(packed_rows, shards).mapInArrow(lean(meet), f"doc_id {kind}, n_shingles long, class long, bucket long, hub long, node long")
 
 
 def sets_of(docs: DataFrame, n: int, text: str) -> DataFrame:
@@ -282,7 +282,7 @@ def sets_of(docs: DataFrame, n: int, text: str) -> DataFrame:
             for _, sets in shingle_sets(batch.column(0), n):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([set_hash(s) for s in sets], U))), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["node", "elements"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, elements array<long>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "node long, elements array<long>")
 
 
 def alive(docs: DataFrame, n: int, num: int, den: int, text: str) -> DataFrame:
@@ -344,8 +344,8 @@ def alive(docs: DataFrame, n: int, num: int, den: int, text: str) -> DataFrame:
         total = np.bincount(np.searchsorted(node, shared), weights=part, minlength=len(node)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(signed(node[total * den >= size[first].astype(np.int64) * num]))], ["node"])
 
-    counted = by_shard(docs.select(F.col(text).alias("text")).mapInArrow(send, "shard int, nodes binary, counts binary, keys binary"), shards).mapInArrow(count, "shard int, nodes binary, counts binary, whole boolean")
-    return by_shard(counted, shards).mapInArrow(settle, "node long")
+    counted = by_shard(docs.select(F.col(text).alias("text")).mapInArrow(lean(send), "shard int, nodes binary, counts binary, keys binary"), shards).mapInArrow(lean(count), "shard int, nodes binary, counts binary, whole boolean")
+    return by_shard(counted, shards).mapInArrow(lean(settle), "node long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import table
+from usagelens.llm.common import lean, table
 from usagelens.llm.features import FactorisationMachine, held_out, sparse_of, training_rows
 
 TRAIN_ROWS = 12_000
@@ -50,7 +50,7 @@ def scored(docs: DataFrame, model, text: str = "text", output: str = "score") ->
             scores = [sent.value.predict(x) for _, _, x in sparse_of(batch.column(at), 0, True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names, output])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
 
 
 def kept(docs: DataFrame, model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -63,7 +63,7 @@ def kept(docs: DataFrame, model, threshold: float = THRESHOLD, text: str = "text
             scores = [sent.value.predict(x) for _, _, x in sparse_of(batch.column(at), 0, True)]
             yield batch.filter(pa.array(np.concatenate(scores) >= threshold if scores else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

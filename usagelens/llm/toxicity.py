@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import table
+from usagelens.llm.common import lean, table
 from usagelens.llm.features import FactorisationMachine, Sparse, only, sparse_of, take, telling, training_rows
 
 TRAIN_ROWS = 12_000
@@ -92,7 +92,7 @@ def scored(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text"
 
     chain_names = list(chain.names)
     schema = T.StructType([docs.schema["id"], *[T.StructField(n, T.DoubleType()) for n in chain_names]])
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return docs.mapInArrow(lean(run), schema).withColumnRenamed("id", id)
 
 
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
