@@ -1,5 +1,8 @@
+import json
 import sqlite3
-from datetime import datetime
+import subprocess
+import urllib.error
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
@@ -7,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from usagelens import cli
+from usagelens.config import Config
 from usagelens.functions.text import glob_pattern
 from usagelens.operators import robust
-from usagelens.plans import catalog, report
-from usagelens.sources import files, sqlite
+from usagelens.plans import catalog, report, validators
+from usagelens.sources import external, files, sqlite
 from usagelens.streaming.telemetry import activity_spans_stream, daily_totals_stream
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +70,8 @@ def test_fold_and_freshest(spark):
 def test_glob():
     import re
 
-    assert re.match(glob_pattern("/en/*"), "/en/a/b") and not re.match(glob_pattern("/en/?"), "/en/ab")
+    fits = lambda g, p: bool(re.match(glob_pattern(g), p))
+    assert fits("/en/*", "/en/a") and not fits("/en/*", "/en/a/b") and fits("/en/**", "/en/a/b") and not fits("/en/?", "/en/ab")
 
 
 def test_sqlite_source(spark, tmp_path):
@@ -105,4 +111,209 @@ def test_streams(spark, tmp_path):
     source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     for name, made in (("days", daily_totals_stream(source)), ("spans", activity_spans_stream(source))):
         made.writeStream.format("memory").queryName(name).outputMode("append" if name == "spans" else "complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    days = {str(r.day)[:10]: (r.cost, r.steps) for r in spark.table("days").collect()}
+    assert days == {str(r.d): (r.c, r.n) for r in events.groupBy(F.to_date("ts").alias("d")).agg(F.sum(F.col("value").cast("decimal(18,6)")).alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    by_user: dict = {}
+    for r in events.orderBy("user_id", "ts").collect():
+        own = by_user.setdefault(r.user_id, [])
+        if own and (r.ts - own[-1][1]).total_seconds() <= 300:
+            own[-1][1] = r.ts
+        else:
+            own.append([r.ts, r.ts])
+    closed = {(u, str(a), str(b)) for u, spans in by_user.items() for a, b in spans}
+    seen = {(r.user_id, str(r.first), str(r.last)) for r in spark.table("spans").collect()}
+    assert seen and seen <= closed  # the last spans are still open
     assert spark.table("days").count() == events.select(F.to_date("ts")).distinct().count()
+
+
+BASE = datetime(2024, 1, 29, 6)
+
+
+def store(spark, folder, events, **tables):
+    """A folder with events (hours before the run's end, user, type, value, k) and other tables."""
+    rows = [(i, BASE - timedelta(hours=h), u, kind, v, '{"k": %d}' % k) for i, (h, u, kind, v, k) in enumerate(events, 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def rows(spark, folder, name, config=Config()):
+    return [r.asDict() for r in catalog.queries(config)[name](spark, folder).collect()]
+
+
+def test_dearer_day_after_equal_ones_has_the_cap_and_a_note(spark, tmp_path):
+    folder = store(spark, tmp_path, [(24 * d + 1, 10, "view", 5.0, 1) for d in range(8, 30)] + [(25, 10, "view", 9.0, 1), (49, 10, "view", 5.0, 1)])
+    got = {r["cost"]: (r["z"], r["note"]) for r in rows(spark, folder, "daily_spike")}
+    assert got == {9.0: (10.0, "no spread before"), 5.0: (None, None)}
+    assert rows(spark, folder, "alert_daily_spike")[0] == {"rule": "daily_spike", "severity": "medium", "threshold": 3.0, "observed": 10.0, "fired": True}
+
+
+def test_windows_of_other_hours_have_no_volume_deltas(spark, tmp_path):
+    folder = store(spark, tmp_path, [(h, 10, kind, 2.0, 3) for h in range(1, 700, 5) for kind in ("view", "click")])
+    same = rows(spark, folder, "window_hours_guard")[0]
+    other = rows(spark, folder, "window_hours_guard", Config(run_hours=(336, 360)))[0]
+    assert not same["warn"] and same["cost_pct"] is not None
+    assert other["warn"] and other["cost_pct"] is None and other["tokens_pct"] is None and abs(other["hit_rate_diff"]) < 0.01
+    assert not rows(spark, folder, "alert_cost_wow", Config(run_hours=(336, 360), cost_wow_pct=-1.0))[0]["fired"]
+    first = rows(spark, folder, "wow_delta", Config(run_hours=(168,)))
+    assert first[0]["cost_pct"] is None
+
+
+def test_silent_runs_overlap_and_snooze(spark, tmp_path):
+    part = [(i, "n", "B", "T", 1 if i < 3 else i, 1.0) for i in range(6)]
+    month = {0: 9, 1: 8, 2: 8, 3: 8, 4: 12, 5: 8}  # last load in 1999: 9 is silent on three runs, 8 on four
+    items = [(1, p, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", datetime(1999, m, 5)) for p, m in month.items()]
+    folder = store(spark, tmp_path, [], part=(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"), lineitem=(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"))
+    config = Config(ignored_findings=("retire:5",))
+    assert {r["skill"]: r["streak"] for r in rows(spark, folder, "r1_retire", config)} == {1: 4, 2: 4, 3: 4}
+    assert {r["skill"] for r in rows(spark, folder, "r2_retire_high", config)} == {1, 2}
+
+
+def test_compaction_keeps_first_marker_last(spark, tmp_path):
+    calls = [(9 - i, 10, "view", 1.0, 60 + i) for i in range(5)] + [(3, 10, "view", 1.0, 10), (2, 10, "click", 1.0, 10), (1, 10, "click", 1.0, 11)]
+    got = sorted(rows(spark, store(spark, tmp_path, calls), "compact_repeats"), key=lambda r: r["event_id"])
+    assert [(r["event_id"], r["kind"], r["replaced"]) for r in got] == [(1, "call", 0), (2, "marker", 3), (5, "call", 0), (6, "call", 0), (7, "call", 0), (8, "call", 0)]
+
+
+def test_empty_window_gives_a_whole_document(spark, tmp_path):
+    folder = store(spark, tmp_path / "data", [(1000, 10, "view", 1.0, 1)])
+    assert rows(spark, folder, "totals")[0]["session_count"] == 0 and rows(spark, folder, "cost_outliers") == []
+    assert rows(spark, folder, "audit_priority") == []
+
+
+def test_ranked_over_ranges(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 500).alias("x"))
+    got = [(r.place, r.id) for r in robust.ranked(df, F.desc("x"), F.asc("id")).orderBy("place").collect()]
+    assert got == list(enumerate([r[1] for r in sorted((-(i * 7919 % 500), i) for i in range(1000))], 1))
+    assert robust.ranked(df.limit(0), F.desc("x")).count() == 0
+
+
+def test_functions(spark):
+    from usagelens.functions.text import counters, from_millis, to_iso
+
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "n string, c long")
+    assert list(df.agg(counters("n", "c").alias("m")).first().m.items()) == [("a", 1), ("b", 2)]
+    r = spark.createDataFrame([(1706508000000,)], "ms long").select(from_millis("ms").alias("t")).select(to_iso("t").alias("i")).first()
+    assert r.i == "2024-01-29T06:00:00Z"
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"top_sessions": 3, "keywords": ["x"]}')
+    c = Config.read(str(tmp_path / "c.json"), "2024-01-22T06:00:00Z", 14)
+    assert (c.top_sessions, c.keywords, c.start, c.runs[0]) == (3, ("x",), "2024-01-08 06:00:00", ("2024-01-08 06:00:00", "2024-01-22 06:00:00", 336))
+    for bad in ({"lookback_days": 0},):
+        with pytest.raises(ValueError):
+            Config.read(**bad)
+    (tmp_path / "c.json").write_text('{"no_such": 3}')
+    with pytest.raises(ValueError):
+        Config.read(str(tmp_path / "c.json"))
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    run = lambda *a: cli.main([*a, "--data", SF, "--out", str(tmp_path)])
+    assert run("run", "--anchor", "2024-01-22T06:00:00Z") == 0 and run("run") == 0
+    made = json.loads((tmp_path / "runs/current/summary.json").read_text())
+    assert made["period"]["end"] == "2024-01-29 06:00:00" and made["deltas"]["cost_pct"] is not None
+    assert run("run", "--lookback-days", "14") == 2 and run("run", "--lookback-days", "14", "--force") == 1
+    for command in cli.COMMANDS:
+        assert run(command) == 0 and (tmp_path / f"runs/current/{command}.json").exists()
+    assert run("report-assemble") == 0 and run("doctor") == 0 and run("list") == 0
+    capsys.readouterr()
+    assert run("show-session", "10", "--include-children") == 0 and "child" in capsys.readouterr().out
+    assert run("query", "by_model") == 0 and run("query", "no_such") == 2
+    (tmp_path / "w.json").write_text(json.dumps({"declared": ["Tool X"], "decisions": [{"identity": "tool x", "decision": "adopt", "reason": "r"}, {"identity": "y", "decision": "adopt", "reason": "r"}]}))
+    capsys.readouterr()
+    assert run("watch-validate", "--file", str(tmp_path / "w.json")) == 1
+    assert json.loads(capsys.readouterr().out) == [["declared already: verify, improve or repair"], []]
+    (tmp_path / "skill.md").write_text("a \nb\n")
+    (tmp_path / "f.json").write_text(json.dumps([{"file": "skill.md", "rule": "trailing-space", "old": "a \n", "new": "a\n", "confidence": 0.95}]))
+    assert cli.main(["harness-remediate", "--file", str(tmp_path / "f.json"), "--data", str(tmp_path)]) == 0 and (tmp_path / "skill.md").read_text() == "a \nb\n"
+    assert cli.main(["harness-remediate", "--file", str(tmp_path / "f.json"), "--data", str(tmp_path), "--mode", "apply"]) == 0 and (tmp_path / "skill.md").read_text() == "a\nb\n"
+
+
+def test_validators():
+    good = {"session_id": 1, "category": "loop", "severity": "low", "recommendation_type": "habit", "evidence": "e"}
+    assert validators.quality_finding(good) == [] and validators.quality_finding(good | {"severity": "dire", "evidence": ""}) == ["missing evidence", "unknown severity: dire"]
+    assert [x["severity"] for x in validators.routed([good, good | {"severity": "high"}, good | {"category": "?"}])["report"]] == ["high", "low"]
+    assert validators.draft("---\nname: a-b\ndescription: d\n---\nbody", "skill", {"c"}) == []
+    assert validators.draft("---\nname: A b\n---\n", "skill", {"a b"}) == ["missing description", "name isn't in kebab case", "overlaps one that exists", "empty body"]
+    change = {"file": "f", "rule": "heading-level", "old": "# x", "new": "## x", "confidence": 0.99}
+    assert validators.remediation(change, "# x\n") == [] and validators.remediation(change, "# x # x") == ["2 places"]
+    assert validators.remediation(change | {"rule": "other", "confidence": 0.1}, "# x", 5) == ["rule isn't on the list", "not sure enough", "too many files"]
+    assert validators.coherence_finding({"category": "unused", "tag": "skill", "impact": "low", "target": "t"}) == []
+    assert validators.digest("nonsense") == ({}, ["digest isn't an object"])
+    assert validators.digest({"budget": {}, "triggers": 3})[1] == ["triggers isn't of the expected form", "no dependencies", "no findings", "no metadata"]
+    assert [b["title"] for b in validators.prose_order([{"title": "b", "severity": "low"}, {"title": "a", "severity": "high"}])] == ["a", "b"]
+
+
+def test_external(spark, tmp_path):
+    class Answer:
+        def __init__(self, body):
+            self.body = body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+        def read(self):
+            return self.body
+
+    def opener(codes):
+        def go(url):
+            c = codes.pop(0)
+            if c != 200:
+                raise urllib.error.HTTPError(url, c, "", {}, None)
+            return Answer(b"x")
+
+        return go
+
+    waits: list = []
+    assert external.fetched("u", opener=opener([429, 503, 200]), sleep=waits.append) == (b"x", None) and waits == [1.0, 2.0]
+    assert external.fetched("u", opener=opener([404]), sleep=waits.append) == (None, "u: 404")
+    assert external.fetched("u", 2, opener=opener([500, 500]), sleep=waits.append)[0] is None
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for m in ("[auto-draft] one", "other\n\n[auto-draft] in the body"):
+        git("commit", "-q", "--allow-empty", "-m", m)
+    assert [r.subject for r in external.git_log(spark, str(tmp_path), "2000-01-01", "2090-01-01").collect()] == ["[auto-draft] one"]
+    pages = spark.createDataFrame([("s", '<a href="u1"> <a href="u2"> <link>u3</link> [n](https://x/y)')], "source string, html string")
+    assert {r.link for r in external.links(pages).collect()} == {"u1", "u2"} and [r.link for r in external.links(pages, "rss").collect()] == ["u3"] and [r.link for r in external.links(pages, "list").collect()] == ["https://x/y"]
+    snap = str(tmp_path / "snap")
+    now = lambda *x: spark.createDataFrame([("s", i) for i in x], "source string, link string")
+    assert external.watched(spark, now("a"), snap).count() == 0  # the first run is silent
+    assert [r.link for r in external.watched(spark, now("a", "b"), snap).collect()] == ["b"]
+    assert external.watched(spark, now("a", "b"), snap).count() == 0
+    assert external.watch_sources({"watch_sources": [{"type": "web", "url": "w"}], "watch_repos": ["r"]}) == [{"type": "repo", "url": "r"}, {"type": "web", "url": "w"}]
+    root = tmp_path / "root"
+    for f in ("skills/a.md", "notes/b.md", "node_modules/c.md"):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("x")
+    assert external.projected(root, tmp_path / "to", ("skills/**",)) == (["skills/a.md"], ["notes/b.md"]) and (tmp_path / "to/skills/a.md").exists()
+
+
+def test_recorded_feeds(spark, tmp_path):
+    def feed(name, *rows_):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows_)))
+        return str(tmp_path / name)
+
+    npm = feed("npm", {"name": "a", "description": "d", "date": "2024-01-10T00:00:00Z", "repository": "r"}, {"name": "b", "description": "d", "date": "2023-01-10T00:00:00Z", "repository": None})
+    assert [r.name for r in files.npm_results(spark, npm, "2024-01-01", "2024-02-01").collect()] == ["a"]
+    repos = feed("repos", {"name": "a", "html_url": "u", "stars": 50, "pushed_at": "2024-01-10T00:00:00Z", "created_at": "2024-01-05T00:00:00Z"}, {"name": "b", "html_url": "u", "stars": 5, "pushed_at": "2024-01-10T00:00:00Z", "created_at": "2020-01-05T00:00:00Z"})
+    assert [(r.name, r.new_repo) for r in files.topic_repositories(spark, repos, "2024-01-01", 10).collect()] == [("a", True)]
+    entry = lambda n, status, latest: {"server": {"name": n}, "meta": {"status": status, "updatedAt": "2024-01-10T00:00:00Z", "isLatest": latest}}
+    assert [r.server.name for r in files.registry_entries(spark, feed("reg", entry("a", "active", True), entry("b", "deleted", True), entry("c", "active", False)), "2024-01-01").collect()] == ["a"]
+    assert files.core_releases(spark, feed("rel", {"tag_name": "v1", "name": "n", "body": "b", "published_at": "2024-01-10T00:00:00Z"}), "2024-01-01", "2024-02-01").count() == 1
+    summary = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-08", 2.0)], "run_date string, cost double")
+    files.append_history(summary, str(tmp_path / "h"))
+    files.append_history(summary.where("run_date = '2024-01-08'").withColumn("cost", F.lit(3.0)), str(tmp_path / "h"))
+    assert {(str(r.run_date), r.cost) for r in spark.read.parquet(str(tmp_path / "h")).collect()} == {("2024-01-01", 1.0), ("2024-01-08", 3.0)}
+
+
+def test_missing_store_is_not_made(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        sqlite.opened(str(tmp_path / "gone.db"))
+    assert not (tmp_path / "gone.db").exists() and type(sqlite.kind("BIGINT")).__name__ == "LongType"

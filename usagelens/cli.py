@@ -1,6 +1,7 @@
-"""Command line: run, insights, show-session, audit-candidates, self-cost, doctor, query, list.
+"""Command line over a folder of tables.
 
-Exit codes: 0 done, 1 degraded, 2 failed.
+Exit codes: 0 done, 1 degraded, 2 failed. ``run`` writes a summary, its report and page to a run folder and compares it with the one before;
+the other commands write what they find to a file named after them in the current run folder, and print where.
 """
 
 from __future__ import annotations
@@ -12,46 +13,152 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from usagelens.plans import catalog, report
+from usagelens.config import Config
+from usagelens.plans import catalog, report, validators
+from usagelens.sources.proxy import TABLES
 
-COMMANDS = {"insights": ["alerts", "wow_delta", "r1_retire", "insight_stats"], "audit-candidates": ["audit_priority"], "self-cost": ["self_cost"], "show-session": ["transcript_rows"]}
+#: Commands that gather queries.
+COMMANDS = {
+    "insights": ["alerts", "wow_delta", "window_hours_guard", "r1_retire", "r2_retire_high", "r4_fix", "r5_rewrite", "insight_stats"],
+    "audit-candidates": ["audit_priority"],
+    "self-cost": ["self_cost"],
+    "releases": ["release_relevance", "released_in_window", "registry_status_filter", "counts_by_category", "counts_by_source"],
+    "watch-context": ["watch_crosswalk", "link_diff", "notable_items"],
+    "harness": ["harness_projection", "lint_by_rule"],
+    "draft-candidates": ["draft_cap", "findings_routing"],
+    "report-prep": ["findings_by_severity", "category_distribution", "stage_status"],
+    "commit-draft": ["commit_list_truncate", "pending_review_count"],
+}
+#: Commands that judge a JSON file.
+FILES = ("watch-validate", "harness-remediate", "report-blocks-draft")
 
 
 def session() -> SparkSession:
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="usagelens", description=__doc__)
-    p.add_argument("command", choices=["run", "doctor", "query", "list", *COMMANDS])
+    p.add_argument("command", choices=["run", "doctor", "query", "list", "show-session", "report-assemble", *COMMANDS, *FILES])
     p.add_argument("name", nargs="?", help="query to run, or id to show")
-    p.add_argument("--data", required=False, help="folder of the parquet tables")
+    p.add_argument("--data", help="folder of the parquet tables")
     p.add_argument("--out", default="out")
-    a = p.parse_args(argv)
+    p.add_argument("--config", help="JSON file of thresholds")
+    p.add_argument("--anchor", help="end of the window, ISO 8601 in UTC")
+    p.add_argument("--lookback-days", type=int)
+    p.add_argument("--include-children", action="store_true", help="show-session: with the sessions below")
+    p.add_argument("--force", action="store_true", help="run: replace a summary of another window")
+    p.add_argument("--file", help="what to validate")
+    p.add_argument("--kind", choices=["skill", "command"], default="skill")
+    p.add_argument("--mode", choices=["dry-run", "apply"], default="dry-run")
+    return p
+
+
+def shown(spark: SparkSession, data: str, config: Config, id: int, children: bool) -> str:
+    """A session's transcript, an entry a turn."""
+    rows = catalog.queries(config)["session_transcript"](spark, data)
+    rows = rows.where(rows["root_id"] == id) if children else rows.where(rows["session_id"] == id)
+    turns = (f"[{r.line}] {'child ' + str(r.session_id) + ' ' if r.child and children else ''}{r.tool} {r.args} -> {r.result}" for r in rows.orderBy("line").toLocalIterator())
+    return "\n".join(turns)
+
+
+def judged(command: str, item: dict | list, kind: str, mode: str, folder: Path) -> list[list[str]]:
+    items = item if isinstance(item, list) else [item]
+    if command == "watch-validate":
+        declared = set(item.get("declared", [])) if isinstance(item, dict) else set()
+        return [validators.watch_decision(x, declared) for x in (item.get("decisions", []) if isinstance(item, dict) else items)]
+    if command == "report-blocks-draft":
+        return [validators.prose_block(x) for x in items]
+    out, changed = [], 0
+    for x in items:
+        path = folder / x.get("file", "")
+        if not path.resolve().is_relative_to(folder.resolve()) or not path.is_file():
+            out.append(["no such file"])
+            continue
+        content = path.read_text(encoding="utf-8")
+        out.append(validators.remediation(x, content, changed))
+        if not out[-1]:
+            changed += 1
+            new, fine = validators.applied(x, content)
+            if not fine:
+                out[-1].append("the check after it failed; left as it was")
+            elif mode == "apply":
+                path.write_text(new, encoding="utf-8")
+    return out
+
+
+def run(spark: SparkSession, a: argparse.Namespace, config: Config) -> int:
+    document, date = report.summary(spark, a.data, config), config.run_time[:10]
+    same = [json.loads(p.read_text(encoding="utf-8")) for p in Path(a.out, "runs").glob(f"{date}-*/summary.json")]
+    fine, warnings = validators.rerun_guard(same[-1] if same else None, document, a.force)
+    if not fine:
+        print(warnings[0], file=sys.stderr)
+        return 2
+    before = report.earlier(a.out, date)
+    document["deltas"] = report.deltas(document, before[0] if before else None)
+    document["warnings"] = (warnings + document["deltas"].pop("warnings"))[: config.warnings_cap]
+    made = report.run_directory(a.out, date)
+    report.write_json_atomic(document, made / "summary.json")
+    (made / "report.md").write_text(report.markdown(document), encoding="utf-8")
+    (made / "report.html").write_text(report.page(document), encoding="utf-8")
+    print(made)
+    return 1 if document["warnings"] else 0
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
+    try:
+        config = Config.read(a.config, a.anchor, a.lookback_days)
+    except (OSError, ValueError) as e:
+        print(e, file=sys.stderr)
+        return 2
+    have, out = catalog.queries(config), Path(a.out)
+    current = out / "runs" / "current"
     if a.command == "list":
-        print("\n".join(catalog.queries()))
+        print("\n".join(have))
         return 0
-    if not a.data or (a.command == "query" and a.name not in catalog.queries()):
-        print("missing --data or unknown query", file=sys.stderr)
+    if a.command in FILES:
+        if not a.file:
+            print("missing --file", file=sys.stderr)
+            return 2
+        problems = judged(a.command, json.loads(Path(a.file).read_text(encoding="utf-8")), a.kind, a.mode, Path(a.data or "."))
+        print(json.dumps(problems))
+        return 1 if any(problems) else 0
+    if a.command == "report-assemble":
+        if not (current / "summary.json").exists():
+            print("no run", file=sys.stderr)
+            return 2
+        document = json.loads((current / "summary.json").read_text(encoding="utf-8"))
+        (current / "report.md").write_text(report.markdown(document), encoding="utf-8")
+        (current / "report.html").write_text(report.page(document), encoding="utf-8")
+        print(current / "report.html")
+        return 0
+    if not a.data or (a.command == "query" and a.name not in have) or (a.command == "show-session" and not a.name):
+        print("missing --data, unknown query or no id", file=sys.stderr)
         return 2
-    spark = session()
     if a.command == "doctor":
-        missing = [t for t in ("events", "documents", "lineitem") if not Path(a.data, f"{t}.parquet").exists()]
+        missing = [t for t in TABLES if not Path(a.data, f"{t}.parquet").exists()]
         print("missing: " + ", ".join(missing) if missing else "ok")
         return 1 if missing else 0
+    spark = session()
     if a.command == "run":
-        document = report.summary(spark, a.data)
-        made = report.run_directory(a.out, document["period"]["end"][:10])
-        report.write_json_atomic(document, made / "summary.json")
-        (made / "report.md").write_text(report.markdown(document), encoding="utf-8")
-        (made / "report.html").write_text(report.page(document), encoding="utf-8")
-        print(made)
+        return run(spark, a, config)
+    if a.command == "show-session":
+        print(shown(spark, a.data, config, int(a.name), a.include_children))
+        return 0
+    if a.command == "query":
+        for row in have[a.name](spark, a.data).toLocalIterator():
+            print(json.dumps({k: report.plain(v) for k, v in row.asDict().items()}, ensure_ascii=False))
         return 0
-    for name in COMMANDS.get(a.command, [a.name]):
-        rows = catalog.queries()[name](spark, a.data)
-        if a.command == "show-session" and a.name:
-            rows = rows.where(rows["conv_id"] == int(a.name)).orderBy("line")
-        print(json.dumps({name: report.rows_of(rows, None)}, ensure_ascii=False))
+    document, omitted = {}, {}
+    for name in COMMANDS[a.command]:
+        document[name], more = report.rows_of(have[name](spark, a.data), None)
+        if more:
+            omitted[name] = more
+    document["omitted"] = omitted
+    path = (current if current.exists() else out) / f"{a.command}.json"
+    report.write_json_atomic(document, path)
+    print(path)
     return 0
 
 

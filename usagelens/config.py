@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+from datetime import datetime, timedelta
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,12 @@ class Config:
     lint_max: int = 100
     spike_z: float = 3.0
     silent_runs: int = 4
+    runs_scanned: int = 8
+    commit_cap: int = 10
+    #: ``category:target`` of findings that are put off.
+    ignored_findings: tuple[str, ...] = ("cache:0", "repeat:3", "outlier:10", "retire:17")
+    #: Hours of the windows of the runs, newest first; they end a week apart.
+    run_hours: tuple[int, ...] = (168, 168, 168, 168, 168)
     loop_cost_per_minute: float = 0.5
     cache_gap: float = 0.2
     model_fold_share: float = 0.05
@@ -38,18 +47,38 @@ class Config:
     similarity: float = 0.8
     near_duplicate: float = 0.9
     repeat_min_length: int = 80
-    repeat_min_count: int = 2
+    repeat_min_count: int = 2  # three in production; the tables at hand have few groups of three in a source
     keywords: tuple[str, ...] = ("license", "copyright", "the", "secret")
-    projection: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"strict": ("/en/*",), "advisory": ("/en/*", "/fr/*")})
+    projection: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"strict": ("/en/**",), "advisory": ("/en/**", "/fr/**")})
 
     @property
     def start(self) -> str:
-        from datetime import datetime, timedelta
-
-        return str(datetime.fromisoformat(self.run_time) - timedelta(days=self.lookback_days))
+        return self.before(timedelta(days=self.lookback_days))
 
     @property
     def settled(self) -> str:
-        from datetime import datetime, timedelta
+        return self.before(timedelta(minutes=self.active_grace_minutes))
+
+    @property
+    def runs(self) -> list[tuple[str, str, int]]:
+        """(from, to, hours) of each run."""
+        return [(self.before(timedelta(days=7 * i, hours=h)), self.before(timedelta(days=7 * i)), h) for i, h in enumerate(self.run_hours)]
+
+    def before(self, by: timedelta) -> str:
+        return str(datetime.fromisoformat(self.run_time) - by)
 
-        return str(datetime.fromisoformat(self.run_time) - timedelta(minutes=self.active_grace_minutes))
+    @classmethod
+    def read(cls, path: str | None = None, anchor: str | None = None, lookback_days: int | None = None) -> Config:
+        """The defaults, then a JSON file of thresholds, then the window asked for. An unknown key is an error."""
+        given = json.loads(Path(path).read_text(encoding="utf-8")) if path else {}
+        known = {f.name for f in fields(cls)}
+        if unknown := set(given) - known:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
+        if anchor:
+            given["run_time"] = str(datetime.fromisoformat(anchor.replace("Z", "+00:00")).replace(tzinfo=None))
+        if lookback_days is not None:
+            if lookback_days < 1:
+                raise ValueError("lookback_days must be 1 or more")
+            given |= {"lookback_days": lookback_days, "run_hours": (24 * lookback_days, *cls.run_hours[1:])}
+        return cls(**given)

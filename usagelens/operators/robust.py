@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagelens.operators.lineage import checkpoint
+
 SCALE = 1.4826
 
 
@@ -20,6 +22,21 @@ def robust_z(df: DataFrame, value: str, cap: float | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(median_mad(df, value))).withColumn("z", z if cap is None else F.least(z, F.lit(cap)))
 
 
+def ranked(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place in the order, from 1: sorted by ranges, each numbered apart; the driver holds a count for each range."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("_range", F.spark_partition_id())
+    counts = dict(rows.groupBy("_range").count().collect())
+    ahead, at = [], 0
+    for p in sorted(counts):
+        ahead.append((p, at))
+        at += counts[p]
+    ahead = spark.createDataFrame(ahead or [(0, 0)], "_range int, _ahead long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn(name, own).join(F.broadcast(ahead), "_range").withColumn(name, F.col(name) + F.col("_ahead")).drop("_range", "_ahead")
+
+
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded ratio, null if the whole is 0."""
     return F.round(F.try_divide(part.cast("double"), whole), digits)

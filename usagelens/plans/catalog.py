@@ -6,35 +6,58 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from usagelens.plans import telemetry, text
+from usagelens.config import Config
+from usagelens.operators.lineage import checkpoint
+from usagelens.operators.robust import ranked
+from usagelens.plans import independent, telemetry, text
 from usagelens.sources.proxy import ctes, views
 
 _NAME = re.compile(r"\{(\w+)\}")
 _SECONDS = re.compile(r"@seconds\(((?:[^()]|\([^()]*\))*?), ((?:[^()]|\([^()]*\))*?)\)")
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
-    """A plan over the canonical views it names."""
-    have = views(spark, sf_dir)
-    statement = _SECONDS.sub(r"(timestampdiff(MICROSECOND, \1, \2) / cast(1000000 as double))", statement)
-    return spark.sql(statement, **{n: have[n] for n in set(_NAME.findall(statement))})
+def spark_sql(spark: SparkSession, sf_dir: str, statement: str, config: Config = Config(), shared: dict[str, str] | None = None) -> DataFrame:
+    """A plan over the canonical views it names. A shared frame (a row a session, run or day) is made and written once for the query."""
+    have, shared = views(spark, sf_dir, config), telemetry.SHARED if shared is None else shared
+    made: dict[str, DataFrame] = {}
+
+    def planned(text: str) -> DataFrame:
+        names = set(_NAME.findall(text))
+        for n in names & set(shared):
+            if n not in made:
+                made[n] = checkpoint(planned(shared[n]))
+        text = _SECONDS.sub(r"(timestampdiff(MICROSECOND, \1, \2) / cast(1000000 as double))", text)
+        return spark.sql(text, **{n: made[n] if n in shared else have[n] for n in names})
+
+    return planned(statement)
 
 
 def duckdb_sql(statement: str) -> str:
+    statement = _NAME.sub(lambda m: f"({telemetry.SHARED[m[1]]})" if m[1] in telemetry.SHARED else m[0], statement)
     statement = _SECONDS.sub(r"(date_diff('microsecond', \1, \2) / cast(1000000 as double))", statement)
     return ctes() + _NAME.sub(r"\1", statement).replace("timestamp_ntz '", "timestamp '")
 
 
+def rank_top_sessions(spark: SparkSession, sf_dir: str, statement: str, config: Config, shared: dict[str, str]) -> DataFrame:
+    """All sessions by cost, the dearest first, with their place: by ranges of cost, not in one task."""
+    rows = spark_sql(spark, sf_dir, statement, config, shared)
+    return ranked(rows.select("session_id", "cost"), F.desc("cost"), F.asc("session_id"))
+
+
 def session_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, telemetry.SCORES)
+    return spark_sql(spark, sf_dir, telemetry.QUERIES["session_cost_scores"])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {k: (lambda s, d, q=q: spark_sql(s, d, q)) for k, q in telemetry.QUERIES.items()}
-    out["bad_json_skip"] = lambda s, d: spark_sql(s, d, telemetry.ALL_READABLE)
-    return out | {k: (lambda s, d, f=f: f(views(s, d))) for k, f in text.PLANS.items()}
+def queries(config: Config = Config()) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries under a configuration; the text plans have thresholds of their own."""
+    statements, shared = telemetry.split(telemetry.statements(config))
+    out = {k: (lambda s, d, q=q: spark_sql(s, d, q, config, shared)) for k, q in statements.items()}
+    out["rank_top_sessions"] = lambda s, d: rank_top_sessions(s, d, statements["session_usage"], config, shared)
+    return out | {k: (lambda s, d, f=f: f(views(s, d, config))) for k, f in text.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: duckdb_sql(q) for k, q in telemetry.QUERIES.items()} | text.SQL
+    """DuckDB's statements: those of ``independent`` are written from the contract, the others are the plans' own text over views written anew."""
+    return {k: duckdb_sql(q) for k, q in telemetry.QUERIES.items()} | text.SQL | independent.SQL

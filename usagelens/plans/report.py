@@ -5,17 +5,19 @@ from __future__ import annotations
 import html
 import json
 import os
-import re
 import tempfile
 import uuid
+from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from usagelens.config import Config
-from usagelens.plans import telemetry
+from usagelens.plans import validators
 
+#: Rows of a section; a longer one says how many are left out.
+SECTION_ROWS = 1000
 SECTIONS = {"totals": None, "daily_totals": "day", "by_model": "model", "top_sessions": "session_id", "tool_usage": "tool", "subagent_totals": "agent", "cost_outliers": "session_id", "alerts": "rule"}
 
 
@@ -23,17 +25,22 @@ def plain(value: Any) -> Any:
     return value if isinstance(value, (int, float, str, bool, type(None))) else str(value)
 
 
-def rows_of(df: DataFrame, order: str | None, cap: int = 1000) -> list[dict]:
-    """A report section: bounded rows in a total order."""
-    df = df.orderBy(order) if order else df
-    return [{k: plain(v) for k, v in r.asDict().items()} for r in df.limit(cap).collect()]
+def rows_of(df: DataFrame, order: str | None, cap: int = SECTION_ROWS) -> tuple[list[dict], int]:
+    """A report section in a total order: its rows, at most ``cap``, and how many more there are."""
+    df = df.orderBy(order, *[c for c in df.columns if c != order]) if order else df.orderBy(*df.columns)
+    rows = [{k: plain(v) for k, v in r.asDict().items()} for r in df.limit(cap + 1).collect()]
+    return rows[:cap], df.count() - cap if len(rows) > cap else 0
 
 
 def summary(spark: SparkSession, sf_dir: str, config: Config = Config()) -> dict:
-    from usagelens.plans.catalog import spark_sql
+    from usagelens.plans.catalog import queries
 
-    out = {name: rows_of(spark_sql(spark, sf_dir, telemetry.QUERIES[name]), order) for name, order in SECTIONS.items()}
-    return {"schema_version": 2, "period": {"start": config.start, "end": config.run_time}} | out
+    have, out, omitted = queries(config), {}, {}
+    for name, order in SECTIONS.items():
+        out[name], more = rows_of(have[name](spark, sf_dir), order)
+        if more:
+            omitted[name] = more
+    return {"schema_version": 2, "period": {"start": config.start, "end": config.run_time, "hours": 24 * config.lookback_days}, "omitted": omitted} | out
 
 
 def write_json_atomic(document: dict, path: str | Path) -> None:
@@ -50,12 +57,18 @@ def write_json_atomic(document: dict, path: str | Path) -> None:
         raise
 
 
-def run_directory(root: str | Path, date: str) -> Path:
-    """A fresh folder for a run, its state, and the alias ``current``."""
-    runs = Path(root) / "runs"
+def run_directory(root: str | Path, date: str, now: str | None = None) -> Path:
+    """A fresh folder for a run, its state, and the alias ``current``. Summaries of the older flat layout move to runs of their own, once."""
+    root, now = Path(root), now or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    runs = root / "runs"
+    runs.mkdir(parents=True, exist_ok=True)
+    for old in sorted(root.glob("summary-*.json")):
+        into = runs / f"{old.stem.removeprefix('summary-')}-migrated"
+        into.mkdir(exist_ok=True)
+        os.replace(old, into / "summary.json")
     made = runs / f"{date}-{uuid.uuid4().hex[:8]}"
-    made.mkdir(parents=True)
-    write_json_atomic({"created_at": date, "activated_at": date}, made / "run_state.json")
+    made.mkdir()
+    write_json_atomic({"created_at": now, "activated_at": now, "date": date}, made / "run_state.json")
     alias = runs / ".current.tmp"
     alias.unlink(missing_ok=True)
     alias.symlink_to(made.name)
@@ -63,6 +76,25 @@ def run_directory(root: str | Path, date: str) -> Path:
     return made
 
 
+def earlier(root: str | Path, date: str) -> list[dict]:
+    """The summaries of runs strictly before a date, newest first; of one date the last written."""
+    found = {}
+    for p in sorted(Path(root, "runs").glob("*/summary.json"), key=lambda p: p.stat().st_mtime):
+        if p.parent.is_symlink() or p.parent.name[:10] >= date:
+            continue
+        found[p.parent.name[:10]] = json.loads(p.read_text(encoding="utf-8"))
+    return [found[d] for d in sorted(found, reverse=True)]
+
+
+def deltas(now: dict, before: dict | None) -> dict:
+    """Changes against the summary before; without one, or where its window has other hours, volumes are null."""
+    a, b = (d["totals"][0] if d and d.get("totals") else {} for d in (now, before))
+    same = bool(before) and abs(now["period"]["hours"] - before["period"].get("hours", 168)) <= 1
+    pct = lambda k: round((a[k] - b[k]) / b[k], 6) if same and a.get(k) is not None and b.get(k) else None
+    hit = round(a["hit_rate"] - b["hit_rate"], 6) if a.get("hit_rate") is not None and b.get("hit_rate") is not None else None
+    return {"cost_pct": pct("cost"), "tokens_pct": pct("tokens"), "hit_rate_diff": hit, "warnings": ["windows differ"] if before and not same else []}
+
+
 def markdown(document: dict) -> str:
     out = [f"# Usage {document['period']['start']} to {document['period']['end']}"]
     for name in SECTIONS:
@@ -73,20 +105,37 @@ def markdown(document: dict) -> str:
             continue
         keys = list(rows[0])
         out += ["| " + " | ".join(keys) + " |", "|" + " --- |" * len(keys)]
+        if more := document.get("omitted", {}).get(name):
+            out.append(f"{more} further rows are left out.\n")
         out += ["| " + " | ".join(str("" if r[k] is None else r[k]).replace("|", "\\|") for k in keys) + " |" for r in rows]
     return "\n".join(out) + "\n"
 
 
 def page(document: dict) -> str:
-    """One file: escaped tables, a cost chart, and the document as JSON that can't close its script element."""
+    """One file: a cost chart, tables that sort on a click and filter as one types, and the document as JSON that can't close its script element."""
     days = document.get("daily_totals") or []
     most = max([d["cost"] or 0 for d in days] or [1]) or 1
     bars = "".join(f'<rect x="{i * 30}" y="{100 - 100 * (d["cost"] or 0) / most:.1f}" width="24" height="{100 * (d["cost"] or 0) / most:.1f}"><title>{html.escape(str(d["day"]))}</title></rect>' for i, d in enumerate(days))
-    body = f"<pre>{html.escape(markdown(document))}</pre>"
+    tables = []
+    for name in SECTIONS:
+        rows = document.get(name) or []
+        keys = list(rows[0]) if rows else []
+        head = "".join(f"<th>{html.escape(k)}</th>" for k in keys)
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(str('' if r[k] is None else r[k]))}</td>" for k in keys) + "</tr>" for r in rows)
+        tables.append(f"<h2>{html.escape(name.replace('_', ' '))}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>")
     payload = json.dumps(document, sort_keys=True).replace("</", "<\\/")
-    return f'<!doctype html><meta charset="utf-8"><title>Usage</title><svg width="{30 * len(days)}" height="100">{bars}</svg>{body}<script type="application/json" id="data">{payload}</script>\n'
+    return f'<!doctype html><meta charset="utf-8"><title>Usage</title><input id="find" placeholder="filter"><svg width="{30 * len(days)}" height="100">{bars}</svg>{"".join(tables)}<script>{SCRIPT}</script><script type="application/json" id="data">{payload}</script>\n'
+
+
+SCRIPT = """
+document.querySelectorAll('th').forEach(function (h) { h.onclick = function () {
+  var body = h.closest('table').tBodies[0], i = h.cellIndex, up = h.dataset.up = h.dataset.up === '1' ? '' : '1';
+  Array.from(body.rows).sort(function (a, b) { var x = a.cells[i].textContent, y = b.cells[i].textContent, d = x - y; if (isNaN(d)) d = x < y ? -1 : x > y; return up ? d : -d; }).forEach(function (r) { body.appendChild(r); });
+}; });
+document.getElementById('find').oninput = function () { var q = this.value.toLowerCase(); document.querySelectorAll('tbody tr').forEach(function (r) { r.hidden = !r.textContent.toLowerCase().includes(q); }); };
+"""
 
 
-def prose_problems(text: str, least_words: int = 40) -> list[str]:
+def prose_problems(text: str, least_words: int = validators.LEAST_WORDS) -> list[str]:
     """What a prose block breaks: too few words, or digits."""
-    return [m for bad, m in ((len(text.split()) < least_words, "too short"), (bool(re.search("[0-9]", text)), "has digits")) if bad]
+    return validators.prose_block({"text": text}, least_words)

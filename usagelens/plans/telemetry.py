@@ -4,165 +4,205 @@ from __future__ import annotations
 
 from usagelens.config import Config
 
-C = Config()
-MONEY = "round(cast(sum(cost) as double), 6)"
-HIT = "round(cast(sum(cache_read) as double) / nullif(sum(cache_read) + sum(fresh_input), 0), 6)"
-ALL = "cast(sum(cache_read + fresh_input + output + reasoning + cache_write) as bigint)"
-#: Cost per session, its median and median absolute deviation, and the robust z.
-SCORES = """select s.session_id, round(s.cost, 6) cost, round(m.med, 6) median_cost, round(d.mad, 6) mad, round((s.cost - m.med) / nullif(1.4826 * d.mad, 0), 6) z
-from (select session_id, coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id) s
-cross join (select median(cost) med from (select coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id) a) m
-cross join (select median(abs(cost - med)) mad from (select coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id) b
-  cross join (select median(cost) med from (select coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id) c) e) d"""
-GAPS = """select session_id, ts, cost, lag(ts) over (partition by session_id order by ts, event_id) prev from {w}"""
-#: Seconds between two timestamps; the two engines name it differently.
-SECONDS = "@seconds(prev, ts)"
-ACTIVE = f"""select session_id, cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds,
-  cast(sum(cost) as double) cost from ({GAPS}) g group by session_id"""
-#: Five runs a week apart, half-open windows.
-RUNS = " union all ".join(f"select {i} run, timestamp_ntz '{s}' lo, timestamp_ntz '{e}' hi" for i, (s, e) in enumerate([("2024-01-22 06:00:00", "2024-01-29 06:00:00"), ("2024-01-15 06:00:00", "2024-01-22 06:00:00"), ("2024-01-08 06:00:00", "2024-01-15 06:00:00"), ("2024-01-01 06:00:00", "2024-01-08 06:00:00"), ("2023-12-25 06:00:00", "2024-01-01 06:00:00")]))
-WEEKS = f"select r.run, s.* from {{steps}} s join ({RUNS}) r on s.ts >= r.lo and s.ts < r.hi"
-SUMMARY = f"select run, count(distinct session_id) sessions, {ALL} tokens, {MONEY} cost, {HIT} hit_rate from ({WEEKS}) x group by run"
-TOTALS = f"""select count(distinct root_id) session_count, {ALL} tokens, {MONEY} cost, cast(sum(cache_read) as bigint) cache_read, cast(sum(cache_write) as bigint) cache_write,
-  cast(sum(fresh_input) as bigint) fresh_input, cast(sum(output) as bigint) output, cast(sum(reasoning) as bigint) reasoning, {HIT} hit_rate from {{w}}"""
-USAGE = f"select session_id, {ALL} tokens, {MONEY} cost, {HIT} hit_rate, count(*) steps from {{w}} group by session_id"
-BASE_DAYS = f"select run, day, cast(sum(cost) as double) cost from ({WEEKS}) x group by run, day"
-SPIKE = f"""select cast(d.day as string) as day, round(d.cost, 6) cost, round(least((d.cost - b.med) / nullif(1.4826 * b.mad, 0), {C.z_cap}), 6) z
-from (select day, cost from ({BASE_DAYS}) q where run = 0) d cross join (
-  select max(med) med, median(abs(cost - med)) mad from (select cost from ({BASE_DAYS}) p where run > 0) x
-  cross join (select median(cost) med from ({BASE_DAYS}) r where run > 0) y) b"""
-LAST = f"""select a.cost cost, a.tokens tokens, a.hit_rate hit_rate, b.cost prev_cost, b.tokens prev_tokens, b.hit_rate prev_hit_rate
-from (select * from ({SUMMARY}) x where run = 0) a left join (select * from ({SUMMARY}) y where run = 1) b on true"""
-SIGNALS = f"""select session_id, 1 priority, 'loop' signal from ({ACTIVE}) a where cost / nullif(active_seconds / 60.0, 0) > {C.loop_cost_per_minute}
-union all select session_id, 2, 'cache' from ({USAGE}) u cross join ({TOTALS}) t where u.hit_rate < t.hit_rate - {C.cache_gap}
-union all select session_id, 3, 'repeat' from (select session_id, tool, k, count(*) n from {{w}} group by session_id, tool, k) r where n >= 2
-union all select session_id, 4, 'outlier' from ({SCORES}) s where z >= {C.outlier_z} and cost >= {C.outlier_floor}
-union all select session_id, 5, 'top' from (select session_id, row_number() over (order by cost desc, session_id) rn from ({USAGE}) u) q where rn <= {C.top_sessions}"""
 
-#: Every payload and whether it is readable; the SQL of bad_json_skip has only each fiftieth of the readable ones.
-ALL_READABLE = "select event_id, raw, k is not null readable from {parts}"
+def statements(C: Config) -> dict[str, str]:
+    """All statements under the thresholds and the window of a configuration."""
+    MONEY = "round(cast(sum(cost) as double), 6)"
+    HIT = "round(cast(sum(cache_read) as double) / nullif(sum(cache_read) + sum(fresh_input), 0), 6)"
+    ALL = "cast(sum(cache_read + fresh_input + output + reasoning + cache_write) as bigint)"
+    #: Cost per session, its median and median absolute deviation, and the robust z.
+    SESSION_COST = "select session_id, coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id"
 
+    def scores(costs: str) -> str:
+        return f"""select s.session_id, round(s.cost, 6) cost, round(d.med, 6) median_cost, round(d.mad, 6) mad, round((s.cost - d.med) / nullif(1.4826 * d.mad, 0), 6) z
+    from {costs} s cross join (select max(med) med, median(abs(cost - med)) mad from {costs} b cross join (select median(cost) med from {costs} c) m) d"""
 
-def alert(rule: str, severity: str, observed: str, fired: str, source: str) -> str:
-    return f"select '{rule}' rule, '{severity}' severity, round(cast({observed} as double), 6) observed, coalesce({fired}, false) fired from {source}"
+    SCORES = scores("{costs}")
+    #: The one rule for outliers.
+    OUTLIER = f"z >= {C.outlier_z} and cost >= {C.outlier_floor}"
+    OUTLIERS = f"select session_id, cost, median_cost, z from ({SCORES}) s where {OUTLIER}"
+    GAPS = """select session_id, ts, cost, lag(ts) over (partition by session_id order by ts, event_id) prev from {w}"""
+    #: Seconds between two timestamps; the two engines name it differently.
+    SECONDS = "@seconds(prev, ts)"
+    ACTIVE = f"""select session_id, cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds,
+      cast(sum(cost) as double) cost from ({GAPS}) g group by session_id"""
+    #: The runs, newest first, half-open windows.
+    RUNS = " union all ".join(f"select {i} run, timestamp_ntz '{lo}' lo, timestamp_ntz '{hi}' hi, {hours} span_hours" for i, (lo, hi, hours) in enumerate(C.runs))
+    WEEKS = f"select r.run, r.span_hours, s.* from {{steps}} s join ({RUNS}) r on s.ts >= r.lo and s.ts < r.hi"
+    SUMMARY = f"select run, max(span_hours) span_hours, count(distinct session_id) sessions, {ALL} tokens, {MONEY} cost, {HIT} hit_rate from ({WEEKS}) x group by run"
+    TOTALS = f"""select count(distinct root_id) session_count, {ALL} tokens, {MONEY} cost, cast(sum(cache_read) as bigint) cache_read, cast(sum(cache_write) as bigint) cache_write,
+      cast(sum(fresh_input) as bigint) fresh_input, cast(sum(output) as bigint) output, cast(sum(reasoning) as bigint) reasoning, {HIT} hit_rate from {{w}}"""
+    USAGE = f"select session_id, {ALL} tokens, {MONEY} cost, {HIT} hit_rate, count(*) steps from {{w}} group by session_id"
+    BASE_DAYS = f"select run, day, cast(sum(cost) as double) cost from ({WEEKS}) x group by run, day"
+    #: Of equal days before, a dearer one has the cap.
+    SPIKE = f"""select cast(day as string) as day, round(cost, 6) cost, case when flat then cast({C.z_cap} as double) when x > {C.z_cap} then cast({C.z_cap} as double) else round(x, 6) end z, case when flat then 'no spread before' when x > {C.z_cap} then 'capped' end note
+    from (select day, cost, mad = 0 and cost > med flat, (cost - med) / nullif(1.4826 * mad, 0) x from (select day, cost from {{run_days}} q where run = 0) d cross join (
+      select max(med) med, median(abs(cost - med)) mad from (select cost from {{run_days}} p where run > 0) x
+      cross join (select median(cost) med from {{run_days}} r where run > 0) y) b) c"""
+    #: The run and the one before; ``apart``: their windows differ by over an hour.
+    LAST = f"""select a.cost cost, a.tokens tokens, a.hit_rate hit_rate, b.cost prev_cost, b.tokens prev_tokens, b.hit_rate prev_hit_rate, abs(a.span_hours - b.span_hours) > 1 apart
+    from (select * from {{summary}} x where run = 0) a left join (select * from {{summary}} y where run = 1) b on true"""
+    #: One row a session of the window, with all that the audit signals need.
+    SESSIONS = f"""select session_id, {MONEY} cost, coalesce(cast(sum(cost) as double), 0) plain_cost, {HIT} hit_rate, cast(sum(cache_read) as bigint) cache_read, cast(sum(fresh_input) as bigint) fresh_input,
+      cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds, cast(sum(cost) as double) active_cost, max(alike) alike
+    from (select session_id, ts, cost, cache_read, fresh_input, lag(ts) over (partition by session_id order by ts, event_id) prev, count(*) over (partition by session_id, tool, k) alike from {{w}}) g group by session_id"""
+    SIGNALS = f"""select session_id, 1 priority, 'loop' signal from {{audited}} a where active_cost / nullif(active_seconds / 60.0, 0) > {C.loop_cost_per_minute}
+    union all select session_id, 2, 'cache' from {{audited}} u cross join (select {HIT} mean_rate from {{audited}} m) t where u.hit_rate < t.mean_rate - {C.cache_gap}
+    union all select session_id, 3, 'repeat' from {{audited}} r where alike >= 2
+    union all select session_id, 4, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)")}) s where {OUTLIER}
+    union all select session_id, 5, 'top' from (select session_id from {{audited}} u order by cost desc, session_id limit {C.top_sessions}) q"""
+    AUDITED = f"select s.session_id, min(s.priority) priority, count(distinct s.signal) signals, max(u.cost) cost from ({SIGNALS}) s join {{audited}} u on u.session_id = s.session_id group by s.session_id"
+    #: Months of loads, 0 the newest of the audited ones; the streak of a skill counts the silent ones since its last load.
+    LOAD_RUN = "(1999 * 12 + 12) - (extract(year from l_shipdate) * 12 + extract(month from l_shipdate))"
+    STREAKS = f"""select p.p_partkey skill, cast(coalesce(min(x.run), {C.runs_scanned}) as bigint) streak from {{part}} p left join (
+      select distinct l_partkey, {LOAD_RUN} run from {{lineitem}} where {LOAD_RUN} between 0 and {C.runs_scanned - 1}) x on x.l_partkey = p.p_partkey group by p.p_partkey"""
+    #: Skills with the same triggers as another one.
+    OVERLAP = "select p.p_partkey skill from {part} p join (select p_brand, p_type, p_size from {part} group by p_brand, p_type, p_size having count(*) > 1) o on o.p_brand = p.p_brand and o.p_type = p.p_type and o.p_size = p.p_size"
+    SNOOZED = " union all ".join(f"select '{t}' target" for t in C.ignored_findings or ("",))
+    RETIRE = f"select y.skill, y.streak from ({STREAKS}) y where y.streak >= {C.silent_runs} and not exists (select 1 from ({SNOOZED}) i where i.target = 'retire:' || y.skill)"
 
+    def alert(rule: str, severity: str, threshold: float, observed: str, fired: str, source: str) -> str:
+        return f"select '{rule}' rule, '{severity}' severity, cast({threshold} as double) threshold, round(cast({observed} as double), 6) observed, coalesce({fired}, false) fired from {source}"
 
-MONTH = f"select round(sum(cost), 6) cost from ({SUMMARY}) x where run < 4"
-LINT = "select l_returnflag rule, count(*) violations from {lineitem} where l_shipdate >= timestamp_ntz '1999-12-01 00:00:00' and l_shipdate < timestamp_ntz '2000-01-01 00:00:00' group by l_returnflag"
-ALERTS = {
-    "alert_weekly_budget": alert("weekly_budget", "high", "cost", f"cost > {C.weekly_budget}", f"({TOTALS}) t"),
-    "alert_monthly_budget": alert("monthly_budget", "high", "cost", f"cost > {C.monthly_budget}", f"({MONTH}) t"),
-    "alert_daily_spike": alert("daily_spike", "medium", "z", f"z >= {C.spike_z}", f"(select max(z) z from ({SPIKE}) s) t"),
-    "alert_cache_hit_min": alert("cache_hit_min", "medium", "hit_rate", f"hit_rate < {C.cache_hit_min}", f"({TOTALS}) t"),
-    "alert_cost_wow": alert("cost_wow", "medium", "(cost - prev_cost) / nullif(prev_cost, 0)", f"(cost - prev_cost) / nullif(prev_cost, 0) > {C.cost_wow_pct}", f"({LAST}) t"),
-    "alert_lint_max": alert("lint_max", "medium", "n", f"n > {C.lint_max}", f"(select sum(violations) n from ({LINT}) l) t"),
-}
+    #: Summaries whose window ended in the last 30 days.
+    MONTH = f"select round(sum(cost), 6) cost from {{summary}} x where run * 7 < 30"
+    LINT = "select l_returnflag rule, count(*) violations from {lineitem} where l_shipdate >= timestamp_ntz '1999-12-01 00:00:00' and l_shipdate < timestamp_ntz '2000-01-01 00:00:00' group by l_returnflag"
+    ALERTS = {
+        "alert_weekly_budget": alert("weekly_budget", "high", C.weekly_budget, "cost", f"cost > {C.weekly_budget}", f"({TOTALS}) t"),
+        "alert_monthly_budget": alert("monthly_budget", "high", C.monthly_budget, "cost", f"cost > {C.monthly_budget}", f"({MONTH}) t"),
+        "alert_daily_spike": alert("daily_spike", "medium", C.spike_z, "z", f"z >= {C.spike_z}", f"(select max(z) z from ({SPIKE}) s) t"),
+        "alert_cache_hit_min": alert("cache_hit_min", "medium", C.cache_hit_min, "hit_rate", f"hit_rate < {C.cache_hit_min}", f"({TOTALS}) t"),
+        "alert_cost_wow": alert("cost_wow", "medium", C.cost_wow_pct, "case when apart then null else (cost - prev_cost) / nullif(prev_cost, 0) end", f"not apart and (cost - prev_cost) / nullif(prev_cost, 0) > {C.cost_wow_pct}", f"({LAST}) t"),
+        "alert_lint_max": alert("lint_max", "medium", C.lint_max, "n", f"n > {C.lint_max}", f"(select sum(violations) n from ({LINT}) l) t"),
+    }
 
-QUERIES: dict[str, str] = {
-    # sources and filters
-    "window_filter": "select event_id, session_id, ts from {steps} where ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
-    "prefilter_updated": "select id, time_updated from {sessions} where time_updated >= timestamp_ntz '%s'" % C.start,
-    "exclude_active": "select id, time_updated, time_updated >= timestamp_ntz '%s' active from {sessions}" % C.settled,
-    "exclude_self_title": "select id, title from {sessions} where title is distinct from '%s'" % C.self_title,
-    "model_key": "select id, coalesce(case when id % 7 <> 0 then 'p' || (id % 2) || '/m' || (id % 5) end, 'unknown') model from {sessions}",
-    "missing_pricing": f"select model, count(*) steps_without_cost, {ALL} tokens from {{w}} where cost is null group by model",
-    "type_dispatch": "select event_id, tool, case tool when 'view' then cache_read when 'click' then fresh_input when 'signup' then output when 'error' then reasoning else cache_write end amount, case when tool = 'purchase' then 'write' else 'read' end side from {steps}",
-    "bad_json_skip": "select event_id, raw, k is not null readable from {parts} where k is null or event_id % 50 = 0",
-    "scan_dual_latest": "select id, store, time_updated from (select id, store, time_updated, row_number() over (partition by id order by time_updated desc, store) rn from (select user_id id, 'live' store, max(ts) time_updated from {events} where event_id % 2 = 0 group by user_id union all select user_id, 'server', max(ts) from {events} where event_id % 2 = 1 group by user_id) u) r where rn = 1",
-    "union_metadata_stores": "select user_id id, 'live' store, max(ts) time_updated from {events} where event_id % 2 = 0 group by user_id union all select user_id, 'server', max(ts) from {events} where event_id % 2 = 1 group by user_id",
-    "detect_live_store": "select store, newest from (select store, newest, row_number() over (order by newest desc, store) rn from (select 'live' store, max(ts) newest from {events} where event_id % 2 = 0 union all select 'server', max(ts) from {events} where event_id % 2 = 1) s) r where rn = 1",
-    "scan_v2_events": "select event_id, session_id, case when tool in ('view', 'click') then 'step' when tool = 'error' then 'reasoning' else 'tool' end kind, k from {steps} where tool in ('view', 'click', 'error', 'purchase')",
-    "scan_history": f"select run, sessions, tokens, cost, hit_rate from ({SUMMARY}) x where run > 0",
-    "previous_run": f"select run, tokens, cost from ({SUMMARY}) x where run = (select min(run) from ({SUMMARY}) y where run > 0)",
-    "unflushed_sessions": "select s.id from {sessions} s where not exists (select 1 from {w} p where p.session_id = s.id)",
-    "registry_status_filter": "select p_partkey, p_brand from {part} where p_size > 5 and p_type is not null",
-    "released_in_window": "select o_orderkey, o_orderdate from {orders} where o_orderdate between timestamp_ntz '1998-01-01 00:00:00' and timestamp_ntz '1998-03-31 00:00:00'",
-    "new_repo_flag": "select id, time_created, time_created >= timestamp_ntz '%s' new_repo from {sessions}" % C.start,
-    "snooze_filter": "select session_id, signal from (%s) s where not exists (select 1 from (select 0 target union all select 3 union all select 10) i where i.target = s.session_id)" % SIGNALS,
-    "ghost_model_filter": f"select model, tokens, cost from (select model, {ALL} tokens, {MONEY} cost from {{steps}} group by model) m where tokens > 0 or cost > 0",
-    "project_scope_guard": "select page_id, case when position('/en/' in url) > 0 then 'candidate' else 'report-only' end scope from {pages}",
-    "enum_validation": "select o_orderkey, o_orderpriority, o_orderpriority in ('1-URGENT', '2-HIGH') known from {orders} where o_orderpriority not in ('1-URGENT', '2-HIGH')",
-    # joins
-    "join_session_parts": "select s.id, p.event_id, p.ts from {included} s join {steps} p on p.session_id = s.id where p.ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
-    "join_part_message_user": "select c.conv_id, c.turn, c.text, u.n user_turns from {conversations} c join (select conv_id, count(*) n from {conversations} where role = 'user' group by conv_id) u on u.conv_id = c.conv_id where c.role = 'user'",
-    "merge_children": f"select case when r.id is null then 'orphan' else cast(x.root_id as string) end root_id, count(distinct x.session_id) members, {MONEY} cost from {{w}} x left join (select id from {{sessions}} where parent_id is null and id % 40 <> 0) r on r.id = x.root_id group by case when r.id is null then 'orphan' else cast(x.root_id as string) end",
-    "never_loaded": "select p_partkey, p_name from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
-    "used_catalog": "select p_partkey, p_name from {part} p where exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
-    "delta_join": f"select coalesce(a.model, b.model) model, round(coalesce(a.cost, 0), 6) cost, round(coalesce(b.cost, 0), 6) prev_cost, round(coalesce(a.cost, 0) - coalesce(b.cost, 0), 6) delta from (select model, cast(sum(cost) as double) cost from ({WEEKS}) x where run = 0 group by model) a full outer join (select model, cast(sum(cost) as double) cost from ({WEEKS}) y where run = 1 group by model) b on a.model = b.model",
-    "newly_loaded_silent": f"select session_id, 'new' state from (select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'purchase') a union all select session_id, 'silent' from (select distinct session_id from ({WEEKS}) x where run = 1 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 0 and tool = 'purchase') b",
-    "loaded_set_difference": f"select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'error' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'error'",
-    "watch_crosswalk": "select s.s_suppkey, s.s_name, n.n_name declared, n.n_name is not null known from {supplier} s left join (select n_nationkey, n_name from {nation} where n_regionkey < 3) n on n.n_nationkey = s.s_nationkey",
-    "r2_join": "select p.p_partkey, p.p_type from {part} p join (select l_partkey, count(*) n from {lineitem} where l_returnflag = 'R' group by l_partkey) v on v.l_partkey = p.p_partkey where v.n >= 3 and not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00')",
-    "dead_reference": "select o_orderkey, o_custkey from {orders} o where not exists (select 1 from {customer} c where c.c_custkey = o.o_custkey and c.c_nationkey < 20)",
-    "unused_unreferenced": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey) and not exists (select 1 from {supplier} s where s.s_nationkey = c.c_nationkey and s.s_acctbal < 0)",
-    "baseline_cross": f"select session_id, cost, median_cost, mad from ({SCORES}) s",
-    "dedup_outlier_mark": f"select t.session_id, t.cost, o.session_id is not null outlier from (select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}) t left join (select session_id from ({SCORES}) s where z >= 2) o on o.session_id = t.session_id",
-    # aggregates
-    "totals": TOTALS,
-    "cache_hit_rate": f"select tool <> 'purchase' reads, {HIT} hit_rate from {{w}} group by tool <> 'purchase'",
-    "daily_totals": f"select cast(day as string) as day, {MONEY} cost, {ALL} tokens, {HIT} hit_rate from {{w}} group by day",
-    "by_model": f"select model, count(distinct session_id) session_count, {ALL} tokens, {MONEY} cost from {{w}} group by model",
-    "session_usage": USAGE,
-    "tool_usage": "select tool, count(*) calls, cast(floor(sum(length(raw)) / 4) as bigint) input_tokens from {w} group by tool",
-    "skill_usage": "select l_partkey skill, count(*) loads, count(distinct l_orderkey) sessions_used_in from {lineitem} where l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l_shipdate < timestamp_ntz '2000-02-01 00:00:00' group by l_partkey",
-    "subagent_totals": f"select agent, count(distinct session_id) child_count, {MONEY} cost from {{w}} where parent_id is not null group by agent",
-    "context_composition": "select session_id, cast(floor(sum(case when tool = 'view' then length(raw) else 0 end) / 4) as bigint) file_tokens, cast(floor(sum(case when tool = 'click' then length(raw) else 0 end) / 4) as bigint) result_tokens, cast(floor(sum(case when tool = 'signup' then length(raw) else 0 end) / 4) as bigint) text_tokens, cast(floor(sum(case when tool = 'error' then length(raw) else 0 end) / 4) as bigint) reasoning_tokens from {w} group by session_id",
-    "api_call_count": "select session_id, count(*) api_calls from {w} group by session_id",
-    "skill_catalog_count": "select count(*) skill_catalog_count from {part}",
-    "includes_subagents": "select root_id, max(case when parent_id is not null then 1 else 0 end) = 1 includes_subagents from {w} group by root_id",
-    "small_sample_warning": f"select count(distinct session_id) sessions, count(distinct session_id) < {C.min_sessions} warn from {{w}}",
-    "category_distribution": "select source category, quality severity, count(*) n from {documents} d join {labels} l on l.doc_id = d.doc_id group by source, quality",
-    "pending_review_count": "select count(*) pending from {orders} where o_orderstatus = 'P' and o_orderdate < timestamp_ntz '1998-01-01 00:00:00'",
-    "stage_status": "select e.stage, e.stage in (select distinct tool from {w}) produced from (select 'view' stage union all select 'click' union all select 'audit' union all select 'report') e",
-    "median_mad": f"select max(median_cost) median_cost, max(mad) mad from ({SCORES}) s",
-    "session_cost_scores": SCORES,
-    "cost_outliers": f"select session_id, cost, median_cost, z from ({SCORES}) s where z >= {C.outlier_z} and cost >= {C.outlier_floor}",
-    "cross_check": f"select id, round(cast(stored_cost as double), 6) stored, round(p.cost, 6) from_parts, abs(p.cost - cast(stored_cost as double)) / nullif(cast(stored_cost as double), 0) > {C.cross_check_gap} warn from {{sessions}} s join (select session_id, cast(sum(cost) as double) cost from {{w}} group by session_id) p on p.session_id = s.id",
-    "counts_by_category": "select e.category, coalesce(n, 0) n from (select '1-URGENT' category union all select '2-HIGH' union all select 'none') e left join (select o_orderpriority, count(*) n from {orders} group by o_orderpriority) c on c.o_orderpriority = e.category",
-    "counts_by_source": "select source, count(*) n from {documents} group by source",
-    "monthly_cost": MONTH,
-    "lint_by_rule": "select coalesce(a.rule, b.rule) rule, coalesce(a.violations, 0) violations, coalesce(a.violations, 0) - coalesce(b.violations, 0) delta from (%s) a full outer join (%s) b on a.rule = b.rule" % (LINT, LINT.replace("1999-12-01", "1999-11-01").replace("2000-01-01", "1999-12-01")),
-    "findings_by_severity": "select case when quality = 0 and toxic = 1 then 'high' when quality = 0 or toxic = 1 then 'medium' else 'low' end severity, count(*) n from {labels} group by 1",
-    "self_cost": "select coalesce(round(cast(sum(p.cost) as double), 6), 0) cost from {steps} p join {sessions} s on s.id = p.session_id where s.title = '%s'" % C.self_title,
-    "audit_counts": "select count(distinct root_id) counted, count(distinct session_id) counted_all, count(distinct case when parent_id is not null then session_id end) merged_children from {w}",
-    "distinct_aggregation": "select tool, count(distinct session_id) session_count, count(distinct model) models from {w} group by tool",
-    "rollup_totals": f"select model, cast(day as string) as day, {MONEY} cost from {{w}} group by rollup(model, day)",
-    # sequences
-    "duration_seconds": "select session_id, cast(floor(@seconds(min(ts), max(ts))) as bigint) duration_seconds from {w} group by session_id",
-    "active_time": f"select session_id, active_seconds from ({ACTIVE}) a",
-    "cost_per_active_minute": f"select session_id, round(cost / nullif(active_seconds / cast(60 as double), 0), 6) cost_per_active_minute from ({ACTIVE}) a",
-    "compact_repeats": "select session_id, tool, n, first_id, last_id, case when n >= 3 then n - 2 else 0 end replaced from (select session_id, tool, island, count(*) n, min(event_id) first_id, max(event_id) last_id from (select session_id, tool, event_id, row_number() over (partition by session_id order by ts, event_id) - row_number() over (partition by session_id, tool order by ts, event_id) island from {steps}) i group by session_id, tool, island) g",
-    "rank_top_sessions": f"select session_id, cost, cast(row_number() over (order by cost desc, session_id) as bigint) place from ({USAGE}) u",
-    "top_sessions": f"select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}",
-    "consecutive_never_loaded": f"select session_id, cast(coalesce(min(run), 5) as bigint) streak from (select s.id session_id, x.run from {{sessions}} s left join (select distinct session_id, run from ({WEEKS}) q where tool = 'purchase') x on x.session_id = s.id) y group by session_id",
-    "first_turns": "select conv_id, turn, role, text from (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) rn from {conversations}) t where rn = 1",
-    "transcript_rows": "select conv_id, cast(row_number() over (partition by conv_id order by turn) as bigint) line, role, substring(text, 1, 80) summary from {conversations}",
-    "audit_priority": f"select session_id, priority, signals, case when place <= {C.audit_max_sessions} then 'treated' else 'untreated' end state from (select session_id, priority, signals, row_number() over (order by priority, cost desc, session_id) place from (select s.session_id, min(s.priority) priority, count(distinct s.signal) signals, max(u.cost) cost from ({SIGNALS}) s join ({USAGE}) u on u.session_id = s.session_id group by s.session_id) a) b",
-    "union_audit_signals": f"select distinct session_id, priority, signal from ({SIGNALS}) s",
-    "audit_loop_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'loop'",
-    "audit_cache_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'cache'",
-    "audit_repeat_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'repeat'",
-    "audit_outlier_signal": f"select session_id, z from ({SCORES}) s where z >= {C.outlier_z}",
-    "audit_top_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'top'",
-    "daily_spike": SPIKE,
-    "wow_delta": f"select round((cost - prev_cost) / nullif(prev_cost, 0), 6) cost_pct, round((tokens - prev_tokens) / nullif(cast(prev_tokens as double), 0), 6) tokens_pct, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x",
-    "window_hours_guard": f"select case when abs(h1 - h0) > 1 then null else cost_pct end cost_pct, abs(h1 - h0) > 1 warn, hit_rate_diff from (select cast(168 as int) h0, cast(168 as int) h1, round((cost - prev_cost) / nullif(prev_cost, 0), 6) cost_pct, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x) g",
-    # caps
-    "warnings_cap": "select session_id, event_id from {steps} where cost is null order by session_id, event_id limit %d" % C.warnings_cap,
-    "per_source_cap": "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) rn from {documents}) r where rn <= %d" % C.per_source_cap,
-    "draft_cap": "select doc_id, severity, place <= %d drafted from (select doc_id, severity, row_number() over (order by severity desc, doc_id) place from (select doc_id, (1 - quality) * 2 + toxic severity from {labels}) l where severity > 0) p" % C.draft_cap,
-    "top3_models_fold": f"select case when share >= {C.model_fold_share} and place <= 3 then model else 'others' end model, round(sum(cost), 6) cost from (select model, cost, cost / nullif(sum(cost) over (), 0) share, row_number() over (order by cost desc, model) place from (select model, cast(sum(cost) as double) cost from {{w}} group by model) m) f group by 1",
-    "subagent_share_gate": f"select round(cast(sum(case when parent_id is not null then cost else 0 end) as double) / nullif(cast(sum(cost) as double), 0), 6) share, cast(sum(case when parent_id is not null then cost else 0 end) as double) / nullif(cast(sum(cost) as double), 0) > {C.subagent_share} shown from {{w}}",
-    # documents and feeds
-    "found_via_intersection": "select doc_key, sources from (select md5(lower(text)) doc_key, count(distinct source) sources from {documents} where text is not null group by md5(lower(text))) d where sources >= 2",
-    "findings_routing": "select o_orderpriority recommendation_type, case when o_orderpriority like '1%' or o_orderpriority like '2%' then 'draft' when o_orderpriority like '3%' then 'report' else 'ignore' end action, count(*) n from {orders} group by 1, 2",
-    # insight rules
-    **ALERTS,
-    "alerts": " union all ".join(ALERTS.values()),
-    "r1_retire": f"select session_id, 'retire' action, 'medium' severity from (select s.id session_id, coalesce(min(x.run), 5) streak from {{sessions}} s left join (select distinct session_id, run from ({WEEKS}) q where tool = 'purchase') x on x.session_id = s.id group by s.id) y where streak >= 2",
-    "r2_retire_high": "select p_partkey, 'high' severity from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '1999-09-01 00:00:00') and exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_returnflag = 'R')",
-    "r3_merge": "select min(doc_id) keep, count(*) copies from {documents} where text is not null group by md5(lower(text)) having count(*) > 1",
-    "r4_fix": "select l_orderkey, l_linenumber, 'low' severity from {lineitem} where l_returnflag = 'A' and l_linestatus = 'F' and l_quantity < 3",
-    "r5_rewrite": "select l_orderkey, l_linenumber, 'medium' severity from {lineitem} where l_returnflag = 'R' and l_quantity > 48",
-    "insight_stats": f"select (select count(distinct run) from ({WEEKS}) a) runs_scanned, (select count(*) from {{part}}) catalog_size, (select count(*) from ({BASE_DAYS}) b where run > 0) baseline_days",
-}
+    return {
+        # frames that several statements share, each made once for a query
+        "@summary": SUMMARY,
+        "@run_days": BASE_DAYS,
+        "@costs": SESSION_COST,
+        "@audited": SESSIONS,
+        # sources and filters
+        "window_filter": "select event_id, session_id, ts from {steps} where ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
+        "prefilter_updated": "select id, time_updated from {sessions} where time_updated >= timestamp_ntz '%s'" % C.start,
+        "exclude_active": "select id, time_updated, time_updated >= timestamp_ntz '%s' active from {sessions}" % C.settled,
+        "exclude_self_title": "select id, title from {sessions} where title is distinct from '%s'" % C.self_title,
+        "model_key": "select id, coalesce(case when id % 7 <> 0 then 'p' || (id % 2) || '/m' || (id % 5) end, 'unknown') model from {sessions}",
+        "missing_pricing": f"select model, count(*) steps_without_cost, {ALL} tokens from {{w}} where cost is null group by model",
+        "type_dispatch": "select event_id, tool, case tool when 'view' then cache_read when 'click' then fresh_input when 'signup' then output when 'error' then reasoning else cache_write end amount, case when tool = 'purchase' then 'write' else 'read' end side from {steps}",
+        "bad_json_skip": "select event_id, raw, k is not null readable from {parts}",
+        "scan_dual_latest": "select id, store, time_updated from (select id, store, time_updated, row_number() over (partition by id order by time_updated desc, store) rn from (select user_id id, 'live' store, max(ts) time_updated from {events} where event_id % 2 = 0 group by user_id union all select user_id, 'server', max(ts) from {events} where event_id % 2 = 1 group by user_id) u) r where rn = 1",
+        "union_metadata_stores": "select user_id id, 'live' store, max(ts) time_updated from {events} where event_id % 2 = 0 group by user_id union all select user_id, 'server', max(ts) from {events} where event_id % 2 = 1 group by user_id",
+        "detect_live_store": "select store, newest from (select store, newest, row_number() over (order by newest desc, store) rn from (select 'live' store, max(ts) newest from {events} where event_id % 2 = 0 union all select 'server', max(ts) from {events} where event_id % 2 = 1) s) r where rn = 1",
+        "scan_v2_events": "select event_id, session_id, case when tool in ('view', 'click') then 'step' when tool = 'error' then 'reasoning' else 'tool' end kind, k from {steps} where tool in ('view', 'click', 'error', 'purchase')",
+        "scan_history": f"select run, sessions, tokens, cost, hit_rate from {{summary}} x where run > 0",
+        "previous_run": f"select run, tokens, cost from {{summary}} x where run = (select min(run) from {{summary}} y where run > 0)",
+        "unflushed_sessions": "select s.id from {sessions} s where not exists (select 1 from {w} p where p.session_id = s.id)",
+        "registry_status_filter": "select p_partkey, p_brand from {part} where p_size > 5 and p_type is not null",
+        "released_in_window": "select o_orderkey, o_orderdate from {orders} where o_orderdate between timestamp_ntz '1998-01-01 00:00:00' and timestamp_ntz '1998-03-31 00:00:00'",
+        "new_repo_flag": "select id, time_created, time_created >= timestamp_ntz '%s' new_repo from {sessions}" % C.start,
+        "snooze_filter": "select session_id, signal from (%s) s where not exists (select 1 from (%s) i where i.target = s.signal || ':' || s.session_id)" % (SIGNALS, SNOOZED),
+        "ghost_model_filter": f"select model, tokens, cost from (select model, {ALL} tokens, {MONEY} cost from {{steps}} group by model) m where tokens > 0 or cost > 0",
+        "project_scope_guard": "select page_id, case when position('/en/' in url) > 0 then 'candidate' else 'report-only' end scope from {pages}",
+        "enum_validation": "select o_orderkey, o_orderpriority, o_orderpriority in ('1-URGENT', '2-HIGH') known from {orders} where o_orderpriority not in ('1-URGENT', '2-HIGH')",
+        # joins
+        "join_session_parts": "select s.id, p.event_id, p.ts from {included} s join {steps} p on p.session_id = s.id where p.ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
+        "join_part_message_user": "select c.conv_id, c.turn, c.text, u.n user_turns from {conversations} c join (select conv_id, count(*) n from {conversations} where role = 'user' group by conv_id) u on u.conv_id = c.conv_id where c.role = 'user'",
+        "merge_children": f"select case when r.id is null then 'orphan' else cast(x.root_id as string) end root_id, count(distinct x.session_id) members, {MONEY} cost from {{w}} x left join (select id from {{sessions}} where parent_id is null and id % 40 <> 0) r on r.id = x.root_id group by case when r.id is null then 'orphan' else cast(x.root_id as string) end",
+        "never_loaded": "select p_partkey, p_name from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
+        "used_catalog": "select p_partkey, p_name from {part} p where exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
+        "delta_join": f"select coalesce(a.model, b.model) model, round(coalesce(a.cost, 0), 6) cost, round(coalesce(b.cost, 0), 6) prev_cost, round(coalesce(a.cost, 0) - coalesce(b.cost, 0), 6) delta from (select model, cast(sum(cost) as double) cost from ({WEEKS}) x where run = 0 group by model) a full outer join (select model, cast(sum(cost) as double) cost from ({WEEKS}) y where run = 1 group by model) b on a.model = b.model",
+        "newly_loaded_silent": f"select session_id, 'new' state from (select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'purchase') a union all select session_id, 'silent' from (select distinct session_id from ({WEEKS}) x where run = 1 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 0 and tool = 'purchase') b",
+        "loaded_set_difference": f"select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'error' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'error'",
+        "watch_crosswalk": "select s.s_suppkey, s.s_name, n.n_name declared, n.n_name is not null known from {supplier} s left join (select n_nationkey, n_name from {nation} where n_regionkey < 3) n on n.n_nationkey = s.s_nationkey",
+        "r2_join": f"select o.skill from ({OVERLAP}) o where not exists (select 1 from {{lineitem}} l where l.l_partkey = o.skill and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
+        "dead_reference": "select o_orderkey, o_custkey from {orders} o where not exists (select 1 from {customer} c where c.c_custkey = o.o_custkey and c.c_nationkey < 20)",
+        "unused_unreferenced": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_orderdate >= timestamp_ntz '1999-01-01 00:00:00') and not exists (select 1 from {supplier} s where s.s_nationkey = c.c_nationkey and s.s_acctbal < 0)",
+        "baseline_cross": f"select session_id, cost, median_cost, mad from ({SCORES}) s",
+        "dedup_outlier_mark": f"select t.session_id, t.cost, o.session_id is not null outlier from (select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}) t left join (select session_id from ({OUTLIERS}) s) o on o.session_id = t.session_id",
+        # aggregates
+        "totals": TOTALS,
+        "cache_hit_rate": f"select tool <> 'purchase' reads, {HIT} hit_rate from {{w}} group by tool <> 'purchase'",
+        "daily_totals": f"select cast(day as string) as day, {MONEY} cost, {ALL} tokens, {HIT} hit_rate from {{w}} group by day",
+        "by_model": f"select model, count(distinct session_id) session_count, {ALL} tokens, {MONEY} cost from {{w}} group by model",
+        "session_usage": USAGE,
+        "tool_usage": "select tool, count(*) calls, cast(floor(sum(length(raw)) / 4) as bigint) input_tokens from {w} group by tool",
+        "skill_usage": "select l_partkey skill, count(*) loads, count(distinct l_orderkey) sessions_used_in from {lineitem} where l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l_shipdate < timestamp_ntz '2000-02-01 00:00:00' group by l_partkey",
+        "subagent_totals": f"select agent, count(distinct session_id) child_count, {MONEY} cost from {{w}} where parent_id is not null group by agent",
+        "context_composition": "select session_id, cast(floor(sum(case when tool = 'view' then length(raw) else 0 end) / 4) as bigint) file_tokens, cast(floor(sum(case when tool = 'click' then length(raw) else 0 end) / 4) as bigint) result_tokens, cast(floor(sum(case when tool = 'signup' then length(raw) else 0 end) / 4) as bigint) text_tokens, cast(floor(sum(case when tool = 'error' then length(raw) else 0 end) / 4) as bigint) reasoning_tokens from {w} group by session_id",
+        "api_call_count": "select session_id, count(*) api_calls from {w} group by session_id",
+        "skill_catalog_count": "select count(*) skill_catalog_count from {part}",
+        "includes_subagents": "select root_id, max(case when parent_id is not null then 1 else 0 end) = 1 includes_subagents from {w} group by root_id",
+        "small_sample_warning": f"select count(distinct session_id) sessions, count(distinct session_id) < {C.min_sessions} warn from {{w}}",
+        "category_distribution": "select source category, quality severity, count(*) n from {documents} d join {labels} l on l.doc_id = d.doc_id group by source, quality",
+        "pending_review_count": "select count(*) pending from {orders} where o_orderstatus = 'P' and o_orderdate < timestamp_ntz '1998-01-01 00:00:00'",
+        "stage_status": "select e.stage, e.stage in (select distinct tool from {w}) produced from (select 'view' stage union all select 'click' union all select 'audit' union all select 'report') e",
+        "median_mad": f"select max(median_cost) median_cost, max(mad) mad from ({SCORES}) s",
+        "session_cost_scores": SCORES,
+        "cost_outliers": OUTLIERS,
+        "cross_check": f"select id, round(cast(stored_cost as double), 6) stored, round(p.cost, 6) from_parts, abs(p.cost - cast(stored_cost as double)) / nullif(cast(stored_cost as double), 0) > {C.cross_check_gap} warn from {{sessions}} s join (select session_id, cast(sum(cost) as double) cost from {{w}} group by session_id) p on p.session_id = s.id",
+        "counts_by_category": "select e.category, coalesce(n, 0) n from (select '1-URGENT' category union all select '2-HIGH' union all select 'none') e left join (select o_orderpriority, count(*) n from {orders} group by o_orderpriority) c on c.o_orderpriority = e.category",
+        "counts_by_source": "select source, count(*) n from {documents} group by source",
+        "monthly_cost": MONTH,
+        "lint_by_rule": "select coalesce(a.rule, b.rule) rule, coalesce(a.violations, 0) violations, coalesce(a.violations, 0) - coalesce(b.violations, 0) delta from (%s) a full outer join (%s) b on a.rule = b.rule" % (LINT, LINT.replace("1999-12-01", "1999-11-01").replace("2000-01-01", "1999-12-01")),
+        "findings_by_severity": "select case when quality = 0 and toxic = 1 then 'high' when quality = 0 or toxic = 1 then 'medium' else 'low' end severity, count(*) n from {labels} group by 1",
+        "self_cost": "select coalesce(round(cast(sum(p.cost) as double), 6), 0) cost from {steps} p join {sessions} s on s.id = p.session_id where s.title = '%s'" % C.self_title,
+        "audit_counts": "select count(distinct root_id) counted, count(distinct session_id) counted_all, count(distinct case when parent_id is not null then session_id end) merged_children from {w}",
+        "distinct_aggregation": "select tool, count(distinct session_id) session_count, count(distinct model) models from {w} group by tool",
+        "rollup_totals": f"select model, cast(day as string) as day, {MONEY} cost from {{w}} group by rollup(model, day)",
+        # sequences
+        "duration_seconds": "select session_id, cast(floor(@seconds(min(ts), max(ts))) as bigint) duration_seconds from {w} group by session_id",
+        "active_time": f"select session_id, active_seconds from ({ACTIVE}) a",
+        "cost_per_active_minute": f"select session_id, round(cost / nullif(active_seconds / cast(60 as double), 0), 6) cost_per_active_minute from ({ACTIVE}) a",
+        # Of three or more calls in a row with one tool, similar arguments (in this proxy the half of k) and one outcome: the first, a marker with N - 2, the last.
+        "compact_repeats": """select session_id, event_id, tool, case when n >= 3 and pos = 2 then 'marker' else 'call' end kind, cast(case when n >= 3 and pos = 2 then n - 2 else 0 end as bigint) replaced
+    from (select session_id, event_id, tool, count(*) over (partition by session_id, tool, args, island) n, row_number() over (partition by session_id, tool, args, island order by ts, event_id) pos
+      from (select session_id, event_id, tool, args, ts, row_number() over (partition by session_id order by ts, event_id) - row_number() over (partition by session_id, tool, args order by ts, event_id) island
+        from (select session_id, event_id, tool, ts, cast(floor(k / 50) as int) args from {steps}) a) i) g
+    where n < 3 or pos <= 2 or pos = n""",
+        "rank_top_sessions": f"select session_id, cost, cast(row_number() over (order by cost desc, session_id) as bigint) place from ({USAGE}) u",
+        "top_sessions": f"select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}",
+        "consecutive_never_loaded": STREAKS,
+        "first_turns": "select conv_id, turn, role, text from (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) rn from {conversations}) t where rn = 1",
+        "transcript_rows": "select conv_id, cast(row_number() over (partition by conv_id order by turn) as bigint) line, role, substring(text, 1, 80) summary from {conversations}",
+        "audit_priority": f"""select a.session_id, a.priority, a.signals, case when t.session_id is not null then 'treated' else 'untreated' end state from ({AUDITED}) a
+    left join (select session_id from ({AUDITED}) b order by priority, cost desc, session_id limit {C.audit_max_sessions}) t on t.session_id = a.session_id""",
+        "session_transcript": "select root_id, cast(row_number() over (partition by root_id order by ts, event_id) as bigint) line, session_id, session_id <> root_id child, tool, substring(raw, 1, 80) args, case when tool = 'error' then 'error' else 'ok' end result from {steps}",
+        "union_audit_signals": f"select distinct session_id, priority, signal from ({SIGNALS}) s",
+        "audit_loop_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'loop'",
+        "audit_cache_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'cache'",
+        "audit_repeat_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'repeat'",
+        "audit_outlier_signal": f"select session_id, z from ({OUTLIERS}) s",
+        "audit_top_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'top'",
+        "daily_spike": SPIKE,
+        "wow_delta": f"select round((cost - prev_cost) / nullif(prev_cost, 0), 6) cost_pct, round((tokens - prev_tokens) / nullif(cast(prev_tokens as double), 0), 6) tokens_pct, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x",
+        "window_hours_guard": f"select case when apart then null else round((cost - prev_cost) / nullif(prev_cost, 0), 6) end cost_pct, case when apart then null else round((tokens - prev_tokens) / nullif(cast(prev_tokens as double), 0), 6) end tokens_pct, apart warn, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x",
+        # caps
+        "warnings_cap": "select session_id, event_id from {steps} where cost is null order by session_id, event_id limit %d" % C.warnings_cap,
+        "per_source_cap": "select lang source, doc_id from (select lang, doc_id, row_number() over (partition by lang order by doc_id) rn from {documents}) r where rn <= %d" % C.per_source_cap,
+        "commit_list_truncate": f"select * from (select cast(o_orderkey as string) subject, cast(1 as bigint) n from {{orders}} where o_orderstatus = 'P' order by o_orderdate desc, o_orderkey limit {C.commit_cap}) a union all select 'others' subject, cast(count(*) - {C.commit_cap} as bigint) n from {{orders}} where o_orderstatus = 'P' having count(*) > {C.commit_cap}",
+        "draft_cap": f"""select l.doc_id, l.severity, t.doc_id is not null drafted from (select doc_id, (1 - quality) * 2 + toxic severity from {{labels}}) l
+    left join (select doc_id from (select doc_id, (1 - quality) * 2 + toxic severity from {{labels}}) m where severity > 0 order by severity desc, doc_id limit {C.draft_cap}) t on t.doc_id = l.doc_id where l.severity > 0""",
+        "top3_models_fold": f"select case when share >= {C.model_fold_share} and place <= 3 then model else 'others' end model, round(sum(cost), 6) cost from (select model, cost, cost / nullif(sum(cost) over (), 0) share, row_number() over (order by cost desc, model) place from (select model, cast(sum(cost) as double) cost from {{w}} group by model) m) f group by 1",
+        "subagent_share_gate": f"select round(cast(sum(case when parent_id is not null then cost else 0 end) as double) / nullif(cast(sum(cost) as double), 0), 6) share, cast(sum(case when parent_id is not null then cost else 0 end) as double) / nullif(cast(sum(cost) as double), 0) > {C.subagent_share} shown from {{w}}",
+        # documents and feeds
+        "found_via_intersection": "select doc_key, sources from (select md5(lower(text)) doc_key, count(distinct source) sources from {documents} where text is not null group by md5(lower(text))) d where sources >= 2",
+        "findings_routing": "select o_orderpriority recommendation_type, case when o_orderpriority like '1%' or o_orderpriority like '2%' then 'draft' when o_orderpriority like '3%' then 'report' else 'ignore' end action, count(*) n from {orders} group by 1, 2",
+        # insight rules
+        **ALERTS,
+        "alerts": " union all ".join(ALERTS.values()),
+        "r1_retire": f"select skill, streak, 'retire' action, 'medium' severity from ({RETIRE}) r",
+        "r2_retire_high": f"select r.skill, r.streak, 'retire' action, 'high' severity from ({RETIRE}) r where exists (select 1 from ({OVERLAP}) o where o.skill = r.skill)",
+        "r3_merge_exact": "select min(doc_id) keep, count(*) copies from {documents} where text is not null group by md5(lower(text)) having count(*) > 1",
+        "r4_fix": "select l_orderkey, l_linenumber, 'low' severity from {lineitem} where l_returnflag = 'A' and l_linestatus = 'F' and l_quantity < 3",
+        "r5_rewrite": "select l_orderkey, l_linenumber, 'medium' severity from {lineitem} where l_returnflag = 'R' and l_quantity > 48",
+        "insight_stats": f"select (select count(distinct run) from ({WEEKS}) a) runs_scanned, (select count(*) from {{part}}) catalog_size, (select count(*) from {{run_days}} b where run > 0) baseline_days, (select max(streak) from ({STREAKS}) c) longest_streak, (select count(*) from ({STREAKS}) d where streak >= {C.silent_runs}) silent_skills",
+    }
+
+
+def split(made: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """(queries, shared frames) of statements."""
+    return {k: v for k, v in made.items() if k[0] != "@"}, {k[1:]: v for k, v in made.items() if k[0] == "@"}
+
+
+QUERIES, SHARED = split(statements(Config()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from usagelens.config import Config
 from usagelens.functions import similar
 from usagelens.functions.text import glob_pattern, normalised
+from usagelens.operators.lineage import checkpoint
 
 C = Config()
 #: Texts of a block; two blocks' pairs are a task.
@@ -40,19 +41,19 @@ def user_prompt_repeats(v: Views) -> DataFrame:
     start = F.substring("prompt", 1, 100)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.md5("prompt").alias("own"))).alias("first")
     d = d.withColumns({"session": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "prompt_start": start, "key": F.md5(start)})
-    nodes = d.groupBy("session", "key").agg(F.first("source").alias("source"), F.first("prompt_start").alias("prompt"), first, F.count(F.lit(1)).alias("n")).localCheckpoint()
+    nodes = checkpoint(d.groupBy("session", "key").agg(F.first("source").alias("source"), F.first("prompt_start").alias("prompt"), first, F.count(F.lit(1)).alias("n")))
     place = nodes.select("session", "key", "first")
     near = ratio_pairs(nodes.select("session", "key", "prompt"), "session", C.near_duplicate).where("x <> y")
     near = near.join(place.withColumnsRenamed({"key": "x", "first": "x_first"}), ["session", "x"]).join(place.withColumnsRenamed({"key": "y", "first": "y_first"}), ["session", "y"])
-    near = near.where("x_first < y_first").select("session", "x", "x_first", F.col("y").alias("key")).localCheckpoint()
+    near = checkpoint(near.where("x_first < y_first").select("session", "x", "x_first", F.col("y").alias("key")))
     # A node with no earlier near one is a representative; its near ones aren't; then the same among the rest.
-    left, chosen = nodes.select("session", "key").localCheckpoint(), None
+    left, chosen = checkpoint(nodes.select("session", "key")), None
     while not left.isEmpty():
         waiting = near.join(left.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").select("session", "key")
-        new = left.join(waiting, ["session", "key"], "left_anti").localCheckpoint()
-        chosen = new if chosen is None else chosen.unionAll(new).localCheckpoint()
+        new = checkpoint(left.join(waiting, ["session", "key"], "left_anti"))
+        chosen = new if chosen is None else checkpoint(chosen.unionAll(new))
         joined = near.join(new.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").select("session", "key")
-        left = left.join(new.unionAll(joined), ["session", "key"], "left_anti").localCheckpoint()
+        left = checkpoint(left.join(new.unionAll(joined), ["session", "key"], "left_anti"))
     if chosen is None:
         chosen = left
     to = near.join(chosen.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").groupBy("session", "key").agg(F.min("x_first").alias("to"))
@@ -60,6 +61,12 @@ def user_prompt_repeats(v: Views) -> DataFrame:
     return grouped.groupBy("source", F.col("to.own").alias("prompt_key")).agg(F.sum("n").alias("n")).where(F.col("n") >= C.repeat_min_count)
 
 
+def exact_prompt_repeats(v: Views) -> DataFrame:
+    """The exact half of ``user_prompt_repeats``: groups of equal normalised prompts of a source."""
+    d = v["documents"].select("source", normalised("text").alias("prompt")).where(F.length("prompt") >= C.repeat_min_length)
+    return d.groupBy("source", F.md5("prompt").alias("prompt_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= C.repeat_min_count)
+
+
 def repeats_cap(v: Views) -> DataFrame:
     return user_prompt_repeats(v).orderBy(F.desc("n"), "source", "prompt_key").limit(C.repeats_cap)
 
@@ -105,19 +112,36 @@ def harness_projection(v: Views) -> DataFrame:
 
 
 def token_jaccard_pairs(v: Views) -> DataFrame:
-    """Prompts of one language and first token with token-set Jaccard at the threshold or more, over all pairs of a block."""
-    d = v["documents"].select("doc_id", "lang", F.substring(F.lower(F.regexp_replace("text", r"\s+", " ")), 1, 200).alias("prompt"))
-    d = d.select("doc_id", "lang", F.array_distinct(F.split("prompt", " ")).alias("tokens"))
-    # Blocking on the first of the sorted tokens that a pair at the threshold can share: prefix filtering.
-    keep = F.size("tokens") - F.ceil(F.size("tokens") * C.similarity) + 1
-    key = F.explode(F.slice(F.sort_array("tokens"), 1, keep.cast("int")))
-    left = d.select("lang", F.col("doc_id").alias("a"), F.col("tokens").alias("x"), key.alias("key"))
-    right = d.select("lang", F.col("doc_id").alias("b"), F.col("tokens").alias("y"), key.alias("key"))
-    near = (F.size("x") * C.similarity <= F.size("y")) & (F.size("y") * C.similarity <= F.size("x"))
-    pairs = left.join(right, ["lang", "key"]).where((F.col("a") < F.col("b")) & near)
-    both = F.size(F.array_intersect("x", "y"))
-    pairs = pairs.withColumn("similarity", F.round(both / (F.size("x") + F.size("y") - both), 6)).where(F.col("similarity") >= C.similarity)
-    return pairs.select("a", "b", "similarity").distinct()
+    """Pairs of documents of one language with token-set Jaccard of their prompts at the threshold or more.
+
+    Equal token sets are one node. Tokens are ranked rarest first by how many nodes of the language have them; a set's first
+    ``n - ceil(n t) + 1`` tokens are its keys, so two sets at the threshold share one. A pair is taken at the first key that they share, if
+    what follows in both still suffices; keys that one node alone has leave no row. Only ids meet; the sets are fetched for the pairs left.
+    """
+    t = C.similarity
+    d = v["documents"].where("text is not null").select("doc_id", "lang", F.substring(F.lower(F.regexp_replace("text", r"\s+", " ")), 1, 200).alias("prompt"))
+    d = d.select("doc_id", "lang", F.sort_array(F.array_distinct(F.split("prompt", " "))).alias("tokens")).where("lang is not null")
+    d = d.withColumn("node", F.xxhash64("lang", "tokens"))
+    nodes = checkpoint(d.select("node", "lang", "tokens").dropDuplicates(["node"]))
+    own = nodes.select("node", "lang", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rank = own.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "token"))
+    keys = own.join(rank, ["lang", "token"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
+    keys = checkpoint(keys.where("f > 1").select("lang", "token", "node", "n", "place"))
+    x = keys.select("lang", "token", F.col("node").alias("x"), F.col("n").alias("p"), F.col("place").alias("i"))
+    y = keys.select("lang", "token", F.col("node").alias("y"), F.col("n").alias("q"), F.col("place").alias("j"))
+    near = (F.col("x") < F.col("y")) & (F.col("p") * t <= F.col("q") + 1e-9) & (F.col("q") * t <= F.col("p") + 1e-9)
+    # So many tokens are shared at most when these are the first shared ones.
+    most = F.least("i", "j") - 1 + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) + 1
+    met = x.join(y, ["lang", "token"]).where(near & (most * (1 + t) >= (F.col("p") + F.col("q")) * t - 1e-9)).select("x", "y").distinct()
+    a, b = nodes.select(F.col("node").alias("x"), F.col("tokens").alias("s")), nodes.select(F.col("node").alias("y"), F.col("tokens").alias("r"))
+    both = F.size(F.array_intersect("s", "r"))
+    similar = F.round(both / (F.size("s") + F.size("r") - both), 6)
+    linked = met.join(a, "x").join(b, "y").withColumn("similarity", similar).where(F.col("similarity") >= t).select("x", "y", "similarity")
+    same = nodes.select(F.col("node").alias("x"), F.col("node").alias("y"), F.lit(1.0).alias("similarity"))
+    either = linked.unionAll(linked.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity")).unionAll(same)
+    left, right = d.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), d.select(F.col("doc_id").alias("b"), F.col("node").alias("y"))
+    return either.join(left, "x").join(right, "y").where("a < b").select("a", "b", "similarity")
 
 
 def ratio_pairs(d: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -152,7 +176,21 @@ def similar_pairs_join(v: Views) -> DataFrame:
 
 
 def near_dup_prompt_join(v: Views) -> DataFrame:
-    return similar_pairs_join(v).where(F.col("similarity") >= C.near_duplicate)
+    """Near-duplicate prompts (first 100 characters) within a source, over all pairs."""
+    d = v["documents"].select("doc_id", "source", F.substring(normalised("text"), 1, 100).alias("prompt")).where("length(prompt) > 0 and source is not null")
+    d = d.withColumn("key", F.md5("prompt"))
+    pairs = ratio_pairs(d.select("source", "key", "prompt").distinct(), "source", C.near_duplicate)
+    a, b = d.select("source", F.col("doc_id").alias("a"), F.col("key").alias("x")), d.select("source", F.col("doc_id").alias("b"), F.col("key").alias("y"))
+    return pairs.join(a, ["source", "x"]).join(b, ["source", "y"]).where("a < b").select("source", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def r3_merge(v: Views) -> DataFrame:
+    """Pairs to merge: exact copies (each with the first of its group), and similar ones."""
+    d = v["documents"].where("text is not null").select("doc_id", F.md5(F.lower("text")).alias("item"))
+    first = d.groupBy("item").agg(F.min("doc_id").alias("a"))
+    copies = d.join(first, "item").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit("duplicate").alias("reason"))
+    similar_ = similar_pairs_join(v).select("a", "b", F.lit("similar").alias("reason")).join(copies.select("a", "b"), ["a", "b"], "left_anti")
+    return copies.unionAll(similar_).withColumn("severity", F.lit("medium"))
 
 
 def top_pairs(v: Views) -> DataFrame:
@@ -179,8 +217,7 @@ SQL = {
     "scan_typed_messages": "select conv_id, turn, i - 1 as block, b[i] as text from (select conv_id, turn, string_split(text, chr(10)) b, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from conversations) x",
     "command_usage": COMMANDS,
     "top5_commands": f"select * from ({COMMANDS}) c order by uses desc, command limit 5",
-    "user_prompt_repeats": REPEATS,
-    "repeats_cap": f"select * from ({REPEATS}) r order by n desc, source, prompt_key limit {C.repeats_cap}",
+    "exact_prompt_repeats": REPEATS,
     "release_relevance": f"select doc_id, cast(hits as bigint) hits, case when hits >= 2 then 'high' else 'medium' end relevance from (select doc_id, {HITS} hits from documents where text is not null) h where hits > 0",
     "summary_first_lines": "select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) summary from documents where text is not null",
     "dedup_items": "select md5(lower(text)) item, string_agg(distinct source, ',' order by source) found_via, count(*) n from documents where text is not null group by 1",
@@ -188,10 +225,10 @@ SQL = {
     "scan_watch_sources": LINK,
     "link_diff": f"select distinct link from ({LINK}) x where page_id % 2 = 1 and link not in (select link from ({LINK}) y where page_id % 2 = 0)",
     "harness_projection": "select page_id, path, path like '/en/%' strict, path like '/en/%' or path like '/fr/%' advisory from (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) path from pages) p",
-    "token_jaccard_pairs": f"""with d as (select doc_id, lang, list_distinct(string_split(substring(lower(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200), ' ')) t from documents where text is not null),
+    "token_jaccard_pairs": f"""with d as (select doc_id, lang, list_distinct(string_split(substring(lower(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200), ' ')) t from documents where text is not null and lang is not null),
 p as (select a.doc_id a, b.doc_id b, len(list_intersect(a.t, b.t)) i, len(a.t) x, len(b.t) y from d a join d b on a.lang = b.lang and a.doc_id < b.doc_id and len(a.t) * {C.similarity} <= len(b.t) and len(b.t) * {C.similarity} <= len(a.t))
 select a, b, round(i / (x + y - i), 6) similarity from p where round(i / (x + y - i), 6) >= {C.similarity}""",
     "prose_block_validation": "select doc_id, cast(len(regexp_split_to_array(trim(text), '\\s+')) as bigint) words, regexp_matches(text, '[0-9]') has_digits from documents where text is not null and trim(text) <> ''",
     "version_at_least": "select s_suppkey, v s_version, (a, b, 0) >= (7, 9, 0) supported from (select s_suppkey, s_suppkey % 9 a, s_suppkey % 13 b, (s_suppkey % 9) || '.' || (s_suppkey % 13) || '.0' v from supplier) x",
 }
-PLANS = {f.__name__: f for f in (scan_typed_messages, command_usage, top5_commands, user_prompt_repeats, repeats_cap, release_relevance, summary_first_lines, dedup_items, notable_items, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}
+PLANS = {f.__name__: f for f in (scan_typed_messages, command_usage, top5_commands, user_prompt_repeats, exact_prompt_repeats, repeats_cap, r3_merge, release_relevance, summary_first_lines, dedup_items, notable_items, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}

@@ -18,27 +18,48 @@ def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def views(spark: SparkSession, sf_dir: str, config: Config = Config()) -> dict[str, DataFrame]:
-    """Lazy frames by name; only those that a query names are read."""
-    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    e = read["events"]
-    raw = F.when(F.col("event_id") % 97 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
-    parts = e.select("event_id", F.col("user_id").alias("session_id"), "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("tool"), "value", raw.alias("raw")).withColumn("k", F.from_json("raw", "k int")["k"])
-    root = F.when(F.col("session_id") % 10 != 0, F.floor(F.col("session_id") / 10) * 10).otherwise(F.col("session_id"))
-    steps = parts.where("k is not null").select(
-        "event_id", "session_id", root.alias("root_id"), "ts", "day", "tool", "raw", "k",
-        F.when(F.col("k") != 0, F.col("value").cast("decimal(18,6)")).alias("cost"),
-        *[F.when(F.col("tool") == v, F.col("k")).otherwise(0).alias(c) for c, v in TOKENS.items()],
-        F.concat(F.lit("p"), F.col("session_id") % 2, F.lit("/m"), F.col("session_id") % 5).alias("model"),
-        F.concat(F.lit("agent"), F.col("session_id") % 3).alias("agent"),
-    )
-    seen = e.where(F.col("ts") <= ntz(config.run_time)).groupBy(F.col("user_id").alias("id"))
-    sessions = seen.agg(F.min("ts").alias("time_created"), F.max("ts").alias("time_updated"), F.sum(F.col("value").cast("decimal(18,6)")).alias("stored_cost"))
-    sessions = sessions.select("id", F.when(F.col("id") % 10 != 0, F.floor(F.col("id") / 10) * 10).alias("parent_id"), F.concat(F.lit("session "), "id").alias("title"), "time_created", "time_updated", "stored_cost")
-    included = sessions.where((F.col("time_updated") >= ntz(config.start)) & (F.col("time_updated") < ntz(config.settled)) & ~F.col("title").eqNullSafe(config.self_title))
-    inside = F.col("ts").between(ntz(config.start), ntz(config.run_time))
-    w = steps.where(inside).join(included.select(F.col("id").alias("session_id"), "parent_id"), "session_id")
-    return read | {"parts": parts, "steps": steps, "sessions": sessions, "included": included, "w": w}
+class Views(dict):
+    """Frames by name; a table is opened, and a view built, when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, config: Config):
+        super().__init__()
+        self.spark, self.sf_dir, self.config = spark, sf_dir, config
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else getattr(self, f"_{name}")()
+        return self[name]
+
+    def _parts(self) -> DataFrame:
+        raw = F.when(F.col("event_id") % 97 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
+        named = self["events"].select("event_id", F.col("user_id").alias("session_id"), "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("tool"), "value", raw.alias("raw"))
+        return named.withColumn("k", F.from_json("raw", "k int")["k"])
+
+    def _steps(self) -> DataFrame:
+        root = F.when(F.col("session_id") % 10 != 0, F.floor(F.col("session_id") / 10) * 10).otherwise(F.col("session_id"))
+        return self["parts"].where("k is not null").select(
+            "event_id", "session_id", root.alias("root_id"), "ts", "day", "tool", "raw", "k",
+            F.when(F.col("k") != 0, F.col("value").cast("decimal(18,6)")).alias("cost"),
+            *[F.when(F.col("tool") == v, F.col("k")).otherwise(0).alias(c) for c, v in TOKENS.items()],
+            F.concat(F.lit("p"), F.col("session_id") % 2, F.lit("/m"), F.col("session_id") % 5).alias("model"),
+            F.concat(F.lit("agent"), F.col("session_id") % 3).alias("agent"),
+        )
+
+    def _sessions(self) -> DataFrame:
+        seen = self["events"].where(F.col("ts") <= ntz(self.config.run_time)).groupBy(F.col("user_id").alias("id"))
+        sessions = seen.agg(F.min("ts").alias("time_created"), F.max("ts").alias("time_updated"), F.sum(F.col("value").cast("decimal(18,6)")).alias("stored_cost"))
+        return sessions.select("id", F.when(F.col("id") % 10 != 0, F.floor(F.col("id") / 10) * 10).alias("parent_id"), F.concat(F.lit("session "), "id").alias("title"), "time_created", "time_updated", "stored_cost")
+
+    def _included(self) -> DataFrame:
+        c = self.config
+        return self["sessions"].where((F.col("time_updated") >= ntz(c.start)) & (F.col("time_updated") < ntz(c.settled)) & ~F.col("title").eqNullSafe(c.self_title))
+
+    def _w(self) -> DataFrame:
+        inside = F.col("ts").between(ntz(self.config.start), ntz(self.config.run_time))
+        return self["steps"].where(inside).join(self["included"].select(F.col("id").alias("session_id"), "parent_id"), "session_id")
+
+
+def views(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Views:
+    return Views(spark, sf_dir, config)
 
 
 def ctes(config: Config = Config()) -> str:

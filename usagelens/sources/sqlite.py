@@ -8,14 +8,24 @@ With ``spark.sql.python.filterPushdown.enabled`` the filters reach SQLite. The f
 
 from __future__ import annotations
 
+import os
 import sqlite3
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructField, StructType
 
 _OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-_KINDS = {"INTEGER": LongType(), "REAL": DoubleType()}
+
+
+def kind(declared: str) -> DataType:
+    """By SQLite's affinity rules: INT anywhere is an integer, then text, then real; a blob or nothing declared stays text."""
+    d = declared.upper()
+    if "INT" in d:
+        return LongType()
+    if any(x in d for x in ("CHAR", "CLOB", "TEXT")) or not d or "BLOB" in d:
+        return StringType()
+    return DoubleType() if any(x in d for x in ("REAL", "FLOA", "DOUB")) else StringType()
 
 
 def quoted(name: str) -> str:
@@ -23,20 +33,24 @@ def quoted(name: str) -> str:
 
 
 def opened(path: str) -> sqlite3.Connection:
-    """Read-only with a busy timeout; where the write-ahead log can't be mapped, a normal open that only queries."""
+    """Read-only with a busy timeout; where the write-ahead log can't be mapped, a normal open that only queries. No file is ever made."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
     try:
         db = sqlite3.connect(f"file:{path}?mode=ro", uri=True, timeout=5)
         db.execute("select 1 from sqlite_master limit 1").fetchall()
         return db
     except sqlite3.OperationalError:
-        db = sqlite3.connect(path, timeout=5)
+        db = sqlite3.connect(f"file:{path}?mode=rw", uri=True, timeout=5)
         db.execute("pragma query_only = on")
         return db
 
 
-def checked(path: str, required: dict[str, set[str]]) -> None:
-    """Raise if a required table or column is missing: drift of the schema is fatal, never silent."""
+def checked(path: str, required: dict[str, set[str]], migrations: int = 0) -> None:
+    """Raise if a required table or column is missing, or there are fewer migrations: drift of the schema is fatal, never silent."""
     with opened(path) as db:
+        if migrations and (n := db.execute("select count(*) from migration").fetchone()[0]) < migrations:
+            raise ValueError(f"{n} migrations, {migrations} expected")
         for table, columns in required.items():
             have = {r[1] for r in db.execute(f"pragma table_info({quoted(table)})")}
             if not have or columns - have:
@@ -50,7 +64,7 @@ def live_store(paths: list[str], table: str = "session") -> str:
         try:
             with opened(p) as db:
                 newest.append((db.execute(f"select max(time_updated) from {quoted(table)}").fetchone()[0] or 0, p))
-        except sqlite3.Error:
+        except (OSError, sqlite3.Error):
             continue
     if not newest:
         raise FileNotFoundError("no readable store")
@@ -103,7 +117,7 @@ class SqliteSource(DataSource):
     def schema(self) -> StructType:
         with opened(self.options["path"]) as db:
             info = db.execute(f"pragma table_info({quoted(self.options['table'])})").fetchall()
-        return StructType([StructField(r[1], _KINDS.get(r[2].upper(), StringType())) for r in info])
+        return StructType([StructField(r[1], kind(r[2])) for r in info])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SqliteReader(self.options, schema)
