@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import by_shard, checkpoint, lean, mix, numbered, partitions, table
@@ -196,15 +196,24 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
     """(node, component) of the fingerprints (node, fingerprint) that link with another; None if none does.
 
     Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against a hub;
-    those not linked to it go on to a further hub, round by round, until no bucket has members of different components left to compare: no link
-    between members of a bucket is left out that could join two components, and no round makes more rows than there are members.
+    then, where members of different components are left, against two further hubs, four, and so on: no link
+    between members of a bucket is left out that could join two components, and the rounds grow with the logarithm of a bucket's far members.
     """
     open_ = checkpoint(buckets_of(prints, width))
     cards = checkpoint(prints.select("node", "fingerprint").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     x, y = (cards.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("a", "x"), ("b", "y")))
     links = parts = None
+    hubs = 1
     while not open_.isEmpty():
-        rest = open_.join(open_.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").where("node <> hub")
+        if hubs == 1:  # a bucket may hold a third of all rows: its least member comes from partial minima
+            rest = open_.join(open_.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").where("node <> hub")
+            left = rest.select("bucket", "node")
+        else:
+            placed = open_.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
+            first = placed.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("place").alias("before"))
+            rest = placed.join(first, "bucket").where("place > before")
+            left = placed.where(F.col("place") > hubs).select("bucket", "node")
+        hubs *= 2
         pairs = rest
         if parts is not None:  # one component already: a link would change nothing
             own, other = parts.select("node", "component"), parts.select(F.col("node").alias("hub"), F.col("component").alias("other"))
@@ -214,7 +223,7 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             parts = checkpoint(connected_components(links))
-        open_ = rest.select("bucket", "node")
+        open_ = left
         if parts is not None:  # a bucket that is one component is settled
             placed = open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
             apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
