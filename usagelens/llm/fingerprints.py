@@ -192,46 +192,35 @@ def buckets_of(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     return by_shard(rows, shards).mapInArrow(lean(meet), "bucket long, node long").distinct()
 
 
-def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NEAR) -> DataFrame | None:
-    """(node, component) of the fingerprints (node, fingerprint) that link with another; None if none does.
+def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NEAR) -> DataFrame:
+    """(node, component) of the fingerprints (node, fingerprint) that link with another.
 
-    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against a hub;
-    then, where members of different components are left, against two further hubs, four, and so on: no link
-    between members of a bucket is left out that could join two components, and the rounds grow with the logarithm of a bucket's far members.
+    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against a hub. Where they
+    are then of different components, the first eight members, then 64 and so on meet the members after them that were of other components: no link
+    between members of a bucket is left out that could join two, and the rounds grow with the logarithm of a bucket's size.
     """
     open_ = checkpoint(buckets_of(prints, width))
     cards = checkpoint(prints.select("node", "fingerprint").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     x, y = (cards.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("a", "x"), ("b", "y")))
-    links = parts = None
-    hubs = 1
+    # First against the least member of each bucket, which comes from partial minima: a bucket may hold a third of all rows.
+    pairs = open_.join(open_.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).select("a", "b"))
+
+    links = verify(pairs)
+    parts = connected_components(links)
+    placed = open_.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = placed.join(apart, "bucket", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
+    open_, hubs = checkpoint(open_), 1
     while not open_.isEmpty():
-        if hubs == 1:  # a bucket may hold a third of all rows: its least member comes from partial minima
-            rest = open_.join(open_.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").where("node <> hub")
-            left = rest.select("bucket", "node")
-        else:
-            placed = open_.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-            first = placed.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("place").alias("before"))
-            rest = placed.join(first, "bucket").where("place > before")
-            left = placed.where(F.col("place") > hubs).select("bucket", "node")
-        hubs *= 2
-        pairs = rest
-        if parts is not None:  # one component already: a link would change nothing
-            own, other = parts.select("node", "component"), parts.select(F.col("node").alias("hub"), F.col("component").alias("other"))
-            pairs = rest.join(own, "node", "left").join(other, "hub", "left").where("coalesce(component, node) <> coalesce(other, hub)")
-        pairs = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        new = checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).select("a", "b"))
-        if not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            parts = checkpoint(connected_components(links))
-        open_ = left
-        if parts is not None:  # a bucket that is one component is settled
-            placed = open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            open_ = open_.join(apart, "bucket", "left_semi")
-        else:
-            open_ = open_.join(open_.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
-        open_ = checkpoint(open_)
-    return parts
+        hubs *= 8
+        first = open_.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("component").alias("other"), F.col("place").alias("before"))
+        met = open_.join(first, (open_["bucket"] == first["bucket"]) & (F.col("place") > F.col("before")) & (F.col("component") != F.col("other")))
+        links = links.unionAll(verify(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
+        open_ = open_.where(F.col("place") > hubs)
+    return connected_components(links)
 
 
 def grouped(rows: DataFrame, id: str = "doc_id", width: int = WIDTH, threshold: float = NEAR) -> DataFrame:
@@ -241,10 +230,7 @@ def grouped(rows: DataFrame, id: str = "doc_id", width: int = WIDTH, threshold:
     """
     rows = checkpoint(rows.withColumn("node", F.xxhash64("fingerprint")))
     parts = near_components(rows.select("node", "fingerprint"), width, threshold)
-    named = rows.select("node", F.col(id).alias("id"))
-    label = F.col("node")
-    if parts is not None:
-        named, label = named.join(parts, "node", "left"), F.coalesce("component", "node")
+    named, label = rows.select("node", F.col(id).alias("id")).join(parts, "node", "left"), F.coalesce("component", "node")
     # A row for each task's fingerprints, then for each label: a group of copies with a third of all rows is pre-aggregated.
     named = named.groupBy("node", label.alias("label")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     least = named.groupBy("label").agg(F.min("id").alias("least"), F.sum("n").alias("n")).where("n > 1").select("label", "least")
