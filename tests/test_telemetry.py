@@ -19,7 +19,7 @@ from usagelens.sources import external, files, sqlite
 from usagelens.streaming.telemetry import activity_spans_stream, daily_totals_stream
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["totals", "by_model", "daily_totals", "active_time", "compact_repeats", "cost_outliers", "alerts", "delta_join", "never_loaded", "merge_children", "audit_priority", "link_diff", "token_jaccard_pairs", "dedup_items", "rollup_totals"]
+SAMPLE = ["totals", "by_model", "daily_totals", "active_time", "compact_repeats", "cost_outliers", "alerts", "delta_join", "never_loaded", "merge_children", "session_roots", "audit_priority", "link_diff", "token_jaccard_pairs", "dedup_items", "rollup_totals"]
 
 
 def test_entry_has_rows(spark):
@@ -60,9 +60,7 @@ def test_zero_mad_gives_null_z(spark):
     assert {r.z for r in robust.robust_z(df, "x").collect()} == {None}
 
 
-def test_fold_and_freshest(spark):
-    df = spark.createDataFrame([("a", 90.0), ("b", 8.0), ("c", 2.0)], "m string, x double")
-    assert {r.m: r.x for r in robust.fold_small(df, "m", "x", 3, 0.05).collect()} == {"a": 90.0, "b": 8.0, "others": 2.0}
+def test_freshest(spark):
     two = spark.createDataFrame([(1, 5, "x"), (1, 7, "y")], "id int, t int, s string")
     assert [r.s for r in robust.freshest(two, "id", "t").collect()] == ["y"]
 

@@ -49,6 +49,9 @@ class Config:
     repeat_min_length: int = 80
     repeat_min_count: int = 2  # three in production; the tables at hand have few groups of three in a source
     keywords: tuple[str, ...] = ("license", "copyright", "the", "secret")
+    #: The catalog tables lie so many years before the sessions; their months move with the anchor.
+    catalog_years_back: int = 24
+    review_window_weeks: int = 4
     projection: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"strict": ("/en/**",), "advisory": ("/en/**", "/fr/**")})
 
     @property
@@ -64,6 +67,12 @@ class Config:
         """(from, to, hours) of each run."""
         return [(self.before(timedelta(days=7 * i, hours=h)), self.before(timedelta(days=7 * i)), h) for i, h in enumerate(self.run_hours)]
 
+    def month(self, back: int = 0, years_back: int | None = None) -> str:
+        """The first instant of the anchor's month in the catalog tables, or of one so many months before (after, if negative)."""
+        t = datetime.fromisoformat(self.run_time)
+        n = (t.year - (self.catalog_years_back if years_back is None else years_back)) * 12 + t.month - 1 - back
+        return f"{n // 12:04d}-{n % 12 + 1:02d}-01 00:00:00"
+
     def before(self, by: timedelta) -> str:
         return str(datetime.fromisoformat(self.run_time) - by)
 

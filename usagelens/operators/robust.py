@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.operators.lineage import checkpoint
+from usagelens.operators.selection import exact_median
 
 SCALE = 1.4826
 
 
-def median_mad(df: DataFrame, value: str) -> DataFrame:
-    """One row: exact median and median absolute deviation."""
-    middle = df.agg(F.median(value).alias("median"))
-    return df.crossJoin(F.broadcast(middle)).agg(F.max("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+def spread(df: DataFrame, value: str | Column) -> DataFrame:
+    """One row (med, mad): exact median and median absolute deviation; nulls of no values. The frame is read a few times and should be written."""
+    value = F.col(value) if isinstance(value, str) else value
+    med = exact_median(df, value)
+    mad = None if med is None else exact_median(df, F.abs(value.cast("double") - F.lit(med)))
+    return df.sparkSession.createDataFrame([(med, mad)], "med double, mad double")
 
 
 def robust_z(df: DataFrame, value: str, cap: float | None = None) -> DataFrame:
     """The rows with median, mad and z = (x - median) / (1.4826 mad); z is null where mad is 0."""
     z = F.try_divide(F.col(value) - F.col("median"), SCALE * F.col("mad"))
-    return df.crossJoin(F.broadcast(median_mad(df, value))).withColumn("z", z if cap is None else F.least(z, F.lit(cap)))
+    return df.crossJoin(F.broadcast(spread(df, value).withColumnsRenamed({"med": "median"}))).withColumn("z", z if cap is None else F.least(z, F.lit(cap)))
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
@@ -55,19 +58,5 @@ def active_seconds(df: DataFrame, key: str, ts: str, gap: int, *tie: str) -> Dat
     return d.groupBy(key).agg(F.floor(F.coalesce(F.sum(F.when(F.col("gap") < gap, F.col("gap"))), F.lit(0.0))).alias("active_seconds"))
 
 
-def islands(df: DataFrame, key: str, same: list[str], *order: str) -> DataFrame:
-    """Runs of consecutive rows that agree in ``same``, with an island number within (key, same)."""
-    all_, own = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key, *same).orderBy(*order)
-    return df.withColumn("island", F.row_number().over(all_) - F.row_number().over(own))
-
-
 def top(df: DataFrame, n: int, by: str, *tie: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *tie).limit(n)
-
-
-def fold_small(df: DataFrame, name: str, value: str, n: int, share: float) -> DataFrame:
-    """The n largest that hold their share; the rest as others."""
-    whole = df.agg(F.sum(value).alias("_all"))
-    ranked = df.withColumn("_place", F.row_number().over(Window.orderBy(F.col(value).desc(), name))).crossJoin(F.broadcast(whole))
-    keep = (F.col("_place") <= n) & (F.try_divide(F.col(value), F.col("_all")) >= share)
-    return ranked.groupBy(F.when(keep, F.col(name)).otherwise("others").alias(name)).agg(F.round(F.sum(value), 6).alias(value))

@@ -10,34 +10,46 @@ from pyspark.sql import functions as F
 
 from usagelens.config import Config
 from usagelens.operators.lineage import checkpoint
-from usagelens.operators.robust import ranked
+from usagelens.operators.robust import ranked, spread
 from usagelens.plans import independent, telemetry, text
-from usagelens.sources.proxy import ctes, views
+from usagelens.sources.proxy import Views, ctes, views
 
 _NAME = re.compile(r"\{(\w+)\}")
 _SECONDS = re.compile(r"@seconds\(((?:[^()]|\([^()]*\))*?), ((?:[^()]|\([^()]*\))*?)\)")
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, statement: str, config: Config = Config(), shared: dict[str, str] | None = None) -> DataFrame:
+def planned(have: Views, statement: str, shared: dict[str, str] | None = None) -> DataFrame:
     """A plan over the canonical views it names. A shared frame (a row a session, run or day) is made and written once for the query."""
-    have, shared = views(spark, sf_dir, config), telemetry.SHARED if shared is None else shared
+    shared = telemetry.SHARED if shared is None else shared
     made: dict[str, DataFrame] = {}
 
-    def planned(text: str) -> DataFrame:
+    def frame(name: str) -> DataFrame:
+        if name in telemetry.SPREADS:
+            values, value = telemetry.SPREADS[name]
+            return spread(plan(values), value)
+        return checkpoint(plan(shared[name]))
+
+    def plan(text: str) -> DataFrame:
         names = set(_NAME.findall(text))
         for n in names & set(shared):
             if n not in made:
-                made[n] = checkpoint(planned(shared[n]))
+                made[n] = frame(n)
         text = _SECONDS.sub(r"(timestampdiff(MICROSECOND, \1, \2) / cast(1000000 as double))", text)
-        return spark.sql(text, **{n: made[n] if n in shared else have[n] for n in names})
+        return have.spark.sql(text, **{n: made[n] if n in shared else have[n] for n in names})
+
+    return plan(statement)
 
-    return planned(statement)
+
+def spark_sql(spark: SparkSession, sf_dir: str, statement: str, config: Config = Config(), shared: dict[str, str] | None = None) -> DataFrame:
+    return planned(views(spark, sf_dir, config), statement, shared)
 
 
-def duckdb_sql(statement: str) -> str:
-    statement = _NAME.sub(lambda m: f"({telemetry.SHARED[m[1]]})" if m[1] in telemetry.SHARED else m[0], statement)
+def duckdb_sql(statement: str, config: Config = Config(), shared: dict[str, str] | None = None) -> str:
+    shared = telemetry.SHARED if shared is None else shared
+    while any(n in shared for n in _NAME.findall(statement)):
+        statement = _NAME.sub(lambda m: f"({shared[m[1]]})" if m[1] in shared else m[0], statement)
     statement = _SECONDS.sub(r"(date_diff('microsecond', \1, \2) / cast(1000000 as double))", statement)
-    return ctes() + _NAME.sub(r"\1", statement).replace("timestamp_ntz '", "timestamp '")
+    return ctes(config) + _NAME.sub(r"\1", statement).replace("timestamp_ntz '", "timestamp '")
 
 
 def rank_top_sessions(spark: SparkSession, sf_dir: str, statement: str, config: Config, shared: dict[str, str]) -> DataFrame:

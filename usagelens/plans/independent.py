@@ -20,7 +20,35 @@ _Z = """, costs as (select user_id, coalesce(cast(sum(cost) as double), 0) cost
 middle as (select quantile_cont(cost, 0.5) med from costs),
 spread as (select quantile_cont(abs(cost - (select med from middle)), 0.5) mad from costs)
 """
+#: One row a session for the audit: cost, tokens read and fresh, seconds of work, and its signals in the order of the contract.
+_AUDIT = _W + _Z + """, spent as (select user_id, round(cast(sum(cost) as double), 6) cost, cast(sum(cost) as double) raw, coalesce(sum(k) filter (event_type = 'view'), 0) hit, coalesce(sum(k) filter (event_type in ('view', 'click')), 0) seen from inside group by user_id),
+pauses as (select user_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) us from inside),
+worked as (select user_id, floor(coalesce(sum(us) filter (us < 300000000), 0) / 1e6) busy from pauses group by user_id),
+said_again as (select distinct user_id from (select user_id, k, count(*) n from inside where event_type = 'signup' group by user_id, k) where n >= 2),
+signals as (
+  select user_id, 1 priority, 'top' signal from (select user_id from spent order by cost desc nulls last, user_id limit 5)
+  union all select user_id, 2, 'outlier' from costs, middle, spread where mad > 0 and (cost - med) / (1.4826 * mad) >= 3 and cost >= 1
+  union all select user_id, 3, 'loop' from spent join worked using (user_id) where busy > 0 and raw / (busy / 60) > 0.5
+  union all select user_id, 4, 'cache' from spent where seen > 0 and round(hit / seen, 6) < (select round(sum(hit) / sum(seen), 6) from spent) - 0.2
+  union all select user_id, 5, 'repeat' from said_again)
+"""
+#: An alert fires over, under or at its threshold, as the contract says for each.
+_ALERTS = {
+    "weekly_budget": ("high", 50000.0, "(select cast(sum(cost) as double) from inside)", ">"),
+    "monthly_budget": ("high", 150000.0, "(select cast(sum(cost) as double) from steps where ts >= timestamp '2023-12-25 06:00:00' and ts < timestamp '2024-01-29 06:00:00')", ">"),
+    "cache_hit_min": ("medium", 0.6, "(select cast(sum(k) filter (event_type = 'view') as double) / sum(k) filter (event_type in ('view', 'click')) from inside)", "<"),
+    "lint_max": ("medium", 100.0, "(select cast(count(*) as double) from lineitem where year(l_shipdate) = 1999 and month(l_shipdate) = 12)", ">"),
+    "cost_wow": ("medium", 0.15, "(select cast(sum(cost) filter (ts >= timestamp '2024-01-22 06:00:00') as double) / cast(sum(cost) filter (ts < timestamp '2024-01-22 06:00:00') as double) - 1 from steps where ts >= timestamp '2024-01-15 06:00:00' and ts < timestamp '2024-01-29 06:00:00')", ">"),
+}
 SQL = {
+    "audit_priority": _AUDIT + """select user_id session_id, cast(min(priority) as int) priority, count(distinct signal) signals,
+  case when row_number() over (order by min(priority), any_value(s.cost) desc nulls last, user_id) <= 8 then 'treated' else 'untreated' end state from signals join spent s using (user_id) group by user_id""",
+    "union_audit_signals": _AUDIT + "select user_id session_id, priority, signal from signals",
+    **{f"audit_{x}_signal": _AUDIT + f"select user_id session_id from signals where signal = '{x}'" for x in ("top", "loop", "cache", "repeat")},
+    "audit_outlier_signal": _W + _Z + "select user_id session_id, round((cost - med) / (1.4826 * mad), 6) z from costs, middle, spread where mad > 0 and (cost - med) / (1.4826 * mad) >= 3 and cost >= 1",
+    "median_mad": _W + _Z + "select round(med, 6) median_cost, round(mad, 6) mad from middle, spread",
+    "snooze_filter": _AUDIT + "select user_id session_id, signal from signals where signal || ':' || user_id not in ('cache:0', 'repeat:3', 'outlier:10')",
+    **{f"alert_{n}": _W + f"select '{n}' rule, '{severity}' severity, cast({least} as double) threshold, round(x, 6) observed, coalesce(round(x, 6) {op} {least}, false) fired from (select {value} x)" for n, (severity, least, value, op) in _ALERTS.items()},
     "consecutive_never_loaded": _SILENT + "select skill, cast(streak as bigint) streak from streaks",
     "r1_retire": _SILENT + "select skill, cast(streak as bigint) streak, 'retire' action, 'medium' severity from retire",
     "r2_retire_high": _SILENT + "select skill, cast(streak as bigint) streak, 'retire' action, 'high' severity from retire where skill in (select a.p_partkey from part a, part b where a.p_partkey <> b.p_partkey and (a.p_brand, a.p_type, a.p_size) = (b.p_brand, b.p_type, b.p_size))",

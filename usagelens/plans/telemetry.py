@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from usagelens.config import Config
 
 
@@ -13,11 +15,15 @@ def statements(C: Config) -> dict[str, str]:
     #: Cost per session, its median and median absolute deviation, and the robust z.
     SESSION_COST = "select session_id, coalesce(cast(sum(cost) as double), 0) cost from {w} group by session_id"
 
-    def scores(costs: str) -> str:
+    def scores(costs: str, spread: str) -> str:
         return f"""select s.session_id, round(s.cost, 6) cost, round(d.med, 6) median_cost, round(d.mad, 6) mad, round((s.cost - d.med) / nullif(1.4826 * d.mad, 0), 6) z
-    from {costs} s cross join (select max(med) med, median(abs(cost - med)) mad from {costs} b cross join (select median(cost) med from {costs} c) m) d"""
+    from {costs} s cross join {spread} d"""
+
+    def spread(values: str, value: str) -> str:
+        """Median and median absolute deviation as a statement; Spark selects them by ``operators.selection`` instead."""
+        return f"select max(med) med, median(abs({value} - med)) mad from (select {value} from {values}) b cross join (select median({value}) med from {values}) m"
 
-    SCORES = scores("{costs}")
+    SCORES = scores("{costs}", "{cost_spread}")
     #: The one rule for outliers.
     OUTLIER = f"z >= {C.outlier_z} and cost >= {C.outlier_floor}"
     OUTLIERS = f"select session_id, cost, median_cost, z from ({SCORES}) s where {OUTLIER}"
@@ -36,24 +42,25 @@ def statements(C: Config) -> dict[str, str]:
     BASE_DAYS = f"select run, day, cast(sum(cost) as double) cost from ({WEEKS}) x group by run, day"
     #: Of equal days before, a dearer one has the cap.
     SPIKE = f"""select cast(day as string) as day, round(cost, 6) cost, case when flat then cast({C.z_cap} as double) when x > {C.z_cap} then cast({C.z_cap} as double) else round(x, 6) end z, case when flat then 'no spread before' when x > {C.z_cap} then 'capped' end note
-    from (select day, cost, mad = 0 and cost > med flat, (cost - med) / nullif(1.4826 * mad, 0) x from (select day, cost from {{run_days}} q where run = 0) d cross join (
-      select max(med) med, median(abs(cost - med)) mad from (select cost from {{run_days}} p where run > 0) x
-      cross join (select median(cost) med from {{run_days}} r where run > 0) y) b) c"""
+    from (select day, cost, mad = 0 and cost > med flat, (cost - med) / nullif(1.4826 * mad, 0) x from (select day, cost from {{run_days}} q where run = 0) d cross join {{day_spread}} b) c"""
     #: The run and the one before; ``apart``: their windows differ by over an hour.
     LAST = f"""select a.cost cost, a.tokens tokens, a.hit_rate hit_rate, b.cost prev_cost, b.tokens prev_tokens, b.hit_rate prev_hit_rate, abs(a.span_hours - b.span_hours) > 1 apart
     from (select * from {{summary}} x where run = 0) a left join (select * from {{summary}} y where run = 1) b on true"""
     #: One row a session of the window, with all that the audit signals need.
     SESSIONS = f"""select session_id, {MONEY} cost, coalesce(cast(sum(cost) as double), 0) plain_cost, {HIT} hit_rate, cast(sum(cache_read) as bigint) cache_read, cast(sum(fresh_input) as bigint) fresh_input,
-      cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds, cast(sum(cost) as double) active_cost, max(alike) alike
-    from (select session_id, ts, cost, cache_read, fresh_input, lag(ts) over (partition by session_id order by ts, event_id) prev, count(*) over (partition by session_id, tool, k) alike from {{w}}) g group by session_id"""
-    SIGNALS = f"""select session_id, 1 priority, 'loop' signal from {{audited}} a where active_cost / nullif(active_seconds / 60.0, 0) > {C.loop_cost_per_minute}
-    union all select session_id, 2, 'cache' from {{audited}} u cross join (select {HIT} mean_rate from {{audited}} m) t where u.hit_rate < t.mean_rate - {C.cache_gap}
-    union all select session_id, 3, 'repeat' from {{audited}} r where alike >= 2
-    union all select session_id, 4, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)")}) s where {OUTLIER}
-    union all select session_id, 5, 'top' from (select session_id from {{audited}} u order by cost desc, session_id limit {C.top_sessions}) q"""
-    AUDITED = f"select s.session_id, min(s.priority) priority, count(distinct s.signal) signals, max(u.cost) cost from ({SIGNALS}) s join {{audited}} u on u.session_id = s.session_id group by s.session_id"
+      cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds, cast(sum(cost) as double) active_cost
+    from (select session_id, ts, cost, cache_read, fresh_input, lag(ts) over (partition by session_id order by ts, event_id) prev from {{w}}) g group by session_id"""
+    #: In the order of priority: the dearest, outliers, loops, lost caches, repeated prompts.
+    SIGNALS = f"""select session_id, 1 priority, 'top' signal from (select session_id from {{audited}} u order by cost desc nulls last, session_id limit {C.top_sessions}) q
+    union all select session_id, 2, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)", "{cost_spread}")}) s where {OUTLIER}
+    union all select session_id, 3, 'loop' from {{audited}} a where active_cost / nullif(active_seconds / 60.0, 0) > {C.loop_cost_per_minute}
+    union all select session_id, 4, 'cache' from {{audited}} v cross join (select {HIT} mean_rate from {{audited}} m) t where v.hit_rate < t.mean_rate - {C.cache_gap}
+    union all select r.session_id, 5, 'repeat' from {{repeated}} r join {{audited}} y on y.session_id = r.session_id"""
+    AUDITED = f"select s.session_id, min(s.priority) priority, count(distinct s.signal) signals, max(u.cost) cost from {{signals}} s join {{audited}} u on u.session_id = s.session_id group by s.session_id"
     #: Months of loads, 0 the newest of the audited ones; the streak of a skill counts the silent ones since its last load.
-    LOAD_RUN = "(1999 * 12 + 12) - (extract(year from l_shipdate) * 12 + extract(month from l_shipdate))"
+    LOADED = f"l_shipdate >= timestamp_ntz '{C.month()}' and l_shipdate < timestamp_ntz '{C.month(-1)}'"
+    LAST_RUN = C.month(1)
+    LOAD_RUN = f"({int(LAST_RUN[:4]) * 12 + int(LAST_RUN[5:7])}) - (extract(year from l_shipdate) * 12 + extract(month from l_shipdate))"
     STREAKS = f"""select p.p_partkey skill, cast(coalesce(min(x.run), {C.runs_scanned}) as bigint) streak from {{part}} p left join (
       select distinct l_partkey, {LOAD_RUN} run from {{lineitem}} where {LOAD_RUN} between 0 and {C.runs_scanned - 1}) x on x.l_partkey = p.p_partkey group by p.p_partkey"""
     #: Skills with the same triggers as another one.
@@ -66,7 +73,12 @@ def statements(C: Config) -> dict[str, str]:
 
     #: Summaries whose window ended in the last 30 days.
     MONTH = f"select round(sum(cost), 6) cost from {{summary}} x where run * 7 < 30"
-    LINT = "select l_returnflag rule, count(*) violations from {lineitem} where l_shipdate >= timestamp_ntz '1999-12-01 00:00:00' and l_shipdate < timestamp_ntz '2000-01-01 00:00:00' group by l_returnflag"
+    def lint(back: int) -> str:
+        """Violations a rule in a month of the digest."""
+        return LINT_OF.format(C.month(back), C.month(back - 1))
+
+    LINT_OF = "select l_returnflag rule, count(*) violations from {{lineitem}} where l_shipdate >= timestamp_ntz '{}' and l_shipdate < timestamp_ntz '{}' group by l_returnflag"
+    LINT = lint(1)
     ALERTS = {
         "alert_weekly_budget": alert("weekly_budget", "high", C.weekly_budget, "cost", f"cost > {C.weekly_budget}", f"({TOTALS}) t"),
         "alert_monthly_budget": alert("monthly_budget", "high", C.monthly_budget, "cost", f"cost > {C.monthly_budget}", f"({MONTH}) t"),
@@ -82,6 +94,9 @@ def statements(C: Config) -> dict[str, str]:
         "@run_days": BASE_DAYS,
         "@costs": SESSION_COST,
         "@audited": SESSIONS,
+        "@signals": SIGNALS,
+        "@cost_spread": spread("{costs}", "cost"),
+        "@day_spread": spread("(select cost from {run_days} p where run > 0)", "cost"),
         # sources and filters
         "window_filter": "select event_id, session_id, ts from {steps} where ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
         "prefilter_updated": "select id, time_updated from {sessions} where time_updated >= timestamp_ntz '%s'" % C.start,
@@ -99,25 +114,26 @@ def statements(C: Config) -> dict[str, str]:
         "previous_run": f"select run, tokens, cost from {{summary}} x where run = (select min(run) from {{summary}} y where run > 0)",
         "unflushed_sessions": "select s.id from {sessions} s where not exists (select 1 from {w} p where p.session_id = s.id)",
         "registry_status_filter": "select p_partkey, p_brand from {part} where p_size > 5 and p_type is not null",
-        "released_in_window": "select o_orderkey, o_orderdate from {orders} where o_orderdate between timestamp_ntz '1998-01-01 00:00:00' and timestamp_ntz '1998-03-31 00:00:00'",
+        "released_in_window": "select o_orderkey, o_orderdate from {orders} where o_orderdate >= timestamp_ntz '%s' and o_orderdate < timestamp_ntz '%s'" % (C.month(0, 26), C.month(-3, 26)),
         "new_repo_flag": "select id, time_created, time_created >= timestamp_ntz '%s' new_repo from {sessions}" % C.start,
-        "snooze_filter": "select session_id, signal from (%s) s where not exists (select 1 from (%s) i where i.target = s.signal || ':' || s.session_id)" % (SIGNALS, SNOOZED),
+        "snooze_filter": "select session_id, signal from {signals} s where not exists (select 1 from (%s) i where i.target = s.signal || ':' || s.session_id)" % SNOOZED,
         "ghost_model_filter": f"select model, tokens, cost from (select model, {ALL} tokens, {MONEY} cost from {{steps}} group by model) m where tokens > 0 or cost > 0",
         "project_scope_guard": "select page_id, case when position('/en/' in url) > 0 then 'candidate' else 'report-only' end scope from {pages}",
         "enum_validation": "select o_orderkey, o_orderpriority, o_orderpriority in ('1-URGENT', '2-HIGH') known from {orders} where o_orderpriority not in ('1-URGENT', '2-HIGH')",
         # joins
         "join_session_parts": "select s.id, p.event_id, p.ts from {included} s join {steps} p on p.session_id = s.id where p.ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
         "join_part_message_user": "select c.conv_id, c.turn, c.text, u.n user_turns from {conversations} c join (select conv_id, count(*) n from {conversations} where role = 'user' group by conv_id) u on u.conv_id = c.conv_id where c.role = 'user'",
-        "merge_children": f"select case when r.id is null then 'orphan' else cast(x.root_id as string) end root_id, count(distinct x.session_id) members, {MONEY} cost from {{w}} x left join (select id from {{sessions}} where parent_id is null and id % 40 <> 0) r on r.id = x.root_id group by case when r.id is null then 'orphan' else cast(x.root_id as string) end",
-        "never_loaded": "select p_partkey, p_name from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
-        "used_catalog": "select p_partkey, p_name from {part} p where exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
+        "merge_children": f"select coalesce(cast(r.root_id as string), r.state) root_id, count(distinct x.session_id) members, {MONEY} cost from {{w}} x join {{tree}} r on r.id = x.session_id group by coalesce(cast(r.root_id as string), r.state)",
+        "session_roots": "select id, root_id, state from {tree} r",
+        "never_loaded": "select p_partkey, p_name from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.%s)" % LOADED,
+        "used_catalog": "select p_partkey, p_name from {part} p where exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.%s)" % LOADED,
         "delta_join": f"select coalesce(a.model, b.model) model, round(coalesce(a.cost, 0), 6) cost, round(coalesce(b.cost, 0), 6) prev_cost, round(coalesce(a.cost, 0) - coalesce(b.cost, 0), 6) delta from (select model, cast(sum(cost) as double) cost from ({WEEKS}) x where run = 0 group by model) a full outer join (select model, cast(sum(cost) as double) cost from ({WEEKS}) y where run = 1 group by model) b on a.model = b.model",
         "newly_loaded_silent": f"select session_id, 'new' state from (select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'purchase') a union all select session_id, 'silent' from (select distinct session_id from ({WEEKS}) x where run = 1 and tool = 'purchase' except select distinct session_id from ({WEEKS}) y where run = 0 and tool = 'purchase') b",
         "loaded_set_difference": f"select distinct session_id from ({WEEKS}) x where run = 0 and tool = 'error' except select distinct session_id from ({WEEKS}) y where run = 1 and tool = 'error'",
         "watch_crosswalk": "select s.s_suppkey, s.s_name, n.n_name declared, n.n_name is not null known from {supplier} s left join (select n_nationkey, n_name from {nation} where n_regionkey < 3) n on n.n_nationkey = s.s_nationkey",
-        "r2_join": f"select o.skill from ({OVERLAP}) o where not exists (select 1 from {{lineitem}} l where l.l_partkey = o.skill and l.l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l.l_shipdate < timestamp_ntz '2000-02-01 00:00:00')",
+        "r2_join": f"select o.skill from ({OVERLAP}) o where not exists (select 1 from {{lineitem}} l where l.l_partkey = o.skill and l.{LOADED})",
         "dead_reference": "select o_orderkey, o_custkey from {orders} o where not exists (select 1 from {customer} c where c.c_custkey = o.o_custkey and c.c_nationkey < 20)",
-        "unused_unreferenced": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_orderdate >= timestamp_ntz '1999-01-01 00:00:00') and not exists (select 1 from {supplier} s where s.s_nationkey = c.c_nationkey and s.s_acctbal < 0)",
+        "unused_unreferenced": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_orderdate >= timestamp_ntz '%s') and not exists (select 1 from {supplier} s where s.s_nationkey = c.c_nationkey and s.s_acctbal < 0)" % C.month(12),
         "baseline_cross": f"select session_id, cost, median_cost, mad from ({SCORES}) s",
         "dedup_outlier_mark": f"select t.session_id, t.cost, o.session_id is not null outlier from (select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}) t left join (select session_id from ({OUTLIERS}) s) o on o.session_id = t.session_id",
         # aggregates
@@ -126,8 +142,8 @@ def statements(C: Config) -> dict[str, str]:
         "daily_totals": f"select cast(day as string) as day, {MONEY} cost, {ALL} tokens, {HIT} hit_rate from {{w}} group by day",
         "by_model": f"select model, count(distinct session_id) session_count, {ALL} tokens, {MONEY} cost from {{w}} group by model",
         "session_usage": USAGE,
-        "tool_usage": "select tool, count(*) calls, cast(floor(sum(length(raw)) / 4) as bigint) input_tokens from {w} group by tool",
-        "skill_usage": "select l_partkey skill, count(*) loads, count(distinct l_orderkey) sessions_used_in from {lineitem} where l_shipdate >= timestamp_ntz '2000-01-01 00:00:00' and l_shipdate < timestamp_ntz '2000-02-01 00:00:00' group by l_partkey",
+        "tool_usage": "select tool, count(*) calls, cast(floor(sum(length(raw)) / 4) as bigint) input_tokens from {calls} group by tool",
+        "skill_usage": "select l_partkey skill, count(*) loads, count(distinct l_orderkey) sessions_used_in from {lineitem} where %s group by l_partkey" % LOADED,
         "subagent_totals": f"select agent, count(distinct session_id) child_count, {MONEY} cost from {{w}} where parent_id is not null group by agent",
         "context_composition": "select session_id, cast(floor(sum(case when tool = 'view' then length(raw) else 0 end) / 4) as bigint) file_tokens, cast(floor(sum(case when tool = 'click' then length(raw) else 0 end) / 4) as bigint) result_tokens, cast(floor(sum(case when tool = 'signup' then length(raw) else 0 end) / 4) as bigint) text_tokens, cast(floor(sum(case when tool = 'error' then length(raw) else 0 end) / 4) as bigint) reasoning_tokens from {w} group by session_id",
         "api_call_count": "select session_id, count(*) api_calls from {w} group by session_id",
@@ -135,7 +151,7 @@ def statements(C: Config) -> dict[str, str]:
         "includes_subagents": "select root_id, max(case when parent_id is not null then 1 else 0 end) = 1 includes_subagents from {w} group by root_id",
         "small_sample_warning": f"select count(distinct session_id) sessions, count(distinct session_id) < {C.min_sessions} warn from {{w}}",
         "category_distribution": "select source category, quality severity, count(*) n from {documents} d join {labels} l on l.doc_id = d.doc_id group by source, quality",
-        "pending_review_count": "select count(*) pending from {orders} where o_orderstatus = 'P' and o_orderdate < timestamp_ntz '1998-01-01 00:00:00'",
+        "pending_review_count": "select count(*) pending from {orders} where o_orderstatus = 'P' and o_orderdate < timestamp_ntz '%s' and o_orderdate >= timestamp_ntz '%s'" % (C.month(0, 26), datetime.fromisoformat(C.month(0, 26)) - timedelta(weeks=C.review_window_weeks)),
         "stage_status": "select e.stage, e.stage in (select distinct tool from {w}) produced from (select 'view' stage union all select 'click' union all select 'audit' union all select 'report') e",
         "median_mad": f"select max(median_cost) median_cost, max(mad) mad from ({SCORES}) s",
         "session_cost_scores": SCORES,
@@ -144,7 +160,7 @@ def statements(C: Config) -> dict[str, str]:
         "counts_by_category": "select e.category, coalesce(n, 0) n from (select '1-URGENT' category union all select '2-HIGH' union all select 'none') e left join (select o_orderpriority, count(*) n from {orders} group by o_orderpriority) c on c.o_orderpriority = e.category",
         "counts_by_source": "select source, count(*) n from {documents} group by source",
         "monthly_cost": MONTH,
-        "lint_by_rule": "select coalesce(a.rule, b.rule) rule, coalesce(a.violations, 0) violations, coalesce(a.violations, 0) - coalesce(b.violations, 0) delta from (%s) a full outer join (%s) b on a.rule = b.rule" % (LINT, LINT.replace("1999-12-01", "1999-11-01").replace("2000-01-01", "1999-12-01")),
+        "lint_by_rule": "select coalesce(a.rule, b.rule) rule, coalesce(a.violations, 0) violations, coalesce(a.violations, 0) - coalesce(b.violations, 0) delta from (%s) a full outer join (%s) b on a.rule = b.rule" % (LINT, lint(2)),
         "findings_by_severity": "select case when quality = 0 and toxic = 1 then 'high' when quality = 0 or toxic = 1 then 'medium' else 'low' end severity, count(*) n from {labels} group by 1",
         "self_cost": "select coalesce(round(cast(sum(p.cost) as double), 6), 0) cost from {steps} p join {sessions} s on s.id = p.session_id where s.title = '%s'" % C.self_title,
         "audit_counts": "select count(distinct root_id) counted, count(distinct session_id) counted_all, count(distinct case when parent_id is not null then session_id end) merged_children from {w}",
@@ -166,14 +182,14 @@ def statements(C: Config) -> dict[str, str]:
         "first_turns": "select conv_id, turn, role, text from (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) rn from {conversations}) t where rn = 1",
         "transcript_rows": "select conv_id, cast(row_number() over (partition by conv_id order by turn) as bigint) line, role, substring(text, 1, 80) summary from {conversations}",
         "audit_priority": f"""select a.session_id, a.priority, a.signals, case when t.session_id is not null then 'treated' else 'untreated' end state from ({AUDITED}) a
-    left join (select session_id from ({AUDITED}) b order by priority, cost desc, session_id limit {C.audit_max_sessions}) t on t.session_id = a.session_id""",
+    left join (select session_id from ({AUDITED}) b order by priority, cost desc nulls last, session_id limit {C.audit_max_sessions}) t on t.session_id = a.session_id""",
         "session_transcript": "select root_id, cast(row_number() over (partition by root_id order by ts, event_id) as bigint) line, session_id, session_id <> root_id child, tool, substring(raw, 1, 80) args, case when tool = 'error' then 'error' else 'ok' end result from {steps}",
-        "union_audit_signals": f"select distinct session_id, priority, signal from ({SIGNALS}) s",
-        "audit_loop_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'loop'",
-        "audit_cache_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'cache'",
-        "audit_repeat_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'repeat'",
+        "union_audit_signals": "select distinct session_id, priority, signal from {signals} s",
+        "audit_loop_signal": "select distinct session_id from {signals} s where signal = 'loop'",
+        "audit_cache_signal": "select distinct session_id from {signals} s where signal = 'cache'",
+        "audit_repeat_signal": "select distinct session_id from {signals} s where signal = 'repeat'",
         "audit_outlier_signal": f"select session_id, z from ({OUTLIERS}) s",
-        "audit_top_signal": f"select session_id from (select distinct session_id, signal from ({SIGNALS}) s) x where signal = 'top'",
+        "audit_top_signal": "select distinct session_id from {signals} s where signal = 'top'",
         "daily_spike": SPIKE,
         "wow_delta": f"select round((cost - prev_cost) / nullif(prev_cost, 0), 6) cost_pct, round((tokens - prev_tokens) / nullif(cast(prev_tokens as double), 0), 6) tokens_pct, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x",
         "window_hours_guard": f"select case when apart then null else round((cost - prev_cost) / nullif(prev_cost, 0), 6) end cost_pct, case when apart then null else round((tokens - prev_tokens) / nullif(cast(prev_tokens as double), 0), 6) end tokens_pct, apart warn, round(hit_rate - prev_hit_rate, 6) hit_rate_diff from ({LAST}) x",
@@ -200,6 +216,10 @@ def statements(C: Config) -> dict[str, str]:
     }
 
 
+#: Shared frames that are selected, not planned: (the values' frame, the values).
+SPREADS = {"cost_spread": ("select cost from {costs}", "cost"), "day_spread": ("select cost from {run_days} p where run > 0", "cost")}
+
+
 def split(made: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
     """(queries, shared frames) of statements."""
     return {k: v for k, v in made.items() if k[0] != "@"}, {k[1:]: v for k, v in made.items() if k[0] == "@"}

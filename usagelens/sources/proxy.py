@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.config import Config
+from usagelens.functions.text import normalised
+from usagelens.operators.trees import roots
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 TOKENS = {"cache_read": "view", "fresh_input": "click", "output": "signup", "reasoning": "error", "cache_write": "purchase"}
@@ -57,15 +59,35 @@ class Views(dict):
         inside = F.col("ts").between(ntz(self.config.start), ntz(self.config.run_time))
         return self["steps"].where(inside).join(self["included"].select(F.col("id").alias("session_id"), "parent_id"), "session_id")
 
+    def _calls(self) -> DataFrame:
+        """Tool calls of the window; here each step is one."""
+        return self["w"]
+
+    def _turns(self) -> DataFrame:
+        """What users say in the window; here the signups and their payload."""
+        return self["w"].where("tool = 'signup'").select("event_id", "session_id", "ts", F.col("raw").alias("text"))
+
+    def _repeated(self) -> DataFrame:
+        """Sessions in which a prompt is said again, word for word after normalisation."""
+        said = self["turns"].groupBy("session_id", normalised("text")).agg(F.count(F.lit(1)).alias("n"))
+        return said.where(F.col("n") >= self.config.repeat_min_count).select("session_id").distinct()
+
+    def _links(self) -> DataFrame:
+        """Sessions and their parents; here an id without its last digit is the parent's, there or not."""
+        return self["sessions"].select("id", F.when(F.col("id") >= 10, F.floor(F.col("id") / 10)).alias("parent_id"))
+
+    def _tree(self) -> DataFrame:
+        return roots(self["links"])
+
 
 def views(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Views:
     return Views(spark, sf_dir, config)
 
 
 def ctes(config: Config = Config()) -> str:
-    """The same views as SQL."""
+    """The same views as SQL; ``tree`` by a recursive walk down from the roots, and what it doesn't reach by a walk up."""
     tokens = ", ".join(f"case when event_type = '{v}' then k else 0 end {c}" for c, v in TOKENS.items())
-    return f"""with parts as (
+    return f"""with recursive parts as (
   select event_id, user_id session_id, ts, cast(ts as date) as day, event_type, event_type tool, value,
     case when event_id % 97 = 0 then substr(props, 1, 3) else props end raw,
     case when event_id % 97 = 0 then null else cast(regexp_extract(props, '[0-9]+') as int) end k from events),
@@ -79,5 +101,14 @@ sessions as (
 included as (
   select * from sessions where time_updated >= timestamp '{config.start}' and time_updated < timestamp '{config.settled}' and title is distinct from '{config.self_title}'),
 w as (
-  select s.*, i.parent_id from steps s join included i on s.session_id = i.id where s.ts between timestamp '{config.start}' and timestamp '{config.run_time}')
+  select s.*, i.parent_id from steps s join included i on s.session_id = i.id where s.ts between timestamp '{config.start}' and timestamp '{config.run_time}'),
+calls as (select * from w),
+repeated as (
+  select distinct session_id from (select session_id, lower(trim(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '[.!?,;: ]+$', ''))) said from w where tool = 'signup') t
+  group by session_id, said having count(*) >= {config.repeat_min_count}),
+links as (select id, case when id >= 10 then id // 10 end parent_id from sessions),
+below as (
+  select id, id root_id from links where parent_id is null
+  union all select l.id, b.root_id from below b join links l on l.parent_id = b.id),
+tree as (select l.id, b.root_id, case when b.id is null then 'orphan' when b.root_id = l.id then 'root' else 'child' end state from links l left join below b on b.id = l.id)
 """
