@@ -96,6 +96,24 @@ def test_decontamination(spark, docs):
     assert "the " in {r.text[:4] for r in decontaminate.without_spans(docs, items).where("doc_id = 1").collect()}
 
 
+def test_decontamination_is_the_same_over_the_limit(spark, docs, empty):
+    items = spark.createDataFrame([("a", "Quick brown, fox jumps over the lazy dog again and"), ("b", "ONE two"), ("c", None), (None, "clean text"), ("d", "one TWO"), ("e", "")], "item_id string, text string")
+    more = docs.unionByName(spark.createDataFrame([(1, "clean text"), (None, "one two"), (None, "a, one two. b"), (5, None)], "doc_id long, text string").selectExpr("*", "'z' as shard", "1 as score", "2 as n_tokens", "0L as n_chars"))
+    more = more.withColumns({"_key": F.lit(1), "_hits": F.lit("h"), "_text": F.lit("t")})
+    made = []
+    for limit in (1 << 20, 1):
+        kept = decontaminate.without_documents(more, items, limit_bytes=limit)
+        cut = decontaminate.without_spans(more, items, limit_bytes=limit)
+        assert kept.columns == cut.columns == more.columns
+        report = decontaminate.report(more, items, limit_bytes=limit)
+        made.append([sorted(str(tuple(r)) for r in df.collect()) for df in (kept, cut, report)])
+        assert decontaminate.without_documents(empty, items, limit_bytes=limit).count() == 0 and decontaminate.report(docs, items.limit(0), limit_bytes=limit).where("n_hit > 0").count() == 0
+    assert made[0] == made[1]
+    left = [r for r in more.collect() if not (r.text or "").startswith("the quick") and "one two" not in (r.text or "")]
+    assert made[0][0] == sorted(str(tuple(r)) for r in left) and any(r.doc_id == 1 for r in left)
+    assert decontaminate.judged("one three", [{"at": 0, "m": 2, "gram": "one two", "items": ["b"]}])[2] == []  # of equal hash alone
+
+
 def test_shards(spark, docs, empty):
     for law in ("rows", "key"):
         rows = shards.sharded(docs, 3, law).collect()

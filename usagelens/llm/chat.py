@@ -62,6 +62,8 @@ def observed(lines: list[str]) -> tuple[list[tuple[str, str]], np.ndarray]:
 
 
 WIDTHS = (NONE + 1, 2, 2, len(LENGTHS) + 1)
+#: Counts that a transition, an emission and a start have before training: what was never seen, as one user turn after another, may still be told by its marker.
+PRIOR_FOLLOW, PRIOR_EMIT, PRIOR_START = 0.5, 0.5, 1.0
 
 
 class Model:
@@ -69,10 +71,10 @@ class Model:
 
     def __init__(self, start: np.ndarray, follow: np.ndarray, emitted: list[np.ndarray]):
         first = np.full(STATES, 1e-6)
-        first[::2] = start + 1
+        first[::2] = start + PRIOR_START
         self.start = np.log(first / first.sum())
-        self.follow = np.log((follow + 0.01) / (follow + 0.01).sum(1, keepdims=True))
-        self.emitted = [np.log((e + 0.5) / (e + 0.5).sum(1, keepdims=True)) for e in emitted]
+        self.follow = np.log((follow + PRIOR_FOLLOW) / (follow + PRIOR_FOLLOW).sum(1, keepdims=True))
+        self.emitted = [np.log((e + PRIOR_EMIT) / (e + PRIOR_EMIT).sum(1, keepdims=True)) for e in emitted]
 
     def emissions(self, seen: np.ndarray) -> np.ndarray:
         return sum(e[:, seen[:, i]].T for i, e in enumerate(self.emitted))

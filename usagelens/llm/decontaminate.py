@@ -5,7 +5,8 @@ consecutive words of one item, or a shorter item as a whole. The driver builds a
 vocabulary, and for each window length the sorted hashes of the windows' word numbers) and broadcasts it, if
 the items' texts are within ``limit_bytes``; the scan numbers each document's words, hashes those windows
 whose words are all in the vocabulary, looks the hashes up and verifies each hit word by word, so it is exact.
-Larger benchmarks take another way: 64-bit hashes of all windows of both sides meet in a shuffled join.
+Larger benchmarks take another way with the same result: 64-bit hashes of all windows of both sides meet in a shuffled join, and each
+text compares its words with those of the windows it met. Texts stand for themselves there, so rows are judged by their text alone.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no window. Repeated
 document rows are each judged; repeated items count once by item_id. A null item_id is ignored. The report
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ALNUM_WORDS, lean, mix, slices, table, word_hashes
+from usagelens.llm.common import ALNUM_WORDS, fresh, lean, mix, slices, table, word_hashes
 
 WINDOW = 10
 #: Largest benchmark (bytes of text) that is collected and broadcast.
@@ -136,89 +137,128 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_by
     return docs.mapInArrow(lean(run), f"id {kind}, {REPORT}").withColumnRenamed("id", id)
 
 
-def shuffled_report(docs: DataFrame, benchmark: DataFrame, window: int, kind: str) -> DataFrame:
-    """The same for a benchmark of any size: windows meet by 64-bit hash. Rows of equal id and text share a result."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item is not null and text is not null")
+def text_key(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    return raw.translate(_TO_BLANK).split()
+
 
-    def windows(lengths: list[int], shorter: bool):
+def judged(text: str | None, hits: list[dict] | None) -> tuple[int, np.ndarray, list[str]]:
+    """(number of words, mask of hit words, items) of a text and the windows that it met by hash."""
+    words = words_of((text or "").encode())
+    on, items = np.zeros(len(words), bool), set()
+    for x in hits or ():
+        if words[x["at"] : x["at"] + x["m"]] == x["gram"].encode().split(b" "):
+            on[x["at"] : x["at"] + x["m"]] = True
+            items.update(x["items"])
+    return len(words), on, sorted(items)
+
+
+def shuffled_hits(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> DataFrame:
+    """(key, hits) of each text that meets a window by hash, for a benchmark of any size; a hit has the place in words, the length, the words and their items."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("text")).where("key is not null and text is not null")
+
+    def windows(lengths: list[int], of_items: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, data, offsets in slices(batch.column(1)):
                     rows, h, _, _ = word_hashes(data, offsets, ALNUM_WORDS)
                     bounds = np.searchsorted(rows, np.arange(b - a + 1))
+                    words = words_of(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in range(b - a))) if of_items else []
                     for m in lengths:
                         if len(h) < m:
                             continue
                         at = np.flatnonzero(rows[m - 1 :] == rows[: len(rows) - m + 1])
-                        if shorter and m < window:
+                        if of_items and m < window:
                             at = at[(bounds[1:] - bounds[:-1])[rows[at]] == m]
                         g = np.full(len(at), m, U)
                         for j in range(m):
                             g = mix(g ^ h[at + j]) + U(j)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + rows[at])), pa.array(g.view(np.int64)), pa.array((at - bounds[rows[at]]).astype(np.int32)), pa.array(np.full(len(at), m, np.int32))], ["key", "h", "at", "m"])
+                        last = pa.array([b" ".join(words[i : i + m]) for i in at], pa.binary()).cast(pa.string()) if of_items else pa.array((at - bounds[rows[at]]).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + rows[at])), pa.array(g.view(np.int64)), pa.array(np.full(len(at), m, np.int32)), last], ["key", "h", "m", "gram" if of_items else "at"])
 
         return run
 
-    wanted = items.mapInArrow(windows(list(range(1, window + 1)), True), "key string, h long, at int, m int").select("h", "key", "m").distinct()
+    wanted = items.mapInArrow(lean(windows(list(range(1, window + 1)), True)), "key string, h long, m int, gram string")
+    wanted = wanted.groupBy("h", "m", "gram").agg(F.collect_set("key").alias("items"))
     lengths = sorted(r[0] for r in wanted.select("m").distinct().collect())
-    keyed = docs.withColumn("key", F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256))
-    hit = keyed.select("key", "text").mapInArrow(windows(lengths, False), "key string, h long, at int, m int").withColumnRenamed("key", "doc").join(wanted.select("h", "key"), "h")
-    hit = hit.groupBy("doc").agg(F.collect_set(F.struct("at", "m")).alias("hits"), F.sort_array(F.collect_set("key")).alias("items"))
+    texts = docs.select(text_key(text).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0).dropDuplicates(["key"])
+    met = texts.mapInArrow(lean(windows(lengths, False)), "key string, h long, m int, at int").join(wanted, ["h", "m"])
+    return met.groupBy("key").agg(F.collect_list(F.struct("at", "m", "gram", "items")).alias("hits"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, hits, items_ = (batch.column(c).to_pylist() for c in ("id", "text", "hits", "items"))
-            counts, masks = [], []
-            for t, hs in zip(texts, hits, strict=True):
-                n = len((t or "").encode().translate(_TO_BLANK).split())
-                on = np.zeros(n, bool)
-                for x in hs or ():
-                    on[x["at"] : x["at"] + x["m"]] = True
-                counts.append(n)
-                masks.append(on)
-            spans = [[{"start": s, "end": e} for s, e in spans_of(t.encode(), on)] if on.any() else [] for t, on in zip(texts, masks, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array([int(x.sum()) for x in masks], pa.int64()), pa.array([x or [] for x in items_], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_hit", "items", "spans"])
-
-    return keyed.join(hit, keyed["key"] == hit["doc"], "left").select("id", "text", "hits", "items").mapInArrow(lean(run), f"id {kind}, {REPORT}")
-
-
-def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows without a hit, as they are."""
-    index = index_of(benchmark, window, limit_bytes)
-    if index is None:
-        bad = report(docs, benchmark, window, limit_bytes, id, text).where("n_hit > 0").select(F.col(id).alias("_hit")).distinct()
-        return docs.join(bad, docs[id] == bad["_hit"], "left_anti")
-    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> tuple[DataFrame, str]:
+    """The rows with the hits of their text, and the name of that column."""
+    key, hits, own = fresh(docs, "_key"), fresh(docs, "_hits"), fresh(docs, "_text")
+    met = shuffled_hits(docs, benchmark, window, text).select(F.col("key").alias(own), F.col("hits").alias(hits))
+    rows = docs.withColumn(key, text_key(text))
+    return rows.join(met, rows[key] == met[own], "left").select(*docs.columns, hits), hits
+
+
+def shuffled_report(docs: DataFrame, benchmark: DataFrame, window: int, kind: str) -> DataFrame:
+    """The report for a benchmark of any size."""
+    rows, hits = with_hits(docs, benchmark, window, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [n == 0 for _, _, found in sent.value.scan(batch.column(at)) for _, n, _, _ in found]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            texts = batch.column(1).to_pylist()
+            found = [judged(t, h) for t, h in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            spans = [[{"start": s, "end": e} for s, e in spans_of(t.encode(), on)] if on.any() else [] for t, (_, on, _) in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([int(x[1].sum()) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_hit", "items", "spans"])
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return rows.select("id", "text", hits).mapInArrow(lean(run), f"id {kind}, {REPORT}")
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, text: str = "text") -> DataFrame:
-    """All rows, their hit words cut out of the text; needs a benchmark that can be broadcast."""
-    index = index_of(benchmark, window, limit_bytes)
-    if index is None:
-        raise ValueError("the benchmark is over limit_bytes; use report() or without_documents()")
-    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+def cut_out(text: str, on: np.ndarray) -> str:
+    """The text without its hit words."""
+    raw, kept, last = text.encode(), [], 0
+    for s, e in spans_of(raw, on):
+        kept.append(raw[last:s])
+        last = e
+    return b"".join([*kept, raw[last:]]).decode()
+
+
+def masks(benchmark: Index | None, batch: pa.RecordBatch, at: int) -> Iterator[np.ndarray | None]:
+    """For each row the mask of its hit words, None without any; without an index from the last column's hits."""
+    if benchmark is not None:
+        for _, _, found in benchmark.scan(batch.column(at)):
+            yield from (on if n else None for _, n, _, on in found)
+        return
+    for t, h in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        on = judged(t, h)[1] if h else None
+        yield on if on is not None and on.any() else None
+
+
+def filtered(docs: DataFrame, benchmark: DataFrame, window: int, limit_bytes: int, text: str, cut: bool) -> DataFrame:
+    """The rows without a hit, or all rows with their hits cut out; the same by either way."""
+    index, at, schema = index_of(benchmark, window, limit_bytes), docs.columns.index(text), docs.schema
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    rows = docs if index is not None else with_hits(docs, benchmark, window, text)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hit = list(masks(sent.value, batch, at))
+            out = batch.select(range(len(schema.fields)))
+            if not cut:
+                yield out.filter(pa.array([on is None for on in hit], pa.bool_()))
+                continue
             texts = batch.column(at).to_pylist()
-            for a, _, found in sent.value.scan(batch.column(at)):
-                for i, (_, n, _, on) in enumerate(found):
-                    if n:
-                        raw, kept, last = texts[a + i].encode(), [], 0
-                        for s, e in spans_of(raw, on):
-                            kept.append(raw[last:s])
-                            last = e
-                        texts[a + i] = b"".join([*kept, raw[last:]]).decode()
-            yield batch.set_column(at, text, pa.array(texts, batch.schema.field(at).type))
-
-    return docs.mapInArrow(lean(run), docs.schema)
+            texts = [t if on is None else cut_out(t, on) for t, on in zip(texts, hit, strict=True)]
+            yield out.set_column(at, text, pa.array(texts, batch.schema.field(at).type))
+
+    return rows.mapInArrow(lean(run), schema)
+
+
+def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, text: str = "text") -> DataFrame:
+    """The rows without a hit, as they are."""
+    return filtered(docs, benchmark, window, limit_bytes, text, False)
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit_bytes: int = LIMIT_BYTES, text: str = "text") -> DataFrame:
+    """All rows, their hit words cut out of the text."""
+    return filtered(docs, benchmark, window, limit_bytes, text, True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
