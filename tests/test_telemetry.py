@@ -13,7 +13,7 @@ import __spark_entry__
 from usagelens import cli
 from usagelens.config import Config
 from usagelens.functions.text import glob_pattern
-from usagelens.operators import robust
+from usagelens.operators import robust, sequences
 from usagelens.plans import catalog, report, validators
 from usagelens.sources import external, files, sqlite
 from usagelens.streaming.telemetry import activity_spans_stream, daily_totals_stream
@@ -52,7 +52,7 @@ def test_each_payload_has_its_readable_flag(spark):
 def test_active_gap_is_strict(spark):
     rows = [("a", datetime(2024, 1, 1, 0, 0)), ("a", datetime(2024, 1, 1, 0, 5)), ("a", datetime(2024, 1, 1, 0, 9)), ("b", datetime(2024, 1, 1))]
     df = spark.createDataFrame(rows, "s string, ts timestamp_ntz")
-    assert {r.s: r.active_seconds for r in robust.active_seconds(df, "s", "ts", 300).collect()} == {"a": 240, "b": 0}
+    assert {r.s: r.active_seconds for r in sequences.active_seconds(df, "s", "ts", 300).collect()} == {"a": 240, "b": 0}
 
 
 def test_zero_mad_gives_null_z(spark):

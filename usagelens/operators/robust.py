@@ -51,12 +51,5 @@ def freshest(df: DataFrame, key: str, updated: str, *tie: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def active_seconds(df: DataFrame, key: str, ts: str, gap: int, *tie: str) -> DataFrame:
-    """Sum of the gaps between consecutive rows that are shorter than ``gap`` seconds."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, *tie))
-    d = df.select(key, (F.timestamp_diff("MICROSECOND", before, F.col(ts)) / 1e6).alias("gap"))
-    return d.groupBy(key).agg(F.floor(F.coalesce(F.sum(F.when(F.col("gap") < gap, F.col("gap"))), F.lit(0.0))).alias("active_seconds"))
-
-
 def top(df: DataFrame, n: int, by: str, *tie: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *tie).limit(n)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from usagelens.config import Config
 from usagelens.operators.lineage import checkpoint
 from usagelens.operators.robust import ranked, spread
+from usagelens.operators.sequences import Sequence, compacted, with_previous
 from usagelens.plans import independent, telemetry, text
 from usagelens.sources.proxy import Views, ctes, views
 
@@ -24,6 +25,8 @@ def planned(have: Views, statement: str, shared: dict[str, str] | None = None) -
     made: dict[str, DataFrame] = {}
 
     def frame(name: str) -> DataFrame:
+        if name == "gaps":
+            return checkpoint(with_previous(have["w"], "session_id", ("ts", "event_id"), {"prev": "ts"}))
         if name in telemetry.SPREADS:
             values, value = telemetry.SPREADS[name]
             return spread(plan(values), value)
@@ -52,21 +55,47 @@ def duckdb_sql(statement: str, config: Config = Config(), shared: dict[str, str]
     return ctes(config) + _NAME.sub(r"\1", statement).replace("timestamp_ntz '", "timestamp '")
 
 
-def rank_top_sessions(spark: SparkSession, sf_dir: str, statement: str, config: Config, shared: dict[str, str]) -> DataFrame:
+def rank_top_sessions(have: Views, statement: str, shared: dict[str, str]) -> DataFrame:
     """All sessions by cost, the dearest first, with their place: by ranges of cost, not in one task."""
-    rows = spark_sql(spark, sf_dir, statement, config, shared)
+    rows = planned(have, statement, shared)
     return ranked(rows.select("session_id", "cost"), F.desc("cost"), F.asc("session_id"))
 
 
+def compact_repeats(have: Views) -> DataFrame:
+    """Of three or more calls in a row with one tool and similar arguments (in this proxy the half of k): the first, a marker with N - 2, the last."""
+    calls = have["steps"].select("session_id", "event_id", "ts", "tool", F.floor(F.col("k") / 50).alias("args"))
+    return compacted(calls, "session_id", ("ts", "event_id"), ["tool", "args"]).select("session_id", "event_id", "tool", "kind", "replaced")
+
+
+def session_transcript(have: Views) -> DataFrame:
+    rows = Sequence(have["steps"].select("root_id", "ts", "event_id", "session_id", "tool", "raw"), "root_id", "ts", "event_id").places("line")
+    return rows.select("root_id", "line", "session_id", (F.col("session_id") != F.col("root_id")).alias("child"), "tool", F.col("raw").alias("args"), F.when(F.col("tool") == "error", "error").otherwise("ok").alias("result"))
+
+
+def transcript_rows(have: Views) -> DataFrame:
+    return Sequence(have["conversations"], "conv_id", "turn").places("line").select("conv_id", "line", "role", "text")
+
+
+def first_turns(have: Views) -> DataFrame:
+    """What a conversation's user says first, and the command it calls, if any."""
+    first = have["conversations"].where("role = 'user'").groupBy("conv_id").agg(F.min_by(F.struct("turn", "text"), "turn").alias("t")).select("conv_id", "t.*")
+    return first.withColumn("command", F.nullif(F.regexp_extract("text", "^/([a-zA-Z0-9_-]+)", 1), F.lit("")))
+
+
+#: Queries whose statement is DuckDB's alone: Spark takes sequences by ranges.
+BY_RANGES = (compact_repeats, session_transcript, transcript_rows, first_turns)
+
+
 def session_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, telemetry.QUERIES["session_cost_scores"])
 
 
 def queries(config: Config = Config()) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """All queries under a configuration; the text plans have thresholds of their own."""
+    """All queries under a configuration."""
     statements, shared = telemetry.split(telemetry.statements(config))
     out = {k: (lambda s, d, q=q: spark_sql(s, d, q, config, shared)) for k, q in statements.items()}
-    out["rank_top_sessions"] = lambda s, d: rank_top_sessions(s, d, statements["session_usage"], config, shared)
+    out["rank_top_sessions"] = lambda s, d: rank_top_sessions(views(s, d, config), statements["session_usage"], shared)
+    out |= {f.__name__: (lambda s, d, f=f: f(views(s, d, config))) for f in BY_RANGES}
     return out | {k: (lambda s, d, f=f: f(views(s, d, config))) for k, f in text.PLANS.items()}
 
 

@@ -47,7 +47,7 @@ SQL = {
     **{f"audit_{x}_signal": _AUDIT + f"select user_id session_id from signals where signal = '{x}'" for x in ("top", "loop", "cache", "repeat")},
     "audit_outlier_signal": _W + _Z + "select user_id session_id, round((cost - med) / (1.4826 * mad), 6) z from costs, middle, spread where mad > 0 and (cost - med) / (1.4826 * mad) >= 3 and cost >= 1",
     "median_mad": _W + _Z + "select round(med, 6) median_cost, round(mad, 6) mad from middle, spread",
-    "snooze_filter": _AUDIT + "select user_id session_id, signal from signals where signal || ':' || user_id not in ('cache:0', 'repeat:3', 'outlier:10')",
+    "snooze_filter": _AUDIT + "select user_id session_id, signal from signals where signal || ':' || user_id not in ('cache:6', 'repeat:22', 'outlier:19')",
     **{f"alert_{n}": _W + f"select '{n}' rule, '{severity}' severity, cast({least} as double) threshold, round(x, 6) observed, coalesce(round(x, 6) {op} {least}, false) fired from (select {value} x)" for n, (severity, least, value, op) in _ALERTS.items()},
     "consecutive_never_loaded": _SILENT + "select skill, cast(streak as bigint) streak from streaks",
     "r1_retire": _SILENT + "select skill, cast(streak as bigint) streak, 'retire' action, 'medium' severity from retire",

@@ -27,11 +27,12 @@ def statements(C: Config) -> dict[str, str]:
     #: The one rule for outliers.
     OUTLIER = f"z >= {C.outlier_z} and cost >= {C.outlier_floor}"
     OUTLIERS = f"select session_id, cost, median_cost, z from ({SCORES}) s where {OUTLIER}"
-    GAPS = """select session_id, ts, cost, lag(ts) over (partition by session_id order by ts, event_id) prev from {w}"""
+    #: Steps with the time of the one before; Spark takes it from ``operators.sequences``, by ranges.
+    GAPS = "select *, lag(ts) over (partition by session_id order by ts, event_id) prev from {w}"
     #: Seconds between two timestamps; the two engines name it differently.
     SECONDS = "@seconds(prev, ts)"
     ACTIVE = f"""select session_id, cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds,
-      cast(sum(cost) as double) cost from ({GAPS}) g group by session_id"""
+      cast(sum(cost) as double) cost from {{gaps}} g group by session_id"""
     #: The runs, newest first, half-open windows.
     RUNS = " union all ".join(f"select {i} run, timestamp_ntz '{lo}' lo, timestamp_ntz '{hi}' hi, {hours} span_hours" for i, (lo, hi, hours) in enumerate(C.runs))
     WEEKS = f"select r.run, r.span_hours, s.* from {{steps}} s join ({RUNS}) r on s.ts >= r.lo and s.ts < r.hi"
@@ -49,7 +50,7 @@ def statements(C: Config) -> dict[str, str]:
     #: One row a session of the window, with all that the audit signals need.
     SESSIONS = f"""select session_id, {MONEY} cost, coalesce(cast(sum(cost) as double), 0) plain_cost, {HIT} hit_rate, cast(sum(cache_read) as bigint) cache_read, cast(sum(fresh_input) as bigint) fresh_input,
       cast(floor(sum(case when {SECONDS} < {C.gap_seconds} then {SECONDS} else 0 end)) as bigint) active_seconds, cast(sum(cost) as double) active_cost
-    from (select session_id, ts, cost, cache_read, fresh_input, lag(ts) over (partition by session_id order by ts, event_id) prev from {{w}}) g group by session_id"""
+    from {{gaps}} g group by session_id"""
     #: In the order of priority: the dearest, outliers, loops, lost caches, repeated prompts.
     SIGNALS = f"""select session_id, 1 priority, 'top' signal from (select session_id from {{audited}} u order by cost desc nulls last, session_id limit {C.top_sessions}) q
     union all select session_id, 2, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)", "{cost_spread}")}) s where {OUTLIER}
@@ -94,6 +95,7 @@ def statements(C: Config) -> dict[str, str]:
         "@run_days": BASE_DAYS,
         "@costs": SESSION_COST,
         "@audited": SESSIONS,
+        "@gaps": GAPS,
         "@signals": SIGNALS,
         "@cost_spread": spread("{costs}", "cost"),
         "@day_spread": spread("(select cost from {run_days} p where run > 0)", "cost"),
@@ -179,11 +181,11 @@ def statements(C: Config) -> dict[str, str]:
         "rank_top_sessions": f"select session_id, cost, cast(row_number() over (order by cost desc, session_id) as bigint) place from ({USAGE}) u",
         "top_sessions": f"select session_id, cost from ({USAGE}) u order by cost desc, session_id limit {C.top_sessions}",
         "consecutive_never_loaded": STREAKS,
-        "first_turns": "select conv_id, turn, role, text from (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) rn from {conversations}) t where rn = 1",
-        "transcript_rows": "select conv_id, cast(row_number() over (partition by conv_id order by turn) as bigint) line, role, substring(text, 1, 80) summary from {conversations}",
+        "first_turns": "select conv_id, turn, text, nullif(regexp_extract(text, '^/([a-zA-Z0-9_-]+)', 1), '') command from (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) rn from {conversations} where role = 'user') t where rn = 1",
+        "transcript_rows": "select conv_id, cast(row_number() over (partition by conv_id order by turn) as bigint) line, role, text from {conversations}",
         "audit_priority": f"""select a.session_id, a.priority, a.signals, case when t.session_id is not null then 'treated' else 'untreated' end state from ({AUDITED}) a
     left join (select session_id from ({AUDITED}) b order by priority, cost desc nulls last, session_id limit {C.audit_max_sessions}) t on t.session_id = a.session_id""",
-        "session_transcript": "select root_id, cast(row_number() over (partition by root_id order by ts, event_id) as bigint) line, session_id, session_id <> root_id child, tool, substring(raw, 1, 80) args, case when tool = 'error' then 'error' else 'ok' end result from {steps}",
+        "session_transcript": "select root_id, cast(row_number() over (partition by root_id order by ts, event_id) as bigint) line, session_id, session_id <> root_id child, tool, raw args, case when tool = 'error' then 'error' else 'ok' end result from {steps}",
         "union_audit_signals": "select distinct session_id, priority, signal from {signals} s",
         "audit_loop_signal": "select distinct session_id from {signals} s where signal = 'loop'",
         "audit_cache_signal": "select distinct session_id from {signals} s where signal = 'cache'",

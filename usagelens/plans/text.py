@@ -18,6 +18,11 @@ BLOCK_TEXTS = 4000
 Views = dict[str, DataFrame]
 
 
+def settings(v: Views) -> Config:
+    """The configuration of the views; that of plain frames is the default."""
+    return getattr(v, "config", C)
+
+
 def scan_typed_messages(v: Views) -> DataFrame:
     return v["conversations"].select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
 
@@ -31,19 +36,19 @@ def top5_commands(v: Views) -> DataFrame:
     return command_usage(v).orderBy(F.desc("uses"), "command").limit(5)
 
 
-def user_prompt_repeats(v: Views) -> DataFrame:
-    """Repeated prompts of a source: equal ones, then those whose first 100 characters are near an earlier one's.
+def prompt_groups(said: DataFrame, config: Config) -> DataFrame:
+    """(session_id, key, preview, count, avg_chars) of prompts said again in a session: equal ones, then those whose first 100 characters are near an earlier one's.
 
-    In the order of ids each prompt joins the earliest representative that is near, or else becomes one; the key is the representative's.
-    Prompts of equal first characters always fare alike, so they are one node.
+    ``said`` has (session_id, text, at). In the order of ``at`` (nulls last) each prompt joins the earliest representative that is near, or else
+    becomes one; the key is the representative's. Prompts of equal first characters always fare alike, so they are one node.
     """
-    d = v["documents"].select("doc_id", "source", normalised("text").alias("prompt")).where(F.length("prompt") >= C.repeat_min_length)
+    d = said.select("session_id", "at", F.length("text").alias("chars"), normalised("text").alias("prompt")).where(F.length("prompt") >= config.repeat_min_length)
     start = F.substring("prompt", 1, 100)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.md5("prompt").alias("own"))).alias("first")
-    d = d.withColumns({"session": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "prompt_start": start, "key": F.md5(start)})
-    nodes = checkpoint(d.groupBy("session", "key").agg(F.first("source").alias("source"), F.first("prompt_start").alias("prompt"), first, F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct(F.col("at").isNull().alias("late"), F.col("at"), F.md5("prompt").alias("own"), F.substring("prompt", 1, 80).alias("preview"))).alias("first")
+    d = d.withColumns({"session": F.coalesce(F.concat(F.lit("="), F.col("session_id").cast("string")), F.lit("")), "prompt_start": start, "key": F.md5(start)})
+    nodes = checkpoint(d.groupBy("session", "key").agg(F.first("session_id").alias("session_id"), F.first("prompt_start").alias("prompt"), first, F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")))
     place = nodes.select("session", "key", "first")
-    near = ratio_pairs(nodes.select("session", "key", "prompt"), "session", C.near_duplicate).where("x <> y")
+    near = ratio_pairs(nodes.select("session", "key", "prompt"), "session", config.near_duplicate).where("x <> y")
     near = near.join(place.withColumnsRenamed({"key": "x", "first": "x_first"}), ["session", "x"]).join(place.withColumnsRenamed({"key": "y", "first": "y_first"}), ["session", "y"])
     near = checkpoint(near.where("x_first < y_first").select("session", "x", "x_first", F.col("y").alias("key")))
     # A node with no earlier near one is a representative; its near ones aren't; then the same among the rest.
@@ -58,21 +63,28 @@ def user_prompt_repeats(v: Views) -> DataFrame:
         chosen = left
     to = near.join(chosen.withColumnRenamed("key", "x"), ["session", "x"], "left_semi").groupBy("session", "key").agg(F.min("x_first").alias("to"))
     grouped = nodes.join(to, ["session", "key"], "left").withColumn("to", F.coalesce("to", "first"))
-    return grouped.groupBy("source", F.col("to.own").alias("prompt_key")).agg(F.sum("n").alias("n")).where(F.col("n") >= C.repeat_min_count)
+    out = grouped.groupBy("session_id", F.col("to.own").alias("key")).agg(F.min("to.preview").alias("preview"), F.sum("n").alias("count"), F.round(F.sum("chars") / F.sum("n"), 6).alias("avg_chars"))
+    return out.where(F.col("count") >= config.repeat_min_count)
+
+
+def user_prompt_repeats(v: Views) -> DataFrame:
+    """Repeated prompts of a source, in the order of ids."""
+    said = v["documents"].select(F.col("source").alias("session_id"), "text", F.col("doc_id").alias("at"))
+    return prompt_groups(said, settings(v)).select(F.col("session_id").alias("source"), F.col("key").alias("prompt_key"), F.col("count").alias("n"))
 
 
 def exact_prompt_repeats(v: Views) -> DataFrame:
     """The exact half of ``user_prompt_repeats``: groups of equal normalised prompts of a source."""
-    d = v["documents"].select("source", normalised("text").alias("prompt")).where(F.length("prompt") >= C.repeat_min_length)
-    return d.groupBy("source", F.md5("prompt").alias("prompt_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= C.repeat_min_count)
+    d = v["documents"].select("source", normalised("text").alias("prompt")).where(F.length("prompt") >= settings(v).repeat_min_length)
+    return d.groupBy("source", F.md5("prompt").alias("prompt_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= settings(v).repeat_min_count)
 
 
 def repeats_cap(v: Views) -> DataFrame:
-    return user_prompt_repeats(v).orderBy(F.desc("n"), "source", "prompt_key").limit(C.repeats_cap)
+    return user_prompt_repeats(v).orderBy(F.desc("n"), "source", "prompt_key").limit(settings(v).repeats_cap)
 
 
 def release_relevance(v: Views) -> DataFrame:
-    hits = sum((F.col("text").rlike(rf"(?i)\b{k}\b").cast("int") for k in C.keywords), F.lit(0))
+    hits = sum((F.col("text").rlike(rf"(?i)\b{k}\b").cast("int") for k in settings(v).keywords), F.lit(0))
     d = v["documents"].where("text is not null").select("doc_id", hits.cast("long").alias("hits"))
     return d.where("hits > 0").withColumn("relevance", F.when(F.col("hits") >= 2, "high").otherwise("medium"))
 
@@ -108,7 +120,7 @@ def harness_projection(v: Views) -> DataFrame:
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
     p = v["pages"].select("page_id", path.alias("path"))
     allow = lambda globs: F.col("path").rlike("|".join(glob_pattern(g) for g in globs))
-    return p.select("page_id", "path", allow(C.projection["strict"]).alias("strict"), allow(C.projection["advisory"]).alias("advisory"))
+    return p.select("page_id", "path", allow(settings(v).projection["strict"]).alias("strict"), allow(settings(v).projection["advisory"]).alias("advisory"))
 
 
 def token_jaccard_pairs(v: Views) -> DataFrame:
@@ -118,7 +130,7 @@ def token_jaccard_pairs(v: Views) -> DataFrame:
     ``n - ceil(n t) + 1`` tokens are its keys, so two sets at the threshold share one. A pair is taken at the first key that they share, if
     what follows in both still suffices; keys that one node alone has leave no row. Only ids meet; the sets are fetched for the pairs left.
     """
-    t = C.similarity
+    t = settings(v).similarity
     d = v["documents"].where("text is not null").select("doc_id", "lang", F.substring(F.lower(F.regexp_replace("text", r"\s+", " ")), 1, 200).alias("prompt"))
     d = d.select("doc_id", "lang", F.sort_array(F.array_distinct(F.split("prompt", " "))).alias("tokens")).where("lang is not null")
     d = d.withColumn("node", F.xxhash64("lang", "tokens"))
@@ -169,17 +181,17 @@ def similar_pairs_join(v: Views) -> DataFrame:
     """Sequence-ratio pairs within a language, the document of the smaller id first, over all pairs: equal texts are compared once."""
     d = v["documents"].select("doc_id", "lang", F.substring(normalised("text"), 1, 200).alias("prompt")).where("length(prompt) > 0 and lang is not null")
     d = d.withColumn("key", F.md5("prompt"))
-    pairs = ratio_pairs(d.select("lang", "key", "prompt").distinct(), "lang", C.similarity)
+    pairs = ratio_pairs(d.select("lang", "key", "prompt").distinct(), "lang", settings(v).similarity)
     a, b = d.select("lang", F.col("doc_id").alias("a"), F.col("key").alias("x")), d.select("lang", F.col("doc_id").alias("b"), F.col("key").alias("y"))
     found = pairs.join(a, ["lang", "x"]).join(b, ["lang", "y"]).where("a < b")
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= C.similarity)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= settings(v).similarity)
 
 
 def near_dup_prompt_join(v: Views) -> DataFrame:
     """Near-duplicate prompts (first 100 characters) within a source, over all pairs."""
     d = v["documents"].select("doc_id", "source", F.substring(normalised("text"), 1, 100).alias("prompt")).where("length(prompt) > 0 and source is not null")
     d = d.withColumn("key", F.md5("prompt"))
-    pairs = ratio_pairs(d.select("source", "key", "prompt").distinct(), "source", C.near_duplicate)
+    pairs = ratio_pairs(d.select("source", "key", "prompt").distinct(), "source", settings(v).near_duplicate)
     a, b = d.select("source", F.col("doc_id").alias("a"), F.col("key").alias("x")), d.select("source", F.col("doc_id").alias("b"), F.col("key").alias("y"))
     return pairs.join(a, ["source", "x"]).join(b, ["source", "y"]).where("a < b").select("source", "a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -194,7 +206,7 @@ def r3_merge(v: Views) -> DataFrame:
 
 
 def top_pairs(v: Views) -> DataFrame:
-    return similar_pairs_join(v).orderBy(F.desc("similarity"), "a", "b").limit(C.similar_pairs)
+    return similar_pairs_join(v).orderBy(F.desc("similarity"), "a", "b").limit(settings(v).similar_pairs)
 
 
 def prose_block_validation(v: Views) -> DataFrame:

@@ -46,29 +46,10 @@ def opened(path: str) -> sqlite3.Connection:
         return db
 
 
-def checked(path: str, required: dict[str, set[str]], migrations: int = 0) -> None:
-    """Raise if a required table or column is missing, or there are fewer migrations: drift of the schema is fatal, never silent."""
+def declared(path: str, table: str) -> dict[str, DataType]:
+    """The columns of a table and their types."""
     with opened(path) as db:
-        if migrations and (n := db.execute("select count(*) from migration").fetchone()[0]) < migrations:
-            raise ValueError(f"{n} migrations, {migrations} expected")
-        for table, columns in required.items():
-            have = {r[1] for r in db.execute(f"pragma table_info({quoted(table)})")}
-            if not have or columns - have:
-                raise ValueError(f"{table}: missing {sorted(columns - have) if have else 'table'}")
-
-
-def live_store(paths: list[str], table: str = "session") -> str:
-    """Of the files that have the table, that of the latest update."""
-    newest = []
-    for p in paths:
-        try:
-            with opened(p) as db:
-                newest.append((db.execute(f"select max(time_updated) from {quoted(table)}").fetchone()[0] or 0, p))
-        except (OSError, sqlite3.Error):
-            continue
-    if not newest:
-        raise FileNotFoundError("no readable store")
-    return max(newest)[1]
+        return {r[1]: kind(r[2]) for r in db.execute(f"pragma table_info({quoted(table)})")}
 
 
 class Range(InputPartition):
@@ -98,13 +79,17 @@ class SqliteReader(DataSourceReader):
         step = -(-(hi - lo + 1) // self.n)
         return [Range(a, min(a + step, hi + 1)) for a in range(lo, hi + 1, step)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def statement(self, partition: Range) -> tuple[str, list]:
+        """What SQLite is asked for a range, and the values in it."""
         columns = ", ".join(quoted(f.name) for f in self.schema.fields)
         where = "".join(f" and {quoted(c)} {op}" for c, op, _ in self.where)
         values = [v for _, _, vs in self.where for v in vs]
+        return f"select {columns} from {quoted(self.table)} where rowid >= ? and rowid < ?{where}", [partition.lo, partition.hi, *values]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
         db = opened(self.path)
         try:
-            yield from db.execute(f"select {columns} from {quoted(self.table)} where rowid >= ? and rowid < ?{where}", [partition.lo, partition.hi, *values])
+            yield from db.execute(*self.statement(partition))
         finally:
             db.close()
 
@@ -115,9 +100,7 @@ class SqliteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> StructType:
-        with opened(self.options["path"]) as db:
-            info = db.execute(f"pragma table_info({quoted(self.options['table'])})").fetchall()
-        return StructType([StructField(r[1], kind(r[2])) for r in info])
+        return StructType([StructField(n, k) for n, k in declared(self.options["path"], self.options["table"]).items()])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SqliteReader(self.options, schema)
