@@ -1,7 +1,8 @@
 """Command line over a folder of tables.
 
-Exit codes: 0 done, 1 degraded, 2 failed. ``run`` writes a summary, its report and page to a run folder and compares it with the one before;
-the other commands write what they find to a file named after them in the current run folder, and print where.
+Exit codes: 0 done, 1 degraded, 2 failed. ``run`` writes a summary, its report and page to a run folder, compares it with the one before and
+keeps what later runs need under ``history``; ``insights`` draws on that. With ``--store`` sessions come from SQLite files, of which the live one
+counts; else from a folder of tables. The other commands write what they find to a file named after them in the current run folder, and print where.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from usagelens.config import Config
-from usagelens.plans import catalog, report, validators
+from usagelens.plans import catalog, report, validators, weekly
+from usagelens.plans.history import History, insights
+from usagelens.sources import adapters
+from usagelens.sources.catalog_files import markdown_catalog
 from usagelens.sources.proxy import TABLES
 
 #: Commands that gather queries.
@@ -42,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=["run", "doctor", "query", "list", "show-session", "report-assemble", *COMMANDS, *FILES])
     p.add_argument("name", nargs="?", help="query to run, or id to show")
     p.add_argument("--data", help="folder of the parquet tables")
+    p.add_argument("--store", nargs="+", help="session stores; the one of the latest update counts")
+    p.add_argument("--migrations", type=int, help="migrations that a store must have, at least")
+    p.add_argument("--skills", nargs="+", help="globs of Markdown files: the catalog of skills")
     p.add_argument("--out", default="out")
     p.add_argument("--config", help="JSON file of thresholds")
     p.add_argument("--anchor", help="end of the window, ISO 8601 in UTC")
@@ -87,22 +95,80 @@ def judged(command: str, item: dict | list, kind: str, mode: str, folder: Path)
     return out
 
 
+def opened(spark: SparkSession, a: argparse.Namespace, config: Config) -> tuple[adapters.StoreViews, DataFrame | None]:
+    """The live store's views and the catalog of skills, if one is named."""
+    path, adapter = adapters.live(a.store, None if a.migrations is None else {"migration": a.migrations})
+    return adapters.StoreViews(spark, path, config, adapter), markdown_catalog(spark, *a.skills) if a.skills else None
+
+
+def told(v: adapters.StoreViews, id: str, children: bool) -> str:
+    """A stored session's transcript, an entry a turn: the tool, its arguments and result, or the text."""
+    out = []
+    for i, r in enumerate(weekly.transcript(v, id, children).orderBy("session_id", "ts", "event_id").toLocalIterator(), 1):
+        if r.kind == "marker":
+            out.append(f"[... {r.replaced} similar calls ...]")
+            continue
+        child = f"child {r.session_id} " if r.session_id != id else ""
+        out.append(f"[{i}] {child}{r.tool} {r.args} -> {r.result}" if r.said == "tool" else f"[{i}] {child}{r.said}: {r.text}")
+    return "\n".join(out)
+
+
 def run(spark: SparkSession, a: argparse.Namespace, config: Config) -> int:
-    document, date = report.summary(spark, a.data, config), config.run_time[:10]
-    same = [json.loads(p.read_text(encoding="utf-8")) for p in Path(a.out, "runs").glob(f"{date}-*/summary.json")]
-    fine, warnings = validators.rerun_guard(same[-1] if same else None, document, a.force)
+    if a.store:
+        v, skills = opened(spark, a, config)
+        document = weekly.summary(v, skills)
+        kept = lambda: weekly.run_frames(v, document, skills)
+    else:
+        document = report.summary(spark, a.data, config)
+        kept = lambda: weekly.table_run_frames(spark, a.data, document, config)
+    date = config.run_time[:10]
+    fine, warnings = validators.rerun_guard(report.latest(a.out, date), document, a.force)
     if not fine:
         print(warnings[0], file=sys.stderr)
         return 2
     before = report.earlier(a.out, date)
     document["deltas"] = report.deltas(document, before[0] if before else None)
-    document["warnings"] = (warnings + document["deltas"].pop("warnings"))[: config.warnings_cap]
+    warnings = [{"session_id": None, "message": m} for m in warnings + document["deltas"].pop("warnings")]
+    document["warnings"] = (warnings + document.get("warnings", []))[: config.warnings_cap]
+    History(spark, a.out).write(date, kept())
     made = report.run_directory(a.out, date)
     report.write_json_atomic(document, made / "summary.json")
     (made / "report.md").write_text(report.markdown(document), encoding="utf-8")
     (made / "report.html").write_text(report.page(document), encoding="utf-8")
     print(made)
-    return 1 if document["warnings"] else 0
+    return 1 if warnings else 0
+
+
+def drawn(spark: SparkSession, a: argparse.Namespace, config: Config) -> dict:
+    """The insights of the anchor's run, from what was written."""
+    over = catalog.queries(config)["r2_join"](spark, a.data).select(F.col("skill").cast("string").alias("skill")) if a.data else None
+    pairs = (report.latest(a.out, config.run_time[:10]) or {}).get("skill_similar_pairs", [])
+    return insights(History(spark, a.out), config, over, pairs)
+
+
+def stored(a: argparse.Namespace, config: Config, folder: Path) -> int:
+    """The commands over a session store, and the insights over what runs left."""
+    try:
+        if a.command == "doctor":
+            path, adapter = adapters.live(a.store, None if a.migrations is None else {"migration": a.migrations})
+            print(f"ok: {path} ({adapter.name})")
+            return 0
+        if a.command not in ("run", "show-session", "insights") or (a.command == "show-session" and not a.name):
+            print("not a command over a store, or no id", file=sys.stderr)
+            return 2
+        spark = session()
+        if a.command == "run":
+            return run(spark, a, config)
+        if a.command == "show-session":
+            print(told(opened(spark, a, config)[0], a.name, a.include_children))
+            return 0
+        document = drawn(spark, a, config)
+        report.write_json_atomic(document, folder / "insights.json")
+        print(folder / "insights.json")
+        return 1 if document["deltas"]["_warnings"] else 0
+    except (adapters.SchemaDrift, LookupError) as e:
+        print(e, file=sys.stderr)
+        return 2
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -133,6 +199,8 @@ def main(argv: list[str] | None = None) -> int:
         (current / "report.html").write_text(report.page(document), encoding="utf-8")
         print(current / "report.html")
         return 0
+    if a.store or (a.command == "insights" and Path(a.out, "history").exists()):
+        return stored(a, config, current if current.exists() else out)
     if not a.data or (a.command == "query" and a.name not in have) or (a.command == "show-session" and not a.name):
         print("missing --data, unknown query or no id", file=sys.stderr)
         return 2
@@ -152,7 +220,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     document, omitted = {}, {}
     for name in COMMANDS[a.command]:
-        document[name], more = report.rows_of(have[name](spark, a.data), None)
+        document[name], more = report.rows_of(have[name](spark, a.data), None, config.section_rows)
         if more:
             omitted[name] = more
     document["omitted"] = omitted

@@ -36,6 +36,8 @@ class Config:
     silent_runs: int = 4
     runs_scanned: int = 8
     commit_cap: int = 10
+    #: Rows of a document's section; 0: all.
+    section_rows: int = 1000
     #: ``category:target`` of findings that are put off.
     ignored_findings: tuple[str, ...] = ("cache:6", "repeat:22", "outlier:19", "retire:17")
     #: Hours of the windows of the runs, newest first; they end a week apart.

@@ -19,17 +19,25 @@ from usagelens.plans import validators
 #: Rows of a section; a longer one says how many are left out.
 SECTION_ROWS = 1000
 SECTIONS = {"totals": None, "daily_totals": "day", "by_model": "model", "top_sessions": "session_id", "tool_usage": "tool", "subagent_totals": "agent", "cost_outliers": "session_id", "alerts": "rule"}
+#: Sections that only a session store's summary has.
+STORE_SECTIONS = ("skill_usage", "command_usage", "user_prompt_repeats", "skill_similar_pairs", "skills_never_loaded", "warnings")
 
 
 def plain(value: Any) -> Any:
     return value if isinstance(value, (int, float, str, bool, type(None))) else str(value)
 
 
-def rows_of(df: DataFrame, order: str | None, cap: int = SECTION_ROWS) -> tuple[list[dict], int]:
-    """A report section in a total order: its rows, at most ``cap``, and how many more there are."""
-    df = df.orderBy(order, *[c for c in df.columns if c != order]) if order else df.orderBy(*df.columns)
-    rows = [{k: plain(v) for k, v in r.asDict().items()} for r in df.limit(cap + 1).collect()]
-    return rows[:cap], df.count() - cap if len(rows) > cap else 0
+def rows_in(df: DataFrame, order: list, cap: int | None = None) -> tuple[list[dict], int]:
+    """A section's rows in an order, ties by all columns: at most ``cap`` (0: all), and how many more there are."""
+    cap = SECTION_ROWS if cap is None else cap
+    named = [c for c in order if isinstance(c, str)]
+    df = df.orderBy(*order, *[c for c in df.columns if c not in named])
+    rows = [{k: plain(v) for k, v in r.asDict().items()} for r in (df.limit(cap + 1) if cap else df).collect()]
+    return (rows[:cap], df.count() - cap) if cap and len(rows) > cap else (rows, 0)
+
+
+def rows_of(df: DataFrame, order: str | None, cap: int | None = None) -> tuple[list[dict], int]:
+    return rows_in(df, [order] if order else [], cap)
 
 
 def summary(spark: SparkSession, sf_dir: str, config: Config = Config()) -> dict:
@@ -37,7 +45,7 @@ def summary(spark: SparkSession, sf_dir: str, config: Config = Config()) -> dict
 
     have, out, omitted = queries(config), {}, {}
     for name, order in SECTIONS.items():
-        out[name], more = rows_of(have[name](spark, sf_dir), order)
+        out[name], more = rows_of(have[name](spark, sf_dir), order, config.section_rows)
         if more:
             omitted[name] = more
     return {"schema_version": 2, "period": {"start": config.start, "end": config.run_time, "hours": 24 * config.lookback_days}, "omitted": omitted} | out
@@ -76,6 +84,12 @@ def run_directory(root: str | Path, date: str, now: str | None = None) -> Path:
     return made
 
 
+def latest(root: str | Path, date: str) -> dict | None:
+    """The summary last written for a date."""
+    found = [p for p in Path(root, "runs").glob(f"{date}-*/summary.json") if not p.parent.is_symlink()]
+    return json.loads(max(found, key=lambda p: p.stat().st_mtime).read_text(encoding="utf-8")) if found else None
+
+
 def earlier(root: str | Path, date: str) -> list[dict]:
     """The summaries of runs strictly before a date, newest first; of one date the last written."""
     found = {}
@@ -95,19 +109,24 @@ def deltas(now: dict, before: dict | None) -> dict:
     return {"cost_pct": pct("cost"), "tokens_pct": pct("tokens"), "hit_rate_diff": hit, "warnings": ["windows differ"] if before and not same else []}
 
 
+def sections(document: dict) -> list[str]:
+    return [n for n in (*SECTIONS, *STORE_SECTIONS) if n in document or n in SECTIONS and "store" not in document]
+
+
 def markdown(document: dict) -> str:
     out = [f"# Usage {document['period']['start']} to {document['period']['end']}"]
-    for name in SECTIONS:
+    for name in sections(document):
         rows = document.get(name) or []
         out.append(f"\n## {name.replace('_', ' ')}\n")
+        rows = [r if isinstance(r, dict) else {"message": r} for r in rows]
         if not rows:
             out.append("No rows.")
             continue
         keys = list(rows[0])
         out += ["| " + " | ".join(keys) + " |", "|" + " --- |" * len(keys)]
-        if more := document.get("omitted", {}).get(name):
-            out.append(f"{more} further rows are left out.\n")
         out += ["| " + " | ".join(str("" if r[k] is None else r[k]).replace("|", "\\|") for k in keys) + " |" for r in rows]
+        if more := document.get("omitted", {}).get(name):
+            out.append(f"\n{more} further rows are left out.")
     return "\n".join(out) + "\n"
 
 
@@ -117,8 +136,9 @@ def page(document: dict) -> str:
     most = max([d["cost"] or 0 for d in days] or [1]) or 1
     bars = "".join(f'<rect x="{i * 30}" y="{100 - 100 * (d["cost"] or 0) / most:.1f}" width="24" height="{100 * (d["cost"] or 0) / most:.1f}"><title>{html.escape(str(d["day"]))}</title></rect>' for i, d in enumerate(days))
     tables = []
-    for name in SECTIONS:
+    for name in sections(document):
         rows = document.get(name) or []
+        rows = [r if isinstance(r, dict) else {"message": r} for r in rows]
         keys = list(rows[0]) if rows else []
         head = "".join(f"<th>{html.escape(k)}</th>" for k in keys)
         body = "".join("<tr>" + "".join(f"<td>{html.escape(str('' if r[k] is None else r[k]))}</td>" for k in keys) + "</tr>" for r in rows)

@@ -64,8 +64,8 @@ def detected(path: str, migrations: dict[str, int] | None = None) -> Adapter:
         have = schema(path)
     except sqlite3.DatabaseError as e:
         raise SchemaDrift(f"{path}: {e}") from e
-    found = {a: a.problems(have) for a in ADAPTERS}
-    for a, problems in found.items():
+    found = [(a, a.problems(have)) for a in ADAPTERS]
+    for a, problems in found:
         if problems:
             continue
         with sqlite.opened(path) as db:
@@ -73,8 +73,8 @@ def detected(path: str, migrations: dict[str, int] | None = None) -> Adapter:
                 if table in have and (n := db.execute(f"select count(*) from {sqlite.quoted(table)}").fetchone()[0]) < least:
                     raise SchemaDrift(f"{path}: {n} migrations, {least} expected")
         return a
-    nearest = min(found, key=lambda a: len(found[a]))
-    raise SchemaDrift(f"{path}: unsupported; {nearest.name}: {'; '.join(found[nearest])}")
+    nearest, problems = min(found, key=lambda x: len(x[1]))
+    raise SchemaDrift(f"{path}: unsupported; {nearest.name}: {'; '.join(problems)}")
 
 
 def live(paths: list[str], migrations: dict[str, int] | None = None) -> tuple[str, Adapter]:
@@ -192,7 +192,7 @@ class StoreViews(Views):
         own = self["parts"].where("kind = 'step-finish'")
         own = own.select("event_id", "session_id", "ts", F.to_date("ts").alias("day"), F.lit("step").alias("tool"), F.lit("").alias("raw"), F.lit(0).alias("k"), F.try_variant_get("data", "$.cost", "double").cast("decimal(18,6)").alias("cost"), tokens("cache.read").alias("cache_read"), tokens("input").alias("fresh_input"), tokens("output").alias("output"), tokens("reasoning").alias("reasoning"), tokens("cache.write").alias("cache_write"))
         of = self["sessions"].select(F.col("id").alias("session_id"), "model", "agent")
-        up = self["tree"].select(F.col("id").alias("session_id"), F.coalesce("root_id", "id").alias("root_id"))
+        up = self["tree"].select(F.col("id").alias("session_id"), "root_id")
         return checkpoint(own.join(of, "session_id").join(up, "session_id"))
 
     def _calls(self) -> DataFrame:
@@ -225,7 +225,3 @@ class StoreViews(Views):
         from usagelens.plans.text import prompt_groups
 
         return prompt_groups(self["turns"].select("session_id", "text", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), self.config).select("session_id").distinct()
-
-    def _lineitem(self) -> DataFrame:
-        """No linter's digest comes with a store: its alert sees no violations."""
-        return self.spark.createDataFrame([], "l_returnflag string, l_shipdate timestamp_ntz, l_partkey long, l_orderkey long")

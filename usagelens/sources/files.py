@@ -12,19 +12,16 @@ def history(spark: SparkSession, glob: str, before: str) -> DataFrame:
     return rows.where(F.col("run_date") < F.lit(before).cast("date"))
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Keep a summary forever, one partition a date; a rerun of a date replaces that date only."""
+def append_history(rows: DataFrame, path: str, run_date: str | None = None) -> None:
+    """Keep a summary forever, one partition a date; a rerun of a date replaces that date only, and with ``run_date`` also where it has no rows."""
+    if run_date is not None and rows.isEmpty():
+        spark = rows.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_date={run_date}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 
 
-def markdown_catalog(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, name, description, body) of Markdown files with front matter."""
-    rows = spark.read.text(glob, wholetext=True).withColumn("path", F.input_file_name())
-    head, body = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1), F.regexp_replace("value", r"(?s)^---\n.*?\n---\n?", "")
-    field = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{n}:\s*(.*)$", 1)), F.lit(""))
-    return rows.select("path", field("name").alias("name"), field("description").alias("description"), body.alias("body"))
-
-
 def npm_results(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Recorded package search results dated in the window."""
     return spark.read.json(path).select("name", "description", F.to_timestamp("date").alias("date"), "repository").where(F.col("date").between(start, end))

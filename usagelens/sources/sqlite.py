@@ -12,7 +12,7 @@ import os
 import sqlite3
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructField, StructType
 
 _OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
@@ -68,6 +68,8 @@ class SqliteReader(DataSourceReader):
                 self.where.append((f.attribute[0], f"{_OPS[type(f)]} ?", (f.value,)))
             elif isinstance(f, In) and len(f.attribute) == 1:
                 self.where.append((f.attribute[0], f"in ({', '.join('?' * len(f.value))})", tuple(f.value)))
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
+                self.where.append((f.attribute[0], "is not null", ()))
             else:
                 yield f
 
