@@ -13,8 +13,6 @@ read a symbol at a time and never written again. The names of a level are in mem
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 from collections import defaultdict
 
@@ -27,23 +25,21 @@ BASE = 4 << 20
 
 
 class Space:
-    """Arrays in memory or, where large, in a scratch folder of the task that goes with it. Counts what was spilled and how deep the recursion went."""
+    """Arrays in memory or, where large, in scratch files of the task that lose their names at once, so that they go with the array or the process.
 
-    def __init__(self, memory: int):
-        self.memory, self.folder, self.files, self.spills, self.levels = memory, None, 0, 0, 0
+    Counts what was spilled and how deep the recursion went. ``kind`` holds any place of the string.
+    """
 
-    def path(self) -> str:
-        if self.folder is None:
-            self.folder = tempfile.mkdtemp(prefix="induced-")
-        self.files += 1
-        return os.path.join(self.folder, str(self.files))
+    def __init__(self, memory: int, n: int):
+        self.memory, self.spills, self.levels = memory, 0, 0
+        self.kind = np.int32 if n < 1 << 30 else np.int64
 
-    def array(self, n: int, kind: type) -> np.ndarray:
-        return np.zeros(n, kind) if n <= self.memory else np.memmap(self.path(), kind, "w+", shape=(n,))
+    def file(self, kind: type, shape: tuple[int, ...]) -> np.ndarray:
+        with tempfile.TemporaryFile(prefix="induced-") as f:
+            return np.memmap(f, kind, "w+", shape=shape)
 
-    def close(self) -> None:
-        if self.folder:
-            shutil.rmtree(self.folder, ignore_errors=True)
+    def array(self, n: int, kind: type) -> np.ndarray:
+        return np.zeros(n, kind) if n <= self.memory else self.file(kind, (n,))
 
 
 class Run:
@@ -53,7 +49,7 @@ class Run:
         self.symbols = np.array(sorted(held))
         sizes = np.array([sum(map(len, held[c])) for c in self.symbols.tolist()])
         self.ends = np.cumsum(sizes)
-        self.rows = np.memmap(space.path(), np.int64, "w+", shape=(count, 2))
+        self.rows = space.file(space.kind, (count, 2))
         at = 0
         for c in self.symbols.tolist():
             for part in held[c]:
@@ -82,7 +78,7 @@ class Queue:
         if not len(symbol):
             return
         order = np.argsort(symbol.astype(np.uint16) if symbol.max() < 1 << 16 else symbol, kind="stable")
-        symbol, rows = symbol[order], np.column_stack([rank[order], place[order]])
+        symbol, rows = symbol[order], np.column_stack([rank[order], place[order]]).astype(self.space.kind)
         cuts = np.flatnonzero(np.diff(symbol)) + 1
         for s, part in zip(symbol[np.append(0, cuts)].tolist(), np.split(rows, cuts), strict=True):
             self.held[s].append(part)
@@ -247,7 +243,7 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
 
     # L suffixes, in ascending order, with the S* suffixes that induce them.
     n_l = int(n - is_s.sum())
-    place, lcp = space.array(n_l + len(seeds), np.int64), space.array(n_l + len(seeds), np.int64)
+    place, lcp = space.array(n_l + len(seeds), space.kind), space.array(n_l + len(seeds), space.kind)
     bounds, q, queue = [], 0, Queue(space)
 
     def induce_l(a: int, b: int) -> None:
@@ -281,7 +277,7 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
             induce_l(q - k, q)
 
     # S suffixes, in descending order, with all L suffixes. down[z]: shared with down's entry before.
-    down, dlcp = space.array(n, np.int64), space.array(n, np.int64)
+    down, dlcp = space.array(n, space.kind), space.array(n, space.kind)
     z, queue = 0, Queue(space)
 
     def induce_s(a: int, b: int) -> None:
@@ -318,7 +314,7 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
             z += k
             induce_s(z - k, z)
     assert z == n
-    out = space.array(n, np.int64)
+    out = space.array(n, space.kind)
     out[1:] = dlcp[1:][::-1]
     return down[::-1], out
 
@@ -329,18 +325,15 @@ counters = {"spills": 0, "levels": 0}
 
 def suffix_array(t: np.ndarray, memory: int = MEMORY, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common-prefix values) of a string of non-negative symbols."""
-    space = Space(memory)
-    try:
-        string = space.array(len(t) + 1, np.uint16 if not len(t) or int(t.max()) < 65535 else np.int64)
-        for a in range(0, len(t), CHUNK):
-            part = t[a : a + CHUNK]
-            string[a : a + len(part)] = part + 1
-        order, lcp = level(string, space, base)
-        counters["spills"] += space.spills
-        counters["levels"] = max(counters["levels"], space.levels)
-        order, lcp = np.array(order[1:]), np.array(lcp[1:])
-        if len(lcp):
-            lcp[0] = 0
-        return order, lcp
-    finally:
-        space.close()
+    space = Space(memory, len(t))
+    string = space.array(len(t) + 1, np.uint16 if not len(t) or int(t.max()) < 65535 else np.int64)
+    for a in range(0, len(t), CHUNK):
+        part = t[a : a + CHUNK]
+        string[a : a + len(part)] = part + 1
+    order, lcp = level(string, space, base)
+    counters["spills"] += space.spills
+    counters["levels"] = max(counters["levels"], space.levels)
+    order, lcp = np.array(order[1:]), np.array(lcp[1:])
+    if len(lcp):
+        lcp[0] = 0
+    return order, lcp
