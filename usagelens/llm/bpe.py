@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,7 +147,7 @@ class TreeBPE:
             ids = []
             for p in self.pieces(raw.decode("utf-8", "replace")):
                 ids += [p] if isinstance(p, int) else self.run_ids(p)
-        return np.asarray(ids, "<u4").tobytes(), self.decode(ids)
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return self.whole.decode(ids, skip_special_tokens=False).encode()
