@@ -223,10 +223,56 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     capsys.readouterr()
     assert run("watch-validate", "--file", str(tmp_path / "w.json")) == 1
     assert json.loads(capsys.readouterr().out) == [["declared already: verify, improve or repair"], []]
-    (tmp_path / "skill.md").write_text("a \nb\n")
-    (tmp_path / "f.json").write_text(json.dumps([{"file": "skill.md", "rule": "trailing-space", "old": "a \n", "new": "a\n", "confidence": 0.95}]))
-    assert cli.main(["harness-remediate", "--file", str(tmp_path / "f.json"), "--data", str(tmp_path)]) == 0 and (tmp_path / "skill.md").read_text() == "a \nb\n"
-    assert cli.main(["harness-remediate", "--file", str(tmp_path / "f.json"), "--data", str(tmp_path), "--mode", "apply"]) == 0 and (tmp_path / "skill.md").read_text() == "a\nb\n"
+    (tmp_path / "draft.md").write_text("---\nname: a-b\n---\n")
+    assert cli.main(["draft-validate", "--file", str(tmp_path / "draft.md")]) == 1 and "missing description" in capsys.readouterr().out
+    assert cli.main(["draft-validate", "--file", str(tmp_path / "draft.md"), "--kind", "command"]) == 1 and "empty body" in capsys.readouterr().out
+    (tmp_path / "q.json").write_text(json.dumps({"session_id": 1, "category": "loop", "severity": "low", "recommendation_type": "habit", "evidence": "e"}))
+    assert cli.main(["findings-validate", "--file", str(tmp_path / "q.json")]) == 0
+
+
+def test_remediation_is_gated_tried_and_all_or_nothing(tmp_path, capsys):
+    from usagelens.plans import remediate
+
+    root, out = tmp_path / "root", tmp_path / "out"
+    files = {f"skills/{n}/SKILL.md": f"---\nname: {n}\n---\nbad {n}\n" for n in "abc"} | {"commands/d.md": "bad d bad d\n", "agents/e.md": "bad e\n"}
+    for name, body in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    change = lambda name, rule="format/x", **more: {"file": name, "rule": rule, "old": f"bad {name.split('/')[1][0]}", "new": "good", "confidence": "high"} | more
+    three = [change(f"skills/{n}/SKILL.md") for n in "abc"]
+    text = lambda: {n: (root / n).read_text() for n in files}
+    config = Config(auto_fix_rules=("format/x", "security/y"))
+    status = lambda changes, c=config, **more: [r["status"] for r in remediate.remediate(changes, root, out, c, **more)["results"]]
+    assert status(three, Config(), apply=True) == ["manual"] * 3 and text() == files  # nothing by default
+    odd = [change("skills/a/SKILL.md", "security/y"), change("agents/e.md"), change("../out.md", old="x"), change("commands/d.md"), change("skills/a/SKILL.md", confidence="medium"), change("skills/a/SKILL.md", old=""), change("skills/gone.md", old="x")]
+    assert status(odd, apply=True) == ["blocked", "blocked", "blocked", "manual", "manual", "blocked", "blocked"] and text() == files
+    assert status(three) == ["proposed"] * 3 and text() == files
+    assert status(three, Config(auto_fix_rules=("format/x",), auto_fix_max_files=2)) == ["proposed", "proposed", "manual"]
+    # A head that breaks fails on the copy; a file that can't be replaced puts the first two back.
+    broken = [*three[:2], change("skills/c/SKILL.md", old="---\nname: c\n---\n", new="")]
+    assert status(broken, apply=True) == ["rolled_back"] * 3 and text() == files
+
+    def fails(path, body, real=remediate.replace):
+        if path.parent.name == "c" and "good" in body:
+            raise OSError("disk full")
+        real(path, body)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(remediate, "replace", fails)
+        assert status(three, apply=True) == ["rolled_back"] * 3 and text() == files and not (out / remediate.JOURNAL).exists()
+    # A run that was killed leaves its journal; the next one puts its files back first, but for one that others changed.
+    x = {n: {"before": remediate.digest(files[n]), "after": remediate.digest("half done"), "text": files[n]} for n in files}
+    report.write_json_atomic({"files": {str(root / n): x[n] for n in files}}, out / remediate.JOURNAL)
+    (root / "skills/a/SKILL.md").write_text("half done")
+    (root / "agents/e.md").write_text("someone else's")
+    done = remediate.remediate(three, root, out, config, apply=True)
+    assert [r["status"] for r in done["results"]] == ["applied"] * 3 and "agents/e.md" in done["warnings"][0]
+    assert text() == files | {f"skills/{n}/SKILL.md": f"---\nname: {n}\n---\ngood\n" for n in "abc"} | {"agents/e.md": "someone else's"}
+    (tmp_path / "c.json").write_text(json.dumps({"auto_fix_rules": ["format/x"]}))
+    (tmp_path / "f.json").write_text(json.dumps([change("skills/a/SKILL.md", old="good", new="better")]))
+    call = lambda mode: cli.main(["harness-remediate", "--file", str(tmp_path / "f.json"), "--data", str(root), "--out", str(out), "--config", str(tmp_path / "c.json"), "--mode", mode])
+    assert call("dry-run") == 0 and "good" in text()["skills/a/SKILL.md"] and call("apply") == 0 and "better" in text()["skills/a/SKILL.md"]
+    assert json.loads((out / "remediation.json").read_text())["results"][0]["status"] == "applied"
 
 
 def test_validators():
@@ -235,9 +281,6 @@ def test_validators():
     assert [x["severity"] for x in validators.routed([good, good | {"severity": "high"}, good | {"category": "?"}])["report"]] == ["high", "low"]
     assert validators.draft("---\nname: a-b\ndescription: d\n---\nbody", "skill", {"c"}) == []
     assert validators.draft("---\nname: A b\n---\n", "skill", {"a b"}) == ["missing description", "name isn't in kebab case", "overlaps one that exists", "empty body"]
-    change = {"file": "f", "rule": "heading-level", "old": "# x", "new": "## x", "confidence": 0.99}
-    assert validators.remediation(change, "# x\n") == [] and validators.remediation(change, "# x # x") == ["2 places"]
-    assert validators.remediation(change | {"rule": "other", "confidence": 0.1}, "# x", 5) == ["rule isn't on the list", "not sure enough", "too many files"]
     assert validators.coherence_finding({"category": "unused", "tag": "skill", "impact": "low", "target": "t"}) == []
     assert validators.digest("nonsense") == ({}, ["digest isn't an object"])
     assert validators.digest({"budget": {}, "triggers": 3})[1] == ["triggers isn't of the expected form", "no dependencies", "no findings", "no metadata"]

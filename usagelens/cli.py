@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.config import Config
-from usagelens.plans import catalog, report, validators, weekly
+from usagelens.plans import catalog, remediate, report, validators, weekly
 from usagelens.plans.history import History, insights
 from usagelens.sources import adapters
 from usagelens.sources.catalog_files import markdown_catalog
@@ -35,7 +35,7 @@ COMMANDS = {
     "commit-draft": ["commit_list_truncate", "pending_review_count"],
 }
 #: Commands that judge a JSON file.
-FILES = ("watch-validate", "harness-remediate", "report-blocks-draft")
+FILES = ("watch-validate", "harness-remediate", "report-blocks-draft", "findings-validate", "draft-validate")
 
 
 def session() -> SparkSession:
@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--include-children", action="store_true", help="show-session: with the sessions below")
     p.add_argument("--force", action="store_true", help="run: replace a summary of another window")
     p.add_argument("--file", help="what to validate")
-    p.add_argument("--kind", choices=["skill", "command"], default="skill")
+    p.add_argument("--kind", choices=["skill", "command"], default="skill", help="draft-validate: what the draft is")
     p.add_argument("--mode", choices=["dry-run", "apply"], default="dry-run")
     return p
 
@@ -70,29 +70,25 @@ def shown(spark: SparkSession, data: str, config: Config, id: int, children: boo
     return "\n".join(turns)
 
 
-def judged(command: str, item: dict | list, kind: str, mode: str, folder: Path) -> list[list[str]]:
+def judged(command: str, item: dict | list, kind: str, existing: set[str]) -> list[list[str]]:
+    """What each of a file's entries breaks."""
     items = item if isinstance(item, list) else [item]
     if command == "watch-validate":
         declared = set(item.get("declared", [])) if isinstance(item, dict) else set()
         return [validators.watch_decision(x, declared) for x in (item.get("decisions", []) if isinstance(item, dict) else items)]
-    if command == "report-blocks-draft":
-        return [validators.prose_block(x) for x in items]
-    out, changed = [], 0
-    for x in items:
-        path = folder / x.get("file", "")
-        if not path.resolve().is_relative_to(folder.resolve()) or not path.is_file():
-            out.append(["no such file"])
-            continue
-        content = path.read_text(encoding="utf-8")
-        out.append(validators.remediation(x, content, changed))
-        if not out[-1]:
-            changed += 1
-            new, fine = validators.applied(x, content)
-            if not fine:
-                out[-1].append("the check after it failed; left as it was")
-            elif mode == "apply":
-                path.write_text(new, encoding="utf-8")
-    return out
+    if command == "findings-validate":
+        return [validators.quality_finding(x) for x in items]
+    if command == "draft-validate":
+        return [validators.draft(x["text"] if isinstance(x, dict) else str(x), kind, existing) for x in items]
+    return [validators.prose_block(x) for x in items]
+
+
+def remediated(a: argparse.Namespace, changes: list[dict], config: Config) -> int:
+    """Exit 0 if all that was proposed is applied (or only looked at), 1 if something was put back."""
+    done = remediate.remediate(changes, a.data or ".", a.out, config, a.mode == "apply")
+    report.write_json_atomic(done, Path(a.out, "remediation.json"))
+    print(json.dumps(done))
+    return 1 if any(r["status"] == "rolled_back" for r in done["results"]) or done["warnings"] else 0
 
 
 def opened(spark: SparkSession, a: argparse.Namespace, config: Config) -> tuple[adapters.StoreViews, DataFrame | None]:
@@ -187,7 +183,12 @@ def main(argv: list[str] | None = None) -> int:
         if not a.file:
             print("missing --file", file=sys.stderr)
             return 2
-        problems = judged(a.command, json.loads(Path(a.file).read_text(encoding="utf-8")), a.kind, a.mode, Path(a.data or "."))
+        text = Path(a.file).read_text(encoding="utf-8")
+        item = [text] if a.file.endswith(".md") else json.loads(text)
+        if a.command == "harness-remediate":
+            return remediated(a, item if isinstance(item, list) else [item], config)
+        existing = {r["name"] for r in markdown_catalog(session(), *a.skills).select("name").toLocalIterator()} if a.skills and a.command == "draft-validate" else set()
+        problems = judged(a.command, item, a.kind, existing)
         print(json.dumps(problems))
         return 1 if any(problems) else 0
     if a.command == "report-assemble":

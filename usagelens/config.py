@@ -51,6 +51,10 @@ class Config:
     repeat_min_length: int = 80
     repeat_min_count: int = 2  # three in production; the tables at hand have few groups of three in a source
     keywords: tuple[str, ...] = ("license", "copyright", "the", "secret")
+    #: Rules whose changes may be applied, folders they may touch, and files a run may change.
+    auto_fix_rules: tuple[str, ...] = ()
+    fix_folders: tuple[str, ...] = ("skills", "commands")
+    auto_fix_max_files: int = 5
     #: The catalog tables lie so many years before the sessions; their months move with the anchor.
     catalog_years_back: int = 24
     review_window_weeks: int = 4

@@ -13,8 +13,6 @@ CATEGORIES = ("loop", "cache", "repeat", "outlier", "top", "tooling", "prompt",
 DECISIONS = ("adopt", "verify-existing", "improve-existing", "repair-existing", "token-saver", "ignore")
 COHERENCE = ("dead-reference", "overlap", "contradiction", "unused", "naming")
 TAGS = ("agent", "skill", "command", "plugin", "config")
-#: Rules whose fix is one textual replacement.
-FIXABLE = ("trailing-space", "missing-newline", "heading-level", "front-matter-order")
 LEAST_WORDS = 40
 
 
@@ -65,30 +63,6 @@ def draft(text: str, kind: str, existing: set[str]) -> list[str]:
     return out
 
 
-def remediation(change: dict, content: str, changed_files: int = 0, least_confidence: float = 0.9, most_files: int = 5) -> list[str]:
-    """Whether one textual replacement may be applied: a known rule, sure enough, exactly one place, not too many files."""
-    out = _missing(change, ("file", "rule", "old", "confidence")) + ([] if "new" in change else ["missing new"])
-    if out:
-        return out
-    if change["rule"] not in FIXABLE:
-        out.append("rule isn't on the list")
-    if change["confidence"] < least_confidence:
-        out.append("not sure enough")
-    if (n := content.count(change["old"])) != 1:
-        out.append(f"{n} places")
-    if change["old"] == change["new"]:
-        out.append("changes nothing")
-    if changed_files >= most_files:
-        out.append("too many files")
-    return out
-
-
-def applied(change: dict, content: str) -> tuple[str, bool]:
-    """The content after the change and True, or as it was and False if the check after it fails."""
-    new = content.replace(change["old"], change["new"], 1)
-    return (new, True) if change["old"] not in new or change["old"] in change["new"] else (content, False)
-
-
 def coherence_finding(item: dict) -> list[str]:
     out = _missing(item, ("category", "tag", "impact", "target"))
     out += [f"unknown {n}: {item.get(n)}" for n, allowed in (("category", COHERENCE), ("tag", TAGS), ("impact", SEVERITIES)) if item.get(n) and item[n] not in allowed]
