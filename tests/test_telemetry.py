@@ -1,7 +1,6 @@
 import json
 import sqlite3
 import subprocess
-import urllib.error
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -288,32 +287,6 @@ def test_validators():
 
 
 def test_external(spark, tmp_path):
-    class Answer:
-        def __init__(self, body):
-            self.body = body
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *a):
-            return False
-
-        def read(self):
-            return self.body
-
-    def opener(codes):
-        def go(url):
-            c = codes.pop(0)
-            if c != 200:
-                raise urllib.error.HTTPError(url, c, "", {}, None)
-            return Answer(b"x")
-
-        return go
-
-    waits: list = []
-    assert external.fetched("u", opener=opener([429, 503, 200]), sleep=waits.append) == (b"x", None) and waits == [1.0, 2.0]
-    assert external.fetched("u", opener=opener([404]), sleep=waits.append) == (None, "u: 404")
-    assert external.fetched("u", 2, opener=opener([500, 500]), sleep=waits.append)[0] is None
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
     git("init", "-q")
     for m in ("[auto-draft] one", "other\n\n[auto-draft] in the body"):
@@ -334,18 +307,7 @@ def test_external(spark, tmp_path):
     assert external.projected(root, tmp_path / "to", ("skills/**",)) == (["skills/a.md"], ["notes/b.md"]) and (tmp_path / "to/skills/a.md").exists()
 
 
-def test_recorded_feeds(spark, tmp_path):
-    def feed(name, *rows_):
-        (tmp_path / name).write_text("\n".join(map(json.dumps, rows_)))
-        return str(tmp_path / name)
-
-    npm = feed("npm", {"name": "a", "description": "d", "date": "2024-01-10T00:00:00Z", "repository": "r"}, {"name": "b", "description": "d", "date": "2023-01-10T00:00:00Z", "repository": None})
-    assert [r.name for r in files.npm_results(spark, npm, "2024-01-01", "2024-02-01").collect()] == ["a"]
-    repos = feed("repos", {"name": "a", "html_url": "u", "stars": 50, "pushed_at": "2024-01-10T00:00:00Z", "created_at": "2024-01-05T00:00:00Z"}, {"name": "b", "html_url": "u", "stars": 5, "pushed_at": "2024-01-10T00:00:00Z", "created_at": "2020-01-05T00:00:00Z"})
-    assert [(r.name, r.new_repo) for r in files.topic_repositories(spark, repos, "2024-01-01", 10).collect()] == [("a", True)]
-    entry = lambda n, status, latest: {"server": {"name": n}, "meta": {"status": status, "updatedAt": "2024-01-10T00:00:00Z", "isLatest": latest}}
-    assert [r.server.name for r in files.registry_entries(spark, feed("reg", entry("a", "active", True), entry("b", "deleted", True), entry("c", "active", False)), "2024-01-01").collect()] == ["a"]
-    assert files.core_releases(spark, feed("rel", {"tag_name": "v1", "name": "n", "body": "b", "published_at": "2024-01-10T00:00:00Z"}), "2024-01-01", "2024-02-01").count() == 1
+def test_history_keeps_one_partition_a_date(spark, tmp_path):
     summary = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-08", 2.0)], "run_date string, cost double")
     files.append_history(summary, str(tmp_path / "h"))
     files.append_history(summary.where("run_date = '2024-01-08'").withColumn("cost", F.lit(3.0)), str(tmp_path / "h"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from usagelens.config import Config
 from usagelens.plans import catalog, remediate, report, validators, weekly
 from usagelens.plans.history import History, insights
-from usagelens.sources import adapters
+from usagelens.sources import adapters, feeds
 from usagelens.sources.catalog_files import markdown_catalog
 from usagelens.sources.proxy import TABLES
 
@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", help="folder of the parquet tables")
     p.add_argument("--store", nargs="+", help="session stores; the one of the latest update counts")
     p.add_argument("--migrations", type=int, help="migrations that a store must have, at least")
+    p.add_argument("--feeds", help="releases: JSON list of feeds (kind, url, source, transport)")
     p.add_argument("--skills", nargs="+", help="globs of Markdown files: the catalog of skills")
     p.add_argument("--out", default="out")
     p.add_argument("--config", help="JSON file of thresholds")
@@ -200,6 +201,16 @@ def main(argv: list[str] | None = None) -> int:
         (current / "report.html").write_text(report.page(document), encoding="utf-8")
         print(current / "report.html")
         return 0
+    if a.command == "releases" and a.feeds:
+        try:
+            document, code = feeds.ecosystem(session(), json.loads(Path(a.feeds).read_text(encoding="utf-8")), config)
+        except (OSError, ValueError) as e:
+            print(e, file=sys.stderr)
+            return 2
+        path = (current if current.exists() else out) / "releases.json"
+        report.write_json_atomic(document, path)
+        print(path)
+        return code
     if a.store or (a.command == "insights" and Path(a.out, "history").exists()):
         return stored(a, config, current if current.exists() else out)
     if not a.data or (a.command == "query" and a.name not in have) or (a.command == "show-session" and not a.name):

@@ -58,6 +58,8 @@ class Config:
     #: The catalog tables lie so many years before the sessions; their months move with the anchor.
     catalog_years_back: int = 24
     review_window_weeks: int = 4
+    release_keywords: tuple[str, ...] = ("skill", "cache", "context", "compaction")
+    least_stars: int = 5
     projection: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"strict": ("/en/**",), "advisory": ("/en/**", "/fr/**")})
 
     @property

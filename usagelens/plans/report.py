@@ -24,6 +24,8 @@ STORE_SECTIONS = ("skill_usage", "command_usage", "user_prompt_repeats", "skill_
 
 
 def plain(value: Any) -> Any:
+    if isinstance(value, list):
+        return [plain(v) for v in value]
     return value if isinstance(value, (int, float, str, bool, type(None))) else str(value)
 
 

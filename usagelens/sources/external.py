@@ -1,14 +1,10 @@
-"""What lies outside the tables: fetches with retries, commit logs, watch snapshots, allow-listed copies."""
+"""What lies outside the tables: commit logs, watch snapshots, allow-listed copies."""
 
 from __future__ import annotations
 
 import re
 import shutil
 import subprocess
-import time
-import urllib.error
-import urllib.request
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +17,6 @@ VENDOR = ("node_modules/**", "vendor/**", ".cache/**", ".git/**", "**/node_modul
 MARKER = "[auto-draft]"
 
 
-def fetched(url: str, tries: int = 4, wait: float = 1.0, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> tuple[bytes | None, str | None]:
-    """The body, or None and a warning: too many requests and server errors are tried again with doubled waits, others aren't."""
-    for i in range(tries):
-        try:
-            with opener(url) as r:
-                return r.read(), None
-        except urllib.error.HTTPError as e:
-            if e.code != 429 and e.code < 500:
-                return None, f"{url}: {e.code}"
-            said = str(e.code)
-        except OSError as e:
-            said = str(e)
-        if i + 1 < tries:
-            sleep(wait * 2**i)
-    return None, f"{url}: {said} after {tries} tries"
-
-
 def git_log(spark: SparkSession, folder: str, since: str, until: str, marker: str = MARKER) -> DataFrame:
     """(sha, committed, subject) of commits whose subject has the marker; the log's own search would read bodies too."""
     said = subprocess.run(["git", "-C", folder, "log", f"--since={since}", f"--until={until}", "--format=%H%x1f%cI%x1f%s"], capture_output=True, text=True, check=True).stdout

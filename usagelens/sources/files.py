@@ -1,4 +1,4 @@
-"""History, catalogs and recorded feeds."""
+"""History as dated partitions."""
 
 from __future__ import annotations
 
@@ -20,24 +20,3 @@ def append_history(rows: DataFrame, path: str, run_date: str | None = None) -> N
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         return
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
-
-
-def npm_results(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Recorded package search results dated in the window."""
-    return spark.read.json(path).select("name", "description", F.to_timestamp("date").alias("date"), "repository").where(F.col("date").between(start, end))
-
-
-def topic_repositories(spark: SparkSession, path: str, start: str, least_stars: int) -> DataFrame:
-    """Recorded repositories over a star count, pushed since ``start``, with whether they are new."""
-    rows = spark.read.json(path).where((F.col("stars") > least_stars) & (F.to_timestamp("pushed_at") >= start))
-    return rows.select("name", "html_url", "stars", "pushed_at", (F.to_timestamp("created_at") >= start).alias("new_repo"))
-
-
-def registry_entries(spark: SparkSession, path: str, since: str) -> DataFrame:
-    """Recorded registry entries updated since, without deleted ones and superseded versions."""
-    rows = spark.read.json(path).select("server", "meta.*").where((F.to_timestamp("updatedAt") >= since) & F.col("isLatest"))
-    return rows.where(~F.col("status").eqNullSafe("deleted"))
-
-
-def core_releases(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    return spark.read.json(path).select("tag_name", "name", "body", F.to_timestamp("published_at").alias("published_at")).where(F.col("published_at").between(start, end))
