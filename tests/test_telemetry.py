@@ -15,7 +15,6 @@ from usagelens.functions.text import glob_pattern
 from usagelens.operators import robust, sequences
 from usagelens.plans import catalog, report, validators
 from usagelens.sources import external, files, sqlite
-from usagelens.streaming.telemetry import activity_spans_stream, daily_totals_stream
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["totals", "by_model", "daily_totals", "active_time", "compact_repeats", "cost_outliers", "alerts", "delta_join", "never_loaded", "merge_children", "session_roots", "audit_priority", "link_diff", "token_jaccard_pairs", "dedup_items", "rollup_totals"]
@@ -97,27 +96,6 @@ def test_report_is_deterministic_and_escaped(tmp_path):
     assert report.prose_problems("one 2") == ["too short", "has digits"]
 
 
-def test_streams(spark, tmp_path):
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    events.write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    for name, made in (("days", daily_totals_stream(source)), ("spans", activity_spans_stream(source))):
-        made.writeStream.format("memory").queryName(name).outputMode("append" if name == "spans" else "complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
-    days = {str(r.day)[:10]: (r.cost, r.steps) for r in spark.table("days").collect()}
-    assert days == {str(r.d): (r.c, r.n) for r in events.groupBy(F.to_date("ts").alias("d")).agg(F.sum(F.col("value").cast("decimal(18,6)")).alias("c"), F.count(F.lit(1)).alias("n")).collect()}
-    by_user: dict = {}
-    for r in events.orderBy("user_id", "ts").collect():
-        own = by_user.setdefault(r.user_id, [])
-        if own and (r.ts - own[-1][1]).total_seconds() <= 300:
-            own[-1][1] = r.ts
-        else:
-            own.append([r.ts, r.ts])
-    closed = {(u, str(a), str(b)) for u, spans in by_user.items() for a, b in spans}
-    seen = {(r.user_id, str(r.first), str(r.last)) for r in spark.table("spans").collect()}
-    assert seen and seen <= closed  # the last spans are still open
-    assert spark.table("days").count() == events.select(F.to_date("ts")).distinct().count()
-
-
 BASE = datetime(2024, 1, 29, 6)
 
 
