@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.config import Config
-from usagelens.plans import catalog, remediate, report, validators, weekly
+from usagelens.plans import catalog, coherence, remediate, report, validators, weekly
 from usagelens.plans.history import History, insights
 from usagelens.sources import adapters, feeds
 from usagelens.sources.catalog_files import markdown_catalog
@@ -44,7 +44,7 @@ def session() -> SparkSession:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="usagelens", description=__doc__)
-    p.add_argument("command", choices=["run", "doctor", "query", "list", "show-session", "report-assemble", *COMMANDS, *FILES])
+    p.add_argument("command", choices=["run", "doctor", "query", "list", "show-session", "report-assemble", "coherence", *COMMANDS, *FILES])
     p.add_argument("name", nargs="?", help="query to run, or id to show")
     p.add_argument("--data", help="folder of the parquet tables")
     p.add_argument("--store", nargs="+", help="session stores; the one of the latest update counts")
@@ -143,6 +143,26 @@ def drawn(spark: SparkSession, a: argparse.Namespace, config: Config) -> dict:
     return insights(History(spark, a.out), config, over, pairs)
 
 
+def coherent(a: argparse.Namespace, config: Config, folder: Path) -> int:
+    """Dead references of the catalog's files, and with a store what nobody loads or mentions."""
+    if not a.skills:
+        print("missing --skills", file=sys.stderr)
+        return 2
+    spark = session()
+    try:
+        v, skills = opened(spark, a, config) if a.store else (None, markdown_catalog(spark, *a.skills))
+    except adapters.SchemaDrift as e:
+        print(e, file=sys.stderr)
+        return 2
+    used = None
+    if v is not None:
+        used = v["calls"].where("skill is not null").select(F.col("skill").alias("name")).unionAll(weekly.command_usage(v).select(F.col("command").alias("name")))
+    rows, more = report.rows_in(coherence.findings(skills, used), ["category", "target", "path"], config.section_rows)
+    report.write_json_atomic({"findings": rows, "omitted": {"findings": more} if more else {}}, folder / "coherence.json")
+    print(folder / "coherence.json")
+    return 0
+
+
 def stored(a: argparse.Namespace, config: Config, folder: Path) -> int:
     """The commands over a session store, and the insights over what runs left."""
     try:
@@ -211,6 +231,8 @@ def main(argv: list[str] | None = None) -> int:
         report.write_json_atomic(document, path)
         print(path)
         return code
+    if a.command == "coherence":
+        return coherent(a, config, current if current.exists() else out)
     if a.store or (a.command == "insights" and Path(a.out, "history").exists()):
         return stored(a, config, current if current.exists() else out)
     if not a.data or (a.command == "query" and a.name not in have) or (a.command == "show-session" and not a.name):

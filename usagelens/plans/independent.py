@@ -75,4 +75,9 @@ select round(a.cost / b.cost - 1, 6) cost_pct, round(a.tokens / b.tokens - 1, 6)
     "totals": _W + """select count(distinct user_id - user_id % 10) session_count, cast(sum(k) as bigint) tokens, round(cast(sum(cost) as double), 6) cost, cast(sum(k) filter (event_type = 'view') as bigint) cache_read, cast(sum(k) filter (event_type = 'purchase') as bigint) cache_write,
   cast(sum(k) filter (event_type = 'click') as bigint) fresh_input, cast(sum(k) filter (event_type = 'signup') as bigint) output, cast(sum(k) filter (event_type = 'error') as bigint) reasoning,
   round(cast(sum(k) filter (event_type = 'view') as double) / sum(k) filter (event_type in ('view', 'click')), 6) hit_rate from inside""",
+    # Straight from the events: what each type's payload must give.
+    "mixed_payloads": """select event_id, event_type <> 'error' readable, case event_type when 'view' then 'step-finish' when 'purchase' then 'step-finish' when 'click' then 'tool' when 'signup' then 'text' end kind,
+  case when event_type = 'view' then round(cast(cast(value as decimal(18,6)) as double), 6) end cost, case when event_type in ('view', 'purchase') then cast(k as bigint) end input_tokens, case when event_type = 'view' then cast(2 * k as bigint) end cache_read,
+  case when event_type = 'click' then 't' || (k % 7) end tool, case when event_type = 'click' then 'f' || k end path, case when event_type = 'click' then case when k % 5 = 0 then 'error' else 'ok' end end status, case when event_type = 'signup' then 'say ' || k end said
+from (select event_id, event_type, value, cast(json_extract(props, '$.k') as int) k from events where event_id % 97 <> 0)""",
 }

@@ -24,7 +24,31 @@ def settings(v: Views) -> Config:
 
 
 def scan_typed_messages(v: Views) -> DataFrame:
-    return v["conversations"].select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
+    """A row for each block of a message, from payloads of two forms in one variant column: a user's text, or an array of content blocks."""
+    block = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    data = F.when(F.col("role") == "user", F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct(block.alias("content"))))
+    d = v["conversations"].select("conv_id", "turn", F.try_parse_json(data).alias("data"))
+    return d.sparkSession.sql(
+        """select conv_id, turn, cast(0 as bigint) block, try_variant_get(data, '$.text', 'string') text from {d} where try_variant_get(data, '$.content', 'variant') is null
+    union all select conv_id, turn, cast(pos as bigint), try_variant_get(value, '$.text', 'string') from {d}, lateral variant_explode(try_variant_get(data, '$.content', 'variant'))""",
+        d=d,
+    )
+
+
+#: Payloads of several types in one column, some broken, from the events.
+MIXED = """case event_type
+    when 'view' then concat('{"type":"step-finish","cost":', cast(cast(value as decimal(18,6)) as string), ',"tokens":{"input":', k, ',"cache":{"read":', 2 * k, '}}}')
+    when 'click' then concat('{"type":"tool","tool":"t', k % 7, '","state":{"input":{"path":"f', k, '"},"status":"', case when k % 5 = 0 then 'error' else 'ok' end, '"}}')
+    when 'signup' then concat('{"type":"text","text":"say ', k, '"}')
+    when 'purchase' then concat('{"type":"step-finish","tokens":{"input":', k, '}}')
+    else concat('{"type":"reasoning","text":', k) end"""
+
+
+def mixed_payloads(v: Views) -> DataFrame:
+    """Typed columns of payloads of any type; what can't be read is marked, not lost."""
+    p = v["parts"].where("k is not null").withColumn("event_type", F.col("tool")).select("event_id", F.try_parse_json(F.expr(MIXED)).alias("data"))
+    get = lambda path, kind="string": F.try_variant_get("data", path, kind)
+    return p.select("event_id", F.col("data").isNotNull().alias("readable"), get("$.type").alias("kind"), F.round(get("$.cost", "double"), 6).alias("cost"), get("$.tokens.input", "long").alias("input_tokens"), get("$.tokens.cache.read", "long").alias("cache_read"), get("$.tool").alias("tool"), get("$.state.input.path").alias("path"), get("$.state.status").alias("status"), get("$.text").alias("said"))
 
 
 def command_usage(v: Views) -> DataFrame:
@@ -226,7 +250,7 @@ COMMANDS = "select command, count(*) uses from (select regexp_extract(url, '^[a-
 REPEATS = f"select source, md5(prompt) prompt_key, count(*) n from (select source, {NORM} prompt from documents) p where length(prompt) >= {C.repeat_min_length} group by 1, 2 having count(*) >= {C.repeat_min_count}"
 HITS = " + ".join(f"cast(regexp_matches(text, '(?i)\\b{k}\\b') as int)" for k in C.keywords)
 SQL = {
-    "scan_typed_messages": "select conv_id, turn, i - 1 as block, b[i] as text from (select conv_id, turn, string_split(text, chr(10)) b, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from conversations) x",
+    "scan_typed_messages": "select conv_id, turn, cast(0 as bigint) as block, text from conversations where role = 'user' union all select conv_id, turn, i - 1, b[i] from (select conv_id, turn, string_split(text, chr(10)) b, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from conversations where role is distinct from 'user') x",
     "command_usage": COMMANDS,
     "top5_commands": f"select * from ({COMMANDS}) c order by uses desc, command limit 5",
     "exact_prompt_repeats": REPEATS,
@@ -243,4 +267,4 @@ select a, b, round(i / (x + y - i), 6) similarity from p where round(i / (x + y
     "prose_block_validation": "select doc_id, cast(len(regexp_split_to_array(trim(text), '\\s+')) as bigint) words, regexp_matches(text, '[0-9]') has_digits from documents where text is not null and trim(text) <> ''",
     "version_at_least": "select s_suppkey, v s_version, (a, b, 0) >= (7, 9, 0) supported from (select s_suppkey, s_suppkey % 9 a, s_suppkey % 13 b, (s_suppkey % 9) || '.' || (s_suppkey % 13) || '.0' v from supplier) x",
 }
-PLANS = {f.__name__: f for f in (scan_typed_messages, command_usage, top5_commands, user_prompt_repeats, exact_prompt_repeats, repeats_cap, r3_merge, release_relevance, summary_first_lines, dedup_items, notable_items, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}
+PLANS = {f.__name__: f for f in (scan_typed_messages, mixed_payloads, command_usage, top5_commands, user_prompt_repeats, exact_prompt_repeats, repeats_cap, r3_merge, release_relevance, summary_first_lines, dedup_items, notable_items, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}
