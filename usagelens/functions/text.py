@@ -1,10 +1,7 @@
-"""Text functions: normalisation and globs as expressions, sequence similarity as an Arrow-batched UDF."""
+"""Text functions as expressions: normalisation, globs, timestamps, counters."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,15 +20,6 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def seq_ratio(a: str, b: str) -> Column:
-    """The sequence matcher's ratio, arguments in this order; null if either is."""
-    return F.pandas_udf(_ratio, "double")(a, b)
-
-
 def from_millis(ms: str | Column) -> Column:
     """A timestamp of milliseconds since the epoch."""
     return F.timestamp_millis(F.col(ms) if isinstance(ms, str) else ms)

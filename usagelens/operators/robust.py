@@ -40,16 +40,7 @@ def ranked(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     return rows.withColumn(name, own).join(F.broadcast(ahead), "_range").withColumn(name, F.col(name) + F.col("_ahead")).drop("_range", "_ahead")
 
 
-def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
-    """Rounded ratio, null if the whole is 0."""
-    return F.round(F.try_divide(part.cast("double"), whole), digits)
-
-
 def freshest(df: DataFrame, key: str, updated: str, *tie: str) -> DataFrame:
     """The latest row of each key."""
     w = Window.partitionBy(key).orderBy(F.col(updated).desc(), *tie)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def top(df: DataFrame, n: int, by: str, *tie: str) -> DataFrame:
-    return df.orderBy(F.col(by).desc(), *tie).limit(n)

@@ -124,7 +124,6 @@ def statements(C: Config) -> dict[str, str]:
         "enum_validation": "select o_orderkey, o_orderpriority, o_orderpriority in ('1-URGENT', '2-HIGH') known from {orders} where o_orderpriority not in ('1-URGENT', '2-HIGH')",
         # joins
         "join_session_parts": "select s.id, p.event_id, p.ts from {included} s join {steps} p on p.session_id = s.id where p.ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
-        "join_part_message_user": "select c.conv_id, c.turn, c.text, u.n user_turns from {conversations} c join (select conv_id, count(*) n from {conversations} where role = 'user' group by conv_id) u on u.conv_id = c.conv_id where c.role = 'user'",
         "merge_children": f"select coalesce(cast(r.root_id as string), r.state) root_id, count(distinct x.session_id) members, {MONEY} cost from {{w}} x join {{tree}} r on r.id = x.session_id group by coalesce(cast(r.root_id as string), r.state)",
         "session_roots": "select id, root_id, state from {tree} r",
         "never_loaded": "select p_partkey, p_name from {part} p where not exists (select 1 from {lineitem} l where l.l_partkey = p.p_partkey and l.%s)" % LOADED,

@@ -123,8 +123,19 @@ def dedup_items(v: Views) -> DataFrame:
 
 
 def notable_items(v: Views) -> DataFrame:
-    d = v["documents"].where("text is not null").groupBy(F.md5(F.lower("text")).alias("item")).agg(F.countDistinct("source").alias("sources"), F.max((F.col("doc_id") >= 900).cast("int")).alias("new"))
-    return d.select("item", "sources", ((F.col("sources") >= 2) | (F.col("new") == 1)).alias("notable"))
+    """Items found by two sources or made in the window; an item's day is that of the order of its number."""
+    c = settings(v)
+    new = (F.col("o_orderdate") >= F.lit(c.month(0, 26)).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(c.month(-3, 26)).cast("timestamp_ntz"))
+    made = v["orders"].where(new).select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("new"))
+    d = v["documents"].where("text is not null").join(made, "doc_id", "left").groupBy(F.md5(F.lower("text")).alias("item"))
+    return d.agg(F.countDistinct("source").alias("sources"), F.max(F.coalesce("new", F.lit(0))).alias("new")).select("item", "sources", (F.col("new") == 1).alias("new"), ((F.col("sources") >= 2) | (F.col("new") == 1)).alias("notable"))
+
+
+def join_part_message_user(v: Views) -> DataFrame:
+    """The text parts of users' messages: parts know their message, messages the role."""
+    parts = v["conversations"].select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    users = v["conversations"].where("role = 'user'").select("conv_id", "turn", "role")
+    return parts.join(users, ["conv_id", "turn"]).select("conv_id", "turn", F.col("part").cast("long").alias("part"), "role", "text")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -257,7 +268,8 @@ SQL = {
     "release_relevance": f"select doc_id, cast(hits as bigint) hits, case when hits >= 2 then 'high' else 'medium' end relevance from (select doc_id, {HITS} hits from documents where text is not null) h where hits > 0",
     "summary_first_lines": "select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) summary from documents where text is not null",
     "dedup_items": "select md5(lower(text)) item, string_agg(distinct source, ',' order by source) found_via, count(*) n from documents where text is not null group by 1",
-    "notable_items": "select md5(lower(text)) item, count(distinct source) sources, count(distinct source) >= 2 or max(cast(doc_id >= 900 as int)) = 1 notable from documents where text is not null group by 1",
+    "notable_items": f"select md5(lower(text)) item, count(distinct source) sources, bool_or(doc_id in (select o_orderkey from orders where o_orderdate >= timestamp '{C.month(0, 26)}' and o_orderdate < timestamp '{C.month(-3, 26)}')) as new, count(distinct source) >= 2 or bool_or(doc_id in (select o_orderkey from orders where o_orderdate >= timestamp '{C.month(0, 26)}' and o_orderdate < timestamp '{C.month(-3, 26)}')) notable from documents where text is not null group by 1",
+    "join_part_message_user": "select conv_id, turn, i - 1 as part, role, b[i] as text from (select conv_id, turn, role, string_split(text, chr(10)) b, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from conversations where role = 'user') x",
     "scan_watch_sources": LINK,
     "link_diff": f"select distinct link from ({LINK}) x where page_id % 2 = 1 and link not in (select link from ({LINK}) y where page_id % 2 = 0)",
     "harness_projection": "select page_id, path, path like '/en/%' strict, path like '/en/%' or path like '/fr/%' advisory from (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) path from pages) p",
@@ -267,4 +279,4 @@ select a, b, round(i / (x + y - i), 6) similarity from p where round(i / (x + y
     "prose_block_validation": "select doc_id, cast(len(regexp_split_to_array(trim(text), '\\s+')) as bigint) words, regexp_matches(text, '[0-9]') has_digits from documents where text is not null and trim(text) <> ''",
     "version_at_least": "select s_suppkey, v s_version, (a, b, 0) >= (7, 9, 0) supported from (select s_suppkey, s_suppkey % 9 a, s_suppkey % 13 b, (s_suppkey % 9) || '.' || (s_suppkey % 13) || '.0' v from supplier) x",
 }
-PLANS = {f.__name__: f for f in (scan_typed_messages, mixed_payloads, command_usage, top5_commands, user_prompt_repeats, exact_prompt_repeats, repeats_cap, r3_merge, release_relevance, summary_first_lines, dedup_items, notable_items, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}
+PLANS = {f.__name__: f for f in (scan_typed_messages, mixed_payloads, command_usage, top5_commands, user_prompt_repeats, exact_prompt_repeats, repeats_cap, r3_merge, release_relevance, summary_first_lines, dedup_items, notable_items, join_part_message_user, scan_watch_sources, link_diff, harness_projection, token_jaccard_pairs, similar_pairs_join, near_dup_prompt_join, top_pairs, prose_block_validation, version_at_least)}

@@ -9,12 +9,13 @@ from __future__ import annotations
 import sqlite3
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from usagelens.config import Config
 from usagelens.operators.lineage import checkpoint
+from usagelens.operators.robust import freshest
 from usagelens.operators.trees import roots
 from usagelens.sources import sqlite
 from usagelens.sources.proxy import Views
@@ -169,8 +170,7 @@ class StoreViews(Views):
         for t in tables[1:]:
             rows = rows.unionByName(t)
         if len(tables) > 1:
-            newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("time_updated"), "_table"))
-            rows = rows.withColumn("_rn", newest).where("_rn = 1").drop("_rn")
+            rows = freshest(rows, "id", "time_updated", "_table")
         return rows.drop("_table")
 
     def _sessions(self) -> DataFrame:

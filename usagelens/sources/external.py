@@ -41,16 +41,28 @@ def watch_sources(config: dict) -> list[dict]:
 
 
 def watched(spark: SparkSession, now: DataFrame, snapshot: str) -> DataFrame:
-    """(source, link) that the snapshot doesn't have; a source without one is silent. Writes the new snapshot, one folder a source."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(snapshot)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    new = now.limit(0)
-    if fs.exists(path):
-        before = spark.read.parquet(snapshot)
-        known = now.join(before.select("source").distinct(), "source", "left_semi")
-        new = known.join(before, ["source", "link"], "left_anti")
-    new = checkpoint(new)  # before its snapshot is replaced
-    now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(snapshot)
+    """(source, link) that the snapshot doesn't have; a source without one is silent.
+
+    The links are read once. They go, with those of sources that aren't looked at now, to a version of their own; the latest one that was
+    finished counts, so a run that is killed leaves the snapshot as it was.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    root = path(snapshot)
+    fs = root.getFileSystem(conf)
+    there = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    finished = [int(n.partition("=")[2]) for n in there if n.startswith("version=") and fs.exists(path(f"{snapshot}/{n}/_SUCCESS"))]
+    now = checkpoint(now.select("source", "link").distinct())
+    number, kept, new = max(finished, default=0), now, now.limit(0)
+    if number:
+        before = spark.read.schema("source string, link string").parquet(f"{snapshot}/version={number}")
+        sources = now.select("source").distinct()
+        new = now.join(before.select("source").distinct(), "source", "left_semi").join(before, ["source", "link"], "left_anti")
+        kept = now.unionAll(before.join(sources, "source", "left_anti"))
+    new = checkpoint(new)
+    kept.write.mode("overwrite").parquet(f"{snapshot}/version={number + 1}")
+    if number > 1:
+        fs.delete(path(f"{snapshot}/version={number - 1}"), True)
     return new
 
 
