@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Steps of the window that count, as the contract words it.
-_W = """with steps as (
+_W = """with recursive steps as (
   select event_id, user_id, ts, event_type, cast(json_extract(props, '$.k') as int) k, case when cast(json_extract(props, '$.k') as int) <> 0 then cast(value as decimal(18,6)) end cost
   from events where event_id % 97 <> 0),
 last_seen as (select user_id, max(ts) seen from events where ts <= timestamp '2024-01-29 06:00:00' group by user_id),
@@ -80,4 +80,32 @@ select round(a.cost / b.cost - 1, 6) cost_pct, round(a.tokens / b.tokens - 1, 6)
   case when event_type = 'view' then round(cast(cast(value as decimal(18,6)) as double), 6) end cost, case when event_type in ('view', 'purchase') then cast(k as bigint) end input_tokens, case when event_type = 'view' then cast(2 * k as bigint) end cache_read,
   case when event_type = 'click' then 't' || (k % 7) end tool, case when event_type = 'click' then 'f' || k end path, case when event_type = 'click' then case when k % 5 = 0 then 'error' else 'ok' end end status, case when event_type = 'signup' then 'say ' || k end said
 from (select event_id, event_type, value, cast(json_extract(props, '$.k') as int) k from events where event_id % 97 <> 0)""",
+    # Money is rounded to six places, and a ratio without a denominator is null.
+    "by_model": _W + "select 'p' || (user_id % 2) || '/m' || (user_id % 5) model, count(distinct user_id) session_count, cast(sum(k) as bigint) tokens, round(cast(sum(cost) as double), 6) cost from inside group by 1",
+    "daily_totals": _W + "select strftime(ts, '%Y-%m-%d') as day, round(cast(sum(cost) as double), 6) cost, cast(sum(k) as bigint) tokens, round(cast(sum(k) filter (event_type = 'view') as double) / nullif(sum(k) filter (event_type in ('view', 'click')), 0), 6) hit_rate from inside group by 1",
+    "session_usage": _W + "select user_id session_id, cast(sum(k) as bigint) tokens, round(cast(sum(cost) as double), 6) cost, round(cast(coalesce(sum(k) filter (event_type = 'view'), 0) as double) / nullif(coalesce(sum(k) filter (event_type in ('view', 'click')), 0), 0), 6) hit_rate, count(*) steps from inside group by user_id",
+    "api_call_count": _W + "select user_id session_id, count(*) api_calls from inside group by user_id",
+    "distinct_aggregation": _W + "select event_type tool, count(distinct user_id) session_count, count(distinct (user_id % 2, user_id % 5)) models from inside group by event_type",
+    "missing_pricing": _W + "select 'p' || (user_id % 2) || '/m' || (user_id % 5) model, count(*) steps_without_cost, cast(sum(k) as bigint) tokens from inside where k = 0 group by 1",
+    "audit_counts": _W + "select count(distinct user_id // 10) counted, count(distinct user_id) counted_all, count(distinct user_id) filter (user_id % 10 <> 0) merged_children from inside",
+    "subagent_totals": _W + "select 'agent' || (user_id % 3) agent, count(distinct user_id) child_count, round(cast(sum(cost) as double), 6) cost from inside where user_id % 10 <> 0 group by 1",
+    "subagent_share_gate": _W + "select round(x, 6) share, x > 0.1 shown from (select cast(sum(cost) filter (user_id % 10 <> 0) as double) / cast(sum(cost) as double) x from inside)",
+    "includes_subagents": _W + "select user_id - user_id % 10 root_id, bool_or(user_id % 10 <> 0) includes_subagents from inside group by 1",
+    "small_sample_warning": _W + "select count(distinct user_id) sessions, count(distinct user_id) < 15 warn from inside",
+    "cost_per_active_minute": _W + ", gaps as (select user_id, cost, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) us from inside) select user_id session_id, round(cast(sum(cost) as double) / nullif(floor(coalesce(sum(us) filter (us < 300000000), 0) / 1e6) / 60, 0), 6) cost_per_active_minute from gaps group by user_id",
+    "baseline_cross": _W + _Z + "select user_id session_id, round(cost, 6) cost, round(med, 6) median_cost, round(mad, 6) mad from costs, middle, spread",
+    "dedup_outlier_mark": _W + _Z + ", dear as (select user_id, round(cast(sum(cost) as double), 6) cost from inside group by user_id order by 2 desc nulls last, 1 limit 5) select user_id session_id, dear.cost, (mad > 0 and (costs.cost - med) / (1.4826 * mad) >= 3 and costs.cost >= 1) outlier from dear join costs using (user_id), middle, spread",
+    "top3_models_fold": _W + ", m as (select 'p' || (user_id % 2) || '/m' || (user_id % 5) model, cast(sum(cost) as double) cost from inside group by 1), r as (select *, rank() over (order by cost desc, model) place, cost / (select sum(cost) from m) share from m) select if(place <= 3 and share >= 0.05, model, 'others') model, round(sum(cost), 6) cost from r group by 1",
+    "daily_spike": _W + """, days as (select cast(ts as date) as day, cast(sum(cost) as double) cost, max(ts) >= timestamp '2024-01-22 06:00:00' and bool_and(ts >= timestamp '2024-01-22 06:00:00') now from steps where ts >= timestamp '2023-12-25 06:00:00' and ts < timestamp '2024-01-29 06:00:00' group by 1, floor(date_diff('hour', timestamp '2023-12-25 06:00:00', ts - (extract(minute from ts) * interval 1 minute)) / 168)),
+base as (select quantile_cont(cost, 0.5) med from days where not now), mads as (select med, (select quantile_cont(abs(cost - base.med), 0.5) from days where not now) mad from base)
+select cast(day as varchar) as day, round(cost, 6) cost, case when mad = 0 and cost > med then 10.0 when mad > 0 then least(round((cost - med) / (1.4826 * mad), 6), 10.0) end z, case when mad = 0 and cost > med then 'no spread before' when mad > 0 and (cost - med) / (1.4826 * mad) > 10 then 'capped' end note from days, mads where now""",
+    # Up from each session by its id without the last digit, as far as there are sessions.
+    "merge_children": _W + """, walk as (select distinct user_id id, user_id up from inside union all select id, up // 10 from walk where up >= 10 and up // 10 in (select user_id from last_seen)),
+ends as (select id, min(up) up from walk group by id) select case when up < 10 then cast(up as varchar) else 'orphan' end root_id, count(distinct user_id) members, round(cast(sum(cost) as double), 6) cost from inside join ends on id = user_id group by 1""",
+    "used_catalog": "select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where year(l_shipdate) = 2000 and month(l_shipdate) = 1)",
+    "never_loaded": "select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where year(l_shipdate) = 2000 and month(l_shipdate) = 1)",
+    "skill_usage": "select l_partkey skill, count(*) loads, count(distinct l_orderkey) sessions_used_in from lineitem where strftime(l_shipdate, '%Y-%m') = '2000-01' group by l_partkey",
+    "lint_by_rule": "select rule, cast(a as bigint) violations, cast(a - b as bigint) delta from (select l_returnflag rule, count(*) filter (strftime(l_shipdate, '%Y-%m') = '1999-12') a, count(*) filter (strftime(l_shipdate, '%Y-%m') = '1999-11') b from lineitem group by 1) where a + b > 0",
+    "first_turns": "select conv_id, min(turn) turn, arg_min(text, turn) text, case when arg_min(text, turn) like '/%' then nullif(regexp_extract(arg_min(text, turn), '^/([a-zA-Z0-9_-]+)', 1), '') end command from conversations where role = 'user' group by conv_id",
+    "transcript_rows": "select a.conv_id, count(*) as line, any_value(a.role) as role, any_value(a.text) as text from conversations a join conversations b on a.conv_id = b.conv_id and b.turn <= a.turn group by a.conv_id, a.turn",
 }
