@@ -53,7 +53,7 @@ def statements(C: Config) -> dict[str, str]:
     from {{gaps}} g group by session_id"""
     #: In the order of priority: the dearest, outliers, loops, lost caches, repeated prompts.
     SIGNALS = f"""select session_id, 1 priority, 'top' signal from (select session_id from {{audited}} u order by cost desc nulls last, session_id limit {C.top_sessions}) q
-    union all select session_id, 2, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)", "{cost_spread}")}) s where {OUTLIER}
+    union all select session_id, 2, 'outlier' from ({scores("(select session_id, plain_cost cost from {audited} x)", "{audit_spread}")}) s where {OUTLIER}
     union all select session_id, 3, 'loop' from {{audited}} a where active_cost / nullif(active_seconds / 60.0, 0) > {C.loop_cost_per_minute}
     union all select session_id, 4, 'cache' from {{audited}} v cross join (select {HIT} mean_rate from {{audited}} m) t where v.hit_rate < t.mean_rate - {C.cache_gap}
     union all select r.session_id, 5, 'repeat' from {{repeated}} r join {{audited}} y on y.session_id = r.session_id"""
@@ -98,6 +98,7 @@ def statements(C: Config) -> dict[str, str]:
         "@gaps": GAPS,
         "@signals": SIGNALS,
         "@cost_spread": spread("{costs}", "cost"),
+        "@audit_spread": spread("(select plain_cost cost from {audited} x)", "cost"),
         "@day_spread": spread("(select cost from {run_days} p where run > 0)", "cost"),
         # sources and filters
         "window_filter": "select event_id, session_id, ts from {steps} where ts between timestamp_ntz '%s' and timestamp_ntz '%s'" % (C.start, C.run_time),
@@ -218,7 +219,7 @@ def statements(C: Config) -> dict[str, str]:
 
 
 #: Shared frames that are selected, not planned: (the values' frame, the values).
-SPREADS = {"cost_spread": ("select cost from {costs}", "cost"), "day_spread": ("select cost from {run_days} p where run > 0", "cost")}
+SPREADS = {"cost_spread": ("select cost from {costs}", "cost"), "audit_spread": ("select plain_cost cost from {audited} x", "cost"), "day_spread": ("select cost from {run_days} p where run > 0", "cost")}
 
 
 def split(made: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
