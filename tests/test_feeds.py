@@ -104,3 +104,29 @@ def test_a_feed_of_another_form_is_a_warning(spark, tmp_path):
     record(tmp_path / "r", f"{TOPICS}&per_page=250&page=1", {"message": "moved"})
     got = feeds.feed(spark, "topics", TOPICS, transport=tmp_path / "r").collect()
     assert len(got) == 1 and "not the expected form" in got[0].warning and got[0].item is None
+
+
+def test_watched_sources_are_fetched_compared_and_crosswalked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    folder, out = tmp_path / "w", tmp_path / "out"
+    page = lambda *x: "".join(f'<a href="{u}">' for u in x)
+    record(folder, "https://w.example/", page("https://a.example/x"))
+    record(folder, "https://l.example/README.md", "- [b](https://b.example/y)")
+    record(folder, "https://r.example/rss", 429, "<item><link>https://c.example/z</link></item>")
+    sources = [{"type": "web", "url": "https://w.example/"}, {"type": "list", "url": "https://l.example/README.md"}, {"type": "rss", "url": "https://r.example/rss"}, {"type": "web", "url": "https://gone.example/"}]
+    config = {"watch_sources": sources, "declared": ["https://www.D.example/Tool.git", "other"], "transport": str(folder), "wait": 0.0}
+    (tmp_path / "watch.json").write_text(json.dumps(config))
+
+    def run():
+        code = cli.main(["watch-context", "--watch", str(tmp_path / "watch.json"), "--out", str(out)])
+        return code, json.loads((out / "watch-context.json").read_text())
+
+    code, first = run()
+    assert code == 0 and first["new_links"] == [] and [w["source"] for w in first["warnings"]] == ["https://gone.example/"]  # a silent baseline
+    record(folder, "https://w.example/", page("https://a.example/x", "http://d.example/tool/", "https://e.example"))
+    code, second = run()
+    assert [(r["link"], r["known"], r["declared"]) for r in second["new_links"]] == [("http://d.example/tool/", True, "https://www.D.example/Tool.git"), ("https://e.example", False, None)]
+    assert second["counts_by_source"] == {s["url"]: 2 if s["url"] == "https://w.example/" else 0 for s in sources}
+    assert run()[1]["new_links"] == []
+    (tmp_path / "watch.json").write_text(json.dumps(config | {"watch_sources": [{"type": "odd", "url": "u"}]}))
+    assert cli.main(["watch-context", "--watch", str(tmp_path / "watch.json"), "--out", str(out)]) == 2

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from usagelens.config import Config
 from usagelens.plans import catalog, coherence, remediate, report, validators, weekly
 from usagelens.plans.history import History, insights
-from usagelens.sources import adapters, feeds
+from usagelens.sources import adapters, external, feeds
 from usagelens.sources.catalog_files import markdown_catalog
 from usagelens.sources.proxy import TABLES
 
@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", help="folder of the parquet tables")
     p.add_argument("--store", nargs="+", help="session stores; the one of the latest update counts")
     p.add_argument("--migrations", type=int, help="migrations that a store must have, at least")
+    p.add_argument("--watch", help="watch-context: JSON of watch_sources (type, url), declared names and the transport")
     p.add_argument("--feeds", help="releases: JSON list of feeds (kind, url, source, transport)")
     p.add_argument("--skills", nargs="+", help="globs of Markdown files: the catalog of skills")
     p.add_argument("--out", default="out")
@@ -221,13 +222,14 @@ def main(argv: list[str] | None = None) -> int:
         (current / "report.html").write_text(report.page(document), encoding="utf-8")
         print(current / "report.html")
         return 0
-    if a.command == "releases" and a.feeds:
+    if (a.command, bool(a.feeds or a.watch)) in (("releases", True), ("watch-context", True)):
         try:
-            document, code = feeds.ecosystem(session(), json.loads(Path(a.feeds).read_text(encoding="utf-8")), config)
+            given = json.loads(Path(a.feeds or a.watch).read_text(encoding="utf-8"))
+            document, code = feeds.ecosystem(session(), given, config) if a.command == "releases" else external.watch_context(session(), given, f"{a.out}/watch-state", config.per_source_cap)
         except (OSError, ValueError) as e:
             print(e, file=sys.stderr)
             return 2
-        path = (current if current.exists() else out) / "releases.json"
+        path = (current if current.exists() else out) / f"{a.command}.json"
         report.write_json_atomic(document, path)
         print(path)
         return code

@@ -7,7 +7,7 @@ import shutil
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.text import glob_pattern
@@ -30,6 +30,42 @@ def links(pages: DataFrame, kind: str = "web", text: str = "html") -> DataFrame:
     return pages.select("source", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("link"))
 
 
+def identity(c: Column) -> Column:
+    """A name or address as it is compared: lower case, without scheme, ``www.``, ``.git`` and a last slash."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"^(git\+)?[a-z]+://(www\.)?|\.git$|/+$", "")
+
+
+def crosswalk(items: DataFrame, declared: DataFrame, item: str = "link") -> DataFrame:
+    """The items with ``declared``, the entry (name) of the inventory of the same identity, if any, and ``known``."""
+    own = declared.select(identity(F.col("name")).alias("_identity"), F.col("name").alias("declared")).groupBy("_identity").agg(F.min("declared").alias("declared"))
+    return items.withColumn("_identity", identity(F.col(item))).join(own, "_identity", "left").drop("_identity").withColumn("known", F.col("declared").isNotNull())
+
+
+def watch_context(spark: SparkSession, config: dict, state: str, cap: int = 50) -> tuple[dict, int]:
+    """The document of what watched sources link to anew, held against what is declared; exit code 1 if no source could be had."""
+    from usagelens.plans.report import rows_in
+    from usagelens.sources import feeds
+
+    sources = watch_sources(config)
+    got = checkpoint(feeds.pages(spark, sources, config.get("transport", "http"), wait=config.get("wait", feeds.WAIT)))
+    found = None
+    for kind in sorted({s["type"] for s in sources}):
+        own = links(got.where((F.col("kind") == kind) & F.col("text").isNotNull()), kind, "text")
+        found = own if found is None else found.unionAll(own)
+    document: dict = {"schema_version": 1, "new_links": [], "counts_by_source": {}, "warnings": [{"source": r.source, "message": r.warning} for r in got.where("warning is not null").orderBy("source").collect()]}
+    if found is None:
+        return document, 0
+    new = watched(spark, found, state)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("link"))
+    new = new.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
+    declared = spark.createDataFrame([(n,) for n in config.get("declared", [])], "name string")
+    document["new_links"] = rows_in(crosswalk(new, declared), ["source", "link"], 0)[0]
+    document["counts_by_source"] = {s["url"]: 0 for s in sources}
+    for r in document["new_links"]:
+        document["counts_by_source"][r["source"]] += 1
+    return document, 1 if len(document["warnings"]) == len(sources) else 0
+
+
 def watch_sources(config: dict) -> list[dict]:
     """Typed sources, with those of the older list of repositories, each once."""
     out = {(s["type"], s["url"]): s for s in config.get("watch_sources", [])}

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,19 +58,20 @@ def from_folder(folder: str) -> Callable[[str, int], tuple[int, bytes]]:
             return 404, b""
         answers = json.loads(path.read_text(encoding="utf-8"))
         got = answers[min(attempt, len(answers) - 1)]
-        return got["status"], json.dumps(got.get("body")).encode()
+        body = got.get("body")
+        return got["status"], body.encode() if isinstance(body, str) else json.dumps(body).encode()
 
     return get
 
 
-def fetched(url: str, get: Callable[[str, int], tuple[int, bytes]], tries: int = TRIES, wait: float = WAIT, sleep: Callable[[float], None] = time.sleep) -> dict | list:
-    """A page's JSON; too many requests, server and network errors are tried again with doubled waits, others aren't."""
+def fetched(url: str, get: Callable[[str, int], tuple[int, bytes]], tries: int = TRIES, wait: float = WAIT, sleep: Callable[[float], None] = time.sleep, parse: Callable[[bytes], object] = json.loads):
+    """A page's JSON, or what ``parse`` makes of it; too many requests, server and network errors are tried again with doubled waits, others aren't."""
     said = ""
     for i in range(tries):
         try:
             status, body = get(url, i)
             if status == 200:
-                return json.loads(body)
+                return parse(body)
             said = str(status)
             if status != 429 and status < 500:
                 raise Dead(f"{url}: {said}")
@@ -118,7 +120,7 @@ class FeedReader(DataSourceReader):
         self.tries, self.wait = int(options.get("tries", TRIES)), float(options.get("wait", WAIT))
 
     def get(self, url: str) -> dict | list:
-        return fetched(url, from_http if self.transport == "http" else from_folder(self.transport), self.tries, self.wait)
+        return fetched(url, getter(self.transport), self.tries, self.wait)
 
     def partitions(self) -> list[Page]:
         """The first page tells how many there are; it isn't fetched again."""
@@ -182,6 +184,28 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
+def getter(transport: str) -> Callable[[str, int], tuple[int, bytes]]:
+    return from_http if transport == "http" else from_folder(transport)
+
+
+def pages(spark: SparkSession, sources: list[dict], transport: str = "http", tries: int = TRIES, wait: float = WAIT) -> DataFrame:
+    """(source, kind, text, warning) of watched pages, each fetched by a task; a page that can't be had is a warning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = getter(transport)
+        for batch in batches:
+            got: list[tuple[str | None, str | None]] = []
+            for url in batch.column(0).to_pylist():
+                try:
+                    got.append((fetched(url, get, tries, wait, parse=lambda b: b.decode("utf-8", "replace")), None))
+                except Dead as e:
+                    got.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in got], pa.string()), pa.array([w for _, w in got], pa.string())], ["source", "kind", "text", "warning"])
+
+    rows = spark.createDataFrame([(s["url"], s["type"]) for s in sources], "source string, kind string")
+    return rows.repartition(max(1, len(sources)), "source").mapInArrow(run, "source string, kind string, text string, warning string")
+
+
 # ---------------------------------------------------------------- what the feeds hold
 
 
