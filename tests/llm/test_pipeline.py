@@ -88,3 +88,29 @@ def test_jaccard_stage_decides_by_row(spark):
     assert out.columns == df.columns
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(3, t), (5, u), rows[3][:2], (8, None), (8, "")]))
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, empty, repeated and id-less rows, and columns named like the operators' own, through each stage."""
+    long = "a passage of some length that is said again word for word in another text, so that suffixes meet, one and all "
+    rows = [(1, long * 2, "en"), (1, long, "en"), (None, None, None), (None, "", "en"), (2, "   ", "de"), (3, "one two", None), (3, "one two", None), (4, "é" * 200, "fr"), (None, long + "and more", "en")]
+    names = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, names).selectExpr("*", "'s' as source", "cast(length(text) as bigint) as n_chars", "1 as _key", "2 as _order", "'h' as _hits", "3 as score", "4 as _gone", "5 as component_id", "6 as bucket", "7 as starts")
+    sf = SF
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+        kept[name] = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    given = sorted(((i, t) for i, t, _ in rows), key=str)
+    assert all(r in given for r in kept["quality_classifier"])
+    # Null ids first, then the least text: of the copies of the passage one stays, of equal rows one, and wordless rows all.
+    assert sum(bool(t and t.startswith("a passage")) for _, t in kept["jaccard_join"]) < 3 and kept["jaccard_join"].count((3, "one two")) == 1
+    assert [r for r in kept["jaccard_join"] if not (r[1] or "").strip()] == [r for r in given if not (r[1] or "").strip()]
+    cut = kept["suffix_array_dedup"]
+    assert len(cut) == len(rows) and [i for i, _ in cut if i is None] == [None] * 3 and (None, None) in cut
+    assert max(len(t or "") for _, t in cut) < 2 * len(long) and sum((t or "").count("said again") for _, t in cut) == 1
+    assert kept["benchmark_decontamination"] == given
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(last) == len(rows) and {r.decoded_sha256 for r in last if r.n_tokens == 0} == {hashlib.sha256(b"").hexdigest()}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
