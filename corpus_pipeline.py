@@ -10,7 +10,11 @@ from usagelens.llm.common import checkpoint, fresh, numbered, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects go."""
+    """Documents that the factorisation machine rejects go.
+
+    Null and empty texts are scored by their statistics; equal texts fare alike; null and repeated ids are scored like any row, and don't
+    train. Without labels, or with one kind only, all rows share one score. All columns are kept. An empty table stays empty.
+    """
     return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -26,17 +30,28 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that occurred before are cut out of the texts."""
+    """Passages of 100 bytes or more that occurred before are cut out of the texts.
+
+    Null texts stay null, and every row stays. Before is by id; where ids are null or repeat, by (id, nulls first; text), so of equal rows all but
+    one are cut empty. ``n_chars`` follows the text where it was cut. All columns are kept. An empty table stays empty.
+    """
     return suffix_dedup.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go."""
+    """Documents with ten consecutive words of a benchmark item, or all words of a shorter one, go.
+
+    Each row is judged by its own text, whatever its id. Null and empty texts have no words and stay, as all do without a benchmark. All columns are
+    kept. An empty table stays empty.
+    """
     return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token ids, with digests of the ids and of the decoded text."""
+    """What is left as token ids, with digests of the ids and of the decoded text: one row for each row, by its id alone.
+
+    Null and empty texts have no tokens and decode to ''. Repeated and null ids stay as they are. An empty table gives an empty one.
+    """
     return bpe.digest(bpe.encode(docs))
 
 
