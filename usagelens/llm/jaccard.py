@@ -46,6 +46,8 @@ SEEN = 500_000
 BROADCAST_IDS = 500_000
 #: Rounds of one more hub a class before what is still apart meets by its rare elements.
 HUB_ROUNDS = 1
+#: Elements before one, of the same set, that a pair's meeting looks back to.
+BEFORE = 16
 #: Parts of a group, and the share of groups beyond those that a link needs.
 WIDE, SPARE = 3, 0.2
 #: Signatures that a task sorts at once.
@@ -370,9 +372,12 @@ def can_link(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     own = sets.join(nodes, "node").select("node", "component", F.explode("elements").alias("element"))
     across = own.groupBy("element").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("element", "f")
     ranked = own.join(across, "element").withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("f"), F.desc("element"))))
-    x = checkpoint(ranked.select("element", "node", "left").join(sizes, "node").where(F.col("left") * den >= F.col("n") * num))
-    y = x.select("element", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_b"))
-    met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & (F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("m")) * num)
+    x = ranked.select("element", "node", "left").join(sizes, "node").where(F.col("left") * den >= F.col("n") * num)
+    # A pair meets at the first element that it shares; of the further ones those are left out that follow within ``BEFORE`` of both sets' own.
+    near = Window.partitionBy("node").orderBy(F.desc("left")).rowsBetween(-BEFORE, -1)
+    x = checkpoint(x.withColumn("before", F.collect_list("element").over(near)))
+    y = x.select("element", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("left").alias("left_b"), F.col("before").alias("before_b"))
+    met = ~F.arrays_overlap("before", "before_b") & (F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & (F.least("left", "left_b") * (num + den) >= (F.col("n") + F.col("m")) * num)
     return x.join(y, (x["element"] == y["element"]) & met).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -391,18 +396,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     able = checkpoint(alive(texts_of(shared.select("node").distinct()), n, num, den, text))
     sets = checkpoint(sets_of(texts_of(able), n, text).join(able, "node", "left_semi").dropDuplicates(["node"]))
     shared = shared.join(able, "node", "left_semi").select("bucket", "node")
-    shared = checkpoint(shared.join(shared.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket"))
+    # A bucket's hub is the member that meets most others in all its buckets: of near copies one with few edits of its own, which links with most.
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rank = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("rank"))
+    hubs = shared.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"), "h.rank")
+    shared = checkpoint(shared.join(hubs, "bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return checkpoint(verified(pairs, sets, num, den))
 
-    # Each class against the least hub of its buckets, then, still apart from a hub, against one more hub a round.
+    # Each class against the foremost hub of its buckets, then, still apart from a hub, against one more hub a round.
     # What is left apart meets where the sets can still link: each link that could change a component is tested.
-    tested = checkpoint(shared.where("hub <> node").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    tested = checkpoint(shared.where("hub <> node").groupBy("node").agg(F.max(F.struct("rank", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b")))
     links = verify(tested)
     parts = connected_components(links)
     for last in [*[False] * HUB_ROUNDS, True]:
-        placed = shared.join(parts, "node", "left").select("bucket", "hub", "node", F.coalesce("component", "node").alias("component"))
+        placed = shared.join(parts, "node", "left").select("bucket", "hub", "rank", "node", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         placed = placed.join(apart, "bucket", "left_semi")
         if last:
@@ -410,9 +419,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             rest = can_link(open_nodes, sets, num, den)
         else:
             heads = placed.where("hub = node").select("bucket", F.col("component").alias("other"))
-            rest = placed.join(heads, "bucket").where("component <> other").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            rest = placed.join(heads, "bucket").where("component <> other").select(F.col("hub").alias("a"), F.col("node").alias("b"), "rank")
         rest = rest.join(tested, ["a", "b"], "left_anti")
-        rest = checkpoint(rest if last else rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        rest = checkpoint(rest if last else rest.groupBy("b").agg(F.max(F.struct("rank", "a")).alias("h")).select("h.a", "b"))
         if rest.isEmpty():
             continue
         more = verify(rest)
