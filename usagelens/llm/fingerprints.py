@@ -195,31 +195,44 @@ def buckets_of(prints: DataFrame, width: int = WIDTH) -> DataFrame:
 def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NEAR) -> DataFrame:
     """(node, component) of the fingerprints (node, fingerprint) that link with another.
 
-    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against a hub. Where they
-    are then of different components, the first eight members, then 64 and so on meet the members after them that were of other components: no link
+    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against its foremost. Where they
+    are then of different components, the first eight members, then 64 and so on meet the members after them that are of other components: no link
     between members of a bucket is left out that could join two, and the rounds grow with the logarithm of a bucket's size.
     """
     open_ = checkpoint(buckets_of(prints, width))
     cards = checkpoint(prints.select("node", "fingerprint").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     x, y = (cards.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("a", "x"), ("b", "y")))
-    # First against the least member of each bucket, which comes from partial minima: a bucket may hold a third of all rows.
-    pairs = open_.join(open_.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # A bucket's members in the order of how many others they meet in all their buckets: the foremost, of near copies one with few edits of its own,
+    # links with most. It meets all others first; it comes from partial maxima, as a bucket may hold a third of all rows.
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rank = open_.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("rank"))
+    open_ = checkpoint(open_.join(rank, "node").select("bucket", "node", "rank"))
+    hubs = open_.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+    pairs = open_.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).select("a", "b"))
+        return checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).drop("x", "y"))
 
-    links = verify(pairs)
+    def apart(rows: DataFrame) -> DataFrame:
+        """Those of buckets whose members are of several components."""
+        several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        return rows.join(several, "bucket", "left_semi")
+
+    links = verify(pairs).select("a", "b")
     parts = connected_components(links)
-    placed = open_.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = placed.join(apart, "bucket", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    open_, hubs = checkpoint(open_), 1
+    placed = open_.join(parts, "node", "left").select("bucket", "node", "rank", F.coalesce("component", "node").alias("component"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), F.desc("node")))
+    open_, hubs = checkpoint(apart(placed).select("bucket", "node", "component", place.alias("place"))), 1
     while not open_.isEmpty():
         hubs *= 8
         first = open_.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("component").alias("other"), F.col("place").alias("before"))
         met = open_.join(first, (open_["bucket"] == first["bucket"]) & (F.col("place") > F.col("before")) & (F.col("component") != F.col("other")))
-        links = links.unionAll(verify(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
-        open_ = open_.where(F.col("place") > hubs)
+        found = verify(met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("other").alias("other")))
+        links = links.unionAll(found.select("a", "b"))
+        # Who links with a hub goes by its component from now on, so that fewer of what is left need to meet.
+        to = found.groupBy(F.col("b").alias("node")).agg(F.min("other").alias("to"))
+        left = open_.where(F.col("place") > hubs).join(to, "node", "left").select("bucket", "node", F.coalesce("to", "component").alias("component"), "place")
+        open_ = checkpoint(apart(left))
     return connected_components(links)
 
 
