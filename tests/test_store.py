@@ -192,6 +192,24 @@ def test_two_weekly_runs_and_their_insights(spark, tmp_path, skills, monkeypatch
     assert cli.main(["insights", "--out", str(out), "--anchor", "2024-02-05T06:00:00Z"]) == 2
 
 
+def test_a_digest_gives_lint_deltas_and_overlaps(spark, tmp_path, skills, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    out, store = tmp_path / "out", made(tmp_path / "s.db", "v1-live")
+    sections = {"budget": {}, "triggers": [], "dependencies": [], "metadata": {}}
+    for back, rules in ((7, ["a", "trigger-overlap"]), (0, ["a", "a", "b", "trigger-overlap"])):
+        (tmp_path / f"{back}.json").write_text(json.dumps(sections | {"findings": [{"rule": r, "target": "notes"} for r in rules] + ["odd"]}))
+        at = (ANCHOR - timedelta(days=back)).isoformat()
+        assert cli.main(["run", "--store", store, "--skills", skills, "--digest", str(tmp_path / f"{back}.json"), "--out", str(out), "--anchor", at, "--migrations", "0"]) == 0
+    (tmp_path / "c.json").write_text(json.dumps({"silent_runs": 2, "lint_max": 3}))
+    assert cli.main(["insights", "--out", str(out), "--anchor", ANCHOR.isoformat(), "--digest", str(tmp_path / "0.json"), "--config", str(tmp_path / "c.json")]) == 0
+    found = json.loads((out / "runs/current/insights.json").read_text())
+    assert found["deltas"]["lint_violations_delta_by_rule"] == {"a": 1, "b": 1, "trigger-overlap": 0}
+    assert {"rule": "lint_violations_max", "threshold": 3, "observed": 4, "severity": "medium"} in found["alerts"]
+    assert {f["target"]: f["severity"] for f in found["maintenance"]["findings"] if f["category"] == "retire-candidate"}["notes"] == "high"
+    (tmp_path / "bad.json").write_text("[]")
+    assert cli.main(["run", "--store", store, "--digest", str(tmp_path / "bad.json"), "--out", str(out), "--anchor", ANCHOR.isoformat(), "--migrations", "0"]) == 1
+
+
 def test_history_prunes_and_the_last_run_of_a_date_wins(spark, tmp_path):
     h = History(spark, str(tmp_path))
     assert h.dates("2024-01-01", 5) == []

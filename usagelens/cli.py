@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", help="folder of the parquet tables")
     p.add_argument("--store", nargs="+", help="session stores; the one of the latest update counts")
     p.add_argument("--migrations", type=int, help="migrations that a store must have, at least")
+    p.add_argument("--digest", help="run, insights: a linter's digest, JSON")
     p.add_argument("--watch", help="watch-context: JSON of watch_sources (type, url), declared names and the transport")
     p.add_argument("--feeds", help="releases: JSON list of feeds (kind, url, source, transport)")
     p.add_argument("--skills", nargs="+", help="globs of Markdown files: the catalog of skills")
@@ -111,6 +112,17 @@ def told(v: adapters.StoreViews, id: str, children: bool) -> str:
     return "\n".join(out)
 
 
+def linted(a: argparse.Namespace) -> tuple[list[tuple[str, str]], list[str]]:
+    """(rule, target) of a digest's findings, and what is wrong with its form: a digest of another form is a warning, never a failure."""
+    if not a.digest:
+        return [], []
+    try:
+        sections, warnings = validators.digest(json.loads(Path(a.digest).read_text(encoding="utf-8")))
+    except (OSError, ValueError) as e:
+        return [], [f"digest: {e}"]
+    return [(str(f["rule"]), str(f.get("target", ""))) for f in sections.get("findings", []) if isinstance(f, dict) and f.get("rule")], [f"digest: {w}" for w in warnings]
+
+
 def run(spark: SparkSession, a: argparse.Namespace, config: Config) -> int:
     if a.store:
         v, skills = opened(spark, a, config)
@@ -126,9 +138,13 @@ def run(spark: SparkSession, a: argparse.Namespace, config: Config) -> int:
         return 2
     before = report.earlier(a.out, date)
     document["deltas"] = report.deltas(document, before[0] if before else None)
-    warnings = [{"session_id": None, "message": m} for m in warnings + document["deltas"].pop("warnings")]
+    found, said = linted(a)
+    warnings = [{"session_id": None, "message": m} for m in warnings + document["deltas"].pop("warnings") + said]
     document["warnings"] = (warnings + document.get("warnings", []))[: config.warnings_cap]
-    History(spark, a.out).write(date, kept())
+    frames = kept()
+    if found:
+        frames["lint"] = spark.createDataFrame(found, "rule string, target string").groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    History(spark, a.out).write(date, frames)
     made = report.run_directory(a.out, date)
     report.write_json_atomic(document, made / "summary.json")
     (made / "report.md").write_text(report.markdown(document), encoding="utf-8")
@@ -140,6 +156,8 @@ def run(spark: SparkSession, a: argparse.Namespace, config: Config) -> int:
 def drawn(spark: SparkSession, a: argparse.Namespace, config: Config) -> dict:
     """The insights of the anchor's run, from what was written."""
     over = catalog.queries(config)["r2_join"](spark, a.data).select(F.col("skill").cast("string").alias("skill")) if a.data else None
+    if a.digest:
+        over = spark.createDataFrame([(t,) for r, t in linted(a)[0] if r == "trigger-overlap"], "skill string")
     pairs = (report.latest(a.out, config.run_time[:10]) or {}).get("skill_similar_pairs", [])
     return insights(History(spark, a.out), config, over, pairs)
 
