@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -36,6 +37,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then deletes the exchanges and checkpoints of frames that nothing refers to any more, which else stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of batches, giving what memory its worker no longer uses back once it ends: workers outlive their tasks."""
 

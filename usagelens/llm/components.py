@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import checkpoint
+from usagelens.llm.common import checkpoint, released
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,5 +28,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == seen:
             break
         seen = now
+        del both, least, large, small
+        released(edges.sparkSession)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import SPACE_WORDS, by_shard, checkpoint, lean, mix, partitions, signed, slices, table, word_hashes
+from usagelens.llm.common import SPACE_WORDS, by_shard, checkpoint, lean, mix, partitions, released, signed, slices, table, word_hashes
 from usagelens.llm.components import connected_components
 
 U = np.uint64
@@ -386,6 +386,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = checkpoint(gathered(docs, n, num, den, id, text))
     member = rows.where("bucket is null").select("doc_id", "n_shingles", "class")
     shared = checkpoint(rows.where("bucket is not null").select("bucket", "hub", "node").distinct())
+    released(docs.sparkSession)  # the signatures' exchange is the largest
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """The documents that hold the classes' sets: the smallest of each; of classes without ids, all documents without one."""
@@ -401,6 +402,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rank = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("rank"))
     hubs = shared.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"), "h.rank")
     shared = checkpoint(shared.join(hubs, "bucket"))
+    del sizes, rank, hubs
+    released(docs.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return checkpoint(verified(pairs, sets, num, den))
