@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import by_shard, checkpoint, lean, mix, numbered, partitions, table
+from usagelens.llm.common import by_shard, checkpoint, lean, mix, numbered, partitions, released, table
 from usagelens.llm.components import connected_components
 from usagelens.llm.jaccard import packed, unpacked
 
@@ -207,6 +207,8 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     rank = open_.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("rank"))
     open_ = checkpoint(open_.join(rank, "node").select("bucket", "node", "rank"))
+    del sizes, rank
+    released(prints.sparkSession)
     hubs = open_.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
     pairs = open_.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -242,6 +244,7 @@ def grouped(rows: DataFrame, id: str = "doc_id", width: int = WIDTH, threshold:
     Groups of one row are not joined: the others are broadcast while they are few (``BROADCAST_ROWS``), else joined by a shuffle.
     """
     rows = checkpoint(rows.withColumn("node", F.xxhash64("fingerprint")))
+    released(rows.sparkSession)  # the texts' exchange is the largest
     parts = near_components(rows.select("node", "fingerprint"), width, threshold)
     named, label = rows.select("node", F.col(id).alias("id")).join(parts, "node", "left"), F.coalesce("component", "node")
     # A row for each task's fingerprints, then for each label: a group of copies with a third of all rows is pre-aggregated.
