@@ -108,3 +108,10 @@ def test_sequences_of_nothing_and_of_one_run(spark):
     one = spark.range(1000).select(F.lit("hot").alias("s"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), "id", F.lit("x").alias("tool"))
     got = {(r.id, r.kind, r.replaced) for r in sequences.compacted(one, "s", ("ts", "id"), ["tool"]).collect()}
     assert got == {(0, "call", 0), (1, "marker", 998), (999, "call", 0)}
+
+
+def test_no_frame_reaches_to_the_end_of_a_range(spark):
+    """Spark goes through the rest of the partition for each row of such a frame."""
+    rows, schema = calls(random.Random(3), 300)
+    plan = sequences.compacted(spark.createDataFrame(rows, schema), "s", ("ts", "id"), ["tool", "args"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan
