@@ -33,6 +33,29 @@ def test_tile_equals_all_pairs(monkeypatch):
             assert got == {k: r for k, r in want.items() if right is None or (k[0] in left) != (k[1] in left)}
 
 
+def test_a_block_is_made_once_and_met_once(monkeypatch):
+    """Both orders of two blocks' texts go by one product of the blocks, however many blocks a tile has."""
+    made, met, block, near = [], [], similar.Block, similar.near
+    monkeypatch.setattr(similar, "SUB", 50)
+    monkeypatch.setattr(similar, "Block", lambda *a: made.append(1) or block(*a))
+    monkeypatch.setattr(similar, "near", lambda x, y, t: met.append(1) or near(x, y, t))
+    ts = [t + str(i) for i in range(10) for t in prompts(random.Random(i))[:30]]
+    list(similar.tile(ts[:150], ts[150:], 0.8))
+    assert (len(made), len(met)) == (6, 9)
+    list(similar.tile(ts[:150], None, 0.8))
+    assert (len(made), len(met)) == (9, 15)
+
+
+def test_texts_longer_than_the_bit_vector(monkeypatch):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh \0é") for _ in range(n)) for n in (150, 199, 200, 260, 400)]
+    ts = list({t for b in base for _ in range(12) if (t := "".join(c for c in b if rng.random() > 0.07))})
+    for few in (0, 8):
+        monkeypatch.setattr(similar, "FEW", few)
+        want = {(i, j): r for i, x in enumerate(ts) for j, y in enumerate(ts) if (r := SequenceMatcher(None, x, y).ratio()) >= 0.8}
+        assert {(j, i) if turned else (i, j): r for i, j, turned, r in similar.tile(ts, None, 0.8)} == want
+
+
 def test_pairs_that_differ_at_the_start(spark, monkeypatch):
     monkeypatch.setattr(text, "BLOCK_TEXTS", 50)
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400")
