@@ -88,3 +88,16 @@ def test_repeats_join_the_earliest_near_prompt(spark):
     got = text.user_prompt_repeats({"documents": spark.createDataFrame(rows, "doc_id long, source string, text string")}).collect()
     assert {(r.source, r.prompt_key): r.n for r in got} == {k: n for k, n in want.items() if n >= 2} and len(got) > 10
     assert max(map(len, reps.values())) > 5
+
+
+def test_token_pairs_leave_the_join_near_and_once(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.sample(words, rng.randint(1, 20)) for _ in range(12)]
+    rows = [(i, rng.choice(["en", "de", None]), " ".join(w for w in rng.choice(base) if rng.random() > 0.08)) for i in range(150)]
+    sets = {i: (lang, set(t[:200].split(" "))) for i, lang, t in rows if lang}
+    want = {(a, b): round(r, 6) for a, (k, s) in sets.items() for b, (m, o) in sets.items() if a < b and k == m and (r := len(s & o) / len(s | o)) >= Config().similarity}
+    df = text.token_jaccard_pairs({"documents": spark.createDataFrame(rows, "doc_id long, lang string, text string")})
+    got = df.collect()
+    assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 100
+    assert "Aggregate [x#" not in df._jdf.queryExecution().optimizedPlan().toString()
