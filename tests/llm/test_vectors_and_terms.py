@@ -189,3 +189,13 @@ def test_op13_equals_its_sql(spark):
     names = ["lang", "source", "part", "item", "value", "rank"]
     want = con.sql(f"select {', '.join(names)} from ({entries.SQL['op13_divergence']})").fetchall()
     assert sorted(map(tuple, divergence.op13_divergence(spark, SF).select(names).collect())) == sorted(want) and want
+
+
+def test_each_task_scans_one_bucket_of_all_tiles(spark, monkeypatch):
+    """Tasks emit as many partial sums each, so that more tasks don't make one of them emit more."""
+    held, scanned = [], divergence.scanned
+    monkeypatch.setattr(divergence, "scanned", lambda rows: held.append(rows) or scanned(rows))
+    rows = [(lang, f"s{i % 9}", f"a b c{i % 5}") for lang in ("en", "de", "fr") for i in range(60)]
+    divergence.audit(spark.createDataFrame(rows, "lang string, source string, text string"), least=5, tile=4).count()
+    parts = held[0].rdd.mapPartitions(lambda rs: [sorted({(r.lang, r.lo, r.hi, r.bucket) for r in rs})]).collect()
+    assert [{b for *_, b in p} for p in parts] == [{i} for i in range(4)] and len(set(map(len, parts))) == 1

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import byte_table, checkpoint, lean, partitions, slices, table
+from usagelens.llm.common import by_shard, byte_table, checkpoint, lean, partitions, slices, table
 
 #: Documents of a language that a kept term is in, at least.
 LEAST_DOCUMENTS = 30
@@ -301,7 +301,8 @@ def audit(df: DataFrame, least: int = LEAST_DOCUMENTS, terms: int = TERMS, tile:
     body = kept.join(tiles, "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("tile", F.when(~F.col("whole"), of)).withColumn("other", other)
     met = [F.when(F.col("whole"), F.col("other")).otherwise(c).alias(n) for c, n in ((F.least("tile", "other"), "lo"), (F.greatest("tile", "other"), "hi"))]
     body = body.select("lang", *met, "bucket", F.lit(1).alias("kind"), "term", "source", "whole", "n", "tile", F.lit(0).cast("long").alias("lang_total"), F.lit(0).cast("long").alias("v"))
-    rows = head.unionAll(body).repartition(buckets, "lang", "lo", "hi", "bucket").sortWithinPartitions("lang", "lo", "hi", "bucket", "kind", "term", "whole", "source")
+    # A task has one bucket of each two tiles, so that all tasks emit as many partial sums.
+    rows = by_shard(head.unionAll(body), buckets, "bucket").sortWithinPartitions("lang", "lo", "hi", "bucket", "kind", "term", "whole", "source")
     found = checkpoint(scanned(rows))
 
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
