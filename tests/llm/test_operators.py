@@ -192,6 +192,20 @@ def test_near_groups_equal_brute_force(spark):
     assert len(set(group)) == 7
 
 
+def test_a_fingerprint_has_one_link_at_first(spark, monkeypatch):
+    """Near copies share many bands, whose hubs differ; links don't grow with the bands that a pair shares."""
+    rng = np.random.default_rng(3)
+    base, rows, links, components = rng.integers(0, 256, (32, 4)).astype(np.uint8), [], [], fingerprints.connected_components
+    for i in range(60):
+        own = base.copy()
+        own[rng.permutation(32)[:6]] += np.uint8(1 + i)
+        rows.append((i, bytearray(own.tobytes())))
+    monkeypatch.setattr(fingerprints, "connected_components", lambda found, *a: links.append(found.count()) or components(found, *a))
+    got = fingerprints.near_groups(spark.createDataFrame(rows, "doc_id int, fingerprint binary")).collect()
+    assert {r.group for r in got} == {0} and len(got) == 60
+    assert links[0] <= 59
+
+
 def test_near_groups_find_edited_texts(spark):
     """Recall over texts with 1 % of their characters edited, and no clean text in another's group."""
     rng = random.Random(5)

@@ -195,9 +195,10 @@ def buckets_of(prints: DataFrame, width: int = WIDTH) -> DataFrame:
 def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NEAR) -> DataFrame:
     """(node, component) of the fingerprints (node, fingerprint) that link with another.
 
-    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. A bucket's members are verified against its foremost. Where they
-    are then of different components, the first eight members, then 64 and so on meet the members after them that are of other components: no link
-    between members of a bucket is left out that could join two, and the rounds grow with the logarithm of a bucket's size.
+    Fingerprints that share a band link if ``threshold`` or more of their bytes agree. Each is verified against the foremost hub of its buckets first, one
+    pair a fingerprint. Where a bucket's members are then of different components, its foremost, the first eight members, then 64 and so on meet the members
+    after them that are of other components: no link between members of a bucket is left out that could join two, and the rounds grow with the
+    logarithm of a bucket's size.
     """
     open_ = checkpoint(buckets_of(prints, width))
     cards = checkpoint(prints.select("node", "fingerprint").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -209,33 +210,40 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
     open_ = checkpoint(open_.join(rank, "node").select("bucket", "node", "rank"))
     del sizes, rank
     released(prints.sparkSession)
-    hubs = open_.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
-    pairs = open_.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # Hubs follow each other by rank, so these pairs are a forest: at most one for each fingerprint, however many bands it shares.
+    hubs = open_.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h"))
+    pairs = open_.join(hubs, "bucket").where("node <> h.node").groupBy(F.col("node").alias("b")).agg(F.max("h").alias("h")).select(F.col("h.node").alias("a"), "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpoint(pairs.join(x, "a").join(y, "b").where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).drop("x", "y"))
+        """The pairs, and whether they are ``near``."""
+        return checkpoint(pairs.join(y, "b").join(x, "a").withColumn("near", F.pandas_udf(likeness, "double")("x", "y") >= threshold).drop("x", "y"))
 
     def apart(rows: DataFrame) -> DataFrame:
         """Those of buckets whose members are of several components."""
         several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         return rows.join(several, "bucket", "left_semi")
 
-    links = verify(pairs).select("a", "b")
-    parts = connected_components(links)
+    tested = verify(pairs)
+    parts = connected_components(tested.where("near"))
     placed = open_.join(parts, "node", "left").select("bucket", "node", "rank", F.coalesce("component", "node").alias("component"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), F.desc("node")))
     open_, hubs = checkpoint(apart(placed).select("bucket", "node", "component", place.alias("place"))), 1
+    merged = None
     while not open_.isEmpty():
-        hubs *= 8
         first = open_.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("component").alias("other"), F.col("place").alias("before"))
         met = open_.join(first, (open_["bucket"] == first["bucket"]) & (F.col("place") > F.col("before")) & (F.col("component") != F.col("other")))
-        found = verify(met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("other").alias("other")))
-        links = links.unionAll(found.select("a", "b"))
-        # Who links with a hub goes by its component from now on, so that fewer of what is left need to meet.
-        to = found.groupBy(F.col("b").alias("node")).agg(F.min("other").alias("to"))
-        left = open_.where(F.col("place") > hubs).join(to, "node", "left").select("bucket", "node", F.coalesce("to", "component").alias("component"), "place")
+        met = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("other").alias("other"), F.min("component").alias("own"))
+        found = verify(met.join(tested.select("a", "b"), ["a", "b"], "left_anti") if hubs == 1 else met).where("near").select("other", "own").distinct()
+        left = open_.where(F.col("place") > hubs)
+        if not found.isEmpty():
+            # Whose components have linked goes by the joint one from now on, so that fewer of what is left need to meet.
+            to = checkpoint(connected_components(found, "other", "own").select(F.col("node").alias("component"), F.col("component").alias("to")))
+            left = left.join(to, "component", "left").select("bucket", "node", F.coalesce("to", "component").alias("component"), "place")
+            joint = to.select(F.col("component").alias("a"), F.col("to").alias("b")).where("a <> b")
+            merged = joint if merged is None else merged.unionAll(joint)
         open_ = checkpoint(apart(left))
-    return connected_components(links)
+        hubs *= 8
+    return parts if merged is None else connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(merged))
 
 
 def grouped(rows: DataFrame, id: str = "doc_id", width: int = WIDTH, threshold: float = NEAR) -> DataFrame:
