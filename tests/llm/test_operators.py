@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -290,6 +291,25 @@ def test_suffix_dedup_spills_in_its_own_path(monkeypatch):
     assert induced.counters["spills"] > 0 and induced.counters["levels"] >= 2
 
 
+def test_a_part_is_sorted_in_few_bytes_of_memory_a_byte():
+    """An executor holds a part for each core, beside Spark's own memory."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(x) for x in rng.integers(97, 105, (4000, 300)).astype(np.uint8)]
+    texts += [x[:200] + y[200:] for x, y in zip(texts[:2000], texts[2000:4000], strict=True)]
+    seen, want = set(), []
+    for i, x in enumerate(texts):
+        for w in range(201):
+            if x[w : w + 100] in seen:
+                want.append((i, w))
+            seen.add(x[w : w + 100])
+    tracemalloc.start()
+    which, window = suffix_dedup.earlier(texts, [201] * len(texts), np.arange(len(texts)), np.zeros(len(texts), np.int64), 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(which.tolist(), window.tolist(), strict=True)) == want
+    assert peak < 40 * sum(map(len, texts))
+
+
 def test_suffix_dedup_of_repeated_and_odd_ids(spark):
     rows = [("b", "p" + "x" * 150), ("a", "q" + "x" * 150), (None, "r" + "x" * 150), ("b", "p" + "x" * 150), ("c", None)]
     df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as _order", "2 as _starts")

@@ -97,26 +97,34 @@ class Queue:
         return np.concatenate(parts) if parts else None
 
 
+def dense(x: np.ndarray) -> np.ndarray:
+    """The values' ranks from 0 without gaps, equal ones alike. The values go from 0 to no more than some times their number."""
+    there = np.zeros(int(x.max(initial=0)) + 1, bool)
+    there[x] = True
+    return (np.cumsum(there, dtype=np.int32 if len(there) < 1 << 31 else np.int64) - 1)[x]
+
+
 def doubled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common-prefix values of a string that fits in memory."""
+    """Suffix array and common-prefix values of a string that fits in memory, whose symbols are as in ``dense``."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    rank = dense(s)
     ranks, k = [rank], 1
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + follow
+        key = rank.astype(np.int64)
+        key *= n + 1
+        key[: n - k] += rank[k:] + 1
         order = np.argsort(key)
-        new = np.empty(n, np.int64)
-        sorted_ = key[order]
-        new[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]))
-        rank = new
+        key = key[order]
+        rank = np.empty(n, rank.dtype)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=rank.dtype)
+        del key
         if rank[order[-1]] == n - 1:
             break
-        ranks.append(rank.astype(np.int32))
+        ranks.append(rank)
         k *= 2
+    order = order.astype(rank.dtype)
     a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, rank.dtype)
     for j in range(len(ranks) - 1, -1, -1):
         ok = (a < n) & (b < n)
         same = np.zeros(n - 1, bool)
@@ -136,7 +144,7 @@ def names_of(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
     bits = int(t.max() + 2).bit_length()
     per, pad = max(1, 63 // bits), np.uint64((1 << bits) - 1)
     n = len(starts)
-    name, active, r = np.zeros(n, np.int64), np.arange(n), 0
+    name, active, r = np.zeros(n, starts.dtype), np.arange(n, dtype=starts.dtype), 0
     while len(active):
         key = np.zeros(len(active), np.uint64)
         for j in range(per):
@@ -155,12 +163,12 @@ def names_of(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
         r += 1
         more = np.repeat(size > 1, size) & (starts[active] + r * per <= ends[active])
         active = active[more]
-    return np.unique(name, return_inverse=True)[1]
+    return dense(name)
 
 
 def shared(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Symbols that the suffixes at a and b share, by comparing them."""
-    out, on, n = np.zeros(len(a), np.int64), np.arange(len(a)), len(t)
+    out, on, n = np.zeros(len(a), a.dtype), np.arange(len(a), dtype=a.dtype), len(t)
     while len(on):
         i, j = a[on] + out[on], b[on] + out[on]
         inside = (i < n) & (j < n)
@@ -208,8 +216,9 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
     for a in range(0, n, CHUNK):
         here = np.asarray(is_s[a : a + CHUNK])
         before = np.append(is_s[a - 1] if a else True, here[:-1])
-        found.append(a + np.flatnonzero(here & ~before))
+        found.append((a + np.flatnonzero(here & ~before)).astype(space.kind))
     star = np.concatenate(found)
+    del found, here, before
 
     def run_of(p: int) -> int:
         """Equal symbols from p on."""
@@ -226,16 +235,19 @@ def level(t: np.ndarray, space: Space, base: int) -> tuple[np.ndarray, np.ndarra
 
     names = names_of(t, star)
     if names.max() == len(star) - 1:
-        order, same = np.argsort(names), np.zeros(len(star), np.int64)
+        order, same = np.argsort(names), np.zeros(len(star), space.kind)
     elif len(star) <= base:
         order, same = doubled(names)
     else:
         order, same = level(names, space, base)
+    del names
     seeds = star[order]
     whole = star[np.minimum(order + same, len(star) - 1)] - seeds  # what equal names cover
-    seed_lcp = np.zeros(len(seeds), np.int64)
+    del star, order, same
+    seed_lcp = np.zeros(len(seeds), space.kind)
     if len(seeds) > 1:
         seed_lcp[1:] = whole[1:] + shared(t, seeds[:-1] + whole[1:], seeds[1:] + whole[1:])
+    del whole
 
     symbols, counts = np.unique(t, return_counts=True)
     first_seed = np.searchsorted(t[seeds], symbols)
@@ -324,7 +336,7 @@ counters = {"spills": 0, "levels": 0}
 
 
 def suffix_array(t: np.ndarray, memory: int = MEMORY, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common-prefix values) of a string of non-negative symbols."""
+    """(suffix array, common-prefix values) of a string of non-negative symbols, in files where they are over ``memory``."""
     space = Space(memory, len(t))
     string = space.array(len(t) + 1, np.uint16 if not len(t) or int(t.max()) < 65535 else np.int64)
     for a in range(0, len(t), CHUNK):
@@ -333,7 +345,7 @@ def suffix_array(t: np.ndarray, memory: int = MEMORY, base: int = BASE) -> tuple
     order, lcp = level(string, space, base)
     counters["spills"] += space.spills
     counters["levels"] = max(counters["levels"], space.levels)
-    order, lcp = np.array(order[1:]), np.array(lcp[1:])
+    order, lcp = order[1:], lcp[1:]
     if len(lcp):
         lcp[0] = 0
     return order, lcp

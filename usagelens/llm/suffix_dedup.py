@@ -107,10 +107,17 @@ def earlier(texts: list[bytes], starts: list[int], doc: np.ndarray, at: np.ndarr
     begin = np.cumsum(sizes + 1) - sizes - 1
     string[begin + sizes] = 0
     order, lcp = suffix_array(string)
-    group = np.cumsum(lcp < length)
-    which = np.repeat(np.arange(len(texts)), sizes + 1)[order]
-    window = order - begin[which]
-    own = np.flatnonzero(window < np.array(starts)[which])
+    del string
+    # Of the suffixes only those that share enough with a neighbour are taken from the array.
+    with_before = np.append(lcp >= length, False)
+    on = np.flatnonzero(with_before[:-1] | with_before[1:])
+    group = np.cumsum(~with_before[on], dtype=order.dtype)
+    order = np.asarray(order[on])
+    del lcp, with_before, on
+    which = (np.searchsorted(begin, order, "right") - 1).astype(order.dtype)
+    window = order - begin.astype(order.dtype)[which]
+    del order
+    own = window < np.array(starts)[which]
     group, which, window = group[own], which[own], window[own]
     lone = np.bincount(group)[group] > 1
     group, which, window = group[lone], which[lone], window[lone]
