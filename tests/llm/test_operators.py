@@ -5,6 +5,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,30 @@ def test_a_fingerprint_has_one_link_at_first(spark, monkeypatch):
     assert links[0] <= 59
 
 
+def test_parts_of_fingerprints_lose_no_near_pair():
+    """Parts are equal where bytes are, and tell most pairs apart that share only a band."""
+    rng = np.random.default_rng(1)
+    a, other = (rng.integers(0, 256, (2000, 128)).astype(np.uint8) for _ in range(2))
+    b = np.where(rng.random((2000, 128)) < rng.random((2000, 1)) * 0.6, a, other)
+    x, y = (pd.Series([r.tobytes() for r in z]) for z in (a, b))
+    parts = fingerprints.likeness_of_parts(fingerprints.parts_of(x), fingerprints.parts_of(y))
+    assert np.array_equal(parts, ((a & 7) == (b & 7)).mean(1)) and (parts >= fingerprints.likeness(x, y)).all()
+    other[:, :4] = a[:, :4]
+    chance = fingerprints.likeness_of_parts(fingerprints.parts_of(x), fingerprints.parts_of(pd.Series([r.tobytes() for r in other])))
+    assert (chance >= fingerprints.NEAR).mean() < 0.02
+
+
+def test_release_waits_for_what_python_let_go_of(spark):
+    """Else Spark keeps the exchanges of frames that are gone."""
+    told = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    frames = [spark.range(3) for _ in range(20)]
+    common.released(spark)
+    del frames
+    assert told
+    common.released(spark)
+    assert not told
+
+
 def test_near_groups_find_edited_texts(spark):
     """Recall over texts with 1 % of their characters edited, and no clean text in another's group."""
     rng = random.Random(5)

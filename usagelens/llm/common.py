@@ -7,16 +7,20 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.clientserver import DEFAULT_WORKER_SLEEP_TIME
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; one longer text is a step of its own.
 SLICE_BYTES = 1 << 20
+#: Seconds until py4j has told the JVM of all that Python let go of.
+RELEASE_S = DEFAULT_WORKER_SLEEP_TIME + 0.2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +42,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: Spark then deletes the exchanges and checkpoints of frames that nothing refers to any more, which else stay until it happens to."""
+    """Have the driver collect its garbage: Spark then deletes the exchanges and checkpoints of frames that nothing refers to any more, which else stay until it happens to.
+
+    What Python lets go of is told to the JVM by a thread of py4j that looks once a second; the JVM's collection waits for it.
+    """
     gc.collect()
+    time.sleep(RELEASE_S)
     spark.sparkContext._jvm.System.gc()
 
 

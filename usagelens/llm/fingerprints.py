@@ -38,6 +38,7 @@ SLOTS = 128
 STEPS = 8192  # after so many steps the random functions come again
 CHARS = 8 << 20  # of a batch of walks: all take their steps together, so many lanes share the cost of a step
 SPAN = 4  # steps that a slot looks at
+PART_BITS = 3  # of each byte that tell apart fingerprints which share a band by chance
 WIDTH, NEAR = 4, 0.25  # bytes of a band; the share of equal bytes from which two fingerprints link
 #: Rows of groups that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -202,7 +203,6 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
     """
     open_ = checkpoint(buckets_of(prints, width))
     cards = checkpoint(prints.select("node", "fingerprint").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    x, y = (cards.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("a", "x"), ("b", "y")))
     # A bucket's members in the order of how many others they meet in all their buckets: the foremost, of near copies one with few edits of its own,
     # links with most. It meets all others first; it comes from partial maxima, as a bucket may hold a third of all rows.
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
@@ -214,17 +214,26 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
     hubs = open_.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("h"))
     pairs = open_.join(hubs, "bucket").where("node <> h.node").groupBy(F.col("node").alias("b")).agg(F.max("h").alias("h")).select(F.col("h.node").alias("a"), "b")
 
+    def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        x, y = (of.select(F.col("node").alias(n), F.col(of.columns[1]).alias(f)) for n, f in (("a", "x"), ("b", "y")))
+        return pairs.join(y, "b").join(x, "a")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs, and whether they are ``near``."""
-        return checkpoint(pairs.join(y, "b").join(x, "a").withColumn("near", F.pandas_udf(likeness, "double")("x", "y") >= threshold).drop("x", "y"))
+        """Those of the pairs that are near. Most share a band by chance: parts of their bytes tell them apart, and whole fingerprints travel for the others only."""
+        of_parts = cards.select("node", F.pandas_udf(parts_of, "binary")("fingerprint").alias("parts"))
+        may = checkpoint(beside(pairs, of_parts).where(F.pandas_udf(likeness_of_parts, "double")("x", "y") >= threshold).drop("x", "y"))
+        nodes = may.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = cards.join(F.broadcast(nodes) if 2 * may.count() <= BROADCAST_ROWS else nodes, "node", "left_semi")
+        return checkpoint(beside(may, own).where(F.pandas_udf(likeness, "double")("x", "y") >= threshold).drop("x", "y"))
 
     def apart(rows: DataFrame) -> DataFrame:
         """Those of buckets whose members are of several components."""
         several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         return rows.join(several, "bucket", "left_semi")
 
-    tested = verify(pairs)
-    parts = connected_components(tested.where("near"))
+    tested = checkpoint(pairs)
+    del pairs, hubs
+    parts = connected_components(verify(tested))
     placed = open_.join(parts, "node", "left").select("bucket", "node", "rank", F.coalesce("component", "node").alias("component"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), F.desc("node")))
     open_, hubs = checkpoint(apart(placed).select("bucket", "node", "component", place.alias("place"))), 1
@@ -233,7 +242,7 @@ def near_components(prints: DataFrame, width: int = WIDTH, threshold: float = NE
         first = open_.where(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("component").alias("other"), F.col("place").alias("before"))
         met = open_.join(first, (open_["bucket"] == first["bucket"]) & (F.col("place") > F.col("before")) & (F.col("component") != F.col("other")))
         met = met.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("other").alias("other"), F.min("component").alias("own"))
-        found = verify(met.join(tested.select("a", "b"), ["a", "b"], "left_anti") if hubs == 1 else met).where("near").select("other", "own").distinct()
+        found = verify(met.join(tested.select("a", "b"), ["a", "b"], "left_anti") if hubs == 1 else met).select("other", "own").distinct()
         left = open_.where(F.col("place") > hubs)
         if not found.isEmpty():
             # Whose components have linked goes by the joint one from now on, so that fewer of what is left need to meet.
@@ -268,6 +277,22 @@ def near_groups(prints: DataFrame, width: int = WIDTH, threshold: float = NEAR,
     return grouped(prints.select(id, "fingerprint"), id, width, threshold).select(id, F.col("group_id").alias("group"))
 
 
+def parts_of(fingerprint: pd.Series) -> pd.Series:
+    """The low three bits of each byte, packed: they are equal where the bytes are."""
+    if not len(fingerprint):
+        return pd.Series([], dtype=object)
+    low = np.frombuffer(b"".join(fingerprint), np.uint8).reshape(len(fingerprint), -1, 1) << np.uint8(8 - PART_BITS)
+    return pd.Series([r.tobytes() for r in np.packbits(np.unpackbits(low, axis=2)[:, :, :PART_BITS].reshape(len(low), -1), axis=1)])
+
+
+def likeness_of_parts(x: pd.Series, y: pd.Series) -> pd.Series:
+    """The share of equal parts, no less than that of equal bytes."""
+    if not len(x):
+        return pd.Series([], dtype=float)
+    a, b = (np.unpackbits(np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1), axis=1).reshape(len(c), -1, PART_BITS) for c in (x, y))
+    return pd.Series((a == b).all(2).mean(1))
+
+
 def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
     """The share of equal bytes of two columns of fingerprints."""
     if not len(x):
