@@ -101,3 +101,29 @@ def test_token_pairs_leave_the_join_near_and_once(spark):
     got = df.collect()
     assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 100
     assert "Aggregate [x#" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_one_length_meet_by_their_rarest_grams(monkeypatch):
+    """Pairs of texts of the greatest length come from the index, those of other lengths too, none is lost and few others are looked at."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("etaoinshrdlu   bcdfgkmpvw") for _ in range(260)) for _ in range(60)]
+    ts = list({t[: rng.choice([200, 200, 200, 150])] for b in base for _ in range(4) for t in ["".join(c if rng.random() > 0.06 else rng.choice("xyz") for c in b)]} | {"der " * 50, "das " * 50})
+    want = {(i, j): r for i, x in enumerate(ts) for j, y in enumerate(ts) if (r := SequenceMatcher(None, x, y).ratio()) >= 0.8}
+    looked, shared = [], similar.shared
+    monkeypatch.setattr(similar, "shared", lambda x, y, i, j: looked.append(len(i)) or shared(x, y, i, j))
+    for sub, hits in ((2048, 1 << 22), (37, 50)):
+        monkeypatch.setattr(similar, "SUB", sub)
+        monkeypatch.setattr(similar, "HITS", hits)
+        assert {(j, i) if turned else (i, j): r for i, j, turned, r in similar.tile(ts, None, 0.8)} == want
+    assert any(i != j for i, j in want) and similar.Block(ts, 4).probes(0.8)[2] and sum(looked) < len(ts) ** 2 / 5
+    ids = similar.np.array([rng.sample(range(len(ts)), len(ts))] * 2)
+    got = {(j, i) if turned else (i, j): r for i, j, turned, r in similar.tile(ts, None, 0.8, [ids])}
+    assert got == {(i, j): r for (i, j), r in want.items() if ids[0][i] <= ids[0][j]}
+
+
+def test_whole_texts_are_normalised_once(spark):
+    """Their prompts are kept, not made anew for each side of the pairs."""
+    docs = spark.createDataFrame([(i, "en", "s", "one two three " * 9 + "!" * i) for i in range(4)], "doc_id long, lang string, source string, text string")
+    for query in (text.similar_pairs_join, text.near_dup_prompt_join):
+        df = query({"documents": docs})
+        assert df.count() == 6 and "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
