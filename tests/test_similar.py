@@ -127,3 +127,14 @@ def test_whole_texts_are_normalised_once(spark):
     for query in (text.similar_pairs_join, text.near_dup_prompt_join):
         df = query({"documents": docs})
         assert df.count() == 6 and "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_token_pairs_are_those_of_whole_texts(spark):
+    """Texts that are alike in their first 200 characters alone are no pair, those that differ there alone are one."""
+    start, rest = ([f"{c}{i}" for i in range(n)] for c, n in (("start", 30), ("rest", 400)))
+    rng, rows = random.Random(8), [start + rest, start + [f"o{i}" for i in range(400)], [f"s{i}" for i in range(30)] + rest]
+    rows += [[w for w in start + rest if rng.random() > 0.1] for _ in range(12)]
+    sets = [set(r) for r in rows]
+    want = {(a, b): round(r, 6) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (r := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8}
+    got = text.token_jaccard_pairs({"documents": spark.createDataFrame([(i, "en", " ".join(r)) for i, r in enumerate(rows)], "doc_id long, lang string, text string")}).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) and (0, 2) in want and (0, 1) not in want
